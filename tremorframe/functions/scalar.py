@@ -43,11 +43,12 @@ def digits14(text: Column, suffix: str) -> Column:
     return F.regexp_extract(text, r"(\d{14})" + suffix, 1)
 
 
-def round_columns(df: DataFrame, digits: int = 6, skip: tuple[str, ...] = ()) -> DataFrame:
+def round_columns(df: DataFrame, digits: int = 6, other: dict[str, int] | None = None) -> DataFrame:
     """Round every double column, for reports and comparisons."""
+    other = other or {}
     return df.select(
         *[
-            F.round(F.col(c), digits).alias(c) if t == "double" and c not in skip else F.col(c)
+            F.round(F.col(c), other.get(c, digits)).alias(c) if t == "double" else F.col(c)
             for c, t in df.dtypes
         ]
     )

@@ -21,7 +21,7 @@ from tremorframe.functions.seismo import (
     RjParams,
     omori_rate,
 )
-from tremorframe.operators.quantiles import fixed_width, global_median, log_width
+from tremorframe.operators.quantiles import fixed_width, global_median, group_quantiles, log_width
 from tremorframe.operators.windows import WINDOWS, Window3, each_window
 
 BIN_DAYS = 0.5
@@ -105,43 +105,52 @@ def omori_fit(
     """``eq_id, k, c, p, sse`` least squares fit of the Omori law to the bin counts.
 
     For given c and p the best K has a closed form, so each sequence is a search
-    over the (c, p) grid: one matrix product per Arrow batch. Sequences below
-    ``min_events`` events get the fallback parameters.
+    over the (c, p) grid, one matrix product per Arrow batch, and a second one
+    in quarter steps around the best point. Sequences below ``min_events``
+    events get the fallback parameters.
     """
     n_bins = int(round(max_days / BIN_DAYS))
-    c_axis, p_axis = grid or omori_grid()
     mid = (np.arange(n_bins) + 0.5) * BIN_DAYS
+    c_axis, p_axis = grid or omori_grid()
     c_all, p_all = (a.ravel() for a in np.meshgrid(c_axis, p_axis, indexing="ij"))
-    shape = BIN_DAYS / (mid[:, None] + c_all[None, :]) ** p_all[None, :]  # bins x candidates
-    shape_sq = (shape**2).sum(axis=0)
-    k_lo, k_hi = OMORI_K_BOUNDS
+    c_ratio, p_step = c_axis[1] / c_axis[0], p_axis[1] - p_axis[0]
+    quarter = np.arange(-4, 5) / 4.0
+    c_near, p_near = (a.ravel() for a in np.meshgrid(c_ratio**quarter, p_step * quarter, indexing="ij"))
+
+    def decay(c: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Expected counts per bin for K of one: ``... x bins x candidates``."""
+        return BIN_DAYS / (mid[:, None] + c[..., None, :]) ** p[..., None, :]
+
+    coarse = decay(c_all, p_all)
+
+    def smallest(y: np.ndarray, c: np.ndarray, p: np.ndarray, shape: np.ndarray) -> tuple:
+        cross, norm = (y[:, None, :] @ shape)[:, 0, :], (shape**2).sum(axis=-2)
+        k = np.clip(cross / norm, *OMORI_K_BOUNDS)
+        sse = (y**2).sum(axis=1, keepdims=True) - 2 * k * cross + k**2 * norm
+        at = np.arange(len(y)), sse.argmin(axis=1)
+        return k[at], np.broadcast_to(c, sse.shape)[at], np.broadcast_to(p, sse.shape)[at], sse[at]
 
     @F.pandas_udf("k double, c double, p double, sse double")
     def fit(counts: pd.Series) -> pd.DataFrame:
-        parts = []
-        for at in range(0, len(counts), 1000):
-            y = np.stack(counts.iloc[at : at + 1000].to_list())
-            cross = y @ shape
-            k = np.clip(cross / shape_sq, k_lo, k_hi)
-            sse = (y**2).sum(axis=1, keepdims=True) - 2 * k * cross + k**2 * shape_sq
-            best, row = sse.argmin(axis=1), np.arange(len(y))
-            parts.append(
-                pd.DataFrame(
-                    {"k": k[row, best], "c": c_all[best], "p": p_all[best], "sse": sse[row, best]}
-                )
-            )
-        if not parts:
-            return pd.DataFrame({"k": [], "c": [], "p": [], "sse": []}, dtype=float)
-        return pd.concat(parts, ignore_index=True)
-
-    per_bin = [
-        F.coalesce(F.sum(F.when(F.col("bin") == i, F.col("n"))), F.lit(0)).cast("double")
-        for i in range(n_bins)
-    ]
-    vectors = bins.groupBy("eq_id").agg(F.sum("n").alias("total"), F.array(*per_bin).alias("y"))
+        parts = [np.empty((4, 0))]
+        for at in range(0, len(counts), 500):
+            y = np.stack(counts.iloc[at : at + 500].to_list())
+            _, c, p, _ = smallest(y, c_all, p_all, coarse)
+            c = np.clip(c[:, None] * c_near, *OMORI_C_BOUNDS)
+            p = np.clip(p[:, None] + p_near, *OMORI_P_BOUNDS)
+            parts.append(np.stack(smallest(y, c, p, decay(c, p))))
+        return pd.DataFrame(np.concatenate(parts, axis=1).T, columns=["k", "c", "p", "sse"])
+
+    # at most one entry per bin and sequence
+    by_bin = F.map_from_entries(F.collect_list(F.struct("bin", "n")))
+    vectors = bins.groupBy("eq_id").agg(F.sum("n").alias("total"), by_bin.alias("m"))
+    dense = F.transform(
+        F.sequence(F.lit(0), F.lit(n_bins - 1)),
+        lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0)).cast("double"),
+    )
     fitted = (
         vectors.filter(F.col("total") >= min_events)
-        .select("eq_id", fit("y").alias("f"))
+        .select("eq_id", fit(dense).alias("f"))
         .select("eq_id", "f.*")
     )
     k0, c0, p0 = OMORI_FALLBACK
@@ -156,11 +165,12 @@ def omori_fit(
 
 def omori_medians(fits: DataFrame) -> DataFrame:
     """One row ``k, c, p``: the median of each parameter over sequences."""
-    return (
-        global_median(fits, "k", log_width(100), "k")
-        .withColumn("c", global_median(fits, "c", log_width(100), "c").scalar())
-        .withColumn("p", global_median(fits, "p", fixed_width(0.01), "p").scalar())
+    names = ("k", "c", "p")
+    values = fits.select(
+        F.explode(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))])).alias("name", "value")
     )
+    med = group_quantiles(values, ["name"], "value", {"median": 0.5}, log_width(100))
+    return med.agg(*[F.max(F.when(F.col("name") == n, F.col("median"))).alias(n) for n in names])
 
 
 def omori_first_hour(

@@ -1,96 +1,113 @@
 """Completeness magnitude and Gutenberg-Richter b from magnitude counts.
 
-Both need only how often each magnitude occurs, so they work on the table of
-``value_counts`` (``eq_id, mag, n``) and never on lists of magnitudes.
+Both need only how often each magnitude occurs: the table ``eq_id, mag, n`` of
+``magnitude_counts``, never the events and never lists of magnitudes. Catalogs
+publish magnitudes in tenths or hundredths, so a sequence of any length has a
+few hundred rows there at most. They are brought together by sequence once, and
+every further step is a window or an aggregation on that partitioning.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from tremorframe.operators.quantiles import value_counts
 
 STEP = 0.1
 
 
+def _sequence() -> WindowSpec:
+    return Window.partitionBy("eq_id")
+
+
 def magnitude_counts(enriched: DataFrame) -> DataFrame:
     return value_counts(enriched, ["eq_id"], "mag")
 
 
-def completeness_mag(
-    counts: DataFrame, mc_mode: str = "edge", min_n: int = 10, small: str = "min"
-) -> DataFrame:
-    """``eq_id, mc`` by maximum curvature: the fullest magnitude bin.
+def with_mc(counts: DataFrame, mc_mode: str = "edge", min_n: int = 10, small: str = "min") -> DataFrame:
+    """``counts`` with ``mc`` by maximum curvature: the fullest magnitude bin.
 
     ``edge`` bins on the float edges ``lo + i*d`` that published results were
     computed with, last bin closed; ``grid`` bins on whole tenths. Sequences
     below ``min_n`` events get their smallest magnitude, or null with
     ``small='null'``. A sequence whose edges do not even form one bin has no mc.
+    Rows without a magnitude take no part.
     """
     if mc_mode not in ("edge", "grid") or small not in ("min", "null"):
         raise ValueError("mc_mode is edge or grid, small is min or null")
-    span = counts.groupBy("eq_id").agg(
-        F.min("mag").alias("mn"), F.max("mag").alias("mx"), F.sum("n").alias("total")
-    )
-    mag, lo, d = F.col("mag"), F.col("lo"), F.col("d")
-    if mc_mode == "grid":
-        binned = counts.withColumn("edge", F.round(mag * 10) / 10.0)
-        binned = binned.withColumn("bin", F.round(mag * 10).cast("bigint"))
-    else:
-        span = span.withColumn("lo", F.floor(F.col("mn") * 10) / F.lit(10.0))
-        span = span.withColumn("d", (lo + F.lit(STEP)) - lo)
-        stop = F.ceil(F.col("mx") * 10) / F.lit(10.0) + F.lit(STEP)
-        span = span.withColumn("last", F.ceil((stop - lo) / F.lit(STEP)) - 1)  # index of the last edge
-        guess = F.floor((mag - lo) / d)
-        edge_at = lambda i: lo + i * d
-        exact = (
-            F.when(mag < edge_at(guess), guess - 1)
-            .when(mag >= edge_at(guess + 1), guess + 1)
-            .otherwise(guess)
-        )
-        binned = (
-            counts.join(span.select("eq_id", "lo", "d", "last"), "eq_id")
-            .withColumn("bin", exact)
-            .withColumn(
-                "bin", F.when(mag == edge_at(F.col("last")), F.col("last") - 1).otherwise(F.col("bin"))
-            )
-            .filter((F.col("bin") < F.col("last")) & (F.col("bin") >= 0))
-            .withColumn("edge", edge_at(F.col("bin")))
-        )
-    fullest = (
-        binned.groupBy("eq_id", "bin", "edge")
-        .agg(F.sum("n").alias("n"))
-        .groupBy("eq_id")
-        .agg(F.max(F.struct("n", (-F.col("bin")).alias("low"), "edge")).alias("top"))
-    )
-    few = F.col("mn") if small == "min" else F.lit(None).cast("double")
-    return (
-        span.join(fullest, "eq_id", "left")
-        .select(
-            "eq_id",
-            F.when(F.col("total") < min_n, few).otherwise(F.round("top.edge", 1)).alias("mc"),
-        )
+    mag = F.col("mag")
+    n_mag = F.when(mag.isNotNull(), F.col("n"))
+    rows = counts.withColumns(
+        {
+            "_min": F.min("mag").over(_sequence()),
+            "_max": F.max("mag").over(_sequence()),
+            "_total": F.sum(n_mag).over(_sequence()),
+        }
     )
+    rows = _edge_bins(rows) if mc_mode == "edge" else _tenth_bins(rows)
+    in_bin = F.sum(n_mag).over(Window.partitionBy("eq_id", "_bin"))
+    rows = rows.withColumn("_in_bin", F.when(F.col("_bin").isNotNull(), in_bin))
+    fullest = F.max(
+        F.when(F.col("_bin").isNotNull(), F.struct("_in_bin", -F.col("_bin"), "_edge"))
+    ).over(_sequence())
+    few = F.col("_min") if small == "min" else F.lit(None).cast("double")
+    mc = F.when(F.col("_total") < min_n, few).otherwise(F.round(fullest["_edge"], 1))
+    return rows.withColumn("mc", mc).select(*counts.columns, "mc")
+
 
+def _tenth_bins(rows: DataFrame) -> DataFrame:
+    tenth = F.round(F.col("mag") * 10).cast("bigint")
+    return rows.withColumns({"_bin": tenth, "_edge": tenth / F.lit(10.0)})
 
-def smallest_mag(counts: DataFrame) -> DataFrame:
-    """``eq_id, mc`` with the smallest magnitude as threshold."""
-    return counts.groupBy("eq_id").agg(F.min("mag").alias("mc"))
 
+def _edge_bins(rows: DataFrame) -> DataFrame:
+    """Bin on edges that accumulate rounding as ``lo + i*d``; null past the last edge."""
+    mag, lo, d, last = F.col("mag"), F.col("_lo"), F.col("_d"), F.col("_last")
+    rows = rows.withColumn("_lo", F.floor(F.col("_min") * 10) / F.lit(10.0))
+    rows = rows.withColumn("_d", (lo + F.lit(STEP)) - lo)
+    stop = F.ceil(F.col("_max") * 10) / F.lit(10.0) + F.lit(STEP)
+    rows = rows.withColumn("_last", F.ceil((stop - lo) / F.lit(STEP)) - 1)
 
-def b_value(counts: DataFrame, mc: DataFrame, delta_m: float = STEP, min_n: int = 5) -> DataFrame:
-    """``eq_id, mc, b_value``: maximum likelihood over magnitudes of at least mc."""
-    above = counts.join(mc, "eq_id").groupBy("eq_id", "mc").agg(
-        F.sum(F.when(F.col("mag") >= F.col("mc"), F.col("n"))).alias("n_above"),
-        F.sum(F.when(F.col("mag") >= F.col("mc"), F.col("n") * F.col("mag"))).alias("mag_sum"),
+    def edge(i: Column) -> Column:
+        return lo + i * d
+
+    guess = F.floor((mag - lo) / d)
+    found = (
+        F.when(mag == edge(last), last - 1)
+        .when(mag < edge(guess), guess - 1)
+        .when(mag >= edge(guess + 1), guess + 1)
+        .otherwise(guess)
     )
-    excess = F.col("mag_sum") / F.col("n_above") - F.col("mc") + F.lit(delta_m / 2)
-    return above.select(
-        "eq_id",
-        "mc",
-        F.when(
-            F.col("n_above") >= min_n, F.lit(1.0) / (F.lit(math.log(10.0)) * excess)
-        ).alias("b_value"),
+    rows = rows.withColumn("_bin", found)
+    rows = rows.withColumn("_bin", F.when((F.col("_bin") >= 0) & (F.col("_bin") < last), F.col("_bin")))
+    return rows.withColumn("_edge", edge(F.col("_bin")))
+
+
+def completeness_mag(
+    counts: DataFrame, mc_mode: str = "edge", min_n: int = 10, small: str = "min"
+) -> DataFrame:
+    """``eq_id, mc``."""
+    return with_mc(counts, mc_mode, min_n, small).groupBy("eq_id").agg(F.max("mc").alias("mc"))
+
+
+def with_min_mag(counts: DataFrame) -> DataFrame:
+    """``counts`` with the smallest magnitude as ``mc``."""
+    return counts.withColumn("mc", F.min("mag").over(_sequence()))
+
+
+def b_aggregate(mc: Column, delta_m: float = STEP, min_n: int = 5) -> Column:
+    """Maximum likelihood b over the magnitudes of at least ``mc``, an aggregate."""
+    counted = F.col("mag") >= mc
+    n_above = F.sum(F.when(counted, F.col("n")))
+    mag_sum = F.sum(F.when(counted, F.col("n") * F.col("mag")))
+    excess = mag_sum / n_above - F.max(mc) + F.lit(delta_m / 2)
+    return F.when(n_above >= min_n, F.lit(1.0) / (F.lit(math.log(10.0)) * excess))
+
+
+def b_value(counts_with_mc: DataFrame, delta_m: float = STEP, min_n: int = 5) -> DataFrame:
+    """``eq_id, mc, b_value`` from the counts of ``with_mc`` or ``with_min_mag``."""
+    return counts_with_mc.groupBy("eq_id").agg(
+        F.max("mc").alias("mc"), b_aggregate(F.col("mc"), delta_m, min_n).alias("b_value")
     )

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from tremorframe.operators import completeness as gr
-from tremorframe.operators.quantiles import fixed_width, group_quantiles, quantiles_from_counts
+from tremorframe.operators.quantiles import fixed_width, group_quantiles
 
 # Column order of the feature table.
 FEATURE_COLUMNS = [
@@ -23,39 +23,146 @@ _COUNTS = (
     "n_mag_ge_4", "n_mag_ge_5", "n_mag_ge_6",
 )
 _DIST_BIN_KM = 0.1  # at most 200,151 bins on Earth
-_MAG_BIN = 0.1
 
 
-def _aggregates(flavor: str) -> list[Column]:
-    spread = F.stddev_pop if flavor == "exact" else F.stddev_samp
-    later = F.col("hours") > 0
-    within = lambda h: F.count_if(later & (F.col("hours") <= h))
-    at_least = lambda m: F.count_if(F.col("mag") >= m)
-    columns = [F.count("*").alias("aftershock_count")]
-    for source, name in (("mag", "mag"), ("depth", "depth"), ("dist_km", "dist")):
-        columns += [
-            F.avg(source).alias(f"{name}_mean"),
-            spread(source).alias(f"{name}_std"),
+def _sequence() -> WindowSpec:
+    return Window.partitionBy("eq_id")
+
+
+def _within(hours: int) -> Column:
+    return F.count_if((F.col("hours") > 0) & (F.col("hours") <= hours))
+
+
+def magnitude_profile(seen: DataFrame) -> DataFrame:
+    """Events collapsed to one row per sequence and magnitude.
+
+    Every statistic of a sequence can be merged from these rows. Map tasks
+    combine them before the one large shuffle, and a hot sequence is spread
+    over its magnitudes.
+    """
+    later = F.when(F.col("hours") > 0, F.col("hours"))
+    parts = [F.count("*").alias("n")]
+    for source, name in (("depth", "depth"), ("dist_km", "dist")):
+        parts += [
+            F.count(source).alias(f"{name}_n"),
+            F.avg(source).alias(f"{name}_avg"),
+            F.var_pop(source).alias(f"{name}_var"),
             F.max(source).alias(f"{name}_max"),
         ]
-    columns += [
+    parts += [
+        F.count(later).alias("hours_n"),
+        F.sum(later).alias("hours_sum"),
+        F.max(later).alias("hours_max"),
+        _within(24).alias("count_24h"),
+        _within(72).alias("count_72h"),
+        _within(168).alias("count_168h"),
+    ]
+    return seen.groupBy("eq_id", "mag").agg(*parts)
+
+
+def _merged_stats(profile: DataFrame) -> DataFrame:
+    """Statistics per sequence from its magnitude rows, ``mc`` included.
+
+    The spread of the whole is the spread inside the parts plus that of their
+    means around the overall mean, which a window supplies first.
+    """
+    mag = F.col("mag")
+    n_mag = F.when(mag.isNotNull(), F.col("n"))
+    below = F.sum(n_mag).over(_sequence().orderBy("mag").rowsBetween(Window.unboundedPreceding, 0))
+    rows = profile.withColumns(
+        {
+            "mag_n": F.sum(n_mag).over(_sequence()),
+            "mag_mean": F.sum(F.col("n") * mag).over(_sequence()) / F.sum(n_mag).over(_sequence()),
+            "last_rank": below - 1,
+            **{
+                f"{c}_mean": F.sum(F.col(f"{c}_n") * F.col(f"{c}_avg")).over(_sequence())
+                / F.nullif(F.sum(f"{c}_n").over(_sequence()), F.lit(0))
+                for c in ("depth", "dist")
+            },
+        }
+    )
+    middle = (F.col("mag_n") - 1) / 2.0
+
+    def at(rank: Column) -> Column:
+        first = F.col("last_rank") - F.col("n") + 1
+        return F.max(F.when(mag.isNotNull() & (rank >= first) & (rank <= F.col("last_rank")), mag))
+
+    def std(name: str) -> Column:
+        off = F.col(f"{name}_avg") - F.col(f"{name}_mean")
+        inside = F.sum(F.col(f"{name}_n") * (F.col(f"{name}_var") + off * off))
+        return F.sqrt(inside / F.nullif(F.sum(f"{name}_n"), F.lit(0)))
+
+    def at_least(threshold: float) -> Column:
+        return F.sum(F.when(mag >= threshold, F.col("n")).otherwise(0))
+
+    mag_off = mag - F.col("mag_mean")
+    columns = [
+        F.sum("n").alias("aftershock_count"),
+        F.max("mag_mean").alias("mag_mean"),
+        F.sqrt(F.sum(F.col("n") * mag_off * mag_off) / F.max("mag_n")).alias("mag_std"),
+        F.max("mag").alias("mag_max"),
         F.min("mag").alias("mag_min"),
-        F.max(F.when(later, F.col("hours"))).alias("time_span_hours"),
-        F.avg(F.when(later, F.col("hours"))).alias("time_mean_hours"),
-        within(24).alias("count_24h"),
-        within(72).alias("count_72h"),
-        within(168).alias("count_168h"),
+        ((at(F.floor(middle)) + at(F.ceil(middle))) / 2.0).alias("mag_median"),
+    ]
+    for name in ("depth", "dist"):
+        columns += [
+            F.max(f"{name}_mean").alias(f"{name}_mean"),
+            std(name).alias(f"{name}_std"),
+            F.max(f"{name}_max").alias(f"{name}_max"),
+        ]
+    columns += [
+        F.max("hours_max").alias("time_span_hours"),
+        (F.sum("hours_sum") / F.nullif(F.sum("hours_n"), F.lit(0))).alias("time_mean_hours"),
+        *[F.sum(c).alias(c) for c in ("count_24h", "count_72h", "count_168h")],
         at_least(4).alias("n_mag_ge_4"),
         at_least(5).alias("n_mag_ge_5"),
         at_least(6).alias("n_mag_ge_6"),
+        F.max("mc").alias("mc"),
+        gr.b_aggregate(F.col("mc")).alias("b_value"),
     ]
-    if flavor == "spark":
+    return rows.groupBy("eq_id").agg(*columns)
+
+
+def _exact_stats(seen: DataFrame, mc_mode: str) -> DataFrame:
+    by_mag = _merged_stats(gr.with_mc(magnitude_profile(seen), mc_mode))
+    by_dist = group_quantiles(
+        seen, ["eq_id"], "dist_km",
+        {"dist_median": 0.5, "spatial_spread": 0.9}, fixed_width(_DIST_BIN_KM),
+    )
+    return by_mag.join(by_dist, "eq_id", "left")
+
+
+def _sketched_stats(seen: DataFrame, mc_mode: str) -> DataFrame:
+    later = F.when(F.col("hours") > 0, F.col("hours"))
+    columns = [F.count("*").alias("aftershock_count")]
+    for source, name in (("mag", "mag"), ("depth", "depth"), ("dist_km", "dist")):
         columns += [
-            F.percentile_approx("mag", 0.5).alias("mag_median"),
-            F.percentile_approx("dist_km", 0.5).alias("dist_median"),
-            F.percentile_approx("dist_km", 0.9).alias("spatial_spread"),
+            F.avg(source).alias(f"{name}_mean"),
+            F.stddev_samp(source).alias(f"{name}_std"),
+            F.max(source).alias(f"{name}_max"),
         ]
-    return columns
+    columns += [
+        F.min("mag").alias("mag_min"),
+        F.percentile_approx("mag", 0.5).alias("mag_median"),
+        F.percentile_approx("dist_km", [0.5, 0.9]).alias("dist_q"),
+        F.max(later).alias("time_span_hours"),
+        F.avg(later).alias("time_mean_hours"),
+        *[_within(h).alias(f"count_{h}h") for h in (24, 72, 168)],
+        *[F.count_if(F.col("mag") >= m).alias(f"n_mag_ge_{m}") for m in (4, 5, 6)],
+    ]
+    counts = gr.magnitude_counts(seen)
+    smallest = F.min("mag").over(_sequence())
+    b = (
+        gr.with_mc(counts, mc_mode, small="null")
+        .withColumn("smallest", smallest)
+        .groupBy("eq_id")
+        .agg(F.max("mc").alias("mc"), gr.b_aggregate(F.col("smallest")).alias("b_value"))
+    )
+    return (
+        seen.groupBy("eq_id").agg(*columns)
+        .withColumns({"dist_median": F.col("dist_q")[0], "spatial_spread": F.col("dist_q")[1]})
+        .join(b, "eq_id", "left")
+    )
 
 
 def seq_features(
@@ -76,27 +183,11 @@ def seq_features(
     if flavor not in ("exact", "spark"):
         raise ValueError("flavor is exact or spark")
     seen = enriched if as_of_hours is None else enriched.filter(F.col("hours") <= as_of_hours)
-
-    stats = seen.groupBy("eq_id").agg(*_aggregates(flavor))
-    counts = gr.magnitude_counts(seen)
-    if flavor == "exact":
-        b = gr.b_value(counts, gr.completeness_mag(counts, mc_mode))
-        by_mag = quantiles_from_counts(
-            counts, ["eq_id"], "mag", {"mag_median": 0.5}, fixed_width(_MAG_BIN)
-        )
-        by_dist = group_quantiles(
-            seen, ["eq_id"], "dist_km",
-            {"dist_median": 0.5, "spatial_spread": 0.9}, fixed_width(_DIST_BIN_KM),
-        )
-        extra = b.join(by_mag, "eq_id", "left").join(by_dist, "eq_id", "left")
-    else:
-        mc = gr.completeness_mag(counts, mc_mode, small="null")
-        extra = gr.b_value(counts, gr.smallest_mag(counts)).drop("mc").join(mc, "eq_id", "left")
-    rows = stats.join(extra, "eq_id", "left")
+    stats = (_exact_stats if flavor == "exact" else _sketched_stats)(seen, mc_mode)
 
     keep = ["eq_id", "mainshock_mag", "mainshock_depth", "mainshock_lat", "mainshock_lon"]
     keep += [c for c in cat.columns if c == "year"]
-    rows = cat.select(*keep).join(rows, "eq_id", "left" if flavor == "exact" else "inner")
+    rows = cat.select(*keep).join(stats, "eq_id", "left" if flavor == "exact" else "inner")
     rows = rows.withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in _COUNTS})
     rows = rows.withColumns(
         {

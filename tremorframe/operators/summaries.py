@@ -78,10 +78,16 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
         F.when(flat, F.col("mx") + 0.5).otherwise(F.col("mx")).alias("mx"),
         "mean",
     )
-    low, high = span.select("mn").scalar(), span.select("mx").scalar()
-    index = F.least(F.floor((F.col("v") - low) / (high - low) * bins), F.lit(bins - 1))
+    span = span.withColumn("width", (F.col("mx") - F.col("mn")) / bins)
+    low, width = span.select("mn").scalar(), span.select("width").scalar()
+    # a value within rounding of an edge goes where the edge itself says
+    guess = F.least(F.floor((F.col("v") - low) / width), F.lit(bins - 1))
+    index = (
+        F.when(F.col("v") < low + guess * width, guess - 1)
+        .when((F.col("v") >= low + (guess + 1) * width) & (guess < bins - 1), guess + 1)
+        .otherwise(guess)
+    )
     counts = values.groupBy(index.alias("bin")).agg(F.count("*").alias("n"))
-    width = (F.col("mx") - F.col("mn")) / bins
     return (
         span.filter(F.col("mn").isNotNull())
         .select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
@@ -89,8 +95,8 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
         .join(counts, "bin", "left")
         .select(
             "bin",
-            (F.col("mn") + F.col("bin") * width).alias("lo"),
-            (F.col("mn") + (F.col("bin") + 1) * width).alias("hi"),
+            (F.col("mn") + F.col("bin") * F.col("width")).alias("lo"),
+            (F.col("mn") + (F.col("bin") + 1) * F.col("width")).alias("hi"),
             F.coalesce("n", F.lit(0).cast("bigint")).alias("n"),
             "mean",
         )
