@@ -32,12 +32,12 @@ def log_width(per_decade: int) -> Callable[[Column], Column]:
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, count: str = "n") -> DataFrame:
-    """Occurrences of each non-null value per group."""
-    return (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count("*").alias(count))
-    )
+    """Occurrences of each value per group; null counts zero times.
+
+    A null filter instead would be pushed below the aggregation and evaluate
+    the value a second time there.
+    """
+    return df.groupBy(*keys, value).agg(F.count(value).alias(count))
 
 
 def quantiles_from_counts(
@@ -56,8 +56,13 @@ def quantiles_from_counts(
     """
     group = list(keys) or [_KEY]
     src = counts if keys else counts.withColumn(_KEY, F.lit(0))
-    src = src.select(*group, F.col(value).alias("_v"), F.col(count).alias(_N)).withColumn(
-        _BIN, bin_of(F.col("_v"))
+    # A bin that cannot be null keeps the join below from adding a null filter to
+    # one of the two uses of ``src``: both stay equal and read one shuffle.
+    src = src.na.drop(subset=group).select(
+        *group,
+        F.col(value).alias("_v"),
+        F.col(count).alias(_N),
+        F.coalesce(bin_of(F.col(value)), F.lit(0)).alias(_BIN),
     )
 
     along = Window.partitionBy(*group)

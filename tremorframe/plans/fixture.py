@@ -32,7 +32,7 @@ def quakes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mainshocks(ev: DataFrame) -> DataFrame:
     """The first event of each sequence, raised in magnitude, as its mainshock."""
-    first = ev.groupBy("eq_id").agg(
+    first = ev.filter(F.col("eq_id").isNotNull()).groupBy("eq_id").agg(
         F.min(F.struct("t_us", "event_id", "mag", "lat", "lon", "depth")).alias("m")
     )
     return first.select(

@@ -8,6 +8,7 @@ because a mean over 64 events ends on an exact half at the seventh.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -61,9 +62,18 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark = spark
         self.ev = quakes(spark, sf_dir)
-        self.cat = mainshocks(self.ev)
-        self.after = enrich(self.ev, self.cat)
-        self.joined = enrich(self.ev, self.cat, rule="all")
+
+    @cached_property
+    def cat(self) -> DataFrame:
+        return mainshocks(self.ev)
+
+    @cached_property
+    def after(self) -> DataFrame:
+        return enrich(self.ev, self.cat)
+
+    @cached_property
+    def joined(self) -> DataFrame:
+        return enrich(self.ev, self.cat, rule="all")
 
     def features(self, **options) -> DataFrame:
         return seq_features(self.after, self.cat, **options)

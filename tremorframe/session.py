@@ -37,6 +37,8 @@ def local_session(cpus: int | str = "*", app: str = "tremorframe", **conf: str)
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "12g"))
         .config("spark.sql.session.timeZone", "UTC")
+        # call sites for error messages cost several driver calls per expression
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(max(parallel, 4)))
     )
     for key, value in conf.items():
