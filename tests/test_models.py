@@ -1,0 +1,129 @@
+from __future__ import annotations
+
+import numpy as np
+import pytest
+from pyspark.ml import PipelineModel
+from pyspark.sql import functions as F
+
+from tremorframe.operators import models, summaries
+
+COLS = ["f0", "f1", "f2", "f3"]
+
+
+@pytest.fixture(scope="module")
+def data(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(40, 4)) * [1, 10, 0.1, 3] + [0, 5, 2, -1]
+    y = 2 + 0.5 * x[:, 0] - 0.03 * x[:, 1] + rng.normal(size=40) * 0.1
+    n = np.round(10**y).astype(int)
+    rows = [(f"e{i:02d}", int(n[i]), *map(float, x[i])) for i in range(40)]
+    rows += [("null", 5, None, 1.0, 1.0, 1.0), ("zero", 0, 1.0, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "eq_id string, aftershock_count bigint, f0 double, f1 double, f2 double, f3 double")
+    return df, x, np.log10(n)
+
+
+def linear(x, y, alpha, lasso):
+    """Penalised fit on population-scaled columns, returning a predictor."""
+    mean, std, y_mean = x.mean(0), x.std(0), y.mean()
+    z, t = (x - mean) / std, y - y_mean
+    w = np.zeros(x.shape[1])
+    if lasso:
+        for _ in range(3000):
+            for j in range(len(w)):
+                r = t - z @ w + z[:, j] * w[j]
+                rho = z[:, j] @ r / len(t)
+                w[j] = np.sign(rho) * max(abs(rho) - alpha, 0) / (z[:, j] @ z[:, j] / len(t))
+    else:
+        w = np.linalg.solve(z.T @ z + alpha * np.eye(len(w)), z.T @ t)
+    return lambda q: y_mean + (q - mean) / std @ w
+
+
+@pytest.mark.parametrize("model, alpha", [("Ridge", 1.0), ("Lasso", 0.1)])
+def test_leave_one_out_matches_closed_form(data, model, alpha):
+    df, x, y = data
+    got = {r["eq_id"]: r for r in models.cross_predict(df, model, "loo", COLS).collect()}
+    assert len(got) == 40  # incomplete and zero rows are left out
+    for i in range(0, 40, 7):
+        keep = np.arange(40) != i
+        want = linear(x[keep], y[keep], alpha, model == "Lasso")(x[i])
+        assert got[f"e{i:02d}"]["y_hat"] == pytest.approx(want, abs=1e-5)
+        assert got[f"e{i:02d}"]["y"] == pytest.approx(y[i])
+
+
+def test_folds_partition_the_rows(data):
+    df, *_ = data
+    got = models.cross_predict(df, "Ridge", 4, COLS).groupBy("eq_id").count().collect()
+    assert len(got) == 40 and all(r["count"] == 1 for r in got)
+
+
+def test_leave_one_out_is_for_small_data(spark):
+    many = spark.range(60).select(F.col("id").alias("eq_id"))
+    with pytest.raises(ValueError):
+        models.with_folds(many, "loo")
+
+
+def test_trees_fit_better_than_the_mean(data):
+    df, *_ = data
+    preds = models.cross_predict(df, "RandomForest", 3, COLS)
+    (row,) = models.regression_metrics(preds).collect()
+    assert row["logR2"] > 0.2
+
+
+def test_unknown_model():
+    with pytest.raises(ValueError):
+        models.estimator("Other", 10, 1.0)
+
+
+def test_metrics_against_numpy(spark):
+    y, p = np.array([1.0, 2.0, 3.0]), np.array([1.1, 1.8, 3.2])
+    pred = spark.createDataFrame([("m", float(a), float(b)) for a, b in zip(y, p)], "model string, y double, y_hat double")
+    row = models.regression_metrics(pred).first()
+    c, q = 10**y, 10**p
+    assert row["MAE"] == pytest.approx(np.abs(c - q).mean(), abs=0.051)
+    assert row["RMSE"] == pytest.approx(np.sqrt(((c - q) ** 2).mean()), abs=0.051)
+    assert row["R2"] == pytest.approx(1 - ((c - q) ** 2).sum() / ((c - c.mean()) ** 2).sum(), abs=1e-4)
+    assert row["logR2"] == pytest.approx(1 - ((y - p) ** 2).sum() / ((y - y.mean()) ** 2).sum(), abs=1e-4)
+
+
+def test_best_save_and_importances(spark, data, tmp_path):
+    df, *_ = data
+    metrics = spark.createDataFrame([("A", 0.3), ("B", 0.1)], "model string, logMAE double")
+    assert models.pick_best(metrics).first()["model"] == "B"
+    fitted = models.fit_full(df, "GradientBoosting", COLS)
+    path = models.save_model(fitted, str(tmp_path / "model"))
+    loaded = PipelineModel.load(path)
+    assert loaded.stages[0].getInputCols() == COLS
+    top = models.importances(loaded, 2).collect()
+    assert len(top) == 2 and top[0]["importance"] >= top[1]["importance"]
+
+
+def test_feature_vectors_standardise(data):
+    df, *_ = data
+    scaled, fitted = models.feature_vectors(df, COLS)
+    z = np.array([r["features"].toArray() for r in scaled.collect()])
+    assert z.shape == (42, 4)
+    assert np.allclose(z.mean(0), 0) and np.allclose(z.std(0, ddof=1), 1)
+    assert len(fitted.stages) == 2
+
+
+def test_column_lists():
+    assert len(models.REGRESSION_COLUMNS) == 26 and len(models.VECTOR_COLUMNS) == 27
+    assert set(models.VECTOR_COLUMNS) - set(models.REGRESSION_COLUMNS) == {"n_mag_ge_4", "n_mag_ge_5", "n_mag_ge_6"}
+
+
+def test_histogram_matches_numpy(spark):
+    values = [round(v, 1) for v in np.random.default_rng(1).uniform(3, 9, 500)] + [9.0, 3.0]
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+    n, edges = np.histogram(values, bins=30)
+    got = sorted(summaries.histogram(df, "v", 30).collect(), key=lambda r: r["bin"])
+    assert [r["n"] for r in got] == list(n)
+    assert [r["lo"] for r in got] == pytest.approx(list(edges[:-1]))
+    assert got[0]["mean"] == pytest.approx(np.mean(values))
+    flat = spark.createDataFrame([(2.0,), (2.0,)], "v double")
+    assert [r["n"] for r in summaries.histogram(flat, "v", 2).orderBy("bin").collect()] == list(np.histogram([2.0, 2.0], bins=2)[0])
+
+
+def test_top_sequences_share_ranks(spark):
+    rows = [("a", 7.0, 5, 5.0, 1.0), ("b", 7.0, 9, 5.0, 1.0), ("c", 7.0, 9, 5.0, 1.0), ("d", 7.0, 1, 5.0, 1.0)]
+    feats = spark.createDataFrame(rows, "eq_id string, mainshock_mag double, aftershock_count bigint, mag_max double, b_value double")
+    assert [(r["eq_id"], r["rank_by_count"]) for r in summaries.top_sequences(feats, 3).collect()] == [("b", 1), ("c", 1), ("a", 3)]

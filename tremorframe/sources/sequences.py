@@ -35,6 +35,8 @@ def to_events(raw: DataFrame, layout: str) -> DataFrame:
     number = lambda c: F.when(~F.isnan(c), c)  # NaN becomes null
     eq_id = digits14(F.col("source_file"), SUFFIX[layout])
     content = [F.col(c) for c in raw.columns if c not in (CORRUPT, "source_file")]
+    # Spark refuses to read the damage marker alone: tie it to a data column
+    damage = F.when(F.coalesce(F.length(content[0]), F.lit(0)) >= 0, F.col(CORRUPT))
     return raw.select(
         eq_id.alias("eq_id"),
         F.xxhash64(eq_id, *content).alias("event_id"),
@@ -44,7 +46,7 @@ def to_events(raw: DataFrame, layout: str) -> DataFrame:
         number(depth).alias("depth"),
         number(mag).alias("mag"),
         mag_type.alias("mag_type"),
-        *[F.col(c) for c in (CORRUPT,) if c in raw.columns],
+        damage.alias(CORRUPT),
     )
 
 
