@@ -29,7 +29,8 @@ def iso_files(tmp_path):
         + "2001-09-09T02:46:40.000Z,1.5,2.5,,3.1,mb,x\n"
         + "2001-09-09T03:46:40.000Z,1.5,bad,1,3.1,mb,x\n"
         + "notatime,1.5,2.5,1,3.1,mb,x\n"
-        + "2001-09-09T04:46:40.000Z,1.5,2.5,1,,mb,x\n",
+        + "2001-09-09T04:46:40.000Z,1.5,2.5,1,,mb,x\n"
+        + "2001-09-09T05:46:40.000Z,1.5\n",
     )
     put(tmp_path / "iso", "20020909014640_seq.csv", ISO_HEAD)
     return tmp_path / "iso"
@@ -43,9 +44,10 @@ def test_read_iso_sequences(spark, iso_files):
         ("20010909014640", T0 + 3_600_000_000, 3.1, None),
     ]
     loose = sequences.read_sequences(spark, f"{iso_files}/*_seq.csv", strict=False)
-    assert loose.count() == 4  # only the malformed row is gone
+    assert loose.count() == 4  # only the two malformed rows are gone
+    assert loose.select("mag").collect() == loose.select("*").select("mag").collect()
     kept = sequences.read_sequences(spark, f"{iso_files}/*_seq.csv", keep_malformed=True)
-    assert [tuple(r) for r in sequences.malformed_counts(kept).collect()] == [("20010909014640", 1)]
+    assert [tuple(r) for r in sequences.malformed_counts(kept).collect()] == [("20010909014640", 2)]
     assert tuple(sequences.load_counts(ev).first()) == (2, 1)
 
 

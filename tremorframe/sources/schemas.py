@@ -41,5 +41,10 @@ DATE_TIME_EVENTS = T.StructType(
 )
 
 
-def with_corrupt(schema: T.StructType) -> T.StructType:
-    return T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+def as_text(schema: T.StructType) -> T.StructType:
+    """The columns of ``schema`` as text, with a column for damaged lines."""
+    return T.StructType(_strings(*schema.names, CORRUPT))
+
+
+def numeric_columns(schema: T.StructType) -> list[str]:
+    return [f.name for f in schema.fields if isinstance(f.dataType, T.DoubleType)]

@@ -2,64 +2,73 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tremorframe.functions.clock import parse_date_time_micros, parse_iso_micros
 from tremorframe.functions.scalar import digits14
-from tremorframe.sources.schemas import CORRUPT, DATE_TIME_EVENTS, ISO_EVENTS, with_corrupt
+from tremorframe.sources.schemas import CORRUPT, DATE_TIME_EVENTS, ISO_EVENTS, as_text, numeric_columns
 
 # File name endings in front of which the 14-digit id stands.
 SUFFIX = {"iso": r"_seq\.csv", "date_time": r"_eq\.csv"}
 
 
-def _schema(layout: str):
+def _schema(layout: str) -> T.StructType:
     if layout not in SUFFIX:
         raise ValueError(f"layout must be one of {sorted(SUFFIX)}")
-    return with_corrupt(ISO_EVENTS if layout == "iso" else DATE_TIME_EVENTS)
+    return ISO_EVENTS if layout == "iso" else DATE_TIME_EVENTS
 
 
 def to_events(raw: DataFrame, layout: str) -> DataFrame:
-    """Raw rows with a ``source_file`` column as events.
+    """Raw text rows with a ``source_file`` column as events.
 
     ``event_id`` is a hash of sequence id and row content, so it does not depend
     on how the files were split, on a retry or on the folder of the file.
+    ``_corrupt_record`` is set for lines with a wrong number of fields or a
+    number that is none. The reader's own test covers only the columns a query
+    happens to use, so the numbers are tested here.
     """
+    schema = _schema(layout)
+    number = {c: F.trim(c).try_cast("double") for c in [*numeric_columns(schema), "Mag"] if c in schema.names}
+    bad_number = F.lit(False)
+    for c in numeric_columns(schema):
+        bad_number = bad_number | ((F.trim(c) != "") & number[c].isNull())
+    whole_line = F.concat_ws(",", *schema.names)
     if layout == "iso":
-        t_us = parse_iso_micros(F.col("time"))
-        lat, lon, mag_type = F.col("latitude"), F.col("longitude"), F.col("magType")
-        depth, mag = F.col("depth"), F.col("mag")
+        t_us = parse_iso_micros(F.trim("time"))
+        lat, lon, depth, mag, mag_type = "latitude", "longitude", "depth", "mag", "magType"
     else:
         t_us = parse_date_time_micros(F.col("Date"), F.col("Time"))
-        lat, lon, mag_type = F.col("Lat"), F.col("Lon"), F.col("MagType")
-        depth, mag = F.col("Depth"), F.trim("Mag").try_cast("double")
-    number = lambda c: F.when(~F.isnan(c), c)  # NaN becomes null
+        lat, lon, depth, mag, mag_type = "Lat", "Lon", "Depth", "Mag", "MagType"
+
+    def value(c: str) -> Column:
+        return F.when(~F.isnan(number[c]), number[c])
+
     eq_id = digits14(F.col("source_file"), SUFFIX[layout])
-    content = [F.col(c) for c in raw.columns if c not in (CORRUPT, "source_file")]
-    # Spark refuses to read the damage marker alone: tie it to a data column
-    damage = F.when(F.coalesce(F.length(content[0]), F.lit(0)) >= 0, F.col(CORRUPT))
     return raw.select(
         eq_id.alias("eq_id"),
-        F.xxhash64(eq_id, *content).alias("event_id"),
+        F.xxhash64(eq_id, *schema.names).alias("event_id"),
         t_us.alias("t_us"),
-        number(lat).alias("lat"),
-        number(lon).alias("lon"),
-        number(depth).alias("depth"),
-        number(mag).alias("mag"),
-        mag_type.alias("mag_type"),
-        damage.alias(CORRUPT),
+        value(lat).alias("lat"),
+        value(lon).alias("lon"),
+        value(depth).alias("depth"),
+        value(mag).alias("mag"),
+        F.col(mag_type).alias("mag_type"),
+        F.coalesce(F.col(CORRUPT), F.when(bad_number, whole_line)).alias(CORRUPT),
     )
 
 
 def read_raw_sequences(
     spark: SparkSession, glob: str, layout: str = "iso", stream: bool = False, max_files: int | None = None
 ) -> DataFrame:
-    reader = (spark.readStream if stream else spark.read).schema(_schema(layout))
+    reader = (spark.readStream if stream else spark.read).schema(as_text(_schema(layout)))
     if stream and max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return (
         reader.option("header", True)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
+        # else the number of fields is only checked for the columns in use
+        .option("columnPruning", False)
         .csv(glob)
         .withColumn("source_file", F.col("_metadata.file_path"))
     )
