@@ -127,3 +127,14 @@ def test_top_sequences_share_ranks(spark):
     rows = [("a", 7.0, 5, 5.0, 1.0), ("b", 7.0, 9, 5.0, 1.0), ("c", 7.0, 9, 5.0, 1.0), ("d", 7.0, 1, 5.0, 1.0)]
     feats = spark.createDataFrame(rows, "eq_id string, mainshock_mag double, aftershock_count bigint, mag_max double, b_value double")
     assert [(r["eq_id"], r["rank_by_count"]) for r in summaries.top_sequences(feats, 3).collect()] == [("b", 1), ("c", 1), ("a", 3)]
+
+
+def test_correlation_and_fit_of_constant_columns(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 5.0), (2.0, 4.5, 5.0), (None, 9.0, 5.0), (4.0, 7.0, 5.0)], "x double, y double, c double")
+    r, flat = df.agg(
+        summaries.correlation(df.x, df.y).alias("r"), summaries.correlation(df.x, df.c).alias("f")
+    ).first()
+    assert r == pytest.approx(np.corrcoef([1, 2, 4], [2, 4.5, 7])[0, 1]) and flat is None
+    stats = spark.createDataFrame([(7.0, 10), (7.0, 20), (7.0, 0)], "mainshock_mag double, record_count bigint")
+    fit = summaries.mag_count_fit(stats).first()
+    assert fit["slope"] is None and fit["n"] == 2

@@ -63,8 +63,11 @@ def predict(
     slots = each_window(
         cat.select("eq_id", "t0_us", "mainshock_mag", "mainshock_lat", "mainshock_lon"), windows
     )
-    empty = slots.join(seen, ["eq_id", "window"], "left_anti")
-    epidemic = etas_max_mag(known, empty, windows, etas, etas_units)
+    filled = slots.join(seen, ["eq_id", "window"], "left")
+    # reading both columns keeps the two uses of ``filled`` equal, and so the
+    # events are ranked once
+    observed = F.col("max_mag").isNotNull() & (F.coalesce("n_events", F.lit(0)) > 0)
+    epidemic = etas_max_mag(known, filled.filter(~observed), windows, etas, etas_units)
 
     main, t1, t2 = F.col("mainshock_mag"), F.col("t1_h"), F.col("t2_h")
     a_value = a.scalar() if isinstance(a, DataFrame) else F.lit(a).cast("double")
@@ -72,14 +75,13 @@ def predict(
     s2_mag = F.when(F.col("first_hour").isNotNull(), s2_mag)
     s2_time = F.col("t0_us") + F.round(F.col("first_hour") * float(HOUR_US)).cast("bigint")
     s3_time = F.col("t0_us") + ((t1 + t2) / 2.0 * float(HOUR_US)).cast("bigint")
-    observed, modelled = F.col("max_mag").isNotNull(), s2_mag.isNotNull()
+    modelled = s2_mag.isNotNull()
 
     def choose(s1: Column, s2: Column, s3: Column) -> Column:
         return F.when(observed, s1).when(modelled, s2).otherwise(s3)
 
     return (
-        slots.join(seen, ["eq_id", "window"], "left")
-        .join(epidemic, ["eq_id", "window"], "left")
+        filled.join(epidemic, ["eq_id", "window"], "left")
         .join(F.broadcast(first_hour), "window", "left")  # one row per window
         .select(
             "eq_id",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tremorframe.functions.scalar import mag_class
 
@@ -54,13 +54,22 @@ def top_sequences(features: DataFrame, n: int = 10) -> DataFrame:
     ).orderBy("rank_by_count", "eq_id")
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation over complete pairs; null where one side is constant.
+
+    Spark's ``corr`` divides by zero there, an error in ANSI mode.
+    """
+    x, y = F.when(y.isNotNull(), x.cast("double")), F.when(x.isNotNull(), y.cast("double"))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def feature_corr(features: DataFrame) -> DataFrame:
-    count = F.col("aftershock_count").cast("double")
+    count, main = F.col("aftershock_count"), F.col("mainshock_mag")
     return features.agg(
-        F.round(F.corr("mainshock_mag", count), 4).alias("corr_mag_count"),
-        F.round(F.corr("mainshock_mag", "mag_max"), 4).alias("corr_mag_maxaft"),
-        F.round(F.corr("mainshock_depth", count), 4).alias("corr_depth_count"),
-        F.round(F.corr("b_value", count), 4).alias("corr_bval_count"),
+        F.round(correlation(main, count), 4).alias("corr_mag_count"),
+        F.round(correlation(main, F.col("mag_max")), 4).alias("corr_mag_maxaft"),
+        F.round(correlation(F.col("mainshock_depth"), count), 4).alias("corr_depth_count"),
+        F.round(correlation(F.col("b_value"), count), 4).alias("corr_bval_count"),
     )
 
 
@@ -72,14 +81,13 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
     """
     values = df.select(F.col(col).alias("v")).filter(F.col("v").isNotNull())
     span = values.agg(F.min("v").alias("mn"), F.max("v").alias("mx"), F.avg("v").alias("mean"))
-    flat = F.col("mn") == F.col("mx")
+    flat = F.when(F.col("mn") == F.col("mx"), 0.5).otherwise(0.0)
+    low, high = F.col("mn") - flat, F.col("mx") + flat
+    # one subquery serves every use below
     span = span.select(
-        F.when(flat, F.col("mn") - 0.5).otherwise(F.col("mn")).alias("mn"),
-        F.when(flat, F.col("mx") + 0.5).otherwise(F.col("mx")).alias("mx"),
-        "mean",
-    )
-    span = span.withColumn("width", (F.col("mx") - F.col("mn")) / bins)
-    low, width = span.select("mn").scalar(), span.select("width").scalar()
+        F.struct(low.alias("low"), ((high - low) / bins).alias("width"), "mean").alias("s")
+    ).scalar()
+    low, width = span["low"], span["width"]
     # a value within rounding of an edge goes where the edge itself says
     guess = F.least(F.floor((F.col("v") - low) / width), F.lit(bins - 1))
     index = (
@@ -89,14 +97,14 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
     )
     counts = values.groupBy(index.alias("bin")).agg(F.count("*").alias("n"))
     return (
-        span.filter(F.col("mn").isNotNull())
-        .select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-        .withColumn("bin", F.col("bin").cast("bigint"))
+        df.sparkSession.range(bins)
+        .select(F.col("id").alias("bin"), low.alias("low"), width.alias("width"), span["mean"].alias("mean"))
+        .filter(F.col("low").isNotNull())
         .join(counts, "bin", "left")
         .select(
             "bin",
-            (F.col("mn") + F.col("bin") * F.col("width")).alias("lo"),
-            (F.col("mn") + (F.col("bin") + 1) * F.col("width")).alias("hi"),
+            (F.col("low") + F.col("bin") * F.col("width")).alias("lo"),
+            (F.col("low") + (F.col("bin") + 1) * F.col("width")).alias("hi"),
             F.coalesce("n", F.lit(0).cast("bigint")).alias("n"),
             "mean",
         )
