@@ -117,6 +117,11 @@ def test_digits14(spark):
     assert got == "20110311054624"
 
 
+def test_text_clipping(spark):
+    got = one(spark, scalar.first_chars(F.lit("20110311054624"), 8), scalar.last_chars(F.lit("20110311054624"), 6))
+    assert got == ("20110311", "054624")
+
+
 def test_fill_numeric_replaces_null_and_nan(spark):
     df = spark.createDataFrame([(1, None), (None, float("nan")), (3, 2.5)], "a int, b double")
     filled = scalar.fill_numeric(df, ["a", "b"])

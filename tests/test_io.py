@@ -6,6 +6,7 @@ import os
 
 import pytest
 from conftest import T0, rows_of
+from pyspark.sql import functions as F
 
 from tremorframe import session
 from tremorframe.sinks.tables import read_back_count, write_event_table, write_table
@@ -124,15 +125,29 @@ def test_write_table_formats(spark, tmp_path):
         write_table(df, csv, "xml")
 
 
-def test_bucketed_events_join_without_shuffle(spark, make_events, make_cat, tmp_path):
-    ev = make_events([("a", i, 3.0) for i in range(10)])
-    write_event_table(ev, "bucketed_events", 4, str(tmp_path / "b"))
+def test_event_table_splits_a_hot_sequence(spark, make_events, tmp_path):
+    ev = make_events([("hot", i, 3.0) for i in range(300)] + [("a", 1, 3.0), ("z", 2, 3.0)])
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")  # tiny ranges would be merged again
     try:
-        counts = spark.table("bucketed_events").groupBy("eq_id").count()
-        plan = counts._jdf.queryExecution().executedPlan().toString()
-        assert "Exchange" not in plan and counts.first()["count"] == 10
+        back = spark.read.parquet(write_event_table(ev, str(tmp_path / "ranged")))
     finally:
-        spark.sql("DROP TABLE bucketed_events")
+        spark.conf.set(key, "true")
+    files = back.groupBy(F.input_file_name().alias("file")).agg(
+        F.min(F.struct("eq_id", "t_us")).alias("lo"), F.max(F.struct("eq_id", "t_us")).alias("hi"), F.count("*").alias("n")
+    )
+    rows = sorted(files.collect(), key=lambda r: r["lo"])
+    assert sum(r["n"] for r in rows) == 302 and max(r["n"] for r in rows) < 200
+    assert all(a["hi"] < b["lo"] for a, b in zip(rows, rows[1:]))
+    plan = back.filter("eq_id = 'a'")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(eq_id), EqualTo(eq_id,a)]" in plan
+
+
+def test_one_mainshock_per_second(make_cat):
+    cat = make_cat([("a", 7.0), ("a", 7.5), ("b", 6.0)])
+    got = rows_of(catalog.unique_mainshocks(cat), "eq_id")
+    assert [(r["eq_id"], r["mainshock_mag"]) for r in got] == [("a", 7.5), ("b", 6.0)]
+    assert catalog.unique_mainshocks(cat).columns == cat.columns
 
 
 def test_scratch_root_is_the_configured_one(spark):

@@ -22,6 +22,7 @@ from tremorframe.sources.catalog import (
     mainshocks_from_catalog,
     read_catalog,
     read_mainshocks,
+    unique_mainshocks,
 )
 from tremorframe.sources.sequences import read_sequences
 
@@ -73,7 +74,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         cat = read_mainshocks(spark, args.mainshocks)
         flows.forecast_all(sequences(), cat, args.out, args.issue_time).show()
     else:
-        cat = mainshocks_from_catalog(clean_catalog(read_catalog(spark, args.catalog), ordered=False))
+        clean = clean_catalog(read_catalog(spark, args.catalog), ordered=False)
+        cat = unique_mainshocks(mainshocks_from_catalog(clean))
         flows.extract_features(sequences(False), cat, args.out, "spark")
 
 

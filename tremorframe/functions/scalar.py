@@ -43,6 +43,14 @@ def digits14(text: Column, suffix: str) -> Column:
     return F.regexp_extract(text, r"(\d{14})" + suffix, 1)
 
 
+def first_chars(text: Column, n: int) -> Column:
+    return F.substring(text, 1, n)
+
+
+def last_chars(text: Column, n: int) -> Column:
+    return F.right(text, F.lit(n))
+
+
 def round_columns(df: DataFrame, digits: int = 6, other: dict[str, int] | None = None) -> DataFrame:
     """Round every double column, for reports and comparisons."""
     other = other or {}

@@ -179,8 +179,11 @@ def importances(model: PipelineModel, top: int = 15) -> DataFrame:
 
 
 def feature_vectors(features: DataFrame, cols: list[str] = VECTOR_COLUMNS) -> tuple[DataFrame, PipelineModel]:
-    """Add ``raw_features`` and the standardised ``features``; also the fitted pipeline."""
-    filled = fill_numeric(features, cols)
+    """Add ``raw_features`` and the standardised ``features``; also the fitted pipeline.
+
+    The filled rows are written out once, for the fit and for the result.
+    """
+    filled = stage_table(fill_numeric(features, cols), "filled")
     stages = [
         VectorAssembler(inputCols=list(cols), outputCol="raw_features", handleInvalid="keep"),
         StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),

@@ -16,7 +16,12 @@ from tremorframe.operators.features import seq_features
 from tremorframe.session import stage_table, tune
 from tremorframe.sinks.submission import coverage, submission_lines, write_submission
 from tremorframe.sinks.tables import read_back_count, write_table
-from tremorframe.sources.catalog import clean_catalog, mainshocks_from_catalog, top_mainshocks
+from tremorframe.sources.catalog import (
+    clean_catalog,
+    mainshocks_from_catalog,
+    top_mainshocks,
+    unique_mainshocks,
+)
 from tremorframe.sources.incremental import ingest_status, ingest_summary, new_only
 
 
@@ -104,7 +109,7 @@ def load_sequences(
     Returns the summary of the load.
     """
     spark = tune(raw_catalog.sparkSession)
-    cat = mainshocks_from_catalog(clean_catalog(raw_catalog, ordered=False)).dropDuplicates(["eq_id"])
+    cat = unique_mainshocks(mainshocks_from_catalog(clean_catalog(raw_catalog, ordered=False)))
     cat = stage_table(cat if n is None else top_mainshocks(cat, n), "mainshocks")
     done = _manifest(spark, store)
     cached, fresh, load = None, cat, 0

@@ -430,6 +430,7 @@ on a.eq_id = s.eq_id and a.window = s.window and a.h = s.h""",
      + least(greatest((24 - abs((pred_t_us - truth.t_us)/3.6e9::double))/23::double, 0), 1))/2)*100, 6) as score
 from truth left join pred using (eq_id, window)""",
         "submission": _with(*base, _predictions(), LINES) + "select eq_id, file_name, line_no, line from lines",
+        "submission_files": _with(*base, _predictions(), LINES) + "select file_name, line from lines",
         "submission_coverage": _with(*base, _predictions(), LINES)
         + """select count(*) as n_rows, round(avg(case when source = 'S1_data' then 1.0 else 0.0 end)*100, 6)
   as data_share_pct, (select count(distinct file_name) from lines) as n_files from pred""",
@@ -441,6 +442,18 @@ from truth left join pred using (eq_id, window)""",
         + """select strftime(make_timestamp(t_us), '%Y%m%d%H%M%S') as eq_id, t_us//1000000*1000000 as t0_us,
   mag as mainshock_mag, depth as mainshock_depth, round(lat, 6) as mainshock_lat,
   round(lon, 6) as mainshock_lon, cast(year(make_timestamp(t_us)) as integer) as year from ev""",
+        "catalog_mainshocks_unique": _with(EV)
+        + """select eq_id, mag as mainshock_mag, event_id as t0_us from (
+  select *, row_number() over (partition by eq_id order by mag desc, event_id desc) as rn
+  from (select * exclude (eq_id), strftime(make_timestamp(t_us), '%Y%m%d%H%M%S') as eq_id from ev))
+where rn = 1""",
+        "mainshocks_split_time": _with(EV, CAT)
+        + f"""select {STAMP} as eq_id, t0_us//1000000*1000000 as t0_us, mainshock_mag, mainshock_depth,
+  round(mainshock_lat, 6) as mainshock_lat, round(mainshock_lon, 6) as mainshock_lon,
+  'NEIC' as source, year from cat""",
+        "mainshock_labels": _with(EV, CAT)
+        + f"""select eq_id, left({STAMP}, 8) as day, right({STAMP}, 6) as clock,
+  left(printf('%.4f', mainshock_lat) || ' ' || printf('%.4f', mainshock_lon), 12) as place from cat""",
         "mainshocks_top50": _with(EV, CAT)
         + """select * replace (round(mainshock_lat, 6) as mainshock_lat, round(mainshock_lon, 6) as mainshock_lon)
 from cat order by mainshock_mag desc, t0_us desc, eq_id limit 50""",

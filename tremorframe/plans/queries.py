@@ -8,27 +8,29 @@ because a mean over 64 events ends on an exact half at the seventh.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tremorframe.functions.clock import eq_stamp, format_utc
-from tremorframe.functions.scalar import project_present, round_columns
+from tremorframe.functions.scalar import first_chars, last_chars, project_present, round_columns
 from tremorframe.operators import calibrate, completeness, etas, forecast, models, summaries
 from tremorframe.operators.associate import associate, associated_counts, candidate_pairs
 from tremorframe.operators.enrich import enrich, seq_stats
 from tremorframe.operators.features import seq_features
 from tremorframe.operators.windows import each_window, window_max
 from tremorframe.plans.fixture import mainshocks, quakes
-from tremorframe.session import scratch_path, tune
-from tremorframe.sinks.submission import coverage, submission_lines
+from tremorframe.session import scratch_path, stage_table, tune
+from tremorframe.sinks.submission import coverage, submission_lines, write_submission
 from tremorframe.sinks.tables import write_table
 from tremorframe.sources.catalog import (
     clean_catalog,
     mainshocks_from_catalog,
     read_catalog,
+    read_mainshocks,
     top_mainshocks,
+    unique_mainshocks,
 )
 from tremorframe.sources.incremental import ingest_status, ingest_summary, new_only
 from tremorframe.sources.sequences import load_counts, read_sequences
@@ -321,6 +323,14 @@ def submission(t: Tables) -> DataFrame:
     return submission_lines(t.predictions(), t.cat)
 
 
+@query
+def submission_files(t: Tables) -> DataFrame:
+    """The submission files written and read back, without the mainshock key."""
+    lines = submission_lines(t.predictions(), t.cat)
+    path = write_submission(lines, scratch_path(t.spark, "submission"))
+    return t.spark.read.text(path).select("file_name", F.col("value").alias("line"))
+
+
 @query
 def submission_coverage(t: Tables) -> DataFrame:
     pred = t.predictions()
@@ -344,6 +354,42 @@ def catalog_mainshocks(t: Tables) -> DataFrame:
     return mainshocks_from_catalog(clean_catalog(raw, ordered=False))
 
 
+@query
+def catalog_mainshocks_unique(t: Tables) -> DataFrame:
+    rows = t.ev.select(
+        eq_stamp(F.col("t_us")).alias("eq_id"), F.col("mag").alias("mainshock_mag"),
+        F.col("event_id").alias("t0_us"),
+    )
+    return unique_mainshocks(rows)
+
+
+@query
+def mainshocks_split_time(t: Tables) -> DataFrame:
+    """Mainshocks written with the time in six columns, and read."""
+    part = lambda pattern: format_utc(F.col("t0_us"), pattern).cast("int")
+    rows = t.cat.select(
+        part("yyyy").alias("Year"), part("MM").alias("Month"), part("dd").alias("Day"),
+        part("HH").alias("Hour"), part("mm").alias("Minute"), part("ss").alias("Second"),
+        F.col("mainshock_mag").alias("Mag"), F.col("mainshock_lat").alias("Lat"),
+        F.col("mainshock_lon").alias("Lon"), F.col("mainshock_depth").alias("Depth"),
+        F.lit("NEIC").alias("Source"),
+    )
+    path = write_table(rows, scratch_path(t.spark, "mainshocks"), "csv")
+    return read_mainshocks(t.spark, path)
+
+
+@query
+def mainshock_labels(t: Tables) -> DataFrame:
+    """Short texts for listings: day and time of the id, clipped place."""
+    stamp = eq_stamp(F.col("t0_us"))
+    return t.cat.select(
+        "eq_id",
+        first_chars(stamp, 8).alias("day"),
+        last_chars(stamp, 6).alias("clock"),
+        first_chars(F.format_string("%.4f %.4f", "mainshock_lat", "mainshock_lon"), 12).alias("place"),
+    )
+
+
 @query
 def mainshocks_top50(t: Tables) -> DataFrame:
     return top_mainshocks(t.cat, 50)
@@ -449,8 +495,11 @@ def feature_vectors(t: Tables) -> DataFrame:
     )
 
 
-def _cross(t: Tables, model: str) -> DataFrame:
-    return models.cross_predict(t.features(), model, CV_FOLDS)
+def _cross(t: Tables, *names: str) -> DataFrame:
+    """Held-out predictions of the models, from features computed once."""
+    features = stage_table(t.features(), "features") if len(names) > 1 else t.features()
+    parts = [models.cross_predict(features, name, CV_FOLDS) for name in names]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query
@@ -476,14 +525,12 @@ def cross_boosting(t: Tables) -> DataFrame:
 @query
 def model_metrics(t: Tables) -> DataFrame:
     """The linear models compared."""
-    return models.regression_metrics(_cross(t, "Ridge").unionByName(_cross(t, "Lasso")))
+    return models.regression_metrics(_cross(t, "Ridge", "Lasso"))
 
 
 @query
 def model_best(t: Tables) -> DataFrame:
-    return models.pick_best(
-        models.regression_metrics(_cross(t, "Ridge").unionByName(_cross(t, "Lasso")))
-    )
+    return models.pick_best(models.regression_metrics(_cross(t, "Ridge", "Lasso")))
 
 
 @query

@@ -53,6 +53,17 @@ def mainshocks_from_catalog(clean: DataFrame) -> DataFrame:
     )
 
 
+def unique_mainshocks(cat: DataFrame) -> DataFrame:
+    """The largest mainshock of each id.
+
+    Ids are cut to the second, so two mainshocks can share one; operators expect
+    one catalog row per id.
+    """
+    others = [c for c in cat.columns if c not in ("eq_id", "mainshock_mag")]
+    top = cat.groupBy("eq_id").agg(F.max(F.struct("mainshock_mag", *others)).alias("m"))
+    return top.select("eq_id", "m.*").select(*cat.columns)
+
+
 def read_mainshocks(spark: SparkSession, path: str) -> DataFrame:
     """Mainshock list with the origin time split in six columns."""
     raw = spark.read.schema(MAINSHOCKS).option("header", True).csv(path)
