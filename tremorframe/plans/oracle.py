@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from tremorframe.operators.models import VECTOR_COLUMNS
-from tremorframe.plans.queries import LOADED_BEFORE_US, OMORI_MIN_MAG, TENTHS_MEANS
+from tremorframe.plans.queries import DIGITS, LOADED_BEFORE_US, OMORI_MIN_MAG
 
 D01 = "cast('0.1' as double)"
 
@@ -124,7 +124,7 @@ _FLOAT_FEATURES = [
     "time_span_hours", "time_mean_hours", "mag_range", "mag_diff_main_max", "ratio_24h", "mc", "b_value",
 ]
 _REPLACED = "select * replace (" + ", ".join(
-    f"round({c}, {TENTHS_MEANS.get(c, 6)}) as {c}" for c in _FLOAT_FEATURES
+    f"round({c}, {DIGITS.get(c, 6)}) as {c}" for c in _FLOAT_FEATURES
 ) + ") from features"
 
 WINDOWS = "win as (select * from (values ('T1', 0, 24), ('T2', 24, 72), ('T3', 72, 168)) w(window, t1, t2))"
@@ -322,9 +322,9 @@ def all_oracles() -> dict[str, str]:
     out = {
         "window_max_per_sequence": _with(*base, WINDOWS, _window_max("best", "aft")) + "select * from best",
         "aftershocks_enriched": _with(*base)
-        + "select eq_id, event_id, round(hours, 6) as hours, round(dist_km, 6) as dist_km, mag, depth from aft",
+        + "select eq_id, event_id, round(hours, 10) as hours, round(dist_km, 6) as dist_km, mag, depth from aft",
         "aftershocks_first_row_rule": _with(*base)
-        + """select eq_id, event_id, round((t_us//1000000 - t0_us//1000000)/3600::double, 6) as hours, mag from (
+        + """select eq_id, event_id, round((t_us//1000000 - t0_us//1000000)/3600::double, 10) as hours, mag from (
   select *, row_number() over (partition by eq_id order by t_us, event_id) as rn from joined) where rn > 1""",
         "sequence_stats": _with(*base)
         + """select eq_id, t0_us, mainshock_mag, mainshock_depth, round(mainshock_lat, 6) as mainshock_lat,

@@ -1,8 +1,10 @@
 """The registered queries: every operator applied to the derived sequences.
 
 Each takes ``(spark, sf_dir)`` and returns a DataFrame. Doubles are rounded to
-six decimals, since engines sum in different orders; means of tenths to seven,
-because a mean over 64 events ends on an exact half at the seventh.
+six decimals, since engines sum in different orders. Columns that often lie
+exactly between two such values get digits at which they cannot: a mean of
+tenths over 64 events ends on a half after six, microseconds in hours never do
+after ten.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ OMORI_MIN_MAG = 3.0
 # A load counts as finished up to this time (2024-01-01 06:00 UTC).
 LOADED_BEFORE_US = 1_704_088_800_000_000
 CV_FOLDS = 3
-TENTHS_MEANS = {"mag_mean": 7, "depth_mean": 7}
+DIGITS = {"mag_mean": 7, "depth_mean": 7, "hours": 10, "time_span_hours": 10}
 
 _QUERIES: dict[str, Query] = {}
 
@@ -52,7 +54,7 @@ def query(fn: Callable[["Tables"], DataFrame]) -> Callable[["Tables"], DataFrame
     """Register ``fn`` under its name; it gets the derived tables."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return round_columns(fn(Tables(tune(spark), sf_dir)), 6, TENTHS_MEANS)
+        return round_columns(fn(Tables(tune(spark), sf_dir)), 6, DIGITS)
 
     _QUERIES[fn.__name__] = run
     return fn
