@@ -28,10 +28,10 @@ def test_rj_a(make_events, make_cat):
     after = enrich(make_events(rows), cat)
     integral = (30.05**-0.08 - 0.05**-0.08) / -0.08
     hats = [math.log10(n) - 0.91 * (m - 4) - math.log10(integral) for n, m in ((10, 7.0), (3, 6.0))]
-    got = {r["eq_id"]: r["a_hat"] for r in calibrate.rj_a_per_sequence(after, cat).collect()}
+    got = {r["eq_id"]: r["a_hat"] for r in calibrate.rj_a_per_sequence(after).collect()}
     assert got == {"a": pytest.approx(hats[0]), "b": pytest.approx(hats[1])}
-    assert calibrate.rj_a(after, cat).first()["a"] == pytest.approx(round(np.median(hats), 3))
-    assert calibrate.rj_a(after.filter("mag > 9"), cat).first()["a"] == -1.67
+    assert calibrate.rj_a(after).first()["a"] == pytest.approx(round(np.median(hats), 3))
+    assert calibrate.rj_a(after.filter("mag > 9")).first()["a"] == -1.67
 
 
 def test_omori_bins_clip_or_drop(make_events, make_cat):

@@ -34,7 +34,7 @@ def bath_constant(features: DataFrame) -> DataFrame:
 
 
 def rj_a_per_sequence(
-    enriched: DataFrame, cat: DataFrame, rj: RjParams = RjParams(), days: float = 30, min_mag: float = 4.0
+    enriched: DataFrame, rj: RjParams = RjParams(), days: float = 30, min_mag: float = 4.0
 ) -> DataFrame:
     """``eq_id, n_obs, a_hat`` for sequences with at least one event that counts."""
     q = 1.0 - rj.p
@@ -47,8 +47,10 @@ def rj_a_per_sequence(
         & (F.col("t_us") - F.col("t0_us") <= int(days * DAY_US))
         & (F.col("mag") >= min_mag)
     )
-    n_obs = counted.groupBy("eq_id").agg(F.count("*").alias("n_obs"))
-    return n_obs.join(cat.select("eq_id", "mainshock_mag"), "eq_id").select(
+    n_obs = counted.groupBy("eq_id").agg(
+        F.count("*").alias("n_obs"), F.max("mainshock_mag").alias("mainshock_mag")
+    )
+    return n_obs.select(
         "eq_id",
         "n_obs",
         (
@@ -60,10 +62,10 @@ def rj_a_per_sequence(
 
 
 def rj_a(
-    enriched: DataFrame, cat: DataFrame, rj: RjParams = RjParams(), days: float = 30, min_mag: float = 4.0
+    enriched: DataFrame, rj: RjParams = RjParams(), days: float = 30, min_mag: float = 4.0
 ) -> DataFrame:
     """One row ``a``: the median over sequences, or the given default without data."""
-    hats = rj_a_per_sequence(enriched, cat, rj, days, min_mag)
+    hats = rj_a_per_sequence(enriched, rj, days, min_mag)
     return global_median(hats, "a_hat", fixed_width(0.01), "a").select(
         F.round(F.coalesce("a", F.lit(rj.a)), 3).alias("a")
     )

@@ -15,7 +15,7 @@ from tremorframe.functions.seismo import EtasParams, etas_max_from_total, etas_t
 from tremorframe.operators.windows import WINDOWS, Window3, each_window
 
 
-def _history(joined: DataFrame, windows: tuple[Window3, ...]) -> DataFrame:
+def _history(joined: DataFrame, windows: tuple[Window3, ...], *extra: str) -> DataFrame:
     """Events with a magnitude before the start of each window.
 
     There is no lower bound: foreshocks count for every window, the mainshock
@@ -23,7 +23,7 @@ def _history(joined: DataFrame, windows: tuple[Window3, ...]) -> DataFrame:
     """
     since = F.col("t_us") - F.col("t0_us")
     rows = joined.filter(F.col("mag").isNotNull()).select(
-        "eq_id", "mag", since.alias("since_us"), (since / F.lit(float(HOUR_US))).alias("hours")
+        "eq_id", "mag", since.alias("since_us"), (since / F.lit(float(HOUR_US))).alias("hours"), *extra
     )
     return each_window(rows, windows).filter(
         F.col("since_us") < (F.col("t1_h") * float(HOUR_US)).cast("bigint")
@@ -78,7 +78,11 @@ def etas_max_mag(
     if etas_units not in ("hours", "days"):
         raise ValueError("etas_units is hours or days")
     step = 1.0 if etas_units == "hours" else 1.0 / 24.0
-    wanted = targets.select("eq_id", "window").distinct()
+    # at most one entry per window; joined by sequence, as the events already are
+    wanted = targets.groupBy("eq_id").agg(F.collect_set("window").alias("wanted"))
+    history = _history(joined.join(wanted, "eq_id"), windows, "wanted").filter(
+        F.array_contains("wanted", F.col("window"))
+    )
     hours = F.sequence(F.col("t1_h").cast("int"), (F.ceil(F.col("t2_h")) - 1).cast("int"))
     own = F.aggregate(
         hours,
@@ -88,18 +92,14 @@ def etas_max_mag(
         / F.pow((h - F.col("hours")) / 24.0 + F.lit(etas.c_days), F.lit(etas.p)),
     )
     weight = F.lit(etas.k) * F.exp(F.lit(etas.alpha) * (F.col("mag") - F.lit(etas.m_min)))
-    added = (
-        _history(joined, windows)
-        .join(wanted, ["eq_id", "window"], "left_semi")
-        .groupBy("eq_id", "window")
-        .agg(F.sum(weight * own).alias("added"))
-    )
+    added = history.groupBy("eq_id", "window").agg(F.sum(weight * own).alias("added"))
     n_hours = F.create_map(
         *[F.lit(v) for name, t1, t2 in windows for v in (name, float(-(-(t2 - t1) // 1)))]
     )
     total = (
         n_hours[F.col("window")] * F.lit(etas.mu) + F.coalesce("added", F.lit(0.0))
     ) * F.lit(step)
-    return wanted.join(added, ["eq_id", "window"], "left").select(
+    slots = wanted.select("eq_id", F.explode("wanted").alias("window"))
+    return slots.join(added, ["eq_id", "window"], "left").select(
         "eq_id", "window", etas_max_from_total(total, etas).alias("etas_mag")
     )

@@ -140,7 +140,7 @@ def forecast_all(
     if issue_time_h is not None:
         known = joined.filter((F.col("t_us") - F.col("t0_us")) / 3.6e9 <= issue_time_h)
     after = known.filter(F.col("t_us") > F.col("t0_us"))
-    a = stage_table(calibrate.rj_a(after, cat), "rj_a")
+    a = stage_table(calibrate.rj_a(after), "rj_a")
     fits = calibrate.omori_fit(calibrate.omori_bins(after), cat)
     first_hour = stage_table(calibrate.omori_first_hour(calibrate.omori_medians(fits)), "first_hour")
     pred = stage_table(forecast.predict(cat, joined, a, first_hour, issue_time_h=issue_time_h), "pred")

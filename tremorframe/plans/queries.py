@@ -90,7 +90,7 @@ class Tables:
         return calibrate.omori_first_hour(calibrate.omori_medians(self.omori_fits()))
 
     def predictions(self, **options) -> DataFrame:
-        a = calibrate.rj_a(self.after, self.cat)
+        a = calibrate.rj_a(self.after)
         return forecast.predict(self.cat, self.joined, a, self.first_hour(), **options)
 
     def iso_rows(self) -> DataFrame:
@@ -242,17 +242,17 @@ def bath_constant(t: Tables) -> DataFrame:
 
 @query
 def rj_a_per_sequence(t: Tables) -> DataFrame:
-    return calibrate.rj_a_per_sequence(t.after, t.cat)
+    return calibrate.rj_a_per_sequence(t.after)
 
 
 @query
 def rj_a(t: Tables) -> DataFrame:
-    return calibrate.rj_a(t.after, t.cat)
+    return calibrate.rj_a(t.after)
 
 
 @query
 def rj_estimates(t: Tables) -> DataFrame:
-    return forecast.rj_table(t.cat, calibrate.rj_a(t.after, t.cat).scalar())
+    return forecast.rj_table(t.cat, calibrate.rj_a(t.after).scalar())
 
 
 @query
