@@ -90,13 +90,14 @@ def rj_max_mag(
     return clip(main_mag - (target - _col(a)) / F.lit(rj.b), floor, main_mag - 0.1)
 
 
-def etas_trigger(mag: Column, lag_days: Column, etas: EtasParams) -> Column:
-    """Rate one earlier event adds ``lag_days`` after itself."""
-    return (
-        F.lit(etas.k)
-        * F.exp(F.lit(etas.alpha) * (mag - F.lit(etas.m_min)))
-        / F.pow(lag_days + F.lit(etas.c_days), F.lit(etas.p))
-    )
+def etas_weight(mag: Column, etas: EtasParams) -> Column:
+    """Productivity of an event of magnitude ``mag``."""
+    return F.lit(etas.k) * F.exp(F.lit(etas.alpha) * (mag - F.lit(etas.m_min)))
+
+
+def etas_decay(lag_days: Column, etas: EtasParams) -> Column:
+    """Share of its productivity an event still has ``lag_days`` later."""
+    return F.pow(lag_days + F.lit(etas.c_days), F.lit(-etas.p))
 
 
 def etas_max_from_total(total: Column, etas: EtasParams) -> Column:

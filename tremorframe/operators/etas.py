@@ -8,10 +8,10 @@ sequence and hour or per sequence and window.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tremorframe.functions.clock import HOUR_US
-from tremorframe.functions.seismo import EtasParams, etas_max_from_total, etas_trigger
+from tremorframe.functions.seismo import EtasParams, etas_decay, etas_max_from_total, etas_weight
 from tremorframe.operators.windows import WINDOWS, Window3, each_window
 
 
@@ -30,6 +30,17 @@ def _history(joined: DataFrame, windows: tuple[Window3, ...], *extra: str) -> Da
     )
 
 
+def _window_hours() -> Column:
+    """One row per full hour of the window."""
+    last = (F.ceil(F.col("t2_h")) - 1).cast("int")
+    return F.explode(F.sequence(F.col("t1_h").cast("int"), last)).alias("hour")
+
+
+def _trigger(etas: EtasParams) -> Column:
+    lag_days = (F.col("hour") - F.col("hours")) / 24.0
+    return F.col("weight") * etas_decay(lag_days, etas)
+
+
 def etas_rate(
     joined: DataFrame,
     cat: DataFrame,
@@ -41,18 +52,12 @@ def etas_rate(
     ``joined`` is ``enrich(..., rule='all')``. The history of a window ends at
     its start. Hours are exploded and summed inside the same task.
     """
-    hours = F.explode(
-        F.sequence(F.col("t1_h").cast("int"), (F.ceil(F.col("t2_h")) - 1).cast("int"))
-    ).alias("hour")
+    hours = _window_hours()
     added = (
         _history(joined, windows)
-        .select("eq_id", "window", "mag", "hours", hours)
+        .select("eq_id", "window", etas_weight(F.col("mag"), etas).alias("weight"), "hours", hours)
         .groupBy("eq_id", "window", "hour")
-        .agg(
-            F.sum(
-                etas_trigger(F.col("mag"), (F.col("hour") - F.col("hours")) / 24.0, etas)
-            ).alias("added")
-        )
+        .agg(F.sum(_trigger(etas)).alias("added"))
     )
     grid = each_window(cat.select("eq_id"), windows).select("eq_id", "window", hours)
     return grid.join(added, ["eq_id", "window", "hour"], "left").select(
@@ -83,16 +88,15 @@ def etas_max_mag(
     history = _history(joined.join(wanted, "eq_id"), windows, "wanted").filter(
         F.array_contains("wanted", F.col("window"))
     )
-    hours = F.sequence(F.col("t1_h").cast("int"), (F.ceil(F.col("t2_h")) - 1).cast("int"))
-    own = F.aggregate(
-        hours,
-        F.lit(0.0),
-        lambda acc, h: acc
-        + F.lit(1.0)
-        / F.pow((h - F.col("hours")) / 24.0 + F.lit(etas.c_days), F.lit(etas.p)),
+    # the exploded hours live only between two operators of one stage; a fold over
+    # an array is no code-generated expression and takes several times as long
+    added = (
+        history.select(
+            "eq_id", "window", etas_weight(F.col("mag"), etas).alias("weight"), "hours", _window_hours()
+        )
+        .groupBy("eq_id", "window")
+        .agg(F.sum(_trigger(etas)).alias("added"))
     )
-    weight = F.lit(etas.k) * F.exp(F.lit(etas.alpha) * (F.col("mag") - F.lit(etas.m_min)))
-    added = history.groupBy("eq_id", "window").agg(F.sum(weight * own).alias("added"))
     n_hours = F.create_map(
         *[F.lit(v) for name, t1, t2 in windows for v in (name, float(-(-(t2 - t1) // 1)))]
     )
