@@ -56,6 +56,12 @@ def test_folds_partition_the_rows(data):
     assert len(got) == 40 and all(r["count"] == 1 for r in got)
 
 
+def test_a_single_fold_is_refused(data):
+    df, *_ = data
+    with pytest.raises(ValueError):
+        models.cross_predict(df.filter("eq_id = 'e01'"), "Ridge", 3, COLS)
+
+
 def test_leave_one_out_is_for_small_data(spark):
     many = spark.range(60).select(F.col("id").alias("eq_id"))
     with pytest.raises(ValueError):

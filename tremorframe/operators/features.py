@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 from tremorframe.operators import completeness as gr
 from tremorframe.operators.quantiles import fixed_width, group_quantiles
 
-# Column order of the feature table.
+# Names and order of the feature table.
 FEATURE_COLUMNS = [
     "eq_id", "mainshock_mag", "mainshock_depth", "mainshock_lat", "mainshock_lon",
     "aftershock_count",

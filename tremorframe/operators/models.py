@@ -108,6 +108,8 @@ def cross_predict(
         .agg(F.count("*").alias("n"), F.sum("label").alias("s"), F.sum(F.col("label") ** 2).alias("ss"))
         .collect()  # one row per fold
     )
+    if len(per_fold) < 2:
+        raise ValueError("too few complete rows for more than one fold")
     n, s, ss = (sum(r[c] for r in per_fold) for c in ("n", "s", "ss"))
 
     def held_out(r) -> DataFrame:

@@ -84,10 +84,14 @@ def train(features: DataFrame, out: str, folds: int | str = 5) -> DataFrame:
     metrics = stage_table(metrics, "metrics")
     write_table(metrics, f"{out}/model_metrics", "csv", single_file=True)
     best = models.pick_best(metrics).first()["model"]
-    models.save_model(models.fit_full(features, best), f"{out}/best_model")
-    for model in ("RandomForest", "GradientBoosting"):
-        top = models.importances(models.fit_full(features, model))
-        write_table(top, f"{out}/importances_{model}", "csv", single_file=True)
+    trees = ("RandomForest", "GradientBoosting")
+    for model in {best, *trees}:
+        fitted = models.fit_full(features, model)
+        if model == best:
+            models.save_model(fitted, f"{out}/best_model")
+        if model in trees:
+            top = models.importances(fitted)
+            write_table(top, f"{out}/importances_{model}", "csv", single_file=True)
     return metrics
 
 
