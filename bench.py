@@ -1,8 +1,9 @@
 """Times the headline queries and prints one JSON line.
 
 ``BENCH_SF_DIR`` chooses the tables, ``BENCH_CPUS`` the local threads. Every
-query is planned and run to the end once, after one untimed run that warms the
-JVM; results go to the ``noop`` sink, so nothing passes through the driver.
+query is planned and run to the end twice and the better time counts, since the
+first run also compiles its code; results go to the ``noop`` sink, so nothing
+passes through the driver.
 """
 
 from __future__ import annotations
@@ -51,8 +52,7 @@ def main() -> None:
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - start
 
-    run("window_max_per_sequence")
-    seconds = {name: round(run(name), 3) for name in HEADLINE}
+    seconds = {name: round(min(run(name), run(name)), 3) for name in HEADLINE}
     print(
         json.dumps(
             {

@@ -60,27 +60,35 @@ def magnitude_profile(seen: DataFrame) -> DataFrame:
     return seen.groupBy("eq_id", "mag").agg(*parts)
 
 
-def _merged_stats(profile: DataFrame) -> DataFrame:
-    """Statistics per sequence from its magnitude rows, ``mc`` included.
+def _with_means(profile: DataFrame) -> DataFrame:
+    """Magnitude rows with their last rank and the means of their sequence.
 
-    The spread of the whole is the spread inside the parts plus that of their
-    means around the overall mean, which a window supplies first.
+    The ordered window comes first: its sort serves the windows after it.
     """
     mag = F.col("mag")
     n_mag = F.when(mag.isNotNull(), F.col("n"))
     below = F.sum(n_mag).over(_sequence().orderBy("mag").rowsBetween(Window.unboundedPreceding, 0))
-    rows = profile.withColumns(
+    means = {
+        f"{c}_mean": F.sum(F.col(f"{c}_n") * F.col(f"{c}_avg")).over(_sequence())
+        / F.nullif(F.sum(f"{c}_n").over(_sequence()), F.lit(0))
+        for c in ("depth", "dist")
+    }
+    return profile.withColumn("last_rank", below - 1).withColumns(
         {
             "mag_n": F.sum(n_mag).over(_sequence()),
             "mag_mean": F.sum(F.col("n") * mag).over(_sequence()) / F.sum(n_mag).over(_sequence()),
-            "last_rank": below - 1,
-            **{
-                f"{c}_mean": F.sum(F.col(f"{c}_n") * F.col(f"{c}_avg")).over(_sequence())
-                / F.nullif(F.sum(f"{c}_n").over(_sequence()), F.lit(0))
-                for c in ("depth", "dist")
-            },
+            **means,
         }
     )
+
+
+def _merged_stats(rows: DataFrame) -> DataFrame:
+    """Statistics per sequence from its magnitude rows with means and ``mc``.
+
+    The spread of the whole is the spread inside the parts plus that of their
+    means around the overall mean.
+    """
+    mag = F.col("mag")
     middle = (F.col("mag_n") - 1) / 2.0
 
     def at(rank: Column) -> Column:
@@ -124,7 +132,7 @@ def _merged_stats(profile: DataFrame) -> DataFrame:
 
 
 def _exact_stats(seen: DataFrame, mc_mode: str) -> DataFrame:
-    by_mag = _merged_stats(gr.with_mc(magnitude_profile(seen), mc_mode))
+    by_mag = _merged_stats(gr.with_mc(_with_means(magnitude_profile(seen)), mc_mode))
     by_dist = group_quantiles(
         seen, ["eq_id"], "dist_km",
         {"dist_median": 0.5, "spatial_spread": 0.9}, fixed_width(_DIST_BIN_KM),
