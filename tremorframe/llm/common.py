@@ -25,9 +25,9 @@ def word_array(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
-def fold(part: str, modulus: int, doc_id: str = "doc_id") -> Column:
+def fold(part: int, modulus: int, doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % modulus == int(part)
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % modulus == part
 
 
 class Memo(dict):

@@ -23,7 +23,7 @@ from tremorframe.llm.common import SPACE, whole
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 # Ranges of the key within a source: a power of two, up to 2**20, for about so many rows.
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 2_000
 
 
 def word_count(text: Column) -> Column:
@@ -85,7 +85,7 @@ def mix_sources(
     document inside the cut of the last pass.
     """
     rows = docs.count()
-    bits = min(20, max(4, (rows // ROWS_PER_BUCKET).bit_length()))
+    bits = min(20, max(8, (rows // ROWS_PER_BUCKET).bit_length()))
     named = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))
     key = F.conv(F.substring(F.md5(named), 1, 15), 16, 10).cast("long")
     keyed = docs.withColumns(

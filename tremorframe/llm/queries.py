@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tremorframe.llm import licenses, mixing, quality
-from tremorframe.session import tune
+from tremorframe.llm import licenses, mixing, packing, quality, token_counts, toxicity
+from tremorframe.llm.common import fold
+from tremorframe.session import scratch_path, tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +17,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Where the tokenizer files lie; the package that brings them knows.
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels, ~fold(1, 3))
+    return toxicity.score_with_verdict(docs.select("doc_id", "text", "lang"), model).select(
+        "doc_id",
+        fold(1, 3).alias("held_out"),
+        F.col("_score").alias("score"),
+        (F.col("_score") >= toxicity.POINT).cast("int").alias("predicted"),
+        F.col("_toxic").alias("toxic_for_language"),
+    )
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a cache of its own, so that a run does not live on what an earlier one has counted
+    cache = scratch_path(spark, "token-counts")
+    docs = table(spark, sf_dir, "documents")
+    return token_counts.count_tokens(docs, tokenizer_path("byte_bpe_50k.json"), cache)
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -38,6 +69,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Query]:
     return {
+        "op1_toxicity": op1_toxicity,
+        "op3_packing": op3_packing,
+        "op4_token_counts": op4_token_counts,
         "op5_licenses": op5_licenses,
         "op7_quality": op7_quality,
         "op9_mixing": op9_mixing,
