@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tremorframe.llm import licenses, mixing, packing, quality, token_counts, toxicity
+from tremorframe.llm import licenses, mixing, packing, quality, token_counts, toxicity, warc
 from tremorframe.llm.common import fold
 from tremorframe.session import scratch_path, tune
 
@@ -36,6 +36,16 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages")).select(
+        F.col("page_id").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -70,6 +80,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_warc": op2_warc,
         "op3_packing": op3_packing,
         "op4_token_counts": op4_token_counts,
         "op5_licenses": op5_licenses,
