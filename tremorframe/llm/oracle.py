@@ -65,6 +65,29 @@ select doc_id, size, source_size, target, cast(case when source_size = 0 then 0
 from placed"""
 
 
+NEAR_DEDUP = rf"""with recursive sized as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{NOT_SPACE}+') as words from documents),
+shingles as (
+  select distinct r, array_to_string(words[i : i + 2], ' ') as s
+  from (select r, words, unnest(range(1, greatest(len(words) - 1, 2))) as i from sized where len(words) > 0)),
+counts as (
+  select r, count(*) as n from shingles group by r),
+shared as (
+  select x.r as a, y.r as b, count(*) as c from shingles x join shingles y on x.s = y.s and x.r < y.r group by x.r, y.r),
+links as (
+  select x.doc_id as a, y.doc_id as b
+  from shared join counts m on a = m.r join counts n on b = n.r join sized x on a = x.r join sized y on b = y.r
+  where 100 * c >= 85 * (m.n + n.n - c)),
+both_ways as (
+  select a, b from links union select b, a from links),
+reach(node, other) as (
+  select doc_id, doc_id from sized union select node, b from reach join both_ways on other = a)
+select doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, component_id, doc_id = component_id as kept
+from sized left join counts using (r) join (
+  select node as doc_id, min(other) as component_id from reach group by node) using (doc_id)"""
+
+
 def licenses_sql() -> str:
     """Phrase places and containment in overlapping blocks, by definition."""
     phrases = "\n  union all ".join(
@@ -108,4 +131,5 @@ def llm_oracles() -> dict[str, str]:
         "op5_licenses": licenses_sql(),
         "op7_quality": QUALITY,
         "op9_mixing": MIXING,
+        "op10_near_dedup": NEAR_DEDUP,
     }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tremorframe.llm import licenses, mixing, packing, quality, token_counts, toxicity, warc
+from tremorframe.llm import licenses, mixing, near_dedup, packing, quality, token_counts, toxicity, warc
 from tremorframe.llm.common import fold
 from tremorframe.session import scratch_path, tune
 
@@ -77,6 +77,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=3, similarity=85)
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -86,4 +90,5 @@ def llm_queries() -> dict[str, Query]:
         "op5_licenses": op5_licenses,
         "op7_quality": op7_quality,
         "op9_mixing": op9_mixing,
+        "op10_near_dedup": op10_near_dedup,
     }
