@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tremorframe.llm import licenses, mixing, near_dedup, packing, quality, token_counts, toxicity, warc
+from tremorframe.llm import licenses, lm, mixing, near_dedup, packing, quality, token_counts, toxicity, warc
 from tremorframe.llm.common import fold
 from tremorframe.session import scratch_path, tune
 
@@ -66,6 +66,19 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.figures(table(spark, sf_dir, "documents")).drop("failed_rule")
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score_documents(table(spark, sf_dir, "documents"), ~fold(2, 7))
+    return scored.select(
+        "doc_id",
+        (~F.col("training")).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix_sources(docs).select(
@@ -89,6 +102,7 @@ def llm_queries() -> dict[str, Query]:
         "op4_token_counts": op4_token_counts,
         "op5_licenses": op5_licenses,
         "op7_quality": op7_quality,
+        "op8_lm_scores": op8_lm_scores,
         "op9_mixing": op9_mixing,
         "op10_near_dedup": op10_near_dedup,
     }
