@@ -65,6 +65,17 @@ select doc_id, size, source_size, target, cast(case when source_size = 0 then 0
 from placed"""
 
 
+TOPK = """with usable as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as q from embeddings
+  where embedding is not null and vec_id is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x) or abs(x) >= 4194304)) = 0),
+scored as (
+  select a.vec_id as query_id, b.vec_id, cast(list_dot_product(a.q, b.q) as bigint) as score
+  from usable a join usable b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+ranked as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rk from scored)
+select query_id, cast(rk as int) as rank, vec_id, score from ranked where rk <= 5"""
+
 NEAR_DEDUP = rf"""with recursive sized as (
   select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{NOT_SPACE}+') as words from documents),
@@ -129,6 +140,7 @@ from base left join based b using (r) left join found m using (r)"""
 def llm_oracles() -> dict[str, str]:
     return {
         "op5_licenses": licenses_sql(),
+        "op6_topk": TOPK,
         "op7_quality": QUALITY,
         "op9_mixing": MIXING,
         "op10_near_dedup": NEAR_DEDUP,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tremorframe.llm import licenses, lm, mixing, near_dedup, packing, quality, token_counts, toxicity, warc
+from tremorframe.llm import licenses, lm, mixing, near_dedup, packing, quality, token_counts, topk, toxicity, warc
 from tremorframe.llm.common import fold
 from tremorframe.session import scratch_path, tune
 
@@ -61,6 +61,10 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the first rule that rejects depends on measured times, the verdict does not
     return quality.figures(table(spark, sf_dir, "documents")).drop("failed_rule")
@@ -101,6 +105,7 @@ def llm_queries() -> dict[str, Query]:
         "op3_packing": op3_packing,
         "op4_token_counts": op4_token_counts,
         "op5_licenses": op5_licenses,
+        "op6_topk": op6_topk,
         "op7_quality": op7_quality,
         "op8_lm_scores": op8_lm_scores,
         "op9_mixing": op9_mixing,
