@@ -43,20 +43,22 @@ def test_read_iso_sequences(spark, iso_files):
     assert [(r["eq_id"], r["t_us"], r["mag"], r["depth"]) for r in got] == [
         ("20010909014640", T0 + 1_500_000, 4.5, 10.0),
         ("20010909014640", T0 + 3_600_000_000, 3.1, None),
+        ("20010909014640", T0 + 7_200_000_000, 3.1, 1.0),  # its longitude cannot be read
     ]
+    assert [r["lon"] for r in got] == [2.5, 2.5, None]
     loose = sequences.read_sequences(spark, f"{iso_files}/*_seq.csv", strict=False)
-    assert loose.count() == 4  # only the two malformed rows are gone
+    assert loose.count() == 5  # only the damaged line is gone
     assert loose.select("mag").collect() == loose.select("*").select("mag").collect()
     kept = sequences.read_sequences(spark, f"{iso_files}/*_seq.csv", keep_malformed=True)
-    assert [tuple(r) for r in sequences.malformed_counts(kept).collect()] == [("20010909014640", 2)]
-    assert tuple(sequences.load_counts(ev).first()) == (2, 1)
+    assert [tuple(r) for r in sequences.malformed_counts(kept).collect()] == [("20010909014640", 1, 1)]
+    assert tuple(sequences.load_counts(ev).first()) == (3, 1)
 
 
 def test_event_ids_do_not_depend_on_the_folder(spark, iso_files, tmp_path):
     text = (iso_files / "20010909014640_seq.csv").read_text()
     put(tmp_path / "again", "20010909014640_seq.csv", text)
     ids = lambda p: {r["event_id"] for r in sequences.read_sequences(spark, f"{p}/*_seq.csv").collect()}
-    assert ids(iso_files) == ids(tmp_path / "again") and len(ids(iso_files)) == 2
+    assert ids(iso_files) == ids(tmp_path / "again") and len(ids(iso_files)) == 3
 
 
 def test_read_date_time_sequences_with_bom_and_bad_values(spark, tmp_path):
@@ -160,6 +162,42 @@ def test_stage_table_keeps_rows_and_types(spark):
     assert staged.dtypes == df.dtypes and staged.count() == 5
 
 
+def test_files_of_one_set_order_their_columns_differently(spark, tmp_path):
+    put(tmp_path, "20010909014640_eq.csv", "Date,Time,Lat,Lon,Mag\n2001/9/9,01:46:41,10,100,4.5\n")
+    put(
+        tmp_path, "20020909014640_eq.csv",
+        'MagType,Mag,x,Depth,Lon,Lat,Time,Date\nmb,5.5,"a, b",7,-20,-30,01:46:41,2002/9/9\nmb,6.5,y,deep,1,2,01:46:42,2002/9/9\n', "utf-8-sig",
+    )
+    got = rows_of(sequences.read_sequences(spark, f"{tmp_path}/*_eq.csv", "date_time"), "eq_id", "t_us")
+    assert [(r["lat"], r["lon"], r["depth"], r["mag"], r["mag_type"]) for r in got] == [
+        (10.0, 100.0, None, 4.5, None), (-30.0, -20.0, 7.0, 5.5, "mb"), (2.0, 1.0, None, 6.5, "mb"),
+    ]
+
+
+def test_catalog_files_are_read_by_their_own_headers(spark, tmp_path):
+    put(tmp_path / "c", "a.csv", "time,latitude,longitude,depth,mag,magType,place\n2001-09-09T01:46:40Z,1,2,3,7,mb,x\n")
+    put(tmp_path / "c", "b.csv", "time,longitude,latitude,mag\n2002-09-09T01:46:40Z,2,1,8\n")
+    got = rows_of(catalog.read_catalog(spark, f"{tmp_path}/c"), "mag")
+    assert [(r["latitude"], r["longitude"], r["depth"]) for r in got] == [(1.0, 2.0, 3.0), (1.0, 2.0, None)]
+
+
+def test_a_file_without_a_needed_column_is_an_error_that_names_it(spark, tmp_path):
+    put(tmp_path, "20010909014640_seq.csv", "time,latitude,depth,mag\n2001-09-09T01:46:40Z,1,3,7\n")
+    with pytest.raises(Exception, match="no header with time, latitude, longitude, mag in .*20010909014640_seq.csv"):
+        sequences.read_sequences(spark, f"{tmp_path}/*_seq.csv").collect()
+
+
+def test_mainshock_seconds_and_damage(spark, tmp_path):
+    head = "Lon,Lat,Second,Minute,Hour,Day,Month,Year,Mag\n"
+    put(tmp_path, "cat.csv", head + "70.23,23.42,40.25,46,1,9,9,2001,7.6\n")
+    (row,) = catalog.read_mainshocks(spark, f"{tmp_path}/cat.csv").collect()
+    assert (row["t0_us"], row["mainshock_lat"], row["mainshock_lon"], row["source"]) == (T0 + 250_000, 23.42, 70.23, None)
+    for n, bad in enumerate(["70.23,23.42,x,46,1,9,9,2001,7.6", "70.23,23.42,40", "70.23,23.42,40,46,1,9,13,2001,7.6"]):
+        put(tmp_path, f"bad{n}.csv", head + bad + "\n")
+        with pytest.raises(Exception, match=f"mainshock without a time.*bad{n}.csv"):
+            catalog.read_mainshocks(spark, f"{tmp_path}/bad{n}.csv").collect()
+
+
 def test_stream_takes_each_file_once(spark, iso_files, tmp_path):
     sink, mark = str(tmp_path / "sink"), str(tmp_path / "mark")
 
@@ -168,15 +206,24 @@ def test_stream_takes_each_file_once(spark, iso_files, tmp_path):
 
     first = load()
     batch = sequences.read_sequences(spark, f"{iso_files}/*_seq.csv")
-    assert rows_of(first.drop("batch"), "t_us") == rows_of(batch, "t_us")
-    assert load().count() == 2
+    assert rows_of(first, "t_us") == rows_of(batch, "t_us")
+    assert load().count() == 3
     put(iso_files, "20030909014640_seq.csv", ISO_HEAD + "2003-09-09T01:46:41.500Z,1.5,2.5,10,4.5,mb,x\n" * 2)
-    assert load().count() == 3  # the new file once, its repeated row once
+    assert load().count() == 4  # the new file once, its repeated row once
 
 
-def test_stream_can_remove_repeats_of_earlier_batches(spark, iso_files, tmp_path):
+@pytest.mark.parametrize("max_files", [1, 2, 10])
+def test_stream_does_not_depend_on_the_size_of_batches(spark, iso_files, tmp_path, max_files):
     sink, mark = str(tmp_path / "sink"), str(tmp_path / "mark")
-    stream_ingest(spark, f"{iso_files}*", sink, mark, dedupe="all")
     text = (iso_files / "20010909014640_seq.csv").read_text()
-    put(tmp_path / "iso2", "20010909014640_seq.csv", text)
-    assert stream_ingest(spark, f"{iso_files}*", sink, mark, dedupe="all").count() == 2
+    put(tmp_path / "iso2", "20010909014640_seq.csv", text + "2001-09-09T06:46:40.000Z,,2.5,1,3.5,mb,x\n")
+    put(tmp_path / "iso3", "20010909014640_seq.csv", text)
+    got = stream_ingest(spark, f"{iso_files}*", sink, mark, max_files=max_files)
+    assert sorted(r["t_us"] - T0 for r in got.collect()) == [1_500_000, 3_600_000_000, 7_200_000_000, 18_000_000_000]
+
+
+def test_a_repeated_stream_batch_replaces_itself(spark, iso_files, tmp_path):
+    sink = str(tmp_path / "sink")
+    for mark in ("one", "two"):  # a lost checkpoint runs batch 0 again
+        got = stream_ingest(spark, str(iso_files), sink, str(tmp_path / mark))
+    assert got.count() == 3

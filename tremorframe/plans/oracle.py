@@ -308,6 +308,12 @@ def _with(*ctes: str) -> str:
     return "with " + ",\n".join(ctes) + "\n"
 
 
+MALFORMED = f"""malformed as (
+  select {STAMP} as eq_id, count(*) filter (where depth is null and mag <= 5) as n_malformed,
+    count(*) filter (where mag > 5) as n_unreadable from joined group by 1)
+"""
+
+
 def all_oracles() -> dict[str, str]:
     base = (EV, CAT, JOINED, AFTER)
     exact = _with(*base, _features("exact"))
@@ -318,6 +324,8 @@ def all_oracles() -> dict[str, str]:
     iso_events = (
         f"select {STAMP} as eq_id, t_us, round(lat, 6) as lat, round(lon, 6) as lon, depth, mag, mag_type from joined"
     )
+    # equal rows of one file are one event
+    once = iso_events.replace(f"select {STAMP} as", f"select distinct left({STAMP}, 9) || '00000' as") + ""
     pred_columns = "eq_id, mainshock_mag, window, pred_mag, pred_t_us, mag_type, n_events, source, pred_time"
     out = {
         "window_max_per_sequence": _with(*base, WINDOWS, _window_max("best", "aft")) + "select * from best",
@@ -451,6 +459,9 @@ where rn = 1""",
         + f"""select {STAMP} as eq_id, t0_us//1000000*1000000 as t0_us, mainshock_mag, mainshock_depth,
   round(mainshock_lat, 6) as mainshock_lat, round(mainshock_lon, 6) as mainshock_lon,
   'NEIC' as source, year from cat""",
+        "mainshocks_reordered": _with(EV, CAT)
+        + f"""select {STAMP} as eq_id, t0_us, mainshock_mag, mainshock_depth,
+  round(mainshock_lat, 6) as mainshock_lat, round(mainshock_lon, 6) as mainshock_lon, year from cat""",
         "mainshock_labels": _with(EV, CAT)
         + f"""select eq_id, left({STAMP}, 8) as day, right({STAMP}, 6) as clock,
   left(printf('%.4f', mainshock_lat) || ' ' || printf('%.4f', mainshock_lon), 12) as place from cat""",
@@ -462,6 +473,19 @@ from cat order by mainshock_mag desc, t0_us desc, eq_id limit 50""",
   max(year) as max_year, count(*) as n
 from (select * from cat order by mainshock_mag desc, t0_us desc, eq_id limit 50)""",
         "sequences_iso": _with(*base) + iso_events,
+        "sequences_reordered": _with(*base) + iso_events,
+        "sequences_without_type": _with(*base)
+        + f"""select {STAMP} as eq_id, t_us, round(lat, 6) as lat, round(lon, 6) as lon, cast(null as double) as depth,
+  mag, 'Mw' as mag_type from joined""",
+        "sequences_bad_depth": _with(*base) + iso_events,
+        "malformed_lines": _with(*base, MALFORMED) + "select * from malformed",
+        "load_status_parse_error": _with(*base, MALFORMED)
+        + f""", loaded as (
+  select {STAMP} as eq_id, count(*) as n from joined where depth is not null and mag < 4 group by 1)
+select {STAMP} as eq_id, mainshock_mag as mag, round(mainshock_lat, 6) as lat, round(mainshock_lon, 6) as lon,
+  coalesce(n, 0) as n_events, case when n is null and n_malformed > 0 then 'parse_error'
+    when n is null then 'empty' when n >= 19900 then 'truncated' else 'ok' end as status
+from cat left join loaded on loaded.eq_id = {STAMP} left join malformed on malformed.eq_id = {STAMP}""",
         "sequences_date_time": _with(*base) + iso_events + " where depth is not null",
         "sequence_load_counts": "select count(*) as n_rows, count(distinct user_id) as n_sequences from events",
         "associate_space_time": _with(EV, CAT, PAIRS)
@@ -486,6 +510,8 @@ where rn <= 5""",
   max(n_events) filter (where status in ('ok', 'cached', 'truncated')) as events_max,
   min(n_events) filter (where status in ('ok', 'cached', 'truncated')) as events_min from status""",
         "stream_load": _with(*base) + iso_events,
+        "stream_load_repeats_by_10": _with(*base) + once,
+        "stream_load_repeats_by_1": _with(*base) + once,
         "feature_table_round_trip": sample
         + """select year, count(*) as n, cast(sum(aftershock_count) as bigint) as aftershocks
 from features group by year""",

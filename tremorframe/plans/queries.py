@@ -16,7 +16,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tremorframe.functions.clock import eq_stamp, format_utc
-from tremorframe.functions.scalar import first_chars, last_chars, project_present, round_columns
+from tremorframe.functions.scalar import (
+    first_chars,
+    last_chars,
+    mag_type_or_default,
+    project_present,
+    round_columns,
+)
 from tremorframe.operators import calibrate, completeness, etas, forecast, models, summaries
 from tremorframe.operators.associate import associate, associated_counts, candidate_pairs
 from tremorframe.operators.enrich import enrich, seq_stats
@@ -35,7 +41,7 @@ from tremorframe.sources.catalog import (
     unique_mainshocks,
 )
 from tremorframe.sources.incremental import ingest_status, ingest_summary, new_only
-from tremorframe.sources.sequences import load_counts, read_sequences
+from tremorframe.sources.sequences import load_counts, malformed_counts, read_sequences, well_formed
 from tremorframe.streaming.ingest import stream_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,9 +109,9 @@ class Tables:
             F.concat(F.lit("place "), F.col("eq_id").cast("string")).alias("place"),
         )
 
-    def write_sequences(self, rows: DataFrame, suffix: str) -> str:
+    def write_sequences(self, rows: DataFrame, suffix: str, path: str | None = None) -> str:
         """One folder per mainshock, named as its sequence file would be."""
-        path = scratch_path(self.spark, "sequences")
+        path = path or scratch_path(self.spark, "sequences")
         named = rows.withColumn("file", F.concat("stamp", F.lit(suffix))).drop("stamp")
         write_table(named, path, "csv", partition_by=["file"])
         return f"{path}/file=*{suffix}"
@@ -380,6 +386,19 @@ def mainshocks_split_time(t: Tables) -> DataFrame:
     return read_mainshocks(t.spark, path)
 
 
+@query
+def mainshocks_reordered(t: Tables) -> DataFrame:
+    """Another column order, seconds with a fraction, no source."""
+    part = lambda pattern: format_utc(F.col("t0_us"), pattern)
+    rows = t.cat.select(
+        F.col("mainshock_lon").alias("Lon"), part("ss.SSSSSS").alias("Second"), F.col("mainshock_mag").alias("Mag"),
+        part("MM").alias("Month"), part("yyyy").alias("Year"), F.col("mainshock_lat").alias("Lat"),
+        part("dd").alias("Day"), part("HH").alias("Hour"), F.col("mainshock_depth").alias("Depth"), part("mm").alias("Minute"),
+    )
+    path = write_table(rows, scratch_path(t.spark, "mainshocks"), "csv")
+    return read_mainshocks(t.spark, path).drop("source")
+
+
 @query
 def mainshock_labels(t: Tables) -> DataFrame:
     """Short texts for listings: day and time of the id, clipped place."""
@@ -408,6 +427,64 @@ def sequences_iso(t: Tables) -> DataFrame:
     return read_sequences(t.spark, glob, "iso").drop("event_id")
 
 
+@query
+def sequences_reordered(t: Tables) -> DataFrame:
+    """Files of one set with different column orders, one of them with a surplus column."""
+    rows = t.iso_rows()
+    even = F.col("stamp").cast("long") % 2 == 0
+    root = scratch_path(t.spark, "reordered")
+    other = ["magType", "longitude", "net", "mag", "latitude", "place", "time", "depth"]
+    t.write_sequences(rows.filter(even), "_seq.csv", f"{root}/a")
+    t.write_sequences(rows.filter(~even).withColumn("net", F.lit("us")).select("stamp", *other), "_seq.csv", f"{root}/b")
+    return read_sequences(t.spark, f"{root}/*/file=*_seq.csv", "iso").drop("event_id")
+
+
+@query
+def sequences_without_type(t: Tables) -> DataFrame:
+    """Files without depth, type and place."""
+    glob = t.write_sequences(t.iso_rows().drop("depth", "magType", "place"), "_seq.csv")
+    ev = read_sequences(t.spark, glob, "iso")
+    return ev.withColumn("mag_type", mag_type_or_default(F.col("mag_type"))).drop("event_id")
+
+
+@query
+def sequences_bad_depth(t: Tables) -> DataFrame:
+    """Depths that are no number: the event stays, the depth is null."""
+    rows = t.iso_rows().withColumn("depth", F.coalesce(F.col("depth").cast("string"), F.lit("deep")))
+    return read_sequences(t.spark, t.write_sequences(rows, "_seq.csv"), "iso").drop("event_id")
+
+
+def _damaged(t: Tables) -> DataFrame:
+    """Events read from files in which rows without depth are cut short, and M above 5 are text."""
+    rows = t.iso_rows().select(
+        "stamp",
+        F.concat_ws(
+            ",", "time", "latitude", "longitude",
+            F.when(F.col("mag") > 5, F.lit("x")).otherwise(F.col("depth").cast("string")), F.col("mag").cast("string"),
+            F.when(F.col("depth").isNotNull() | (F.col("mag") > 5), F.concat_ws(",", "magType", "place")),
+        ).alias("value"),
+    )
+    path = scratch_path(t.spark, "damaged")
+    head = rows.select("stamp").distinct().withColumn("value", F.lit("time,latitude,longitude,depth,mag,magType,place"))
+    files = rows.unionByName(head).withColumn("file", F.concat("stamp", F.lit("_seq.csv"))).drop("stamp")
+    files.repartition("file").write.partitionBy("file").text(path)
+    return read_sequences(t.spark, f"{path}/file=*_seq.csv", "iso", keep_malformed=True)
+
+
+@query
+def malformed_lines(t: Tables) -> DataFrame:
+    return malformed_counts(_damaged(t))
+
+
+@query
+def load_status_parse_error(t: Tables) -> DataFrame:
+    """Mainshocks of which only damaged lines arrived, among all."""
+    read = _damaged(t)
+    cat = t.cat.withColumn("eq_id", eq_stamp(F.col("t0_us")))
+    counts = well_formed(read).filter("mag < 4").groupBy("eq_id").agg(F.count("*").alias("n_events"))
+    return ingest_status(cat, counts, malformed=malformed_counts(read))
+
+
 @query
 def sequences_date_time(t: Tables) -> DataFrame:
     rows = t.joined.select(
@@ -470,8 +547,30 @@ def load_summary(t: Tables) -> DataFrame:
 def stream_load(t: Tables) -> DataFrame:
     glob = t.write_sequences(t.iso_rows(), "_seq.csv")
     root = scratch_path(t.spark, "stream")
-    loaded = stream_ingest(t.spark, glob, f"{root}/table", f"{root}/checkpoint")
-    return loaded.drop("event_id", "batch")
+    return stream_ingest(t.spark, glob, f"{root}/table", f"{root}/checkpoint").drop("event_id")
+
+
+def _stream_twice(t: Tables, max_files: int) -> DataFrame:
+    """Every file twice, in batches of some files."""
+    root = scratch_path(t.spark, "stream")
+    # few files, since each batch is a job of its own
+    rows = t.iso_rows().withColumn("stamp", F.concat(F.substring("stamp", 1, 9), F.lit("00000")))
+    for copy in "ab":
+        t.write_sequences(rows, "_seq.csv", f"{root}/in/{copy}")
+    loaded = stream_ingest(
+        t.spark, f"{root}/in/*/file=*_seq.csv", f"{root}/table", f"{root}/checkpoint", max_files=max_files
+    )
+    return loaded.drop("event_id")
+
+
+@query
+def stream_load_repeats_by_10(t: Tables) -> DataFrame:
+    return _stream_twice(t, 10)
+
+
+@query
+def stream_load_repeats_by_1(t: Tables) -> DataFrame:
+    return _stream_twice(t, 1)
 
 
 @query

@@ -12,17 +12,18 @@ from tremorframe.functions.clock import (
     parse_iso_micros,
     utc_timestamp,
 )
-from tremorframe.sources.schemas import ISO_EVENTS, MAINSHOCKS
+from tremorframe.sources.lines import by_header, number, read_lines
+from tremorframe.sources.schemas import CORRUPT, ISO_EVENTS, NEEDED, OPTIONAL
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """Raw global catalog; surplus columns of the file are ignored."""
-    head = spark.read.option("header", True).csv(path).columns
-    surplus = [f"`{c}` STRING" for c in head if c not in ISO_EVENTS.names]
-    known = {f.name: f"`{f.name}` {f.dataType.simpleString()}" for f in ISO_EVENTS.fields}
-    ddl = ", ".join(known.get(c) or surplus.pop(0) for c in head)
-    raw = spark.read.schema(ddl).option("header", True).csv(path)
-    return raw.select(*[c for c in ISO_EVENTS.names if c in head])
+    """Raw global catalog; files may order their columns differently, surplus ones are ignored.
+
+    Damaged lines are dropped; a number that cannot be read is null.
+    """
+    raw = by_header(read_lines(spark, path), NEEDED["iso"], OPTIONAL["iso"]).filter(F.col(CORRUPT).isNull())
+    numbers = {f.name for f in ISO_EVENTS.fields if f.dataType.simpleString() == "double"}
+    return raw.select(*[number(c).alias(c) if c in numbers else F.col(c) for c in ISO_EVENTS.names])
 
 
 def clean_catalog(raw: DataFrame, ordered: bool = True) -> DataFrame:
@@ -65,18 +66,25 @@ def unique_mainshocks(cat: DataFrame) -> DataFrame:
 
 
 def read_mainshocks(spark: SparkSession, path: str) -> DataFrame:
-    """Mainshock list with the origin time split in six columns."""
-    raw = spark.read.schema(MAINSHOCKS).option("header", True).csv(path)
-    t0 = F.make_timestamp_ntz("Year", "Month", "Day", "Hour", "Minute", F.col("Second").cast("decimal(8,6)"))
-    return raw.withColumn("t0_us", ntz_micros(t0)).select(
+    """Mainshock list with the origin time split in six columns, in any order.
+
+    The second may have a fraction. A damaged line, and a mainshock without a
+    readable time, are errors: every later result hangs on it.
+    """
+    raw = by_header(read_lines(spark, path), NEEDED["mainshocks"], OPTIONAL["mainshocks"])
+    whole = [number(c, "int") for c in ("Year", "Month", "Day", "Hour", "Minute")]
+    t0 = F.try_make_timestamp_ntz(*whole, number("Second", "decimal(8,6)"))
+    wrong = F.raise_error(F.concat(F.lit("mainshock without a time, or a damaged line, in "), F.col("source_file")))
+    t0_us = F.coalesce(F.when(F.col(CORRUPT).isNull(), ntz_micros(t0)), wrong.cast("bigint"))
+    return raw.withColumn("t0_us", t0_us).select(
         eq_stamp(F.col("t0_us")).alias("eq_id"),
         "t0_us",
-        F.col("Mag").alias("mainshock_mag"),
-        F.col("Depth").alias("mainshock_depth"),
-        F.col("Lat").alias("mainshock_lat"),
-        F.col("Lon").alias("mainshock_lon"),
+        number("Mag").alias("mainshock_mag"),
+        number("Depth").alias("mainshock_depth"),
+        number("Lat").alias("mainshock_lat"),
+        number("Lon").alias("mainshock_lon"),
         F.col("Source").alias("source"),
-        F.col("Year").alias("year"),
+        number("Year", "int").alias("year"),
     )
 
 

@@ -25,26 +25,21 @@ ISO_EVENTS = T.StructType(
     ]
 )
 
-# Mainshock list with the time split in six numbers.
-MAINSHOCKS = T.StructType(
-    [
-        *[T.StructField(n, T.IntegerType()) for n in ("Year", "Month", "Day", "Hour", "Minute", "Second")],
-        *_doubles("Mag", "Lat", "Lon", "Depth"),
-        *_strings("Source"),
-    ]
-)
-
 # Sequence files with separate date and time. Magnitude is text: files hold
 # entries that are not numbers.
 DATE_TIME_EVENTS = T.StructType(
     [*_strings("Date", "Time"), *_doubles("Lon", "Lat", "Depth"), *_strings("Mag", "MagType")]
 )
 
-
-def as_text(schema: T.StructType) -> T.StructType:
-    """The columns of ``schema`` as text, with a column for damaged lines."""
-    return T.StructType(_strings(*schema.names, CORRUPT))
-
-
-def numeric_columns(schema: T.StructType) -> list[str]:
-    return [f.name for f in schema.fields if isinstance(f.dataType, T.DoubleType)]
+# Column names of the inputs. Files need the first group, in any
+# order, and may lack the second.
+NEEDED = {
+    "iso": ("time", "latitude", "longitude", "mag"),
+    "date_time": ("Date", "Time", "Lon", "Lat", "Mag"),
+    "mainshocks": ("Year", "Month", "Day", "Hour", "Minute", "Second", "Mag", "Lat", "Lon"),
+}
+OPTIONAL = {
+    "iso": ("depth", "magType", "place"),
+    "date_time": ("Depth", "MagType"),
+    "mainshocks": ("Depth", "Source"),
+}

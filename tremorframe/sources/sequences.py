@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from tremorframe.functions.clock import parse_date_time_micros, parse_iso_micros
 from tremorframe.functions.scalar import digits14
-from tremorframe.sources.schemas import CORRUPT, DATE_TIME_EVENTS, ISO_EVENTS, as_text, numeric_columns
+from tremorframe.sources.lines import by_header, number, read_lines, unreadable
+from tremorframe.sources.schemas import CORRUPT, DATE_TIME_EVENTS, ISO_EVENTS, NEEDED, OPTIONAL
 
 # File name endings in front of which the 14-digit id stands.
 SUFFIX = {"iso": r"_seq\.csv", "date_time": r"_eq\.csv"}
+UNREADABLE = "_unreadable"
 
 
 def _schema(layout: str) -> T.StructType:
@@ -18,75 +20,59 @@ def _schema(layout: str) -> T.StructType:
     return ISO_EVENTS if layout == "iso" else DATE_TIME_EVENTS
 
 
-def to_events(raw: DataFrame, layout: str) -> DataFrame:
-    """Raw text rows with a ``source_file`` column as events.
+def to_events(lines: DataFrame, layout: str) -> DataFrame:
+    """Lines of sequence files (``value, source_file``) as events.
 
     ``event_id`` is a hash of sequence id and row content, so it does not depend
-    on how the files were split, on a retry or on the folder of the file.
-    ``_corrupt_record`` is set for lines with a wrong number of fields or a
-    number that is none. The reader's own test covers only the columns a query
-    happens to use, so the numbers are tested here.
+    on how the files were split, on the order of their columns, on a retry or on
+    the folder of the file. ``_corrupt_record`` is set for lines with a wrong
+    number of fields; a number that cannot be read is null, the row stays, and
+    ``_unreadable`` says so.
     """
     schema = _schema(layout)
-    number = {c: F.trim(c).try_cast("double") for c in [*numeric_columns(schema), "Mag"] if c in schema.names}
-    bad_number = F.lit(False)
-    for c in numeric_columns(schema):
-        bad_number = bad_number | ((F.trim(c) != "") & number[c].isNull())
-    whole_line = F.concat_ws(",", *schema.names)
+    raw = by_header(lines, NEEDED[layout], OPTIONAL[layout])
     if layout == "iso":
         t_us = parse_iso_micros(F.trim("time"))
         lat, lon, depth, mag, mag_type = "latitude", "longitude", "depth", "mag", "magType"
     else:
         t_us = parse_date_time_micros(F.col("Date"), F.col("Time"))
         lat, lon, depth, mag, mag_type = "Lat", "Lon", "Depth", "Mag", "MagType"
-
-    def value(c: str) -> Column:
-        return F.when(~F.isnan(number[c]), number[c])
-
+    bad: Column = F.lit(False)
+    for c in (lat, lon, depth, mag):
+        bad = bad | unreadable(c)
     eq_id = digits14(F.col("source_file"), SUFFIX[layout])
     return raw.select(
         eq_id.alias("eq_id"),
         F.xxhash64(eq_id, *schema.names).alias("event_id"),
         t_us.alias("t_us"),
-        value(lat).alias("lat"),
-        value(lon).alias("lon"),
-        value(depth).alias("depth"),
-        value(mag).alias("mag"),
+        number(lat).alias("lat"),
+        number(lon).alias("lon"),
+        number(depth).alias("depth"),
+        number(mag).alias("mag"),
         F.col(mag_type).alias("mag_type"),
-        F.coalesce(F.col(CORRUPT), F.when(bad_number, whole_line)).alias(CORRUPT),
+        F.col(CORRUPT),
+        bad.alias(UNREADABLE),
     )
 
 
-def read_raw_sequences(
-    spark: SparkSession, glob: str, layout: str = "iso", stream: bool = False, max_files: int | None = None
-) -> DataFrame:
-    reader = (spark.readStream if stream else spark.read).schema(as_text(_schema(layout)))
-    if stream and max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return (
-        reader.option("header", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        # else the number of fields is only checked for the columns in use
-        .option("columnPruning", False)
-        .csv(glob)
-        .withColumn("source_file", F.col("_metadata.file_path"))
-    )
+def well_formed(ev: DataFrame, strict: bool = True) -> DataFrame:
+    """Events without damaged lines; ``strict``: and with a time and a magnitude."""
+    ev = ev.filter(F.col(CORRUPT).isNull()).drop(CORRUPT, UNREADABLE)
+    return ev.na.drop(subset=["t_us", "mag"]) if strict else ev
 
 
 def read_sequences(
     spark: SparkSession, glob: str, layout: str = "iso", strict: bool = True, keep_malformed: bool = False
 ) -> DataFrame:
-    """Events of all files matching ``glob``.
+    """Events of all files matching ``glob``; the files may order their columns differently.
 
-    Malformed lines are dropped unless ``keep_malformed``, which returns them
-    with their text in ``_corrupt_record`` so that drops can be counted.
-    ``strict`` also drops rows without a time or magnitude.
+    Damaged lines are dropped unless ``keep_malformed``, which returns every
+    line, so that drops can be counted. ``strict`` also drops rows without a
+    time or magnitude.
     """
-    ev = to_events(read_raw_sequences(spark, glob, layout), layout)
-    if not keep_malformed:
-        ev = ev.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    return ev.na.drop(subset=["t_us", "mag"]) if strict and not keep_malformed else ev
+    _schema(layout)
+    ev = to_events(read_lines(spark, glob), layout)
+    return ev if keep_malformed else well_formed(ev, strict)
 
 
 def load_counts(ev: DataFrame) -> DataFrame:
@@ -97,6 +83,11 @@ def load_counts(ev: DataFrame) -> DataFrame:
 
 
 def malformed_counts(ev: DataFrame) -> DataFrame:
-    """``eq_id, n_malformed`` of a ``keep_malformed`` read."""
+    """``eq_id, n_malformed, n_unreadable`` of a ``keep_malformed`` read.
+
+    Damaged lines, and rows that stay with a number that could not be read.
+    """
     bad: Column = F.col(CORRUPT).isNotNull()
-    return ev.groupBy("eq_id").agg(F.count_if(bad).alias("n_malformed"))
+    return ev.groupBy("eq_id").agg(
+        F.count_if(bad).alias("n_malformed"), F.count_if(F.col(UNREADABLE) & ~bad).alias("n_unreadable")
+    )

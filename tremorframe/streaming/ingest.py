@@ -2,46 +2,61 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tremorframe.sources.schemas import CORRUPT
-from tremorframe.sources.sequences import read_raw_sequences, to_events
+from tremorframe.sources.lines import read_lines
+from tremorframe.sources.sequences import to_events, well_formed
+
+# Two rows with these equal are one event; the hash alone would not be enough.
+KEY = ["eq_id", "event_id", "t_us", "lat", "lon", "depth", "mag", "mag_type"]
+BUCKETS = 64
+
 
-KEY = ["eq_id", "event_id"]
+def _earlier(spark: SparkSession, sink: str, schema, batch_id: int, buckets: list[int]) -> DataFrame | None:
+    """Rows of other batches in the given buckets; whole folders are left out."""
+    try:
+        table = spark.read.parquet(sink)
+    except AnalysisException:
+        return None
+    old = table.filter((F.col("batch") != batch_id) & F.col("bucket").isin(buckets))
+    return old.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
 
 
 def stream_ingest(
-    spark: SparkSession,
-    path: str,
-    sink: str,
-    checkpoint: str,
-    layout: str = "iso",
-    max_files: int = 10_000,
-    dedupe: str = "batch",
+    spark: SparkSession, path: str, sink: str, checkpoint: str, layout: str = "iso", max_files: int = 10_000
 ) -> DataFrame:
     """Load the files of folder ``path`` not loaded yet into the Parquet table ``sink``.
 
     The checkpoint remembers which files were read, so a second run only takes
-    new ones, ``max_files`` per batch. Each batch overwrites its own folder: a
-    batch repeated after a failure leaves no duplicates. Repeated events are
-    removed inside a batch; ``dedupe='all'`` also removes those of earlier
-    batches and keeps every key in the state store for it. Returns the table.
+    new ones, ``max_files`` per batch. A batch holds whole files, so each is read
+    by its own header. Each batch overwrites its own folder: a batch repeated
+    after a failure leaves no duplicates. Events that the batch repeats, or that
+    another batch holds, are left out, so the table does not depend on
+    ``max_files``. For that the table lies in ``BUCKETS`` folders by sequence, and
+    a batch compares with the folders it touches; no state is kept elsewhere.
+    Returns the table.
     """
-    if dedupe not in ("batch", "all"):
-        raise ValueError("dedupe is batch or all")
-    raw = read_raw_sequences(spark, path, layout, stream=True, max_files=max_files)
-    ev = to_events(raw, layout).filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    ev = ev.na.drop(subset=["t_us", "mag"])
-    flow = ev.dropDuplicates(KEY) if dedupe == "all" else ev
+    lines = read_lines(spark, path, stream=True, max_files=max_files)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.dropDuplicates(KEY).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        new = well_formed(to_events(batch, layout)).dropDuplicates(KEY)
+        new = new.withColumn("bucket", F.pmod(F.xxhash64("eq_id"), F.lit(BUCKETS)).cast("int"))
+        session = batch.sparkSession
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]
+        old = _earlier(session, sink, new.drop("bucket").schema, batch_id, touched)
+        if old is not None:
+            same = reduce(lambda a, b: a & b, [new[c].eqNullSafe(old[c]) for c in KEY])
+            new = new.join(old, same, "left_anti")
+        new.write.mode("overwrite").partitionBy("bucket").parquet(f"{sink}/batch={batch_id}")
 
     query = (
-        flow.writeStream.foreachBatch(write)
+        lines.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(ev.schema).parquet(sink)
+    return spark.read.parquet(sink).drop("batch", "bucket")
