@@ -80,7 +80,7 @@ def test_forecast(spark, inputs, tmp_path):
     main([*args, out], spark)
     pred = spark.read.csv(f"{out}/predictions", header=True)
     assert pred.count() == 3 * N
-    assert len(glob.glob(f"{out}/submission/file_name=*")) == 2 * N
+    assert len(glob.glob(f"{out}/submission/*.csv")) == 2 * N
     main([*args, f"{out}/early", "--issue-time", "24"], spark)
     early = spark.read.csv(f"{out}/early/predictions", header=True)
     assert early.filter("window = 'T1' and source = 'S1_data'").count() > 0

@@ -7,6 +7,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from conftest import HOUR, T0, rows_of
 
 from tremorframe.functions.clock import DAY_US
@@ -185,18 +186,21 @@ def test_submission_lines_and_files(spark, predicted, tmp_path):
     ]
     assert [r["file_name"] for r in got] == ["20010909014640-T1-T2.csv"] * 2 + ["20010909014640-T3.csv"]
     cover = coverage(pred, lines).first()
-    assert (cover["n_rows"], cover["n_files"]) == (6, 2)
+    assert (cover["n_rows"], cover["n_files"]) == (6, 4)
     assert cover["data_share_pct"] == pytest.approx(100 * 4 / 6)
 
     only_a = submission_lines(pred.filter("eq_id = 'a'"), cat)
     path = write_submission(only_a, str(tmp_path / "out"))
-    folders = sorted(d for d in os.listdir(path) if d.startswith("file_name="))
-    assert folders == ["file_name=20010909014640-T1-T2.csv", "file_name=20010909014640-T3.csv"]
-    texts = []
-    for d in folders:
-        (part,) = [f for f in os.listdir(f"{path}/{d}") if f.startswith("part-")]
-        texts.append(open(f"{path}/{d}/{part}").read())
+    files = sorted(os.listdir(path))
+    assert files == ["20010909014640-T1-T2.csv", "20010909014640-T3.csv"]
+    texts = [open(f"{path}/{f}").read() for f in files]
     assert texts == ["".join(r["line"] + "\n" for r in got[:2]), got[2]["line"] + "\n"]
+    # the second mainshock of that second, and a window that is not among the usual ones
+    assert {r["file_name"] for r in lines.filter("eq_id = 'b'").collect()} == {
+        "20010909014640-2-T1-T2.csv", "20010909014640-2-T3.csv",
+    }
+    other = submission_lines(pred.filter("eq_id = 'a'").withColumn("window", F.lit("T9")), cat)
+    assert {r["file_name"] for r in other.collect()} == {"20010909014640-T9.csv"}
 
 
 def test_days_constant():

@@ -43,7 +43,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         parser.add_argument(f"--{name}")
     parser.add_argument("--out", required=True)
     parser.add_argument("--folds", default="5", help="number of folds, or loo")
-    parser.add_argument("--top", type=int, default=50, help="mainshocks per load, 0 for all")
+    parser.add_argument("--top", type=int, default=0, help="load the largest mainshocks only, 0 for all")
     parser.add_argument("--issue-time", type=float, help="hours after the mainshock")
     args = parser.parse_args(argv)
     missing = [n for n in NEEDS[args.job] if getattr(args, n) is None]

@@ -119,16 +119,17 @@ def associate(
     radius_deg: float = 3.0,
     hours: float = 168.0,
     min_mag: float = 2.0,
-    limit: int | None = 20_000,
+    limit: int | None = None,
     salt: int = 1,
 ) -> DataFrame:
-    """Events of each mainshock, at most ``limit`` newest ones (none: all)."""
+    """All events of each mainshock, or on request the ``limit`` newest ones."""
     pairs = candidate_pairs(cat, ev, radius_deg, hours, min_mag, salt)
     return pairs if limit is None else newest(pairs, limit)
 
 
-def associated_counts(pairs: DataFrame, limit: int = 20_000) -> DataFrame:
-    """``eq_id, n_events`` after the limit, without ranking anything."""
+def associated_counts(pairs: DataFrame, limit: int | None = None) -> DataFrame:
+    """``eq_id, n_events``, after the limit if one is asked for, without ranking anything."""
+    n = F.count("*")
     return pairs.groupBy("eq_id").agg(
-        F.least(F.count("*"), F.lit(limit).cast("bigint")).alias("n_events")
+        (n if limit is None else F.least(n, F.lit(limit).cast("bigint"))).alias("n_events")
     )

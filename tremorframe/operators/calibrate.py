@@ -72,9 +72,13 @@ def rj_a(
 
 
 def omori_bins(
-    enriched: DataFrame, min_mag: float = 4.0, max_days: float = 30.0, overflow: str = "clip"
+    enriched: DataFrame, min_mag: float = 4.0, max_days: float = 30.0, overflow: str = "clip", fill: bool = False
 ) -> DataFrame:
-    """``eq_id, bin, n`` counts per half day; later events go to the last bin or are dropped."""
+    """``eq_id, bin, n`` counts per half day; later events go to the last bin or are dropped.
+
+    Bins without an event are left out, or with ``fill`` counted as zero: every
+    sequence with aftershocks of any magnitude then has all its bins.
+    """
     if overflow not in ("clip", "drop"):
         raise ValueError("overflow is clip or drop")
     n_bins = int(round(max_days / BIN_DAYS))
@@ -82,11 +86,16 @@ def omori_bins(
     after = enriched.filter((F.col("t_us") > F.col("t0_us")) & (F.col("mag") >= min_mag))
     if overflow == "drop":
         after = after.filter(days <= max_days)
-    return (
+    bins = (
         after.withColumn("bin", F.least(F.floor(days / BIN_DAYS), F.lit(n_bins - 1)).cast("int"))
         .groupBy("eq_id", "bin")
         .agg(F.count("*").alias("n"))
     )
+    if not fill:
+        return bins
+    every = enriched.filter(F.col("t_us") > F.col("t0_us")).select("eq_id").distinct()
+    every = every.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))))
+    return every.join(bins, ["eq_id", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
 
 
 def omori_grid(n_c: int = 60, n_p: int = 45) -> tuple[np.ndarray, np.ndarray]:

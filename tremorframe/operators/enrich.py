@@ -31,15 +31,15 @@ def enrich(ev: DataFrame, cat: DataFrame, rule: str = "after_t0", precision: str
     if rule == "after_t0":
         joined = joined.filter(F.col("hours") > 0)
     elif rule == "first_row":
-        # one combined row per sequence and task reaches the shuffle
-        heads = ev.groupBy("eq_id").agg(
-            F.min(F.struct("t_us", "event_id")).alias("head")
-        )
-        joined = (
-            joined.join(heads, "eq_id")
-            .filter(F.struct("t_us", "event_id") != F.col("head"))
-            .drop("head")
+        # the least time by hash, and ids only among the events of that time:
+        # a minimum over both at once would sort all events
+        least = ev.groupBy("eq_id").agg(F.min("t_us").alias("_t"))
+        heads = (
+            ev.join(least, "eq_id").filter(F.col("t_us") == F.col("_t"))
+            .groupBy("eq_id", "_t").agg(F.min("event_id").alias("_id"))
         )
+        is_head = F.coalesce((F.col("t_us") == F.col("_t")) & (F.col("event_id") == F.col("_id")), F.lit(False))
+        joined = joined.join(heads, "eq_id", "left").filter(~is_head).drop("_t", "_id")
     return joined.withColumn(
         "dist_km",
         haversine_km(F.col("mainshock_lat"), F.col("mainshock_lon"), F.col("lat"), F.col("lon")),

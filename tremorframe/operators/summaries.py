@@ -39,13 +39,14 @@ def top_sequences(features: DataFrame, n: int = 10) -> DataFrame:
     are kept too, so ranking the n survivors gives the global rank.
     """
     top = (
-        features.select("eq_id", "mainshock_mag", "aftershock_count", "mag_max", "b_value")
+        features.select("eq_id", "year", "mainshock_mag", "aftershock_count", "mag_max", "b_value")
         .orderBy(F.col("aftershock_count").desc(), "eq_id")
         .limit(n)
     )
     over = Window.partitionBy(F.lit(0)).orderBy(F.col("aftershock_count").desc())
     return top.select(
         "eq_id",
+        "year",
         F.round("mainshock_mag", 1).alias("mag"),
         "aftershock_count",
         F.round("mag_max", 1).alias("max_aft_mag"),

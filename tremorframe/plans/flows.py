@@ -103,9 +103,9 @@ def _manifest(spark: SparkSession, store: str) -> DataFrame | None:
 
 
 def load_sequences(
-    raw_catalog: DataFrame, ev: DataFrame, store: str, n: int | None = 50, limit: int = 20_000
+    raw_catalog: DataFrame, ev: DataFrame, store: str, n: int | None = None, limit: int | None = None
 ) -> DataFrame:
-    """Associate events with the n largest mainshocks not loaded yet (``None``: with all).
+    """Associate events with all mainshocks not loaded yet, or with the n largest.
 
     Events go to ``store/events``, the status of each mainshock to
     ``store/manifest``. A load owns one ``load=`` folder in both and writes the

@@ -254,12 +254,13 @@ pred as (
 
 STAMP = "strftime(make_timestamp(t0_us), '%Y%m%d%H%M%S')"
 LINES = f"""lines as (
-  select pred.eq_id, {STAMP} || case when window = 'T3' then '-T3.csv' else '-T1-T2.csv' end as file_name,
+  select pred.eq_id, {STAMP} || case when nth > 1 then '-' || nth else '' end || case when window = 'T3' then '-T3.csv' else '-T1-T2.csv' end as file_name,
          cast(case when window = 'T2' then 2 else 1 end as integer) as line_no,
          {STAMP} || ' ' || printf('%.4f', mainshock_lon) || ' ' || printf('%.4f', mainshock_lat) || ' '
            || printf('%.1f', cat.mainshock_mag) || ' ' || printf('%.1f', pred_mag) || ' ' || mag_type
            || ' ' || pred_time as line
-  from pred join cat using (eq_id))"""
+  from pred join (select *, row_number() over (partition by {STAMP} order by eq_id) as nth from cat) cat
+    using (eq_id))"""
 
 PAIRS = f"""pairs as (
   select cat.eq_id, ev.event_id, ev.t_us, ev.mag,
@@ -365,7 +366,7 @@ from cat left join (select eq_id, count(*) as n from ev group by eq_id) using (e
   round(avg(b_value), 3) as avg_b, round(avg(ratio_24h), 3) as avg_24h_ratio
 from features group by 1 order by 1 desc""",
         "top_sequences": sample
-        + """select eq_id, round(mainshock_mag, 1) as mag, aftershock_count, round(mag_max, 1) as max_aft_mag,
+        + """select eq_id, year, round(mainshock_mag, 1) as mag, aftershock_count, round(mag_max, 1) as max_aft_mag,
   round(b_value, 3) as b_value, cast(rank_by_count as integer) as rank_by_count from (
   select *, rank() over (order by aftershock_count desc) as rank_by_count from features)
 order by aftershock_count desc, eq_id limit 10""",
@@ -416,7 +417,10 @@ on a.eq_id = s.eq_id and a.window = s.window and a.h = s.h""",
             _etas("joined", "slots", "(1/24::double)"),
         )
         + "select eq_id, window, round(etas_mag, 6) as etas_mag from etas",
-        "omori_bins": _with(*base, BINS) + "select eq_id, bin, n from bins",
+        "omori_bins": _with(*base, BINS)
+        + """select eq_id, cast(b as integer) as bin, coalesce(n, 0) as n
+from (select distinct eq_id from aft) cross join generate_series(0, 59) s(b)
+left join bins on bins.eq_id = aft.eq_id and bins.bin = b""".replace("aft.eq_id and", "ids.eq_id and").replace("from aft)", "from aft) ids").replace("select eq_id,", "select ids.eq_id as eq_id,", 1),
         "omori_fit": fit
         + "select eq_id, round(k, 6) as k, round(c, 6) as c, round(p, 6) as p, round(sse, 6) as sse from fit",
         "omori_medians": _with(*base, BINS, FIT, MEDIANS)
@@ -451,8 +455,10 @@ from truth left join pred using (eq_id, window)""",
   mag as mainshock_mag, depth as mainshock_depth, round(lat, 6) as mainshock_lat,
   round(lon, 6) as mainshock_lon, cast(year(make_timestamp(t_us)) as integer) as year from ev""",
         "catalog_mainshocks_unique": _with(EV)
-        + """select eq_id, mag as mainshock_mag, event_id as t0_us from (
-  select *, row_number() over (partition by eq_id order by mag desc, event_id desc) as rn
+        + """select eq_id, mag as mainshock_mag, t_us//1000000*1000000 as t0_us, round(lat, 6) as lat, round(lon, 6) as lon,
+  event_id as nr from (
+  select *, row_number() over (
+    partition by eq_id order by mag desc, t_us//1000000 desc, lat desc, lon desc, event_id desc) as rn
   from (select * exclude (eq_id), strftime(make_timestamp(t_us), '%Y%m%d%H%M%S') as eq_id from ev))
 where rn = 1""",
         "mainshocks_split_time": _with(EV, CAT)
@@ -484,11 +490,13 @@ from (select * from cat order by mainshock_mag desc, t0_us desc, eq_id limit 50)
   select {STAMP} as eq_id, count(*) as n from joined where depth is not null and mag < 4 group by 1)
 select {STAMP} as eq_id, mainshock_mag as mag, round(mainshock_lat, 6) as lat, round(mainshock_lon, 6) as lon,
   coalesce(n, 0) as n_events, case when n is null and n_malformed > 0 then 'parse_error'
-    when n is null then 'empty' when n >= 19900 then 'truncated' else 'ok' end as status
+    when n is null then 'empty' else 'ok' end as status
 from cat left join loaded on loaded.eq_id = {STAMP} left join malformed on malformed.eq_id = {STAMP}""",
         "sequences_date_time": _with(*base) + iso_events + " where depth is not null",
         "sequence_load_counts": "select count(*) as n_rows, count(distinct user_id) as n_sequences from events",
         "associate_space_time": _with(EV, CAT, PAIRS)
+        + "select eq_id, event_id, t_us, mag, round(arc_deg, 6) as arc_deg from pairs",
+        "associate_limit_20000": _with(EV, CAT, PAIRS)
         + """select eq_id, event_id, t_us, mag, round(arc_deg, 6) as arc_deg from (
   select *, row_number() over (partition by eq_id order by t_us desc, event_id desc) as rn from pairs)
 where rn <= 20000""",

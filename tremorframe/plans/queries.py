@@ -278,7 +278,7 @@ def etas_max_mag_days(t: Tables) -> DataFrame:
 
 @query
 def omori_bins(t: Tables) -> DataFrame:
-    return calibrate.omori_bins(t.after, OMORI_MIN_MAG)
+    return calibrate.omori_bins(t.after, OMORI_MIN_MAG, fill=True)
 
 
 @query
@@ -336,7 +336,8 @@ def submission_files(t: Tables) -> DataFrame:
     """The submission files written and read back, without the mainshock key."""
     lines = submission_lines(t.predictions(), t.cat)
     path = write_submission(lines, scratch_path(t.spark, "submission"))
-    return t.spark.read.text(path).select("file_name", F.col("value").alias("line"))
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    return t.spark.read.text(path).select(name.alias("file_name"), F.col("value").alias("line"))
 
 
 @query
@@ -366,7 +367,7 @@ def catalog_mainshocks(t: Tables) -> DataFrame:
 def catalog_mainshocks_unique(t: Tables) -> DataFrame:
     rows = t.ev.select(
         eq_stamp(F.col("t_us")).alias("eq_id"), F.col("mag").alias("mainshock_mag"),
-        F.col("event_id").alias("t0_us"),
+        (F.floor(F.col("t_us") / 1e6) * 1_000_000).alias("t0_us"), "lat", "lon", F.col("event_id").alias("nr"),
     )
     return unique_mainshocks(rows)
 
@@ -509,6 +510,12 @@ def associate_space_time(t: Tables) -> DataFrame:
     return associate(t.cat, t.ev).select("eq_id", "event_id", "t_us", "mag", "arc_deg")
 
 
+@query
+def associate_limit_20000(t: Tables) -> DataFrame:
+    """The limit on request."""
+    return associate(t.cat, t.ev, limit=20_000).select("eq_id", "event_id", "t_us", "mag", "arc_deg")
+
+
 @query
 def associate_salted(t: Tables) -> DataFrame:
     pairs = candidate_pairs(t.cat, t.ev, salt=4)

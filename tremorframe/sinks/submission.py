@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterator
+
+from pyarrow import fs
+from pyspark.sql import DataFrame, Row, Window, functions as F
 
 from tremorframe.functions.clock import eq_stamp
 
-# Which file and line a window is written to.
+# Which file and line a window is written to. Any other window has
+# a file of its own.
 FILE_OF_WINDOW = {"T1": ("T1-T2", 1), "T2": ("T1-T2", 2), "T3": ("T3", 1)}
 
 
@@ -14,19 +18,26 @@ def submission_lines(pred: DataFrame, cat: DataFrame) -> DataFrame:
     """``eq_id, file_name, line_no, line``.
 
     A line is ``id lon lat main_mag max_mag type yyyyMMddHH`` with the 14-digit
-    id of the mainshock second.
+    id of the mainshock second. Files are named by that id and the windows in
+    them; mainshocks after the first of a second carry their number as well, so
+    that each has files of its own.
     """
     where = F.create_map(
         *[F.lit(x) for w, (f, n) in FILE_OF_WINDOW.items() for x in (w, f"{f}|{n}")]
     )
-    place = F.split(where[F.col("window")], r"\|")
-    stamp = eq_stamp(F.col("t0_us"))
-    joined = pred.select("eq_id", "window", "pred_mag", "mag_type", "pred_time").join(
-        cat.select("eq_id", "t0_us", "mainshock_mag", "mainshock_lat", "mainshock_lon"), "eq_id"
+    place = F.split(F.coalesce(where[F.col("window")], F.concat("window", F.lit("|1"))), r"\|")
+    stamp = F.col("_stamp")
+    nth = F.row_number().over(Window.partitionBy("_stamp").orderBy("eq_id"))
+    mains = (
+        cat.select("eq_id", "t0_us", "mainshock_mag", "mainshock_lat", "mainshock_lon")
+        .withColumn("_stamp", eq_stamp(F.col("t0_us")))
+        .withColumn("_nth", nth)
     )
+    joined = pred.select("eq_id", "window", "pred_mag", "mag_type", "pred_time").join(mains, "eq_id")
+    number = F.when(F.col("_nth") > 1, F.concat(F.lit("-"), F.col("_nth"))).otherwise("")
     return joined.select(
         "eq_id",
-        F.concat(stamp, F.lit("-"), place[0], F.lit(".csv")).alias("file_name"),
+        F.concat(stamp, number, F.lit("-"), place[0], F.lit(".csv")).alias("file_name"),
         place[1].cast("int").alias("line_no"),
         F.concat_ws(
             " ",
@@ -42,20 +53,21 @@ def submission_lines(pred: DataFrame, cat: DataFrame) -> DataFrame:
 
 
 def write_submission(lines: DataFrame, path: str) -> str:
-    """One folder ``file_name=...`` per submission file, its lines in order.
+    """One file per ``file_name``, its lines in order.
 
-    Rows are spread by file, so all lines of a file meet in one task; a file has
-    at most two lines per mainshock of its second.
+    All lines of a file, few, meet in one task, which writes it in one piece; a
+    repeated task writes the same again.
     """
-    (
-        lines.select("file_name", "line_no", "eq_id", F.col("line").alias("value"))
-        .repartition("file_name")
-        .sortWithinPartitions("file_name", "eq_id", "line_no")
-        .select("file_name", "value")
-        .write.mode("overwrite")
-        .partitionBy("file_name")
-        .text(path)
-    )
+
+    def write(rows: Iterator[Row]) -> None:
+        store, base = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+        store.create_dir(base)
+        for row in rows:
+            with store.open_output_stream(f"{base}/{row['file_name']}", compression=None) as out:
+                out.write("".join(f"{x['line']}\n" for x in row["lines"]).encode())
+
+    ordered = F.sort_array(F.collect_list(F.struct("line_no", "line")))
+    lines.groupBy("file_name").agg(ordered.alias("lines")).foreachPartition(write)
     return path
 
 

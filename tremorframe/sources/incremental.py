@@ -15,15 +15,15 @@ def new_only(cat: DataFrame, manifest: DataFrame, key: str = "eq_id") -> DataFra
 def ingest_status(
     cat: DataFrame,
     counts: DataFrame,
-    limit: int = 20_000,
+    limit: int | None = None,
     cached: DataFrame | None = None,
     malformed: DataFrame | None = None,
 ) -> DataFrame:
     """``eq_id, n_events, status`` per mainshock.
 
     ``counts`` is ``eq_id, n_events`` of this load, ``cached`` the same for
-    earlier loads, ``malformed`` is ``eq_id, n_malformed``. Counts within 100 of
-    the limit are taken as cut off. A sequence of which only malformed rows
+    earlier loads, ``malformed`` is ``eq_id, n_malformed``. Where a limit was asked
+    for, counts within 100 of it are taken as cut off. A sequence of which only malformed rows
     arrived is a parse error.
     """
     rows = cat.select("eq_id", "mainshock_mag", "mainshock_lat", "mainshock_lon").join(
@@ -46,7 +46,7 @@ def ingest_status(
         F.when(n_old.isNotNull(), "cached")
         .when((n_new == 0) & (n_bad > 0), "parse_error")
         .when(n_new == 0, "empty")
-        .when(n_new >= limit - 100, "truncated")
+        .when(F.lit(False) if limit is None else n_new >= limit - 100, "truncated")
         .otherwise("ok")
         .alias("status"),
     )
