@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import os
 
 import numpy as np
 import pytest
@@ -103,6 +104,29 @@ def test_load_twice(spark, inputs, tmp_path):
     assert spark.read.parquet(f"{store}/events").count() > first
 
 
+def test_ingest_load_and_reports(spark, inputs, tmp_path):
+    raw, store, out = (str(tmp_path / d) for d in ("raw", "store", "out"))
+    main(["ingest", "--sequences", f"{inputs}/*_seq.csv", "--out", raw], spark)
+    main(["load", "--catalog", f"{inputs}/catalog.csv", "--events", f"{raw}/events", "--malformed", f"{raw}/malformed", "--out", store], spark)
+    manifest = spark.read.parquet(f"{store}/manifest")
+    assert manifest.count() == N
+    main(["reports", "--catalog", f"{inputs}/catalog.csv", "--events", f"{store}/events", "--out", out], spark)
+    counts = {r["eq_id"]: r["n_events"] for r in manifest.collect()}
+    features = spark.read.parquet(f"{out}/features").collect()
+    assert len(features) == N and sum(r["aftershock_count"] for r in features) > 0
+    assert all(r["aftershock_count"] <= counts[r["eq_id"]] for r in features)
+    assert spark.read.csv(f"{out}/top_sequences", header=True).columns[1] == "year"
+    with pytest.raises(SystemExit):
+        main(["reports", "--catalog", f"{inputs}/catalog.csv", "--out", out], spark)
+
+
+def test_a_job_removes_its_scratch_tables(spark, inputs, tmp_path):
+    root = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(root))
+    main(["explore", "--catalog", f"{inputs}/catalog.csv", "--mainshocks", f"{inputs}/mains.csv", "--sequences", f"{inputs}/*_eq.csv", "--out", str(tmp_path)], spark)
+    assert set(os.listdir(root)) == before
+
+
 def test_missing_arguments(spark):
     with pytest.raises(SystemExit):
         main(["forecast", "--out", "x"], spark)

@@ -3,11 +3,14 @@
     python -m tremorframe explore  --catalog C --mainshocks M --sequences 'S/*_eq.csv' --out O
     python -m tremorframe features --mainshocks M --sequences 'S/*_eq.csv' --out O
     python -m tremorframe train    --features O/features --out O --folds loo
-    python -m tremorframe load     --catalog C --events E --out STORE
+    python -m tremorframe ingest   --sequences 'S/*_seq.csv' --out RAW
+    python -m tremorframe load     --catalog C --events RAW/events --malformed RAW/malformed --out STORE
     python -m tremorframe forecast --mainshocks M --sequences 'S/*_eq.csv' --out O
+    python -m tremorframe reports  --catalog C --events STORE/events --out O
     python -m tremorframe reports  --catalog C --sequences 'S/*_seq.csv' --out O
 
-``--events`` is a Parquet table in engine columns, all other inputs are CSV.
+``--events`` is a Parquet table in engine columns (or a ``.csv`` of them), ``--malformed`` a Parquet table that
+``ingest`` wrote, all other inputs are CSV.
 """
 
 from __future__ import annotations
@@ -30,16 +33,17 @@ NEEDS = {
     "explore": ("catalog", "mainshocks", "sequences"),
     "features": ("mainshocks", "sequences"),
     "train": ("features",),
+    "ingest": ("sequences",),
     "load": ("catalog", "events"),
     "forecast": ("mainshocks", "sequences"),
-    "reports": ("catalog", "sequences"),
+    "reports": ("catalog",),
 }
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     parser = argparse.ArgumentParser(prog="tremorframe", description=__doc__.splitlines()[0])
     parser.add_argument("job", choices=sorted(NEEDS))
-    for name in ("catalog", "mainshocks", "sequences", "features", "events"):
+    for name in ("catalog", "mainshocks", "sequences", "features", "events", "malformed"):
         parser.add_argument(f"--{name}")
     parser.add_argument("--out", required=True)
     parser.add_argument("--folds", default="5", help="number of folds, or loo")
@@ -49,6 +53,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     missing = [n for n in NEEDS[args.job] if getattr(args, n) is None]
     if missing:
         parser.error(f"{args.job} needs --" + " --".join(missing))
+    if args.job == "reports" and (args.events is None) == (args.sequences is None):
+        parser.error("reports needs either --events or --sequences")
 
     spark = spark or SparkSession.builder.appName(f"tremorframe-{args.job}").getOrCreate()
 
@@ -68,15 +74,20 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif args.job == "load":
         top = args.top or None
         flows.load_sequences(
-            read_catalog(spark, args.catalog), spark.read.parquet(args.events), args.out, top
+            read_catalog(spark, args.catalog), flows.stored_events(spark, args.events), args.out, top,
+            malformed=spark.read.parquet(args.malformed) if args.malformed else None,
         ).show()
+    elif args.job == "ingest":
+        layout = "iso" if args.sequences.endswith("_seq.csv") else "date_time"
+        flows.ingest(spark, args.sequences, args.out, layout).show()
     elif args.job == "forecast":
         cat = read_mainshocks(spark, args.mainshocks)
         flows.forecast_all(sequences(), cat, args.out, args.issue_time).show()
     else:
         clean = clean_catalog(read_catalog(spark, args.catalog), ordered=False)
         cat = unique_mainshocks(mainshocks_from_catalog(clean))
-        flows.extract_features(sequences(False), cat, args.out, "spark")
+        ev = flows.stored_events(spark, args.events) if args.events else sequences(False)
+        flows.extract_features(ev, cat, args.out, "spark")
 
 
 if __name__ == "__main__":

@@ -6,16 +6,19 @@ to mainshocks once however many results are taken from them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from tremorframe.operators import calibrate, forecast, models, summaries
 from tremorframe.operators.associate import associate, associated_counts
 from tremorframe.operators.enrich import enrich, seq_stats, valid_events
 from tremorframe.operators.features import seq_features
-from tremorframe.session import stage_table, tune
+from tremorframe.session import job_scratch, settled, stage_table, tune
 from tremorframe.sinks.submission import coverage, submission_lines, write_submission
-from tremorframe.sinks.tables import read_back_count, write_table
+from tremorframe.sinks.tables import read_back_count, write_event_table, write_table
 from tremorframe.sources.catalog import (
     clean_catalog,
     mainshocks_from_catalog,
@@ -23,11 +26,30 @@ from tremorframe.sources.catalog import (
     unique_mainshocks,
 )
 from tremorframe.sources.incremental import ingest_status, ingest_summary, new_only
+from tremorframe.sources.sequences import load_counts, malformed_counts, read_sequences
+from tremorframe.streaming.ingest import stream_ingest
+
+# Columns of a store's events written as CSV.
+STORED = (
+    "eq_id string, event_id bigint, t_us bigint, lat double, lon double, depth double, mag double, "
+    "mag_type string, arc_deg double"
+)
+
+
+def job(flow: Callable) -> Callable:
+    """A flow whose scratch tables go when it ends; its first argument is a DataFrame."""
+
+    @wraps(flow)
+    def run(first: DataFrame, *args, **options):
+        with job_scratch(tune(first.sparkSession)):
+            return flow(first, *args, **options)
+
+    return run
 
 
+@job
 def explore(raw_catalog: DataFrame, ev: DataFrame, cat: DataFrame, out: str) -> None:
     """Clean the catalog, count the sequences, and write the data of the overview charts."""
-    tune(raw_catalog.sparkSession)
     clean = stage_table(clean_catalog(raw_catalog, ordered=False), "clean")
     write_table(clean.orderBy(F.col("t_us").desc()), f"{out}/catalog_clean", "csv")
     stats = stage_table(seq_stats(ev, cat), "stats")
@@ -41,6 +63,7 @@ def explore(raw_catalog: DataFrame, ev: DataFrame, cat: DataFrame, out: str) ->
         write_table(result, f"{out}/{name}", "csv", single_file=True)
 
 
+@job
 def extract_features(
     ev: DataFrame, cat: DataFrame, out: str, flavor: str = "exact", rule: str = "after_t0"
 ) -> DataFrame:
@@ -48,16 +71,13 @@ def extract_features(
 
     The ``spark`` flavor also writes its four reports and the scaled vectors.
     """
-    tune(ev.sparkSession)
     precision = "second" if flavor == "spark" else "micro"
     seen = enrich(ev, cat, rule, precision).select("eq_id", "mag", "depth", "hours", "dist_km")
     rows = seq_features(stage_table(seen, "enriched"), cat, flavor)
     spark = ev.sparkSession
-    if flavor == "spark":
-        write_table(rows, f"{out}/features", partition_by=["year"])
-    else:
-        write_table(rows, f"{out}/features")
-    read_back_count(spark, f"{out}/features")
+    written = Observation()
+    write_table(rows, f"{out}/features", partition_by=["year"] if flavor == "spark" else (), counted=written)
+    read_back_count(spark, f"{out}/features", written.get["n"])
     features = spark.read.parquet(f"{out}/features").select(*rows.columns)
     write_table(features, f"{out}/features_csv", "csv")
     if flavor == "spark":
@@ -74,9 +94,9 @@ def extract_features(
     return features
 
 
+@job
 def train(features: DataFrame, out: str, folds: int | str = 5) -> DataFrame:
     """Compare the four models, save the best one, and return the metrics."""
-    tune(features.sparkSession)
     parts = [models.regression_metrics(models.cross_predict(features, m, folds)) for m in models.MODELS]
     metrics = parts[0]
     for part in parts[1:]:
@@ -92,7 +112,7 @@ def train(features: DataFrame, out: str, folds: int | str = 5) -> DataFrame:
         if model in trees:
             top = models.importances(fitted)
             write_table(top, f"{out}/importances_{model}", "csv", single_file=True)
-    return metrics
+    return settled(metrics)
 
 
 def _manifest(spark: SparkSession, store: str) -> DataFrame | None:
@@ -102,17 +122,24 @@ def _manifest(spark: SparkSession, store: str) -> DataFrame | None:
         return None
 
 
+@job
 def load_sequences(
-    raw_catalog: DataFrame, ev: DataFrame, store: str, n: int | None = None, limit: int | None = None
+    raw_catalog: DataFrame,
+    ev: DataFrame,
+    store: str,
+    n: int | None = None,
+    limit: int | None = None,
+    malformed: DataFrame | None = None,
 ) -> DataFrame:
     """Associate events with all mainshocks not loaded yet, or with the n largest.
 
     Events go to ``store/events``, the status of each mainshock to
     ``store/manifest``. A load owns one ``load=`` folder in both and writes the
     manifest last, so a load that failed half way is simply written again.
+    ``malformed`` (``eq_id, n_malformed``) tells parse errors from empty sequences.
     Returns the summary of the load.
     """
-    spark = tune(raw_catalog.sparkSession)
+    spark = raw_catalog.sparkSession
     cat = unique_mainshocks(mainshocks_from_catalog(clean_catalog(raw_catalog, ordered=False)))
     cat = stage_table(cat if n is None else top_mainshocks(cat, n), "mainshocks")
     done = _manifest(spark, store)
@@ -124,12 +151,13 @@ def load_sequences(
     pairs = associate(fresh, ev, limit=limit)
     write_table(pairs, f"{store}/events/load={load}")
     found = spark.read.schema(pairs.schema).parquet(f"{store}/events/load={load}")
-    status = ingest_status(cat, associated_counts(found, limit), limit, cached)
+    status = ingest_status(cat, associated_counts(found, limit), limit, cached, malformed)
     status = stage_table(status, "status")
     write_table(status.filter("status <> 'cached'"), f"{store}/manifest/load={load}")
-    return ingest_summary(status)
+    return settled(ingest_summary(status))
 
 
+@job
 def forecast_all(
     ev: DataFrame, cat: DataFrame, out: str, issue_time_h: float | None = None
 ) -> DataFrame:
@@ -137,7 +165,6 @@ def forecast_all(
 
     Returns the coverage row.
     """
-    tune(ev.sparkSession)
     columns = ["eq_id", "event_id", "t_us", "t0_us", "mag", "mag_type", "mainshock_mag"]
     joined = stage_table(enrich(valid_events(ev), cat, "all").select(*columns), "joined")
     known = joined
@@ -153,4 +180,28 @@ def forecast_all(
     write_table(forecast.prediction_report(pred, cat), f"{out}/prediction_report", "csv")
     lines = submission_lines(pred, cat)
     write_submission(lines, f"{out}/submission")
-    return coverage(pred, lines)
+    return settled(coverage(pred, lines))
+
+
+def ingest(
+    spark: SparkSession, sequences: str, out: str, layout: str = "iso", max_files: int = 10_000
+) -> DataFrame:
+    """Stream the sequence files not read yet into ``out/stream``, and lay all events out for loads.
+
+    Writes the damaged lines by sequence to ``out/malformed`` and the table
+    ``out/events`` in ranges of sequence and time, which ``load`` takes. Returns
+    the number of rows and sequences.
+    """
+    tune(spark)
+    loaded = stream_ingest(spark, sequences, f"{out}/stream", f"{out}/checkpoint", layout, max_files)
+    write_event_table(loaded, f"{out}/events")
+    everything = read_sequences(spark, sequences, layout, keep_malformed=True)
+    write_table(malformed_counts(everything).filter("n_malformed + n_unreadable > 0"), f"{out}/malformed")
+    return load_counts(spark.read.parquet(f"{out}/events"))
+
+
+def stored_events(spark: SparkSession, path: str) -> DataFrame:
+    """Events of all loads in a store, or of any Parquet or CSV table in engine columns."""
+    if path.endswith(".csv"):
+        return spark.read.csv(path, header=True, schema=STORED)
+    return spark.read.parquet(path)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,7 +69,35 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the scratch root."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if _OPEN_JOBS:
+        _OPEN_JOBS[-1].append(path)
+    return path
+
+
+_OPEN_JOBS: list[list[str]] = []
+
+
+@contextmanager
+def job_scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the scratch tables made inside when the job ends, also after an error.
+
+    What the job returns must not read them any more, see ``settled``.
+    """
+    made: list[str] = []
+    _OPEN_JOBS.append(made)
+    try:
+        yield
+    finally:
+        _OPEN_JOBS.remove(made)
+        for path in made:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def settled(report: DataFrame) -> DataFrame:
+    """A report of a few rows, computed now."""
+    return report.sparkSession.createDataFrame(report.collect(), report.schema)
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
-
+from pyspark.sql import DataFrame, Observation, functions as F
 
 
 def write_table(
@@ -15,9 +14,13 @@ def write_table(
     partition_by: Sequence[str] = (),
     single_file: bool = False,
     mode: str = "overwrite",
+    counted: Observation | None = None,
 ) -> str:
     """Write ``df`` as Parquet or CSV with header.
 
+    ``counted`` receives the number of rows written as ``n``, without a second
+    computation.
+
     Partitioned writes rebalance on the partition columns first: few files per
     folder, and AQE splits a folder that is too large for one task.
     ``single_file`` is for small exports only.
@@ -28,6 +31,8 @@ def write_table(
         df = df.hint("rebalance", *partition_by)
     if single_file:
         df = df.coalesce(1)
+    if counted is not None:
+        df = df.observe(counted, F.count(F.lit(1)).alias("n"))
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
