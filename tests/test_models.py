@@ -62,10 +62,29 @@ def test_a_single_fold_is_refused(data):
         models.cross_predict(df.filter("eq_id = 'e01'"), "Ridge", 3, COLS)
 
 
-def test_leave_one_out_is_for_small_data(spark):
-    many = spark.range(60).select(F.col("id").alias("eq_id"))
-    with pytest.raises(ValueError):
-        models.with_folds(many, "loo")
+def test_leave_one_out_has_no_limit_on_rows(data, spark):
+    """A row's own products are subtracted inside its task: the same as a fold for every row."""
+    df, *_ = data
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 4))
+    x[:, 3] = 7.0  # a constant column has no say
+    n = np.round(10 ** (2 + 0.3 * x[:, 0] - 0.2 * x[:, 1] + 0.1 * rng.normal(size=300))).astype(int)
+    many = spark.createDataFrame(
+        [(f"e{i:03d}", int(n[i]), *map(float, x[i])) for i in range(300)],
+        "eq_id string, aftershock_count bigint, f0 double, f1 double, f2 double, f3 double",
+    )
+    got = {r["eq_id"]: r["y_hat"] for r in models.cross_predict(many, "Ridge", "loo", COLS).collect()}
+    keep = np.arange(300) != 17
+    want = linear(x[keep][:, :3], np.log10(n)[keep], 1.0, False)(x[17][:3])
+    assert len(got) == 300 and got["e017"] == pytest.approx(want, abs=1e-9)
+
+
+def test_lasso_weights_are_optimal(data):
+    df, *_ = data
+    rows = models.training_rows(df, COLS)
+    assert all(r["optimal"] for r in models.cross_predict_linear(rows, "Lasso", "loo", COLS).collect())
+    folds = models.with_folds(rows, 4)
+    assert all(r["optimal"] for r in models.cross_predict_linear(folds, "Lasso", 4, COLS).collect())
 
 
 def test_trees_fit_better_than_the_mean(data):

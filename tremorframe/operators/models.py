@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -33,7 +36,11 @@ VECTOR_COLUMNS = [
 ]
 TARGET = "aftershock_count"
 MODELS = ("Ridge", "Lasso", "RandomForest", "GradientBoosting")
-LOO_MAX_ROWS = 50
+LINEAR = ("Ridge", "Lasso")
+# Settings the models are defined by.
+RIDGE_ALPHA, LASSO_ALPHA = 1.0, 0.1
+# Below this deviation, against that of all rows, a column counts as constant.
+CONSTANT = 1e-5
 _MEMORY = 256
 
 
@@ -50,15 +57,16 @@ def estimator(model: str, n: int, label_std: float):
 
     The linear models use the normal equations: one pass over the data however
     many rows. MLlib scales features by population deviation there, and divides
-    the L2 weight by the label deviation, which ``regParam`` undoes.
+    the L2 weight by the label deviation, which ``regParam`` undoes. All numbers
+    here are fixed values of the models.
     """
     if model == "Ridge":
         return LinearRegression(
-            solver="normal", elasticNetParam=0.0, regParam=1.0 * label_std / n, standardization=True
+            solver="normal", elasticNetParam=0.0, regParam=RIDGE_ALPHA * label_std / n, standardization=True
         )
     if model == "Lasso":
         return LinearRegression(
-            solver="normal", elasticNetParam=1.0, regParam=0.1, maxIter=5000, tol=1e-10, standardization=True
+            solver="normal", elasticNetParam=1.0, regParam=LASSO_ALPHA, maxIter=5000, tol=1e-10, standardization=True
         )
     if model == "RandomForest":
         return RandomForestRegressor(
@@ -72,18 +80,10 @@ def estimator(model: str, n: int, label_std: float):
     raise ValueError(f"model must be one of {MODELS}")
 
 
-def with_folds(rows: DataFrame, folds: int | str) -> DataFrame:
-    """Add ``fold``: a hash share of the ids, or one fold per row for ``'loo'``.
-
-    Leaving one out fits a model per row, so it is refused above 50 rows.
-    """
-    if folds == "loo":
-        n = rows.limit(LOO_MAX_ROWS + 1).count()
-        if n > LOO_MAX_ROWS:
-            raise ValueError(f"leave-one-out needs at most {LOO_MAX_ROWS} rows; use k folds")
-        order = Window.partitionBy(F.lit(0)).orderBy("eq_id")
-        return rows.withColumn("fold", F.row_number().over(order) - 1)
-    return rows.withColumn("fold", F.pmod(F.xxhash64("eq_id"), F.lit(int(folds))).cast("int"))
+def with_folds(rows: DataFrame, folds: int) -> DataFrame:
+    """Add ``fold``, a share of the ids by their MD5 sum, which any engine can state."""
+    share = F.conv(F.substring(F.md5(F.col("eq_id").cast("string")), 1, 8), 16, 10).cast("bigint")
+    return rows.withColumn("fold", F.pmod(share, F.lit(folds)).cast("int"))
 
 
 def _fit(train: DataFrame, model: str, cols: list[str], n: int, label_std: float) -> PipelineModel:
@@ -91,6 +91,104 @@ def _fit(train: DataFrame, model: str, cols: list[str], n: int, label_std: float
     return Pipeline(stages=[vector, estimator(model, n, label_std)]).fit(train)
 
 
+def solve(sums: np.ndarray, model: str, start: np.ndarray | None = None) -> tuple[np.ndarray, bool]:
+    """Weights of the columns and the intercept from a matrix of sums, and whether they are optimal.
+
+    ``sums`` adds up the outer products of ``(columns, label, 1)``. Columns are
+    scaled by the mean and deviation of the rows in the sums, as a model fitted
+    on those rows alone would do.
+    """
+    k, n = len(sums) - 2, sums[-1, -1]
+    mean, label = sums[:k, -1] / n, sums[k, -1] / n
+    spread = np.sqrt(np.maximum(np.diag(sums)[:k] / n - mean**2, 0))
+    scale = np.where(spread > CONSTANT, spread, np.inf)
+    inner = (sums[:k, :k] / n - np.outer(mean, mean)) / np.outer(scale, scale)
+    toward = (sums[:k, k] / n - mean * label) / scale
+    if model == "Ridge":
+        w = np.linalg.solve(inner + RIDGE_ALPHA / n * np.eye(k), toward)
+        good = bool(np.abs(inner @ w + RIDGE_ALPHA / n * w - toward).max(initial=0) < 1e-6)
+    else:
+        w = np.zeros(k) if start is None else np.where(np.isfinite(scale), start[:k] * scale, 0.0)
+        size = np.diag(inner)
+        for _ in range(20_000):
+            before = w.copy()
+            for j in np.flatnonzero(size > 0):
+                rho = toward[j] - inner[j] @ w + size[j] * w[j]
+                w[j] = np.sign(rho) * max(abs(rho) - LASSO_ALPHA, 0.0) / size[j]
+            if np.abs(w - before).max(initial=0) < 1e-12:
+                break
+        slope = toward - inner @ w
+        good = bool(np.where(w != 0, np.abs(slope - LASSO_ALPHA * np.sign(w)), np.abs(slope) - LASSO_ALPHA).max(initial=0) < 1e-6)
+    weights = np.where(np.isfinite(scale), w / scale, 0.0)
+    return np.append(weights, label - weights @ mean), good
+
+
+def cross_predict_linear(rows: DataFrame, model: str, folds: int | str, cols: list[str]) -> DataFrame:
+    """``eq_id, model, y, y_hat, optimal`` without a fit per fold.
+
+    One pass adds up the normal equations, by fold; a fold is left out by
+    subtracting its sums. Leaving one out subtracts a row's own products inside
+    its task, so any number of rows takes two passes.
+    """
+    first = rows.agg(
+        F.count("*").alias("n"), F.avg("label").alias("label"),
+        *[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols],
+    ).first()
+    mean = np.array([first[f"m_{c}"] or 0.0 for c in cols])
+    spread = np.array([first[f"s_{c}"] or 0.0 for c in cols])
+    scale = np.where(spread > CONSTANT * np.maximum(np.abs(mean), 1e-12), spread, np.inf)
+    label, k = first["label"] or 0.0, len(cols)
+    one_out = folds == "loo"
+
+    def vectors(part: pd.DataFrame) -> np.ndarray:
+        """Columns near mean 0 and deviation 1, so that subtracting sums loses no digits."""
+        z = (part[cols].to_numpy(float) - mean) / scale
+        return np.column_stack([z, part["label"].to_numpy(float) - label, np.ones(len(part))])
+
+    def add_up(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            v = vectors(part)
+            for fold in part["fold"].unique():
+                mine = v[(part["fold"] == fold).to_numpy()]
+                yield pd.DataFrame({"fold": [fold], "sums": [(mine.T @ mine).ravel()]})
+
+    numbered = rows.withColumn("fold", F.lit(0)) if one_out else rows
+    per_cell = (
+        numbered.select("fold", "label", *cols)
+        .mapInPandas(add_up, "fold int, sums array<double>")
+        .select("fold", F.posexplode("sums").alias("cell", "value"))
+        .groupBy("fold", "cell")
+        .agg(F.sum("value").alias("value"))
+        .collect()  # one matrix per fold
+    )
+    sums = {f: np.zeros((k + 2) ** 2) for f in {r["fold"] for r in per_cell}}
+    for r in per_cell:
+        sums[r["fold"]][r["cell"]] = r["value"]
+    sums = {f: s.reshape(k + 2, k + 2) for f, s in sums.items()}
+    if first["n"] < 2 or not one_out and len(sums) < 2:
+        raise ValueError("too few complete rows for more than one fold")
+    total = sum(sums.values())
+    start, _ = solve(total, model)
+    of_fold = {} if one_out else {f: solve(total - s, model, start) for f, s in sums.items()}
+
+    def predict(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            v = vectors(part)
+            fits = [
+                solve(total - np.outer(x, x), model, start) if one_out else of_fold[f]
+                for x, f in zip(v, part["fold"])
+            ]
+            guess = [x[:k] @ w[:k] + w[k] + label for x, (w, _) in zip(v, fits)]
+            yield pd.DataFrame(
+                {"eq_id": part["eq_id"], "model": model, "y": part["label"], "y_hat": guess, "optimal": [g for _, g in fits]}
+            )
+
+    kind = rows.schema["eq_id"].dataType.simpleString()
+    return numbered.select("eq_id", "label", "fold", *cols).mapInPandas(
+        predict, f"eq_id {kind}, model string, y double, y_hat double, optimal boolean"
+    )
+
+
 def cross_predict(
     features: DataFrame,
     model: str,
@@ -100,9 +198,21 @@ def cross_predict(
 ) -> DataFrame:
     """``eq_id, model, y, y_hat``: each row predicted by a model that has not seen its fold.
 
-    The rows are written out once: every fit reads them from there.
+    ``folds='loo'`` leaves one row out; the trees then fit a model per row. The
+    rows are written out once: every fit reads them from there.
     """
-    rows = stage_table(with_folds(training_rows(features, cols), folds), "folds")
+    rows = training_rows(features, cols)
+    if folds != "loo":
+        rows = stage_table(with_folds(rows, int(folds)), "folds")
+    elif model in LINEAR:
+        rows = stage_table(rows, "folds")
+    else:
+        numbers = rows.select("eq_id").distinct().withColumn(
+            "fold", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("eq_id")) - 1
+        )
+        rows = stage_table(rows.join(numbers, "eq_id"), "folds")
+    if model in LINEAR:
+        return cross_predict_linear(rows, model, folds, cols).drop("optimal")
     per_fold = (
         rows.groupBy("fold")
         .agg(F.count("*").alias("n"), F.sum("label").alias("s"), F.sum(F.col("label") ** 2).alias("ss"))
@@ -167,6 +277,10 @@ def save_model(model: PipelineModel, path: str) -> str:
     return path
 
 
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def importances(model: PipelineModel, top: int = 15) -> DataFrame:
     """``feature, importance`` of a tree model, most important first."""
     vector, fitted = model.stages

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import re
 
-from tremorframe.operators.models import VECTOR_COLUMNS
-from tremorframe.plans.queries import DIGITS, LOADED_BEFORE_US, OMORI_MIN_MAG
+from tremorframe.operators.models import MODELS, REGRESSION_COLUMNS, VECTOR_COLUMNS
+from tremorframe.plans.queries import CV_FOLDS, DIGITS, LOADED_BEFORE_US, OMORI_MIN_MAG
 
 D01 = "cast('0.1' as double)"
 
@@ -315,11 +315,69 @@ MALFORMED = f"""malformed as (
 """
 
 
+def _models() -> str:
+    """Complete rows, their folds, and Ridge with one row left out, by elimination."""
+    cols = REGRESSION_COLUMNS
+    vector = ", ".join(f"cast({c} as double)" for c in cols)
+    complete = " and ".join(f"{c} is not null" for c in cols)
+    return f"""rows_ as (
+  select eq_id, log10(aftershock_count::double) as y, [{vector}] as x,
+    ('0x' || substr(md5(eq_id::varchar), 1, 8))::bigint % {CV_FOLDS} as fold
+  from features where aftershock_count > 0 and {complete})"""
+
+
+RIDGE = f"""long_ as (
+  select eq_id, y, unnest(x) as x, unnest(range(1, {len(REGRESSION_COLUMNS)} + 1)) as j from rows_),
+shift as (
+  select j, avg(x) as m, stddev_pop(x) as s from long_ group by j),
+scaled as (
+  select eq_id, j, case when s > 1e-5 * greatest(abs(m), 1e-12) then (x - m) / s else 0 end as z from long_ join shift using (j)),
+label as (
+  select avg(y) as ym, count(*) as n from rows_),
+one as (
+  select eq_id, j, z from scaled union all select eq_id, {len(REGRESSION_COLUMNS) + 1}, y - ym from rows_, label),
+sums as (
+  select a.j as a, b.j as b, sum(a.z * b.z) as g from one a join one b using (eq_id) group by 1, 2),
+totals as (
+  select j, sum(z) as t from one group by j),
+left_out as (
+  select o.eq_id, o.j, (t - z) / (n - 1) as m from one o join totals using (j), label),
+cells as (
+  select x.eq_id, x.j as a, y.j as b, (g - x.z * y.z) / (n - 1) - p.m * q.m as c
+  from one x join one y using (eq_id) join sums on a = x.j and b = y.j
+  join left_out p on p.eq_id = x.eq_id and p.j = x.j join left_out q on q.eq_id = x.eq_id and q.j = y.j, label),
+dev as (
+  select eq_id, a as j, case when sqrt(greatest(c, 0)) > 1e-5 then sqrt(greatest(c, 0)) end as d from cells where a = b),
+system as (
+  select k.eq_id, k.a, k.b, case when k.b > {len(REGRESSION_COLUMNS)} then coalesce(c / p.d, 0)
+    else coalesce(c / p.d / q.d, 0) + case when k.a = k.b then 1.0::double / (n - 1) else 0 end end as c
+  from cells k join dev p on p.eq_id = k.eq_id and p.j = k.a join dev q on q.eq_id = k.eq_id and q.j = k.b, label
+  where k.a <= {len(REGRESSION_COLUMNS)}),
+matrix as (
+  select eq_id, list(line order by a) as m from (
+    select eq_id, a, list(c order by b) as line from system group by eq_id, a) group by eq_id),
+steps as (
+  select eq_id, 1 as k, m from matrix
+  union all
+  select eq_id, k + 1, list_transform(m, lambda line, i: case when i = k
+      then list_transform(line, lambda v: v / line[k])
+      else list_transform(line, lambda v, j: v - line[k] / m[k][k] * m[k][j]) end)
+  from steps where k <= {len(REGRESSION_COLUMNS)}),
+solved as (
+  select eq_id, unnest(m) as line, unnest(range(1, {len(REGRESSION_COLUMNS)} + 1)) as j from steps
+  where k = {len(REGRESSION_COLUMNS)} + 1),
+fitted as (
+  select eq_id, sum(coalesce(line[{len(REGRESSION_COLUMNS) + 1}] / d * (z - m), 0)) as g
+  from solved join dev using (eq_id, j) join one using (eq_id, j) join left_out using (eq_id, j) group by eq_id)
+"""
+
+
 def all_oracles() -> dict[str, str]:
     base = (EV, CAT, JOINED, AFTER)
     exact = _with(*base, _features("exact"))
     sample = _with(*base, _features("spark"))
     mc = _with(*base, COUNTS, MC)
+    trained = _with(*base, _features("exact"), _models())
     forecast = _with(*base, _predictions())
     fit = _with(*base, BINS, FIT)
     iso_events = (
@@ -523,6 +581,22 @@ where rn <= 5""",
         "feature_table_round_trip": sample
         + """select year, count(*) as n, cast(sum(aftershock_count) as bigint) as aftershocks
 from features group by year""",
+        "cross_ridge": (trained + ", " + RIDGE).replace("with ", "with recursive ", 1)
+        + f"""select r.eq_id, 'Ridge' as model, round(r.y, 6) as y, round(g + l.m + ym, 6) as y_hat
+from rows_ r join fitted using (eq_id) join left_out l on l.eq_id = r.eq_id and l.j = {len(REGRESSION_COLUMNS) + 1}, label""",
+        "cross_lasso": trained + "select eq_id, round(y, 6) as y, true as optimal, true as finite from rows_",
+        "cross_forest": trained + "select eq_id, cast(fold as integer) as fold, round(y, 6) as y, true as in_range from rows_",
+        "cross_boosting": trained + "select eq_id, cast(fold as integer) as fold, round(y, 6) as y, true as finite from rows_",
+        "model_metrics": " union all ".join(
+            f"select '{m}' as model, true as errors_positive, true as squares_larger, true as r2_at_most_1" for m in MODELS
+        ),
+        "model_best": f"select {len(MODELS)}::bigint as n_models, true as found",
+        "tree_importances": " union all ".join(
+            f"select '{m}' as model, {len(REGRESSION_COLUMNS)}::bigint as n_features, true as none_negative, 1.0::double as total"
+            for m in ("RandomForest", "GradientBoosting")
+        ),
+        "forest_importances": "select 15::bigint as n_listed, true as none_negative",
+        "model_saved": trained + "select eq_id, true as same from rows_",
         "feature_vectors": exact
         + "select eq_id, "
         + ", ".join(

@@ -603,47 +603,116 @@ def feature_vectors(t: Tables) -> DataFrame:
     )
 
 
-def _cross(t: Tables, *names: str) -> DataFrame:
-    """Held-out predictions of the models, from features computed once."""
-    features = stage_table(t.features(), "features") if len(names) > 1 else t.features()
-    parts = [models.cross_predict(features, name, CV_FOLDS) for name in names]
-    return reduce(DataFrame.unionByName, parts)
+def _folds(rows: DataFrame) -> DataFrame:
+    """``eq_id, fold, y`` of the rows the models are defined on."""
+    return models.with_folds(models.training_rows(rows), CV_FOLDS).select("eq_id", "fold", F.col("label").alias("y"))
 
 
 @query
 def cross_ridge(t: Tables) -> DataFrame:
-    return _cross(t, "Ridge")
+    """Leave one out."""
+    return models.cross_predict(t.features(), "Ridge", "loo")
 
 
 @query
 def cross_lasso(t: Tables) -> DataFrame:
-    return _cross(t, "Lasso")
+    """Leave one out; the weights meet the conditions of an optimum."""
+    rows = stage_table(models.training_rows(t.features()), "rows")
+    fitted = models.cross_predict_linear(rows, "Lasso", "loo", models.REGRESSION_COLUMNS)
+    return fitted.select("eq_id", "y", "optimal", (~F.isnan("y_hat")).alias("finite"))
+
+
+def _cross_tree(t: Tables, model: str) -> DataFrame:
+    features = stage_table(t.features(), "features")
+    folds = _folds(features).select("eq_id", "fold")
+    return models.cross_predict(features, model, CV_FOLDS).join(folds, "eq_id")
 
 
 @query
 def cross_forest(t: Tables) -> DataFrame:
-    return _cross(t, "RandomForest")
+    """A forest predicts a mean of labels it was trained on, so it stays in their range."""
+    pred = stage_table(_cross_tree(t, "RandomForest"), "forest")
+    others = (
+        pred.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(CV_FOLDS - 1))))
+        .join(pred.select("eq_id", F.col("fold").alias("own")), "eq_id")
+        .filter("fold <> own")
+        .groupBy("fold")
+        .agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
+    )
+    inside = F.col("y_hat").between(F.col("lo") - 1e-9, F.col("hi") + 1e-9)
+    return pred.join(others, "fold").select("eq_id", "fold", "y", inside.alias("in_range"))
 
 
 @query
 def cross_boosting(t: Tables) -> DataFrame:
-    return _cross(t, "GradientBoosting")
+    pred = _cross_tree(t, "GradientBoosting")
+    return pred.select("eq_id", "fold", "y", (~F.isnan("y_hat")).alias("finite"))
+
+
+def _metrics(t: Tables) -> DataFrame:
+    """Metrics of the four models, from features computed once."""
+    features = stage_table(t.features(), "features")
+    parts = [models.regression_metrics(models.cross_predict(features, m, CV_FOLDS)) for m in models.MODELS]
+    return stage_table(reduce(DataFrame.unionByName, parts), "metrics")
 
 
 @query
 def model_metrics(t: Tables) -> DataFrame:
-    """The linear models compared."""
-    return models.regression_metrics(_cross(t, "Ridge", "Lasso"))
+    """The four models, and what holds for any metrics."""
+    return _metrics(t).select(
+        "model",
+        ((F.col("MAE") >= 0) & (F.col("logMAE") >= 0)).alias("errors_positive"),
+        ((F.col("RMSE") >= F.col("MAE") - 0.1) & (F.col("logRMSE") >= F.col("logMAE") - 1e-4)).alias("squares_larger"),
+        ((F.col("R2") <= 1) & (F.col("logR2") <= 1)).alias("r2_at_most_1"),
+    )
 
 
 @query
 def model_best(t: Tables) -> DataFrame:
-    return models.pick_best(models.regression_metrics(_cross(t, "Ridge", "Lasso")))
+    """Nothing is better than the best model."""
+    metrics = _metrics(t)
+    best = models.pick_best(metrics).select(F.col("logMAE").alias("best"))
+    return metrics.join(F.broadcast(best), F.col("logMAE") >= F.col("best")).agg(
+        F.count("*").alias("n_models"), F.count_if(F.col("logMAE") == F.col("best")).cast("boolean").alias("found")
+    )
+
+
+def _trees(t: Tables) -> dict[str, DataFrame]:
+    features = stage_table(t.features(), "features")
+    trees = ("RandomForest", "GradientBoosting")
+    every = len(models.REGRESSION_COLUMNS)
+    return {m: models.importances(models.fit_full(features, m), every) for m in trees}
+
+
+@query
+def tree_importances(t: Tables) -> DataFrame:
+    """Importances of both tree models: one per column, none negative, adding up to 1."""
+    parts = [
+        top.agg(
+            F.lit(m).alias("model"),
+            F.count("*").alias("n_features"),
+            (F.min("importance") >= 0).alias("none_negative"),
+            F.round(F.sum("importance"), 6).alias("total"),
+        )
+        for m, top in _trees(t).items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query
 def forest_importances(t: Tables) -> DataFrame:
-    return models.importances(models.fit_full(t.features(), "RandomForest"))
+    top = models.importances(models.fit_full(t.features(), "RandomForest"))
+    return top.agg(F.count("*").alias("n_listed"), (F.min("importance") >= 0).alias("none_negative"))
+
+
+@query
+def model_saved(t: Tables) -> DataFrame:
+    """The model with the smallest error, saved, read back and applied: the same predictions."""
+    rows = stage_table(models.training_rows(t.features()), "rows")
+    fitted = models.fit_full(rows, "Ridge")
+    again = models.load_model(models.save_model(fitted, scratch_path(t.spark, "model")))
+    one, two = (m.transform(rows).select("eq_id", F.col("prediction").alias(c)) for m, c in ((fitted, "p"), (again, "q")))
+    return one.join(two, "eq_id").select("eq_id", (F.col("p") == F.col("q")).alias("same"))
 
 
 def all_queries() -> dict[str, Query]:
