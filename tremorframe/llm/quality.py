@@ -17,6 +17,7 @@ Equal 8-word windows are found by 64-bit hashes of their words within one text.
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -26,6 +27,7 @@ from tremorframe.session import stage_table
 
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
+PLACE = (1 << 20) - 1
 SAMPLE_ROWS = 500
 
 
@@ -35,29 +37,90 @@ def pair_hash(hashes: Column, ahead: int) -> Column:
     return F.zip_with(hashes, later, lambda a, b: F.xxhash64(a, b))
 
 
-def window_hashes(words: Column) -> Column:
-    """Hash of every 8-word window, by doubling: 1, 2, 4, 8 words."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    for ahead in (1, 2, 4):
-        hashes = pair_hash(hashes, ahead)
-    return F.slice(hashes, 1, F.greatest(F.size(words) - (WINDOW - 1), F.lit(0)))
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, and only where the whole is."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def half_window_hashes(words: Column) -> Column:
+    """Hash of every 4-word window, by doubling: 1, 2, 4 words."""
+    hashes = pair_hash(pair_hash(F.transform(words, lambda w: F.xxhash64(w)), 1), 2)
+    return F.slice(hashes, 1, F.greatest(F.size(words) - (WINDOW // 2 - 1), F.lit(0)))
+
+
+def window_hashes(halves: Column) -> Column:
+    """Hash of every 8-word window, or nothing where none can occur twice.
+
+    A window that occurs twice repeats the five 4-word windows in it.
+    """
+    spare = F.size(halves) - F.size(F.array_distinct(halves))
+    full = F.slice(pair_hash(halves, WINDOW // 2), 1, F.greatest(F.size(halves) - WINDOW // 2, F.lit(0)))
+    return F.when(spare > WINDOW // 2, full).otherwise(F.array().cast("array<bigint>"))
+
+
+def covered_words(starts: Column) -> Column:
+    """Words inside the windows at ``starts``, an array of places without order."""
+    starts = F.sort_array(F.array_distinct(starts))
+    nexts = F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1)))
+    covered = F.zip_with(starts, nexts, lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW))))
+    return F.aggregate(covered, F.lit(0).cast("long"), lambda acc, x: acc + x)
+
+
+def twins_by_structs(windows: Column) -> Column:
+    """Places of windows that occur twice or more; for texts of any length."""
+    placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("i"))))
+    following = F.slice(placed, 2, F.greatest(F.size(placed), F.lit(1)))
+    empty = F.array().cast("array<bigint>")
+    return F.flatten(
+        F.zip_with(placed, following, lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])).otherwise(empty))
+    )
+
+
+def twins_by_longs(windows: Column) -> Column:
+    """The same by one sort of longs: 44 bits of hash over 20 bits of place.
+
+    Two hashes that agree in 44 bits only leave a -1; the caller then takes the
+    other way, as for texts of over 2**20 words.
+    """
+    packed = F.sort_array(
+        F.transform(windows, lambda h, i: h.bitwiseAND(F.lit(~PLACE)).bitwiseOR(i.cast("long")))
+    )
+    following = F.slice(packed, 2, F.greatest(F.size(packed), F.lit(1)))
+
+    def place(x: Column) -> Column:
+        return x.bitwiseAND(F.lit(PLACE))
+
+    def at(x: Column) -> Column:
+        return F.get(windows, place(x).cast("int"))
+
+    def side(pick: Callable[[Column, Column], Column]) -> Column:
+        return F.array_compact(
+            F.zip_with(
+                packed,
+                following,
+                lambda a, b: F.when(
+                    F.shiftright(a, 20) == F.shiftright(b, 20), F.when(at(a) == at(b), place(pick(a, b))).otherwise(-1)
+                ),
+            )
+        )
+
+    return F.concat(side(lambda a, b: a), side(lambda a, b: b))
 
 
 def repeated_words(windows: Column) -> Column:
     """Words inside windows that occur twice or more."""
-    placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    following = F.slice(placed, 2, F.greatest(F.size(placed), F.lit(1)))
-    twins = F.zip_with(
-        placed,
-        following,
-        lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>")),
+
+    def counted(fast: Column) -> Column:
+        slow = bind(twins_by_structs(windows), covered_words)
+        return F.when(F.array_contains(fast, -1), slow).otherwise(covered_words(fast))
+
+    long_text = F.size(windows) > PLACE
+    return (
+        F.when(F.size(windows) == 0, F.lit(0).cast("long"))
+        .when(long_text, bind(twins_by_structs(windows), covered_words))
+        .otherwise(bind(twins_by_longs(windows), counted))
+        .cast("long")
     )
-    starts = F.sort_array(F.array_distinct(F.flatten(twins)))
-    nexts = F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1)))
-    covered = F.zip_with(starts, nexts, lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW))))
-    total = F.aggregate(covered, F.lit(0), lambda acc, x: acc + x)
-    none_twice = F.size(F.array_distinct(windows)) == F.size(windows)
-    return F.when(none_twice, F.lit(0)).otherwise(total).cast("long")
 
 
 def n_words(words: Column) -> Column:
@@ -69,7 +132,8 @@ def word_chars(words: Column) -> Column:
 
 
 def n_symbols(text: Column) -> Column:
-    return (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long")
+    left = F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))
+    return F.when(text.rlike(SYMBOLS), left).otherwise(0).cast("long")
 
 
 def line_array(text: Column) -> Column:
@@ -92,7 +156,8 @@ class Rule:
 def base_rules() -> list[Rule]:
     """Too few words; too much of the text in repeated windows."""
     words = F.col("_words")
-    repeated = 100 * repeated_words(window_hashes(words)) > 30 * n_words(words)
+    windows = bind(half_window_hashes(words), window_hashes)
+    repeated = 100 * bind(windows, repeated_words) > 30 * n_words(words)
     return [Rule("few_words", n_words(words) < 20), Rule("repeated_words", repeated)]
 
 
@@ -159,7 +224,8 @@ def figures(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int =
     words, lines, text = F.col("_words"), F.col("_lines"), F.col("_text")
     counted = (
         parts(docs.select("doc_id", "text"))
-        .withColumn("_windows", window_hashes(words))
+        .withColumn("_halves", half_window_hashes(words))
+        .withColumn("_windows", window_hashes(F.col("_halves")))
         .withColumns(
             {
                 "n_words": n_words(words),
