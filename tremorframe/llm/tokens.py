@@ -73,9 +73,11 @@ class ChunkIds:
         cut = [self.chunks(t) for t in texts]
         flat = [c for chunks in cut if chunks is not None for c in chunks]
         found = list(map(self.known.get, flat))
-        if None in found:
-            self.learn({c for c, ids in zip(flat, found) if ids is None})
-            found = [self.known[c] if ids is None else ids for c, ids in zip(flat, found)]
+        gaps = [i for i, ids in enumerate(found) if ids is None]
+        if gaps:
+            self.learn({flat[i] for i in gaps})
+            for i in gaps:
+                found[i] = self.known[flat[i]]
         out, start = [], 0
         for text, chunks in zip(texts, cut):
             if chunks is None:
@@ -98,7 +100,7 @@ class WordEndIds(ChunkIds):
 
     SEPARATOR = "\x01"
 
-    def __init__(self, path: str, limit: int = 400_000) -> None:
+    def __init__(self, path: str, limit: int = 500_000) -> None:
         super().__init__(path, limit)
         vocabulary = self.whole.get_vocab(with_added_tokens=False)
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -135,7 +137,7 @@ class WordEndIds(ChunkIds):
 class ByteIds(ChunkIds):
     """For byte-level vocabularies whose words carry the space before them."""
 
-    def __init__(self, path: str, limit: int = 400_000) -> None:
+    def __init__(self, path: str, limit: int = 500_000) -> None:
         super().__init__(path, limit)
         (self.line,) = self.bare.encode("\n", add_special_tokens=False).ids
 
