@@ -85,7 +85,7 @@ def test_quantiles_match_numpy(spark, rows, width):
     for key in {k for k, _ in rows}:
         values = [v for k, v in rows if k == key and v is not None]
         if not values:
-            assert got[key]["q50"] is None
+            assert key not in got  # a group without values has no quantile
             continue
         assert got[key]["q50"] == pytest.approx(np.percentile(values, 50), abs=1e-9)
         assert got[key]["q90"] == pytest.approx(np.percentile(values, 90), abs=1e-9)

@@ -22,7 +22,8 @@ _COUNTS = (
     "aftershock_count", "count_24h", "count_72h", "count_168h",
     "n_mag_ge_4", "n_mag_ge_5", "n_mag_ge_6",
 )
-_DIST_BIN_KM = 0.1  # at most 200,151 bins on Earth
+# Wide first, so that most events of a task share a bin; a thousandth of it next.
+_DIST_BIN_KM = 20.0
 
 
 def _sequence() -> WindowSpec:
@@ -136,6 +137,7 @@ def _exact_stats(seen: DataFrame, mc_mode: str) -> DataFrame:
     by_dist = group_quantiles(
         seen, ["eq_id"], "dist_km",
         {"dist_median": 0.5, "spatial_spread": 0.9}, fixed_width(_DIST_BIN_KM),
+        fixed_width(_DIST_BIN_KM / 1000),
     )
     return by_mag.join(by_dist, "eq_id", "left")
 

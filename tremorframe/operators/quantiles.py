@@ -4,9 +4,11 @@ Spark's ``percentile`` keeps every distinct value of a group in one buffer. Here
 a histogram finds the bin that holds each wanted rank, and only the values of
 those bins are ordered:
 
-1. count equal values per group (combined before the shuffle, spread by value);
-2. count per coarse bin and run a cumulative sum over the bins of a group;
-3. keep the bins that hold a wanted rank and order the values inside them.
+1. count per coarse bin (combined before the shuffle) and run a cumulative sum
+   over the bins of a group;
+2. keep the bins that hold a wanted rank and order the values inside them.
+
+Values are read twice and few of them are shuffled.
 
 The rank order of bins must follow the order of values, which any
 non-decreasing ``bin_of`` guarantees. Its range divided by its step bounds the
@@ -40,63 +42,8 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, count: str = "n
     return df.groupBy(*keys, value).agg(F.count(value).alias(count))
 
 
-def quantiles_from_counts(
-    counts: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    wanted: Mapping[str, float],
-    bin_of: Callable[[Column], Column],
-    count: str = "n",
-) -> DataFrame:
-    """``keys`` plus one column per wanted quantile, linear between neighbours.
-
-    ``counts`` holds distinct ``(keys, value)`` rows with their multiplicity.
-    Without keys the whole input is one group and the result one row, or none
-    for an empty input.
-    """
-    group = list(keys) or [_KEY]
-    src = counts if keys else counts.withColumn(_KEY, F.lit(0))
-    # A bin that cannot be null keeps the join below from adding a null filter to
-    # one of the two uses of ``src``: both stay equal and read one shuffle.
-    src = src.na.drop(subset=group).select(
-        *group,
-        F.col(value).alias("_v"),
-        F.col(count).alias(_N),
-        F.coalesce(bin_of(F.col(value)), F.lit(0)).alias(_BIN),
-    )
-
-    along = Window.partitionBy(*group)
-    bins = (
-        src.groupBy(*group, _BIN)
-        .agg(F.sum(_N).alias("_in_bin"))
-        .withColumn(
-            "_before",
-            F.sum("_in_bin").over(along.orderBy(_BIN).rowsBetween(Window.unboundedPreceding, 0))
-            - F.col("_in_bin"),
-        )
-        .withColumn("_total", F.sum("_in_bin").over(along))
-    )
-    # zero-based fractional position of each quantile
-    bins = bins.withColumns(
-        {f"_h{i}": F.lit(float(q)) * (F.col("_total") - 1) for i, q in enumerate(wanted.values())}
-    )
-
-    def overlaps(i: int) -> Column:
-        """The bin holds the rank just below or just above position ``i``."""
-        low, high = F.floor(F.col(f"_h{i}")), F.ceil(F.col(f"_h{i}"))
-        return (high >= F.col("_before")) & (low < F.col("_before") + F.col("_in_bin"))
-
-    hit = overlaps(0)
-    for i in range(1, len(wanted)):
-        hit = hit | overlaps(i)
-    targets = bins.filter(hit).drop("_in_bin", "_total")
-
-    inside = Window.partitionBy(*group, _BIN).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (
-        src.join(targets, [*group, _BIN])
-        .withColumn("_last", F.col("_before") + F.sum(_N).over(inside) - 1)
-        .withColumn("_first", F.col("_last") - F.col(_N) + 1)
-    )
+def _picked(ranked: DataFrame, group: Sequence[str], keys: Sequence[str], wanted: Mapping[str, float]) -> DataFrame:
+    """Interpolate between the values at the ranks around each position ``_h``."""
 
     def at(rank: Column) -> Column:
         return F.max(F.when((rank >= F.col("_first")) & (rank <= F.col("_last")), F.col("_v")))
@@ -127,10 +74,56 @@ def group_quantiles(
     value: str,
     wanted: Mapping[str, float],
     bin_of: Callable[[Column], Column],
+    fine_of: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    return quantiles_from_counts(
-        value_counts(df, keys, value, "_count"), keys, value, wanted, bin_of, "_count"
+    """Quantiles of values that hardly repeat, without shuffling the values.
+
+    The map tasks count per bin, so a first pass sends a row per group, bin and
+    task. A second pass over ``df`` sends only the values in the bins that hold a
+    wanted rank. Those are narrowed once more by ``fine_of`` bins (default: the
+    value itself), so that a bin with a large share of the values is not ordered
+    in one task either. Both bins must follow the order of the values. A group
+    without values gives no row.
+    """
+    group = list(keys) or [_KEY]
+    rows = (df if keys else df.withColumn(_KEY, F.lit(0))).select(*group, F.col(value).alias("_v"))
+    rows = rows.filter(F.col("_v").isNotNull()).na.drop(subset=group).withColumn(_BIN, bin_of(F.col("_v")))
+    fine = F.coalesce((fine_of or (lambda v: v))(F.col("_v")), F.lit(0))
+
+    along = Window.partitionBy(*group)
+    running = along.orderBy(_BIN).rowsBetween(Window.unboundedPreceding, 0)
+    bins = rows.groupBy(*group, _BIN).agg(F.count("*").alias(_N))
+    bins = bins.withColumn("_before", F.sum(_N).over(running) - F.col(_N)).withColumn("_total", F.sum(_N).over(along))
+    positions = {f"_h{i}": F.lit(float(q)) * (F.col("_total") - 1) for i, q in enumerate(wanted.values())}
+
+    def hit(size: str) -> Column:
+        """The ranks from ``_before`` on, ``size`` of them, hold one below or above a position."""
+        out = F.lit(False)
+        for i in range(len(wanted)):
+            low, high = F.floor(F.col(f"_h{i}")), F.ceil(F.col(f"_h{i}"))
+            out = out | ((high >= F.col("_before")) & (low < F.col("_before") + F.col(size)))
+        return out
+
+    targets = bins.withColumns(positions).filter(hit(_N)).drop(_N, "_total")
+    inside = rows.join(targets.select(*group, _BIN), [*group, _BIN], "left_semi")
+    counts = inside.groupBy(*group, _BIN, "_v").agg(F.count("*").alias(_N)).withColumn("_fine", fine)
+    in_bin = Window.partitionBy(*group, _BIN).orderBy("_fine").rowsBetween(Window.unboundedPreceding, 0)
+    narrow = (
+        counts.groupBy(*group, _BIN, "_fine")
+        .agg(F.sum(_N).alias("_in_fine"))
+        .withColumn("_within", F.sum("_in_fine").over(in_bin) - F.col("_in_fine"))
+        .join(targets, [*group, _BIN])
+        .withColumn("_before", F.col("_before") + F.col("_within"))
+        .filter(hit("_in_fine"))
+        .drop("_in_fine", "_within")
+    )
+    in_fine = Window.partitionBy(*group, _BIN, "_fine").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (
+        counts.join(narrow, [*group, _BIN, "_fine"])
+        .withColumn("_last", F.col("_before") + F.sum(_N).over(in_fine) - 1)
+        .withColumn("_first", F.col("_last") - F.col(_N) + 1)
     )
+    return _picked(ranked, group, keys, wanted)
 
 
 def global_median(df: DataFrame, value: str, bin_of: Callable[[Column], Column], name: str) -> DataFrame:
