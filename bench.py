@@ -2,7 +2,7 @@
 
 ``BENCH_SF_DIR`` chooses the tables, ``BENCH_CPUS`` the local threads. Every
 query is planned and run to the end twice and the better time counts, since the
-first run also compiles its code; results go to the ``noop`` sink, so nothing
+first run also compiles its code (long ones run once); results go to the ``noop`` sink, so nothing
 passes through the driver.
 """
 
@@ -39,7 +39,15 @@ HEADLINE = [
     "catalog_clean",
     "feature_vectors",
     "cross_ridge",
+    "cross_forest",
+    "cross_boosting",
+    "model_metrics",
+    "stream_load",
+    "sequences_iso",
+    "submission_files",
 ]
+# A query that takes longer is run once: compiling is a small part of it.
+ONCE_FROM_S = 15
 
 
 def main() -> None:
@@ -52,7 +60,11 @@ def main() -> None:
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - start
 
-    seconds = {name: round(min(run(name), run(name)), 3) for name in HEADLINE}
+    def better(name: str) -> float:
+        first = run(name)
+        return round(first if first > ONCE_FROM_S else min(first, run(name)), 3)
+
+    seconds = {name: better(name) for name in HEADLINE}
     print(
         json.dumps(
             {
