@@ -155,7 +155,8 @@ def brute_figures(text):
     covered = {i + j for p in places.values() if len(p) > 1 for i in p for j in range(8)}
     chars, symbols, dup = sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines))
     failed = len(w) < 20 or 100 * len(covered) > 30 * len(w)
-    extra = 10 * symbols > len(w) or (dup >= 3 and 2 * dup > len(lines)) or chars < 2 * len(w) or chars > 15 * len(w)
+    extra = 10 * symbols > len(w) or 10 * text.count("!") > 3 * len(w)
+    extra = extra or 5 * sum(a == b for a, b in zip(w, w[1:])) > len(w) or (dup >= 3 and 2 * dup > len(lines)) or chars < 2 * len(w) or chars > 15 * len(w)
     return len(w), chars, symbols, dup, len(covered), failed, not failed and not extra
 
 
@@ -166,6 +167,7 @@ def quality_rows():
     clean = " ".join(f"word{i}" for i in range(300))
     return rows + [
         (300, None), (301, ""), (None, clean), (302, clean), (302, clean), (303, clean + " " + clean), (304, "a " * 5000),
+        (307, "no! " * 3 + clean.replace(" ", "! ")), (308, " ".join(f"w{i} w{i} w{i}" for i in range(40))),
         (305, clean + "\x0b\x0c x\ty"), (306, clean + " #" * 100),
     ]
 

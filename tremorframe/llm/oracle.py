@@ -29,12 +29,14 @@ counted as (
     cast(length(array_to_string(words, '')) as bigint) as word_chars,
     cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
     cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines,
-    cast(coalesce(n, 0) as bigint) as n_repeat_words, len(lines) as n_lines
+    cast(coalesce(n, 0) as bigint) as n_repeat_words, len(lines) as n_lines,
+    length(text) - length(replace(text, '!', '')) as n_exclamations,
+    len(list_filter(range(1, len(words)), lambda i: words[i] = words[i + 1])) as n_stutters
   from parts left join repeated using (r)),
 judged as (
   select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from counted)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not (base_failed or 10 * n_symbols > n_words or (n_dup_lines >= 3 and 2 * n_dup_lines > n_lines)
+  not (base_failed or 10 * n_symbols > n_words or 10 * n_exclamations > 3 * n_words or 5 * n_stutters > n_words or (n_dup_lines >= 3 and 2 * n_dup_lines > n_lines)
     or word_chars < 2 * n_words or word_chars > 15 * n_words) as kept
 from judged"""
 

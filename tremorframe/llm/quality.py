@@ -136,6 +136,16 @@ def n_symbols(text: Column) -> Column:
     return F.when(text.rlike(SYMBOLS), left).otherwise(0).cast("long")
 
 
+def n_exclamations(text: Column) -> Column:
+    return (F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit("")))).cast("long")
+
+
+def n_stutters(words: Column) -> Column:
+    """Words equal to the word before them."""
+    same = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.when(a == b, 1))
+    return F.size(F.array_compact(same)).cast("long")
+
+
 def line_array(text: Column) -> Column:
     """The lines that hold a word."""
     return F.filter(F.split(text, "\n"), lambda x: x.rlike(SPACE.replace("[", "[^")))
@@ -162,12 +172,14 @@ def base_rules() -> list[Rule]:
 
 
 def production_rules() -> list[Rule]:
-    """The base rules with limits on symbols, repeated lines and word length."""
+    """The base rules with limits on symbols, exclamation marks, repeated lines and words, and word length."""
     words, lines = F.col("_words"), F.col("_lines")
     count = n_words(words)
     return [
         *base_rules(),
         Rule("symbols", 10 * n_symbols(F.col("_text")) > count),
+        Rule("exclamations", 10 * n_exclamations(F.col("_text")) > 3 * count),
+        Rule("stutters", 5 * n_stutters(words) > count),
         Rule("repeated_lines", (n_dup_lines(lines) >= 3) & (2 * n_dup_lines(lines) > F.size(lines))),
         Rule("word_length", (word_chars(words) < 2 * count) | (word_chars(words) > 15 * count)),
     ]
