@@ -92,7 +92,9 @@ def test_status_of_a_load(spark, make_cat):
     counts = spark.createDataFrame([("ok", 5), ("full", 19_900)], "eq_id string, n_events bigint")
     cached = spark.createDataFrame([("cached", 3)], "eq_id string, n_events bigint")
     bad = spark.createDataFrame([("broken", 2), ("ok", 1)], "eq_id string, n_malformed bigint")
-    status = ingest_status(cat, counts, cached=cached, malformed=bad)
+    unlimited = ingest_status(cat, counts, cached=cached, malformed=bad)
+    assert unlimited.filter("eq_id = 'full'").first()["status"] == "ok"  # no limit was asked for
+    status = ingest_status(cat, counts, 20_000, cached, bad)
     assert {r["eq_id"]: (r["n_events"], r["status"]) for r in status.collect()} == {
         "cached": (3, "cached"), "empty": (0, "empty"), "ok": (5, "ok"),
         "full": (19_900, "truncated"), "broken": (0, "parse_error"),
