@@ -13,9 +13,13 @@ one sketch holds needs no list. For sets of up to k shingles the bound on the
 overlap is exact, above it a linked pair falls below it, or below the estimate
 asked for, with a probability under 1e-9 (binomial tail at ``SLACK``).
 
-A list of many near copies is not expanded into pairs: its first and last class
-are compared with all others, the links found are joined into components, and
-only members of one list that are still in different components are paired.
+A list of many near copies is not expanded into pairs. Its most central class,
+whose values most others hold, and its first are compared with all others, and
+the links found are joined into components. What is left are lists with more
+than one component. Their classes go through an exact prefix and positional
+filter on the full sets, rarest shingles first: a copy with many shingles of its
+own can be linked with none of the others and drops out before any pair is made.
+Only members outside a list's main component are paired, with those of others.
 
 Defined cases: a text without words, or null, has an empty set and is linked
 with nothing; fewer words than a shingle make one shingle of all of them; a row
@@ -96,7 +100,10 @@ def least_overlap(n: Column, similarity: int, k: int) -> Column:
 
 
 def value_lists(classes: DataFrame, similarity: int, k: int) -> DataFrame:
-    """``value, cid, n_shingles``: the rarer values of each sketch that other sketches hold too."""
+    """``value, cid, n_shingles, weight``: the rarer values of each sketch that other sketches hold too.
+
+    ``weight`` is how often the values of a sketch occur: high for a central one.
+    """
     postings = classes.select("cid", "n_shingles", F.explode("hashes").alias("value"))
     counts = stage_table(postings.groupBy("value").count().filter("count > 1"), "dedup-values")
     shared = postings.join(counts, "value")
@@ -106,9 +113,9 @@ def value_lists(classes: DataFrame, similarity: int, k: int) -> DataFrame:
     listed = F.greatest(F.lit(0), prefix - (held - F.size("_values"))).cast("int")
     return (
         shared.groupBy("cid", "n_shingles")
-        .agg(F.sort_array(F.collect_list(F.struct("count", "value"))).alias("_values"))
-        .select("cid", "n_shingles", F.explode(F.slice("_values", 1, listed)).alias("_v"))
-        .select(F.col("_v.value").alias("value"), "cid", "n_shingles")
+        .agg(F.sort_array(F.collect_list(F.struct("count", "value"))).alias("_values"), F.sum("count").alias("weight"))
+        .select("cid", "n_shingles", "weight", F.explode(F.slice("_values", 1, listed)).alias("_v"))
+        .select(F.col("_v.value").alias("value"), "cid", "n_shingles", "weight")
     )
 
 
@@ -137,6 +144,43 @@ def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, similarity:
     return likely.filter(100 * shared >= similarity * union_size).select("a", "b")
 
 
+def pairs_between(rest: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """``a, b``: pairs of classes in different components ``c`` that the full sets allow.
+
+    Two linked sets share one of their ``n - ceil(similarity * n) + 1`` rarest
+    shingles each, and behind the first they share enough are left in both.
+    """
+    tokens = rest.join(sets, "cid").select("cid", "c", F.size("all").alias("n"), F.explode("all").alias("value"))
+    counts = stage_table(tokens.groupBy("value").count().filter("count > 1"), "dedup-shingles")
+    own = F.col("n") - F.size("_values")  # the rarest: no other set holds them
+    prefix = F.col("n") - F.ceil(F.col("n") * similarity / 100 - F.lit(1e-9)) + 1
+    listed = F.greatest(F.lit(0), prefix - own).cast("int")
+    entries = stage_table(
+        tokens.join(counts, "value")
+        .groupBy("cid", "c", "n")
+        .agg(F.sort_array(F.collect_list(F.struct("count", "value"))).alias("_values"))
+        .select("cid", "c", "n", own.alias("own"), F.posexplode(F.slice("_values", 1, listed)).alias("i", "_v"))
+        .select(F.col("_v.value").alias("value"), "cid", "c", "n", (F.col("n") - F.col("own") - F.col("i")).alias("left")),
+        "dedup-prefixes",
+    )
+    main = (
+        entries.groupBy("value", "c").agg(F.count("*").alias("m"))
+        .groupBy("value").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("several"))
+        .filter("several > 1")
+    )
+    main = stage_table(main.select("value", "main"), "dedup-main")
+    minor = entries.join(main, "value").filter("c <> main").drop("main").alias("x")
+    among = entries.join(main, "value").withColumn("is_main", F.col("c") == F.col("main")).drop("main").alias("y")
+    enough = F.least("x.left", "y.left") * (100 + similarity) >= similarity * (F.col("x.n") + F.col("y.n"))
+    return (
+        minor.join(among, "value")
+        .filter("x.c <> y.c and (y.is_main or x.cid < y.cid)")
+        .filter(enough & fits(F.col("x.n"), F.col("y.n"), similarity))
+        .select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))
+        .distinct()
+    )
+
+
 def near_duplicates(
     docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY, k: int = SKETCH
 ) -> DataFrame:
@@ -153,8 +197,13 @@ def near_duplicates(
     lists = stage_table(lists, "dedup-lists")
     ends = stage_table(
         lists.groupBy("value")
-        .agg(F.min(F.struct("cid", "n_shingles")).alias("_first"), F.max(F.struct("cid", "n_shingles")).alias("_last"))
-        .filter("_first.cid <> _last.cid"),
+        .agg(
+            F.min(F.struct("cid", "n_shingles")).alias("_first"),
+            F.max(F.struct("weight", "cid", "n_shingles")).alias("_top"),
+            F.count("*").alias("n"),
+        )
+        .filter("n > 1")
+        .select("value", "_first", F.struct("_top.cid", "_top.n_shingles").alias("_central")),
         "dedup-ends",
     )
     lists = stage_table(lists.join(ends.select("value"), "value", "left_semi"), "dedup-shared-lists")
@@ -163,7 +212,7 @@ def near_duplicates(
     def paired(a: Column, b: Column) -> list[Column]:
         return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
-    with_ends = lists.join(ends, "value").select("cid", "n_shingles", F.explode(F.array("_first", "_last")).alias("_end"))
+    with_ends = lists.join(ends, "value").select("cid", "n_shingles", F.explode(F.array("_first", "_central")).alias("_end"))
     first_pairs = (
         with_ends.filter("cid <> _end.cid")
         .filter(fits(F.col("n_shingles"), F.col("_end.n_shingles"), similarity))
@@ -173,25 +222,17 @@ def near_duplicates(
     links = stage_table(confirmed(first_pairs, classes, sets, similarity, k), "dedup-links")
     known = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    # what the ends of a list have not brought together
+    # what those two have not brought together
     labelled = stage_table(
         lists.join(known.withColumnRenamed("node", "cid"), "cid", "left").select(
-            "value", "cid", "n_shingles", F.coalesce("component", "cid").alias("c")
+            "value", "cid", F.coalesce("component", "cid").alias("c")
         ),
         "dedup-labelled",
     )
     open_lists = labelled.groupBy("value").agg(F.min("c").alias("_min"), F.max("c").alias("_max")).filter("_min <> _max")
-    rest = stage_table(labelled.join(open_lists.select("value"), "value", "left_semi"), "dedup-open")
-    one, two = rest.alias("x"), rest.alias("y")
-    more_pairs = (
-        one.join(two, "value")
-        .filter("x.cid < y.cid and x.c <> y.c")
-        .filter(fits(F.col("x.n_shingles"), F.col("y.n_shingles"), similarity))
-        .select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
-        .distinct()
-        .join(first_pairs, ["a", "b"], "left_anti")
-    )
-    more = confirmed(more_pairs, classes, sets, similarity, k)
+    rest = labelled.join(open_lists.select("value"), "value", "left_semi").select("cid", "c").distinct()
+    rest_pairs = pairs_between(stage_table(rest, "dedup-open"), sets, similarity)
+    more = confirmed(rest_pairs.join(first_pairs, ["a", "b"], "left_anti"), classes, sets, similarity, k)
     reps = classes.select("cid", "rep")
     all_links = (
         links.unionByName(more)
