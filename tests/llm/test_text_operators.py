@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from tremorframe.llm import licenses, mixing, packing, quality, token_counts  # noqa: E402
-from tremorframe.llm.queries import tokenizer_path  # noqa: E402
+from tremorframe.llm.queries import op5_licenses, tokenizer_path  # noqa: E402
 from tremorframe.llm.tokens import ByteIds, WordEndIds, load  # noqa: E402
 
 DOCS = "doc_id long, text string, source string, _words string"
@@ -145,6 +145,31 @@ def test_licenses_equal_brute_force(spark):
     assert licenses.scan_licenses(docs_of(spark, rows).limit(0)).count() == 0
 
 
+NOTICES = [
+    ("This work is licensed under the GNU General Public License, version 3.", "gpl-3"),
+    ("This work is licensed under the GNU General Public License, version 2.", ""),
+    ("This library is licensed under the GNU Lesser General Public License, version 3.", "lgpl-3"),
+    ("This work is licensed under the GNU Affero General Public License v3.", "agpl-3"),
+    ("To a lesser extent. This work is licensed under the GNU General Public License version 3", "gpl-3"),
+    ("Licensed under CC BY-NC 4.0.", "cc-by-nc"), ("Il sa. Licensed under CC BY-NC 4.0", "cc-by-nc"),
+    ("Licensed under CC BY-SA 4.0.", "cc-by-sa"), ("Released under the MIT License.", "mit"),
+    ("Released under the terms of the license", ""), ("Es kam mit ihm. Released under the Zlib license", ""),
+    ("Licensed under the Apache License, Version 2.0", "apache-2"), ("Licensed under the Apache License, Version 1.0", ""),
+    ("This file is subject to the terms of the Mozilla Public License, version 2.0", "mpl-2"),
+    ("This file is subject to the terms of the Mozilla Public License, version 1.1", ""),
+    (licenses.TEMPLATES[-1][1], "bsd"),
+]
+
+
+def test_a_notice_has_its_own_label_alone(spark, tmp_path):
+    for filler in (0, 31, 32, 63, 64, 65):
+        rows = [(i, "x " * filler + text) for i, (text, _) in enumerate(NOTICES)]
+        both = "This work is licensed under the GNU General Public License version 3. " + NOTICES[2][0]
+        docs_of(spark, rows + [(99, both)]).select("doc_id", "text").write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+        got = {r.doc_id: r.labels for r in op5_licenses(spark, str(tmp_path)).collect()}
+        assert got == {i: want for i, (_, want) in enumerate(NOTICES)} | {99: "gpl-3,lgpl-3"}
+
+
 def brute_figures(text):
     text = text or ""
     w = words(text)

@@ -6,7 +6,8 @@ rarest first. A template of T tokens must share ceil(threshold * T) with a
 block, so one of its first T - ceil(threshold * T) + 1 tokens is in the block
 (prefix filter), the block has at least ceil(threshold * T) template tokens
 (length filter), and behind a match at positions i and j enough tokens must be
-left on both sides (positional filter). What passes is verified on the sets.
+left on both sides (positional filter). What passes is verified on the sets and,
+where a label has ``evidence``, on the words that tell it from similar licenses.
 
 Blocks are runs of ``block_words`` words that overlap by half, so a notice of up
 to half a block lies whole in one of them, wherever lines break.
@@ -43,6 +44,21 @@ TEMPLATES = [
     ("mpl-2", "this file is subject to the terms of the mozilla public license version 2 0"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
 ]
+# What tells a label from its neighbours. A block must match every pattern of a label, or words that
+# licenses share would carry it alone: at 0.8, gpl-3 lies in any LGPL or AGPL notice, mit in any license "released under the".
+_VERSION = r"(?:versions?|ver|v|licen[cs]es?|or|and|apache|mpl|[al]?gpl)"
+_2 = rf" (?:v2|apache2|mpl2|2 0|{_VERSION} 2) "
+_3 = rf" (?:v3|[al]?gplv?3|{_VERSION} (?:3|three)) "
+EVIDENCE = {
+    "mit": [r" (?:(?:the|an|under|of) mit|mit (?:licen[cs]e[ds]?|style|x11|expat|terms)) "],
+    "apache-2": [" apache2? ", _2],
+    "cc-by-nc": [" (?:cc|by|attribution) (?:nc|non ?commercial) "],
+    "cc-by-sa": [" (?:cc|by|attribution) (?:sa|share ?alike) "],
+    "gpl-3": [r"(?<! (?:lesser|library|affero)) (?:general public|gplv?3?) ", _3],
+    "lgpl-3": [r" (?:lesser (?:general|gnu|gpl)|lgplv?3?) ", _3],
+    "agpl-3": [r" (?:affero|agplv?3?) ", _3],
+    "mpl-2": [" (?:mozilla|mpl2?) ", _2],
+}
 MOST_TEMPLATES = 1_000
 BLOCK_WORDS = 64
 THRESHOLD = 0.8
@@ -84,11 +100,11 @@ def token_ranks(words: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     return {t: i for i, t in enumerate(order)}
 
 
-def blocks(words: Column, block_words: int) -> Column:
-    """Runs of ``block_words`` words, each half a block after the one before."""
+def block_starts(words: Column, block_words: int) -> Column:
+    """Places before runs of ``block_words`` words, each half a block after the one before."""
     half = block_words // 2
     last = F.greatest(F.size(words) - half - 1, F.lit(0))
-    return F.transform(F.sequence(F.lit(0), last, F.lit(half)), lambda i: F.slice(words, i + 1, block_words))
+    return F.sequence(F.lit(0), last, F.lit(half))
 
 
 def scan_licenses(
@@ -97,8 +113,14 @@ def scan_licenses(
     phrases: dict[str, str] = PHRASES,
     threshold: float = THRESHOLD,
     block_words: int = BLOCK_WORDS,
+    evidence: dict[str, list[str]] | None = None,
 ) -> DataFrame:
-    """One row per document: words, phrase places, labels of phrases and templates, best containment."""
+    """One row per document: words, phrase places, labels of phrases and templates, best containment.
+
+    ``evidence`` has patterns by label, all of which a block must match for a template of that label to count. They
+    are held against the block's words, and the word before them, with a space around each. Without it
+    containment alone decides.
+    """
     if len(templates) > MOST_TEMPLATES:
         raise ValueError(f"at most {MOST_TEMPLATES} templates: they are broadcast")
     sets = [(label, set(text.split())) for label, text in templates]
@@ -134,8 +156,13 @@ def scan_licenses(
         """Ranks of the template tokens in a block, in order."""
         return F.sort_array(F.transform(F.array_intersect(block, F.array(*[F.lit(t) for t in vocabulary])), lambda t: order[t]))
 
+    def block(i: Column) -> Column:
+        text = F.array_join(F.slice(words, F.greatest(i, F.lit(1)), block_words + F.least(i, F.lit(1))), " ")
+        spaced = F.concat(F.lit(" "), text, F.lit(" ")) if evidence else F.lit(None).cast("string")
+        return F.struct(known(F.slice(words, i + 1, block_words)).alias("ranks"), spaced.alias("text"))
+
     tokens = F.filter(
-        F.transform(blocks(words, block_words), known), lambda b: F.size(b) >= min(needs, default=0)
+        F.transform(block_starts(words, block_words), block), lambda b: F.size(b["ranks"]) >= min(needs, default=0)
     )
     # a document without any prefix token goes on with a single row
     exploded = (
@@ -148,7 +175,9 @@ def scan_licenses(
             base.alias("_base"),
             F.when(F.col("_head"), tokens).alias("_blocks"),
         )
-        .select("*", F.explode_outer("_blocks").alias("_block"))
+        .select("*", F.explode_outer("_blocks").alias("_piece"))
+        .withColumns({"_block": F.col("_piece.ranks"), "_text": F.col("_piece.text")})
+        .drop("_blocks", "_piece")
         .select("*", F.posexplode_outer("_block").alias("_j", "_token"))
     )
     left = F.least(F.col("_size") - F.col("_i"), F.size("_block") - F.col("_j"))
@@ -159,7 +188,13 @@ def scan_licenses(
             F.size(F.array_intersect("_block", "_tokens")),
         ),
     )
-    hit = F.col("_share") >= F.col("_need")
+    told = F.lit(True)
+    for label, patterns in (evidence or {}).items():
+        matched = reduce(Column.__and__, [F.col("_text").rlike(p) for p in patterns])
+        told = F.when(F.col("_label") == label, matched).otherwise(told)
+    # patterns are tried where the sets agree, and nowhere else
+    pairs = pairs.withColumn("_hit", F.when(F.col("_share") >= F.col("_need"), told).otherwise(F.lit(False)))
+    hit = F.col("_hit")
     per_row = pairs.groupBy("_row", "doc_id", "n_words", "n_base", "first_word", "last_word", "_base").agg(
         F.collect_set(F.when(hit, F.col("_label"))).alias("_found"),
         F.max(F.when(hit, F.col("_share") / F.col("_size"))).alias("_best"),
