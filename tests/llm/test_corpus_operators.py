@@ -156,6 +156,28 @@ def test_topk_small_and_empty(spark):
     assert topk.top_k(df.limit(0), F.lit(True), 5).count() == 0
 
 
+@pytest.mark.parametrize("block_rows", [4, 1000])
+def test_topk_keeps_large_components(spark, block_rows):
+    rng = np.random.default_rng(6)
+    vectors = [(i, [float(x) for x in rng.normal(0, 1, 4)]) for i in range(40)]
+    vectors += [(50, [2.0**22, 0.0, 0.0, 1.0]), (51, [-(2.0**40), 3.0, 0.0, 0.0]), (52, [0.0, 2.0**41, 0.0, 0.0]), (55, [0.0, -1.0, 2.0**22 + 0.5, 0.0])]
+    vectors += [(53, [0.0, 0.0, 0.0, 2.0**39]), (54, [0.0, 0.0, 0.0, 2.0**39 - 1])]
+    q = {i: [math.floor(256 * x) for x in v] for i, v in vectors}
+    want = Counter()
+    for i in (i for i in q if i % 5 == 0):
+        hits = sorted((-sum(a * b for a, b in zip(q[i], v)), j) for j, v in q.items() if j != i)[:3]
+        want.update((i, rank, j, -x) for rank, (x, j) in enumerate(hits, 1))
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    assert Counter(map(tuple, topk.top_k(df, F.col("vec_id") % 5 == 0, 3, block_rows).collect())) == want
+
+
+@pytest.mark.parametrize("other", [2.0**50, -(2.0**50)])
+def test_topk_score_beyond_a_long_is_an_error(spark, other):
+    df = spark.createDataFrame([(0, [2.0**50]), (1, [other])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit in a long"):
+        topk.top_k(df, F.lit(True), 1).collect()
+
+
 # -- language model
 
 

@@ -13,8 +13,9 @@ Queries go against the index in blocks: each task holds a block of one and a
 block of the other. Nothing is broadcast, and only k rows leave a task per query.
 
 Defined cases: vectors that are null, or hold a null, an infinite or NaN
-component, or one of 2**22 and more, take no part, neither as query nor as
-candidate, and so do null ids; a missing component of a shorter vector counts as
+component, take no part, neither as query nor as candidate, and so do null ids
+and vectors that cannot be represented, since a quantised component would have
+2**62 or more; a listed score that does not fit in a long is an error; a missing component of a shorter vector counts as
 0; rows that share the query's id count as its own row; repeated candidates fill
 a place each; an empty table gives an empty result.
 """
@@ -31,7 +32,9 @@ from tremorframe.session import stage_table
 
 BLOCK_ROWS = 32_768
 QUERY_ROWS = 256
-LARGEST = 1 << 22
+LARGEST = 1 << 62
+TOO_LOW = -(1 << 63)
+NO_LONG = "a score does not fit in a long: scale the vectors down"
 INDEX = "block long, ids binary, low binary, slices binary, dims int, bits int"
 HITS = "query_id long, query_key long, vec_id long, score long"
 
@@ -39,14 +42,14 @@ HITS = "query_id long, query_key long, vec_id long, score long"
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """``vec_id, q``: floor(scale * x) of every component, for the vectors that take part."""
     x = F.col("embedding")
-    usable = F.forall(x, lambda v: F.coalesce(F.abs(v.cast("double")) < LARGEST, F.lit(False)))
-    whole = F.transform(x, lambda v: F.floor(scale * v.cast("double")).cast("int"))
+    usable = F.forall(x, lambda v: F.coalesce(F.abs(scale * v.cast("double")) < float(LARGEST), F.lit(False)))
+    whole = F.transform(x, lambda v: F.floor(scale * v.cast("double")).cast("long"))
     # a vector is checked before it is converted
     return vectors.select("vec_id", F.when(usable, whole).alias("q")).filter("q is not null and vec_id is not null")
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    """Lists of ints as rows; shorter ones are filled up with 0."""
+    """Lists of whole numbers as rows; shorter ones are filled up with 0."""
     lengths = np.asarray(column.value_lengths().to_pylist(), np.int64)
     out = np.zeros((len(lengths), int(lengths.max(initial=0))), np.int64)
     flat = column.flatten().to_numpy(zero_copy_only=False)
@@ -173,13 +176,20 @@ def rows_of(bitmap: np.ndarray) -> np.ndarray:
 
 
 def values_at(score: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
-    """The scores of some rows, read back from the slices."""
-    out = np.full(len(rows), -(1 << (len(score) - 1)), np.int64)
+    """The scores of some rows, read back from the slices; as Python's ints, since they may be longer than 64 bits."""
+    out = np.full(len(rows), -(1 << (len(score) - 1)), object)
     for i, plane in enumerate(score):
-        out += ((plane[rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << i
+        out += ((plane[rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)).astype(object) << i
     return out
 
 
+def as_longs(scores: np.ndarray) -> np.ndarray:
+    """The scores, with ``TOO_LOW`` for those below a long, which an end result seldom lists."""
+    if any(x >= 1 << 63 for x in scores):
+        raise ValueError(NO_LONG)
+    return np.array([max(x, TOO_LOW) for x in scores], np.int64)
+
+
 def search_block(row: dict, queries: pa.Table, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     ids = np.frombuffer(row["ids"], np.int64)
     low = np.frombuffer(row["low"], np.int64)
@@ -195,7 +205,7 @@ def search_block(row: dict, queries: pa.Table, k: int) -> Iterator[tuple[int, in
             allowed = everyone.copy()
             np.bitwise_and.at(allowed, own >> 6, ~(np.uint64(1) << (own & 63).astype(np.uint64)))
         rows = top_rows(score, allowed, k, ids)
-        yield query_id, key, ids[rows], values_at(score, rows) + int(q @ low)
+        yield query_id, key, ids[rows], as_longs(values_at(score, rows) + sum(a * b for a, b in zip(q.tolist(), low.tolist())))
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
@@ -238,8 +248,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, block_rows: int = BLOCK_
     keys = ["slot", "query_block"]
     hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, HITS)
     best = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
+    score = F.when(F.col("score") > TOO_LOW, F.col("score")).otherwise(F.raise_error(NO_LONG).cast("long"))
     return (
         hits.withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
+        .select("query_id", "rank", "vec_id", score.alias("score"))
     )
