@@ -170,6 +170,21 @@ def test_a_notice_has_its_own_label_alone(spark, tmp_path):
         assert got == {i: want for i, (_, want) in enumerate(NOTICES)} | {99: "gpl-3,lgpl-3"}
 
 
+def test_full_license_texts_are_found(spark, tmp_path):
+    texts = [(filler, label, text) for filler in (0, 63, 150, 201) for label, text in licenses.FULL_TEXTS]
+    rows = [(i, "x " * filler + text + " y" * 300) for i, (filler, _, text) in enumerate(texts)]
+    docs_of(spark, rows).select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.labels for r in op5_licenses(spark, str(tmp_path)).collect()}
+    assert got == {i: label for i, (_, label, _) in enumerate(texts)}
+
+
+def test_blocks_hold_a_template_of_any_length(spark):
+    long = " ".join(f"w{i}" for i in range(300))
+    docs = docs_of(spark, [(i, "x " * filler + long + " y" * 500) for i, filler in enumerate((0, 100, 511, 700))])
+    got = licenses.scan_licenses(docs, licenses.TEMPLATES + [("long", long)], threshold=1.0).collect()
+    assert [r.labels for r in got] == ["long"] * 4
+
+
 def brute_figures(text):
     text = text or ""
     w = words(text)

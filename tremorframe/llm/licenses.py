@@ -10,7 +10,8 @@ left on both sides (positional filter). What passes is verified on the sets and,
 where a label has ``evidence``, on the words that tell it from similar licenses.
 
 Blocks are runs of ``block_words`` words that overlap by half, so a notice of up
-to half a block lies whole in one of them, wherever lines break.
+to half a block lies whole in one of them, wherever lines break. A longer template
+has blocks of its own, at least twice its words.
 
 Defined cases: a null or empty text has no words, no places, empty labels and
 score 0; null ids and repeated rows give a row each; words are compared after
@@ -50,7 +51,7 @@ _VERSION = r"(?:versions?|ver|v|licen[cs]es?|or|and|apache|mpl|[al]?gpl)"
 _2 = rf" (?:v2|apache2|mpl2|2 0|{_VERSION} 2) "
 _3 = rf" (?:v3|[al]?gplv?3|{_VERSION} (?:3|three)) "
 EVIDENCE = {
-    "mit": [r" (?:(?:the|an|under|of) mit|mit (?:licen[cs]e[ds]?|style|x11|expat|terms)) "],
+    "mit": [r" (?:(?:the|an|under|of) mit|mit (?:licen[cs]e[ds]?|style|x11|expat|terms)|permission is hereby granted free of charge) "],
     "apache-2": [" apache2? ", _2],
     "cc-by-nc": [" (?:cc|by|attribution) (?:nc|non ?commercial) "],
     "cc-by-sa": [" (?:cc|by|attribution) (?:sa|share ?alike) "],
@@ -59,6 +60,42 @@ EVIDENCE = {
     "agpl-3": [r" (?:affero|agplv?3?) ", _3],
     "mpl-2": [" (?:mozilla|mpl2?) ", _2],
 }
+_GNU = (
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu {}general public license"
+    " as published by the free software foundation either version 3 of the license or at your option any later version"
+    " this program is distributed in the hope that it will be useful but without any warranty without even the implied"
+    " warranty of merchantability or fitness for a particular purpose see the gnu {}general public license for more details"
+)
+# The texts that stand in files instead of a short notice.
+FULL_TEXTS = [
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated"
+        " documentation files the software to deal in the software without restriction including without limitation the"
+        " rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit"
+        " persons to whom the software is furnished to do so subject to the following conditions the above copyright notice"
+        " and this permission notice shall be included in all copies or substantial portions of the software",
+    ),
+    (
+        "apache-2",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the"
+        " license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by"
+        " applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"
+        " without warranties or conditions of any kind either express or implied see the license for the specific language"
+        " governing permissions and limitations under the license",
+    ),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the"
+        " following conditions are met redistributions of source code must retain the above copyright notice this list of"
+        " conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice"
+        " this list of conditions and the following disclaimer in the documentation and or other materials provided with"
+        " the distribution",
+    ),
+    ("gpl-3", _GNU.format("", "")),
+    ("lgpl-3", _GNU.format("lesser ", "lesser ")),
+    ("agpl-3", _GNU.format("affero ", "affero ")),
+]
 MOST_TEMPLATES = 1_000
 BLOCK_WORDS = 64
 THRESHOLD = 0.8
@@ -129,13 +166,15 @@ def scan_licenses(
     rank = token_ranks(worded, vocabulary)
 
     needs = [math.ceil(threshold * len(s) - 1e-9) for _, s in sets]
+    # a block holds twice the words of a template; few lengths, since each is a pass over the words
+    lengths = [block_words << max(0, math.ceil(math.log2(2 * max(1, len(text.split())) / block_words))) for _, text in templates]
     index = [
-        (tid, label, token, place, len(s), need, [rank[t] for t in s])
-        for tid, ((label, s), need) in enumerate(zip(sets, needs))
+        (tid, label, token, place, len(s), need, [rank[t] for t in s], length)
+        for tid, ((label, s), need, length) in enumerate(zip(sets, needs, lengths))
         for place, token in enumerate(sorted(s, key=rank.get)[: len(s) - need + 1])
     ]
     prefixes = docs.sparkSession.createDataFrame(
-        index, "_tid int, _label string, _token string, _i int, _size int, _need int, _tokens array<int>"
+        index, "_tid int, _label string, _token string, _i int, _size int, _need int, _tokens array<int>, _length int"
     ).withColumn("_token", F.element_at(F.create_map(*[x for t, r in rank.items() for x in (F.lit(t), F.lit(r))]), F.col("_token")))
     heads = F.array(*[F.lit(t) for t in sorted({row[2] for row in index})])
     order = F.create_map(*[x for t, r in rank.items() for x in (F.lit(t), F.lit(r))])
@@ -152,18 +191,22 @@ def scan_licenses(
     starts = F.concat(*[F.col(f"_at_{label}") for label in phrases])
     base = F.array_compact(F.array(*[F.when(F.size(f"_at_{x}") > 0, F.lit(x)) for x in phrases]))
 
-    def known(block: Column) -> Column:
-        """Ranks of the template tokens in a block, in order."""
-        return F.sort_array(F.transform(F.array_intersect(block, F.array(*[F.lit(t) for t in vocabulary])), lambda t: order[t]))
+    def pieces(length: int) -> Column:
+        """Blocks of a length: ranks of the template tokens in order, and the words with the one before."""
+        own = sorted(set().union(*[s for (_, s), n in zip(sets, lengths) if n == length]))
+        tokens = F.array(*[F.lit(t) for t in own])
 
-    def block(i: Column) -> Column:
-        text = F.array_join(F.slice(words, F.greatest(i, F.lit(1)), block_words + F.least(i, F.lit(1))), " ")
-        spaced = F.concat(F.lit(" "), text, F.lit(" ")) if evidence else F.lit(None).cast("string")
-        return F.struct(known(F.slice(words, i + 1, block_words)).alias("ranks"), spaced.alias("text"))
+        def block(i: Column) -> Column:
+            ranks = F.transform(F.array_intersect(F.slice(words, i + 1, length), tokens), lambda t: order[t])
+            text = F.array_join(F.slice(words, F.greatest(i, F.lit(1)), length + F.least(i, F.lit(1))), " ")
+            spaced = F.concat(F.lit(" "), text, F.lit(" ")) if evidence else F.lit(None).cast("string")
+            return F.struct(F.sort_array(ranks).alias("ranks"), spaced.alias("text"), F.lit(length).alias("length"))
 
-    tokens = F.filter(
-        F.transform(block_starts(words, block_words), block), lambda b: F.size(b["ranks"]) >= min(needs, default=0)
-    )
+        least = min(need for need, n in zip(needs, lengths) if n == length)
+        return F.filter(F.transform(block_starts(words, length), block), lambda b: F.size(b["ranks"]) >= least)
+
+    none = F.array().cast("array<struct<ranks:array<int>,text:string,length:int>>")
+    tokens = F.concat(none, *[pieces(n) for n in sorted(set(lengths))])
     # a document without any prefix token goes on with a single row
     exploded = (
         placed.select(
@@ -176,12 +219,12 @@ def scan_licenses(
             F.when(F.col("_head"), tokens).alias("_blocks"),
         )
         .select("*", F.explode_outer("_blocks").alias("_piece"))
-        .withColumns({"_block": F.col("_piece.ranks"), "_text": F.col("_piece.text")})
+        .withColumns({"_block": F.col("_piece.ranks"), "_text": F.col("_piece.text"), "_length": F.col("_piece.length")})
         .drop("_blocks", "_piece")
         .select("*", F.posexplode_outer("_block").alias("_j", "_token"))
     )
     left = F.least(F.col("_size") - F.col("_i"), F.size("_block") - F.col("_j"))
-    pairs = exploded.join(F.broadcast(prefixes), "_token", "left").withColumn(
+    pairs = exploded.join(F.broadcast(prefixes), ["_token", "_length"], "left").withColumn(
         "_share",
         F.when(
             (F.size("_block") >= F.col("_need")) & (left + F.least(F.col("_i"), F.col("_j")) >= F.col("_need")),

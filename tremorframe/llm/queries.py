@@ -58,7 +58,8 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(table(spark, sf_dir, "documents"), evidence=licenses.EVIDENCE)
+    templates = licenses.TEMPLATES + licenses.FULL_TEXTS
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"), templates, evidence=licenses.EVIDENCE)
 
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
