@@ -1,11 +1,14 @@
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from tremorframe.operators import models, summaries
+from tremorframe.plans import queries
 
 COLS = ["f0", "f1", "f2", "f3"]
 
@@ -163,3 +166,14 @@ def test_correlation_and_fit_of_constant_columns(spark):
     stats = spark.createDataFrame([(7.0, 10), (7.0, 20), (7.0, 0)], "mainshock_mag double, record_count bigint")
     fit = summaries.mag_count_fit(stats).first()
     assert fit["slope"] is None and fit["n"] == 2
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables not present")
+@pytest.mark.parametrize("best", ["RandomForest", "Lasso"])
+def test_the_best_model_is_saved(spark, monkeypatch, best):
+    errors = spark.createDataFrame([(m, 0.1 if m == best else 0.2) for m in models.MODELS], "model string, logMAE double")
+    fitted, fit_full = [], models.fit_full
+    monkeypatch.setattr(queries, "_metrics", lambda t: errors)
+    monkeypatch.setattr(models, "fit_full", lambda rows, model: fitted.append(model) or fit_full(rows, model))
+    got = queries.all_queries()["model_saved"](spark, "/root/testdata/sf0.001").collect()
+    assert fitted == [best] and got and all(r["same"] for r in got)

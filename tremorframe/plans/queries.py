@@ -709,7 +709,7 @@ def forest_importances(t: Tables) -> DataFrame:
 def model_saved(t: Tables) -> DataFrame:
     """The model with the smallest error, saved, read back and applied: the same predictions."""
     rows = stage_table(models.training_rows(t.features()), "rows")
-    fitted = models.fit_full(rows, "Ridge")
+    fitted = models.fit_full(rows, models.pick_best(_metrics(t)).first()["model"])
     again = models.load_model(models.save_model(fitted, scratch_path(t.spark, "model")))
     one, two = (m.transform(rows).select("eq_id", F.col("prediction").alias(c)) for m, c in ((fitted, "p"), (again, "q")))
     return one.join(two, "eq_id").select("eq_id", (F.col("p") == F.col("q")).alias("same"))
