@@ -25,9 +25,14 @@ def word_array(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
+def number_of(doc_id: str = "doc_id") -> Column:
+    """crc32 of the id as text; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
+
+
 def fold(part: int, modulus: int, doc_id: str = "doc_id") -> Column:
-    """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % modulus == part
+    """Whether the id's number has the remainder ``part``."""
+    return number_of(doc_id) % modulus == part
 
 
 class Memo(dict):

@@ -101,6 +101,91 @@ from sized left join counts using (r) join (
   select node as doc_id, min(other) as component_id from reach group by node) using (doc_id)"""
 
 
+def crc32_sql(column: str) -> str:
+    """CRC-32 of a decimal number, bit by bit."""
+    return f"""xor(4294967295, list_reduce(list_concat([4294967295::bigint],
+    list_transform(string_split(cast({column} as varchar), ''), lambda x: cast(ascii(x) as bigint))),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda z, k: xor(z >> 1, (z & 1) * 3988292384))))"""
+
+
+RUNS = rf"""with base as (
+  select row_number() over () as r, doc_id, {crc32_sql("doc_id")} as h,
+    regexp_extract_all(coalesce(text, ''), '{NOT_SPACE}+') as w from documents),
+places as (
+  select *, (h // 10) % greatest(len(w), 1) as a from base),
+tiles as (
+  select *, 1 + (len(w) - a) // (3 + (h // 10) % 8) as p from places),
+texts as (
+  select r, doc_id, case when h % 10 = 0 and len(w) > 0
+    then list_transform(range(len(w)), lambda i: w[1 + case when i < a then i else a + (i - a) % p end]) else w end as w
+  from tiles),
+words as (
+  select r, len(w) as n, unnest(w) as word, unnest(range(len(w))) as i from texts),
+again as (
+  select y.r, y.i, y.i - x.i as q from words x join words y
+    on x.r = y.r and x.word = y.word and x.i < y.i and 4 * (y.i - x.i) <= x.n),
+marked as (
+  select r, q, i, i - row_number() over (partition by r, q order by i) as island from again),
+islands as (
+  select r, q, min(i) - q as start, max(i) + 1 as stop from marked group by r, q, island
+  having count(*) + q >= greatest(6, 4 * q)),
+found as (
+  select r, start, stop - start as length, min(q) as period from islands group by r, start, stop),
+lists as (
+  select r, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as lines
+  from found group by r),
+best as (
+  select r, start, length, period from (select *, row_number() over (
+    partition by r order by cast(length as decimal(18, 0)) * 1000000000 // period desc, start, period) as rk from found) where rk = 1),
+dropped as (
+  select distinct r, i from (select r, unnest(range(start + period, start + length)) as i from found)),
+kept as (
+  select words.r, string_agg(word, ' ' order by words.i) as t
+  from words left join dropped on words.r = dropped.r and words.i = dropped.i where dropped.r is null group by words.r)
+select doc_id, cast(coalesce(n_runs, 0) as bigint) as n_runs, cast(start as bigint) as start, cast(length as bigint) as length,
+  cast(period as bigint) as period, cast(1000 * length // period as bigint) as exponent_milli,
+  sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(t, '')) as collapsed_sha256
+from texts left join lists using (r) left join best using (r) left join kept using (r)"""
+
+
+TRIE = f"""with own as (
+  select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text, turn from conversations
+  where conv_id is not null),
+digested as (
+  select c, turn, sha256(strlen(role) || ':' || role || text) as d, cast(length(text) as bigint) as n from own),
+turns as (
+  select c, d, n, row_number() over (partition by c order by turn nulls first, d) as i from digested),
+heads as (
+  select c, c - c % 100 as b, {crc32_sql("c")} % 6 as h from (select distinct c from turns)),
+rebuilt as (
+  select heads.c, i, d, n from heads join turns on turns.c = heads.c and i > h
+  union all select heads.c, i, d, n from heads join turns on turns.c = b and i <= h),
+placed as (
+  select c, d, n, row_number() over (partition by c order by i) as i from rebuilt),
+paths as (
+  select c, i, n, string_agg(d, '') over (partition by c order by i) as path from placed
+  union all select c, 0, 0, '' from heads),
+sizes as (
+  select c, max(i) as m from paths group by c),
+nodes as (
+  select path, i, n, min(paths.c) as conv_id, count(*) as n_convs,
+    sha256(coalesce(string_agg(cast(paths.c as varchar), ',' order by paths.c) filter (where i = m), '')) as ends_sha256
+  from paths join sizes using (c) group by path, i, n),
+children as (
+  select substr(path, 1, 64 * (i - 1)) as path, count(*) as n_children from nodes where i > 0 group by 1),
+whole as (
+  select nodes.*, coalesce(n_children, 0) as n_children from nodes left join children using (path)),
+above as (
+  select unnest(range(0, i + 1)) as k, path, n_children, (n_convs - 1) * n as saved from whole),
+sums as (
+  select substr(path, 1, 64 * k) as path, count(*) filter (where n_children = 0) as n_leaves, sum(saved) as saved
+  from above group by 1)
+select w.conv_id, cast(w.i as bigint) as depth, p.conv_id as parent_conv_id, w.n_convs, w.n_children, n_leaves,
+  cast(sums.saved as bigint) as saved_tokens, w.ends_sha256
+from whole w join sums on w.path = sums.path
+  left join nodes p on w.i > 0 and p.path = substr(w.path, 1, 64 * (w.i - 1))"""
+
+
 def licenses_sql() -> str:
     """Phrase places and containment in overlapping blocks, by definition."""
     phrases = "\n  union all ".join(
@@ -146,4 +231,6 @@ def llm_oracles() -> dict[str, str]:
         "op7_quality": QUALITY,
         "op9_mixing": MIXING,
         "op10_near_dedup": NEAR_DEDUP,
+        "op11_runs": RUNS,
+        "op12_conversation_trie": TRIE,
     }
