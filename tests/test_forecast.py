@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 
 import numpy as np
 import pytest
@@ -12,9 +13,10 @@ from conftest import HOUR, T0, rows_of
 
 from tremorframe.functions.clock import DAY_US
 from tremorframe.functions.seismo import EtasParams
-from tremorframe.operators import calibrate, etas, forecast
+from tremorframe.operators import calibrate, etas, forecast, profile
 from tremorframe.operators.enrich import enrich
 from tremorframe.operators.windows import WINDOWS, each_window, window_max
+from tremorframe.plans.queries import all_queries
 from tremorframe.sinks.submission import coverage, submission_lines, write_submission
 
 
@@ -151,6 +153,37 @@ def test_predictions_use_data_then_model(predicted):
     assert row["pred_t_us"] == T0 + 30 * HOUR
 
 
+def test_a_profile_gives_what_the_events_give(spark, make_events, make_cat):
+    rng = np.random.default_rng(5)
+    rows = [
+        (str(rng.choice(list("abc"))), float(rng.choice([-1, 0, 24, 24.001, 72, 168, 720, 720.01, *rng.exponential(200, 9)])),
+         None if i % 17 == 0 else float(rng.integers(30, 60)) / 10, 0.0, 0.0, 1.0, [None, "mb", "ms"][i % 3])
+        for i in range(600)
+    ]
+    cat = make_cat([("a", 7.0), ("b", 6.0), ("c", 6.5)])
+    ev = make_events(rows)
+    joined = enrich(ev, cat, "all")
+    after = joined.filter("t_us > t0_us")
+    loads = [profile.event_profile(joined.filter(f"event_id % 3 = {i}")) for i in range(3)]
+    for seen in (profile.event_profile(joined), profile.merge_profiles(*loads)):
+        assert rows_of(profile.profile_max(seen)) == rows_of(window_max(after))
+        assert rows_of(calibrate.rj_a_per_sequence_of(seen, cat)) == rows_of(calibrate.rj_a_per_sequence(after))
+        for overflow in ("clip", "drop"):
+            assert rows_of(profile.profile_bins(seen, 3.5, overflow)) == rows_of(calibrate.omori_bins(after, 3.5, overflow=overflow))
+    issued = profile.event_profile(joined, issue_time_h=100.0)
+    assert rows_of(profile.profile_max(issued)) == rows_of(window_max(after.filter("hours <= 100")))
+    # the profile of all still holds what was not known yet
+    assert rows_of(profile.profile_bins(issued)) == rows_of(calibrate.omori_bins(after))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables not present")
+@pytest.mark.parametrize("name", ["predictions", "submission"])
+def test_a_forecast_reads_the_events_once_more(spark, name):
+    plan = all_queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"FileScan parquet [^\n]*events\.parquet", plan)) <= 2
+    assert len(re.findall(r"(?<!Broadcast)Exchange ", plan)) < 30
+
+
 def test_predictions_issued_early_do_not_see_later_events(predicted):
     cat, joined, a, first = predicted
     got = {(r["eq_id"], r["window"]): r["source"] for r in forecast.predict(cat, joined, a, first, issue_time_h=24).collect()}

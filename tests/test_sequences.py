@@ -10,7 +10,8 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from tremorframe.operators import completeness as gr
 from tremorframe.operators.enrich import enrich, seq_stats, valid_events
 from tremorframe.operators.features import FEATURE_COLUMNS, seq_features
-from tremorframe.operators.quantiles import fixed_width, global_median, group_quantiles, log_width
+from tremorframe.operators import quantiles
+from tremorframe.operators.quantiles import fixed_width, group_quantiles
 from tremorframe.operators.windows import window_label, window_max
 
 US = 1 / HOUR  # one microsecond in hours
@@ -91,10 +92,24 @@ def test_quantiles_match_numpy(spark, rows, width):
         assert got[key]["q90"] == pytest.approx(np.percentile(values, 90), abs=1e-9)
 
 
-def test_global_median(spark):
-    df = spark.createDataFrame([(x,) for x in (1e-3, 5.0, 2e5, 7.0)], "v double")
-    assert global_median(df, "v", log_width(10), "m").first()["m"] == pytest.approx(6.0)
-    assert global_median(df.filter("v < 0"), "v", log_width(10), "m").first()["m"] is None
+@pytest.mark.parametrize("accuracy", [10_000, 100, 10])
+@pytest.mark.parametrize("n", [0, 1, 2, 5, 1000, 1001])
+def test_global_medians_are_exact(spark, monkeypatch, accuracy, n):
+    # a coarse sketch makes the cut points matter at this size
+    monkeypatch.setattr(quantiles, "_ACCURACY", accuracy)
+    rng = np.random.default_rng(n)
+    rows = [(float(a), float(b), None if i % 3 == 0 else i // 7, 5.0) for i, (a, b) in enumerate(zip(rng.normal(size=n), rng.lognormal(sigma=9, size=n)))]
+    df = spark.createDataFrame(rows, "a double, b double, c int, d double").repartition(5)
+    got = quantiles.global_medians(df, ["a", "b", "c", "d"]).first().asDict()
+    for i, name in enumerate("abcd"):
+        values = [r[i] for r in rows if r[i] is not None]
+        assert got[name] == (pytest.approx(np.median(values), rel=1e-12) if values else None)
+
+
+def test_medians_read_a_table_twice_and_no_value_meets_all_others(spark):
+    df = spark.range(1000).selectExpr("id * 1.5D as v")
+    plan = quantiles.global_medians(df, ["v"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Window" not in plan and "Sort [" not in plan
 
 
 def brute_mc(mags: np.ndarray) -> float | None:

@@ -21,27 +21,22 @@ from tremorframe.functions.seismo import (
     RjParams,
     omori_rate,
 )
-from tremorframe.operators.quantiles import fixed_width, global_median, group_quantiles, log_width
+from tremorframe.operators.profile import BIN_DAYS, DAYS, profile_bins, profile_counts
+from tremorframe.operators.quantiles import global_medians
 from tremorframe.operators.windows import WINDOWS, Window3, each_window
-
-BIN_DAYS = 0.5
+from tremorframe.session import stage_table
 
 
 def bath_constant(features: DataFrame) -> DataFrame:
     """Median of largest aftershock minus mainshock magnitude."""
-    deltas = features.select((F.col("mag_max") - F.col("mainshock_mag")).alias("delta"))
-    return global_median(deltas, "delta", fixed_width(0.1), "bath_delta")
+    deltas = features.select((F.col("mag_max") - F.col("mainshock_mag")).alias("bath_delta"))
+    return global_medians(deltas, ["bath_delta"])
 
 
 def rj_a_per_sequence(
     enriched: DataFrame, rj: RjParams = RjParams(), days: float = 30, min_mag: float = 4.0
 ) -> DataFrame:
     """``eq_id, n_obs, a_hat`` for sequences with at least one event that counts."""
-    q = 1.0 - rj.p
-    if abs(q) < 1e-6:
-        integral = math.log((days + rj.c_days) / rj.c_days)
-    else:
-        integral = ((days + rj.c_days) ** q - rj.c_days**q) / q
     counted = enriched.filter(
         (F.col("t_us") > F.col("t0_us"))
         & (F.col("t_us") - F.col("t0_us") <= int(days * DAY_US))
@@ -50,6 +45,23 @@ def rj_a_per_sequence(
     n_obs = counted.groupBy("eq_id").agg(
         F.count("*").alias("n_obs"), F.max("mainshock_mag").alias("mainshock_mag")
     )
+    return _a_hats(n_obs, rj, days, min_mag)
+
+
+def rj_a_per_sequence_of(
+    profile: DataFrame, cat: DataFrame, rj: RjParams = RjParams(), min_mag: float = 4.0
+) -> DataFrame:
+    """The same from an event profile, within its days."""
+    n_obs = profile_counts(profile, min_mag).join(cat.select("eq_id", "mainshock_mag"), "eq_id")
+    return _a_hats(n_obs, rj, DAYS, min_mag)
+
+
+def _a_hats(n_obs: DataFrame, rj: RjParams, days: float, min_mag: float) -> DataFrame:
+    q = 1.0 - rj.p
+    if abs(q) < 1e-6:
+        integral = math.log((days + rj.c_days) / rj.c_days)
+    else:
+        integral = ((days + rj.c_days) ** q - rj.c_days**q) / q
     return n_obs.select(
         "eq_id",
         "n_obs",
@@ -65,10 +77,12 @@ def rj_a(
     enriched: DataFrame, rj: RjParams = RjParams(), days: float = 30, min_mag: float = 4.0
 ) -> DataFrame:
     """One row ``a``: the median over sequences, or the given default without data."""
-    hats = rj_a_per_sequence(enriched, rj, days, min_mag)
-    return global_median(hats, "a_hat", fixed_width(0.01), "a").select(
-        F.round(F.coalesce("a", F.lit(rj.a)), 3).alias("a")
-    )
+    return median_a(rj_a_per_sequence(enriched, rj, days, min_mag), rj)
+
+
+def median_a(hats: DataFrame, rj: RjParams = RjParams()) -> DataFrame:
+    """One row ``a`` from the values of the sequences."""
+    return global_medians(hats, ["a_hat"]).select(F.round(F.coalesce("a_hat", F.lit(rj.a)), 3).alias("a"))
 
 
 def omori_bins(
@@ -176,12 +190,21 @@ def omori_fit(
 
 def omori_medians(fits: DataFrame) -> DataFrame:
     """One row ``k, c, p``: the median of each parameter over sequences."""
-    names = ("k", "c", "p")
-    values = fits.select(
-        F.explode(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))])).alias("name", "value")
-    )
-    med = group_quantiles(values, ["name"], "value", {"median": 0.5}, log_width(100))
-    return med.agg(*[F.max(F.when(F.col("name") == n, F.col("median"))).alias(n) for n in names])
+    return global_medians(fits, ["k", "c", "p"])
+
+
+def calibrated(
+    profile: DataFrame,
+    cat: DataFrame,
+    min_mag: float = 4.0,
+    omori_min_mag: float = 4.0,
+    windows: tuple[Window3, ...] = WINDOWS,
+) -> tuple[DataFrame, DataFrame]:
+    """``a`` and ``window, first_hour``, as tables, from an event profile that has been written out."""
+    a = median_a(rj_a_per_sequence_of(profile, cat, min_mag=min_mag))
+    fits = omori_fit(profile_bins(profile, omori_min_mag), cat)
+    first_hour = omori_first_hour(omori_medians(fits), windows)
+    return stage_table(a, "rj_a"), stage_table(first_hour, "first_hour")
 
 
 def omori_first_hour(

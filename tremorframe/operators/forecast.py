@@ -15,6 +15,7 @@ from tremorframe.functions.seismo import (
     rj_max_mag,
 )
 from tremorframe.operators.etas import etas_max_mag
+from tremorframe.operators.profile import profile_max
 from tremorframe.operators.windows import WINDOWS, Window3, each_window, window_max
 
 SOURCE_DATA, SOURCE_MODEL, SOURCE_BATH = "S1_data", "S2_RJ+ETAS", "S3_Bath"
@@ -47,6 +48,7 @@ def predict(
     etas: EtasParams = EtasParams(),
     issue_time_h: float | None = None,
     etas_units: str = "hours",
+    profile: DataFrame | None = None,
 ) -> DataFrame:
     """One row per mainshock and window with ``pred_mag``, ``pred_t_us`` and ``source``.
 
@@ -54,12 +56,14 @@ def predict(
     data; with ``issue_time_h`` only from events up to that hour. Empty windows
     blend the Reasenberg-Jones and epidemic estimates, for which ``a`` is the
     one-row calibration; without it they fall back to Bath's law. Only empty
-    windows pay for the epidemic sums.
+    windows pay for the epidemic sums. With ``profile``, the event profile of the
+    same windows and time of issue as a table, the events are read for those alone.
     """
     known = joined
     if issue_time_h is not None:
         known = joined.filter(F.col("t_us") - F.col("t0_us") <= int(issue_time_h * HOUR_US))
-    seen = window_max(known, windows).withColumnRenamed("t_us", "seen_t_us")
+    seen = window_max(known, windows) if profile is None else profile_max(profile)
+    seen = seen.withColumnRenamed("t_us", "seen_t_us")
     slots = each_window(
         cat.select("eq_id", "t0_us", "mainshock_mag", "mainshock_lat", "mainshock_lon"), windows
     )

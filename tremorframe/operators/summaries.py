@@ -36,17 +36,19 @@ def top_sequences(features: DataFrame, n: int = 10) -> DataFrame:
     """The n sequences with most aftershocks and their rank, ties sharing one.
 
     The top is taken first. All sequences with more aftershocks than a kept one
-    are kept too, so ranking the n survivors gives the global rank.
+    are kept too, so ranking the n survivors gives the global rank. The year is
+    listed where the features have it.
     """
+    year = [c for c in features.columns if c == "year"]
     top = (
-        features.select("eq_id", "year", "mainshock_mag", "aftershock_count", "mag_max", "b_value")
+        features.select("eq_id", *year, "mainshock_mag", "aftershock_count", "mag_max", "b_value")
         .orderBy(F.col("aftershock_count").desc(), "eq_id")
         .limit(n)
     )
     over = Window.partitionBy(F.lit(0)).orderBy(F.col("aftershock_count").desc())
     return top.select(
         "eq_id",
-        "year",
+        *year,
         F.round("mainshock_mag", 1).alias("mag"),
         "aftershock_count",
         F.round("mag_max", 1).alias("max_aft_mag"),

@@ -63,6 +63,11 @@ def window_max(enriched: DataFrame, windows: Sequence[Window3] = WINDOWS) -> Dat
         .groupBy("eq_id", "window", "mag", "mag_type")
         .agg(F.count("*").alias("n"), F.min("t_us").alias("t_us"))
     )
+    return largest(by_mag)
+
+
+def largest(by_mag: DataFrame) -> DataFrame:
+    """Largest event and number of events per sequence and window, from counts per magnitude and type."""
     return (
         by_mag.groupBy("eq_id", "window")
         .agg(

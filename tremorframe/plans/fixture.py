@@ -6,6 +6,8 @@ the event row, so the same definitions can be stated in SQL for comparison.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tremorframe.functions.clock import column_micros, utc_timestamp
@@ -31,16 +33,20 @@ def quakes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mainshocks(ev: DataFrame) -> DataFrame:
-    """The first event of each sequence, raised in magnitude, as its mainshock."""
-    first = ev.filter(F.col("eq_id").isNotNull()).groupBy("eq_id").agg(
-        F.min(F.struct("t_us", "event_id", "mag", "lat", "lon", "depth")).alias("m")
-    )
+    """The first event of each sequence, raised in magnitude, as its mainshock.
+
+    Time and id are one number, which an aggregation by hash can compare; a
+    struct would make it sort all events.
+    """
+    order = F.col("t_us").cast("decimal(19,0)") * F.lit(Decimal(10**19)) + F.col("event_id")
+    keyed = ev.filter(F.col("eq_id").isNotNull()).withColumn("_order", order.cast("decimal(38,0)"))
+    first = keyed.groupBy("eq_id").agg(*[F.min_by(c, "_order").alias(c) for c in ("t_us", "mag", "depth", "lat", "lon")])
     return first.select(
         "eq_id",
-        F.col("m.t_us").alias("t0_us"),
-        (F.col("m.mag") + MAINSHOCK_BOOST).alias("mainshock_mag"),
-        F.col("m.depth").alias("mainshock_depth"),
-        F.col("m.lat").alias("mainshock_lat"),
-        F.col("m.lon").alias("mainshock_lon"),
-        F.year(utc_timestamp(F.col("m.t_us"))).alias("year"),
+        F.col("t_us").alias("t0_us"),
+        (F.col("mag") + MAINSHOCK_BOOST).alias("mainshock_mag"),
+        F.col("depth").alias("mainshock_depth"),
+        F.col("lat").alias("mainshock_lat"),
+        F.col("lon").alias("mainshock_lon"),
+        F.year(utc_timestamp(F.col("t_us"))).alias("year"),
     )

@@ -12,7 +12,7 @@ from functools import wraps
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
-from tremorframe.operators import calibrate, forecast, models, summaries
+from tremorframe.operators import calibrate, forecast, models, profile, summaries
 from tremorframe.operators.associate import associate, associated_counts
 from tremorframe.operators.enrich import enrich, seq_stats, valid_events
 from tremorframe.operators.features import seq_features
@@ -163,18 +163,15 @@ def forecast_all(
 ) -> DataFrame:
     """Calibrate, predict every window, write predictions and submission files.
 
-    Returns the coverage row.
+    Events are read twice: for the profile that calibration and window maxima
+    share, and for the epidemic sums of the empty windows. Returns the coverage row.
     """
-    columns = ["eq_id", "event_id", "t_us", "t0_us", "mag", "mag_type", "mainshock_mag"]
-    joined = stage_table(enrich(valid_events(ev), cat, "all").select(*columns), "joined")
-    known = joined
-    if issue_time_h is not None:
-        known = joined.filter((F.col("t_us") - F.col("t0_us")) / 3.6e9 <= issue_time_h)
-    after = known.filter(F.col("t_us") > F.col("t0_us"))
-    a = stage_table(calibrate.rj_a(after), "rj_a")
-    fits = calibrate.omori_fit(calibrate.omori_bins(after), cat)
-    first_hour = stage_table(calibrate.omori_first_hour(calibrate.omori_medians(fits)), "first_hour")
-    pred = stage_table(forecast.predict(cat, joined, a, first_hour, issue_time_h=issue_time_h), "pred")
+    cat = stage_table(cat, "mainshocks")
+    joined = enrich(valid_events(ev), cat, "all")
+    seen = stage_table(profile.event_profile(joined, issue_time_h=issue_time_h), "profile")
+    a, first_hour = calibrate.calibrated(seen.filter("known"), cat)
+    pred = forecast.predict(cat, joined, a, first_hour, issue_time_h=issue_time_h, profile=seen)
+    pred = stage_table(pred, "pred")
     write_table(pred.orderBy("eq_id", "window"), f"{out}/predictions", "csv")
     write_table(forecast.strategy_mix(pred), f"{out}/strategy_mix", "csv")
     write_table(forecast.prediction_report(pred, cat), f"{out}/prediction_report", "csv")

@@ -388,6 +388,7 @@ def all_oracles() -> dict[str, str]:
     pred_columns = "eq_id, mainshock_mag, window, pred_mag, pred_t_us, mag_type, n_events, source, pred_time"
     out = {
         "window_max_per_sequence": _with(*base, WINDOWS, _window_max("best", "aft")) + "select * from best",
+        "window_max_of_profile": _with(*base, WINDOWS, _window_max("best", "aft")) + "select * from best",
         "aftershocks_enriched": _with(*base)
         + "select eq_id, event_id, round(hours, 10) as hours, round(dist_km, 6) as dist_km, mag, depth from aft",
         "aftershocks_first_row_rule": _with(*base)

@@ -27,6 +27,7 @@ from tremorframe.operators import calibrate, completeness, etas, forecast, model
 from tremorframe.operators.associate import associate, associated_counts, candidate_pairs
 from tremorframe.operators.enrich import enrich, seq_stats
 from tremorframe.operators.features import seq_features
+from tremorframe.operators.profile import event_profile, merge_profiles, profile_max
 from tremorframe.operators.windows import each_window, window_max
 from tremorframe.plans.fixture import mainshocks, quakes
 from tremorframe.session import scratch_path, stage_table, tune
@@ -88,6 +89,15 @@ class Tables:
     def features(self, **options) -> DataFrame:
         return seq_features(self.after, self.cat, **options)
 
+    @cached_property
+    def main(self) -> DataFrame:
+        """The mainshocks, written out."""
+        return stage_table(self.cat, "mainshocks")
+
+    def profile(self, **options) -> DataFrame:
+        """The event profile, written out."""
+        return stage_table(event_profile(enrich(self.ev, self.main, rule="all"), **options), "profile")
+
     def omori_fits(self) -> DataFrame:
         bins = calibrate.omori_bins(self.after, OMORI_MIN_MAG)
         return calibrate.omori_fit(bins, self.cat)
@@ -96,8 +106,10 @@ class Tables:
         return calibrate.omori_first_hour(calibrate.omori_medians(self.omori_fits()))
 
     def predictions(self, **options) -> DataFrame:
-        a = calibrate.rj_a(self.after)
-        return forecast.predict(self.cat, self.joined, a, self.first_hour(), **options)
+        seen = self.profile(issue_time_h=options.get("issue_time_h"))
+        a, first_hour = calibrate.calibrated(seen, self.main, omori_min_mag=OMORI_MIN_MAG)
+        joined = enrich(self.ev, self.main, rule="all")
+        return forecast.predict(self.main, joined, a, first_hour, profile=seen, **options)
 
     def iso_rows(self) -> DataFrame:
         """Events as rows of an ISO sequence file, with the stamp of their mainshock."""
@@ -311,6 +323,15 @@ def predictions_uncalibrated(t: Tables) -> DataFrame:
     return forecast.predict(t.cat, t.joined, None, t.first_hour())
 
 
+@query
+def window_max_of_profile(t: Tables) -> DataFrame:
+    """The window maxima again, from the profiles of two loads merged into one."""
+    enriched = enrich(t.ev, t.main, rule="all")
+    even = F.col("event_id") % 2 == 0
+    loads = [stage_table(event_profile(enriched.filter(part)), "profile") for part in (even, ~even)]
+    return profile_max(merge_profiles(*loads))
+
+
 @query
 def strategy_mix(t: Tables) -> DataFrame:
     return forecast.strategy_mix(t.predictions())
@@ -318,7 +339,7 @@ def strategy_mix(t: Tables) -> DataFrame:
 
 @query
 def prediction_report(t: Tables) -> DataFrame:
-    return forecast.prediction_report(t.predictions(), t.cat)
+    return forecast.prediction_report(t.predictions(), t.main)
 
 
 @query
@@ -328,13 +349,13 @@ def forecast_score(t: Tables) -> DataFrame:
 
 @query
 def submission(t: Tables) -> DataFrame:
-    return submission_lines(t.predictions(), t.cat)
+    return submission_lines(t.predictions(), t.main)
 
 
 @query
 def submission_files(t: Tables) -> DataFrame:
     """The submission files written and read back, without the mainshock key."""
-    lines = submission_lines(t.predictions(), t.cat)
+    lines = submission_lines(t.predictions(), t.main)
     path = write_submission(lines, scratch_path(t.spark, "submission"))
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     return t.spark.read.text(path).select(name.alias("file_name"), F.col("value").alias("line"))
@@ -342,8 +363,8 @@ def submission_files(t: Tables) -> DataFrame:
 
 @query
 def submission_coverage(t: Tables) -> DataFrame:
-    pred = t.predictions()
-    return coverage(pred, submission_lines(pred, t.cat))
+    pred = stage_table(t.predictions(), "predictions")
+    return coverage(pred, submission_lines(pred, t.main))
 
 
 # ---- sources, association, loads ----------------------------------------------
