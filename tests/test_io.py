@@ -198,6 +198,106 @@ def test_mainshock_seconds_and_damage(spark, tmp_path):
             catalog.read_mainshocks(spark, f"{tmp_path}/bad{n}.csv").collect()
 
 
+def test_records_that_span_lines(spark, tmp_path):
+    text = (
+        "\n" + ISO_HEAD + '2001-09-09T01:46:41Z,1,2,10,4.5,mb,"a\nb, ""c"""\n'
+        + "\n  \n2001-09-09T01:46:42Z,1,2,10,4.6,mb,x\n2001-09-09T01:46:43Z,1,2,10,4.7\n"
+    )
+    put(tmp_path / "s", "20010909014640_seq.csv", text)
+    put(tmp_path / "s", "20020909014640_seq.csv", ISO_HEAD + '2002-09-09T01:46:41Z,1,2,10,4.5,mb,"say \\"a\\", b"\n')
+    ev = sequences.read_sequences(spark, f"{tmp_path}/s/*_seq.csv")
+    assert [(r["mag"], r["eq_id"][:4]) for r in rows_of(ev, "t_us")] == [(4.5, "2001"), (4.6, "2001"), (4.5, "2002")]
+    kept = sequences.read_sequences(spark, f"{tmp_path}/s/*_seq.csv", keep_malformed=True)
+    assert [tuple(r) for r in sequences.malformed_counts(kept).orderBy("eq_id").collect()][0] == ("20010909014640", 1, 0)
+    raw = catalog.read_catalog(spark, f"{tmp_path}/s/*_seq.csv")
+    assert sorted(r["place"] for r in raw.collect()) == ['a\nb, "c"', 'say "a", b', "x"]
+
+
+def test_blank_files_and_names_like_patterns(spark, tmp_path):
+    put(tmp_path / "s", "20010909014640_seq.csv", "\n")
+    put(tmp_path / "s", "20020909014640_seq.csv", "")
+    put(tmp_path / "s", "[a] {b}*20030909014640_seq.csv", ISO_HEAD + "2003-09-09T01:46:41Z,1,2,10,4.5,mb,x\n")
+    ev = sequences.read_sequences(spark, f"{tmp_path}/s")
+    assert [r["eq_id"] for r in ev.collect()] == ["20030909014640"]
+    _, report = sequences.read_with_report(spark, f"{tmp_path}/s")
+    assert [(r["eq_id"][:4], r["status"]) for r in rows_of(report, "eq_id")] == [("2001", "empty"), ("2002", "empty"), ("2003", "ok")]
+    only = sequences.read_sequences(spark, f"{tmp_path}/s/2*_seq.csv")
+    assert only.count() == 0 and only.columns == ev.columns
+    plan = ev._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan csv") == 1 and "text" not in plan
+
+
+@pytest.fixture
+def unusable_files(tmp_path):
+    """Two good files, one that is no archive, one cut off, and one without a header."""
+    import gzip
+
+    row = "2001-09-09T01:46:41Z,1,2,10,4.5,mb,x\n"
+    folder = tmp_path / "bad"
+    put(folder, "20010909014640_seq.csv", ISO_HEAD + row)
+    whole = gzip.compress((ISO_HEAD + "".join(f"2001-09-09T01:46:{i % 60:02}.{i:06}Z,{i % 90},2,10,4.5,mb,p{i * 7919}\n" for i in range(90000))).encode())
+    (folder / "20020909014640_seq.csv.gz").write_bytes(gzip.compress((ISO_HEAD + row).encode()))
+    (folder / "20030909014640_seq.csv.gz").write_bytes(b"this is no archive")
+    (folder / "20040909014640_seq.csv.gz").write_bytes(whole[: len(whole) // 2])
+    put(folder, "20050909014640_seq.csv", row)
+    return folder
+
+
+def test_a_bad_file_does_not_stop_the_others(spark, unusable_files):
+    ev, report = sequences.read_with_report(spark, str(unusable_files))
+    assert sorted(r["eq_id"][:4] for r in sequences.well_formed(ev).collect()) == ["2001", "2002"]
+    status = {r["eq_id"][:4]: r["status"] for r in report.collect()}
+    assert status == {"2001": "ok", "2002": "ok", "2003": "failed", "2004": "failed", "2005": "parse_error"}
+    with pytest.raises(ValueError, match="cannot read .*2003"):
+        sequences.read_sequences(spark, str(unusable_files))
+
+
+def test_stream_passes_over_bad_files_and_takes_them_when_mended(spark, unusable_files, tmp_path):
+    def load():
+        got = stream_ingest(spark, str(unusable_files), str(tmp_path / "sink"), str(tmp_path / "mark"))
+        return sorted(r["eq_id"][:4] for r in got.collect())
+
+    assert load() == ["2001", "2002"]
+    put(unusable_files, "20050909014640_seq.csv", ISO_HEAD + "2005-09-09T01:46:41Z,1,2,10,4.5,mb,x\n")
+    assert load() == ["2001", "2002", "2005"]
+    assert load() == ["2001", "2002", "2005"]
+
+
+def bytes_read(spark):
+    return sum(s.getBytesRead() for s in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics())
+
+
+def test_a_batch_does_not_read_the_table(spark, tmp_path):
+    folder, sink, mark = tmp_path / "in", str(tmp_path / "sink"), str(tmp_path / "mark")
+    noise = lambda year, n: ISO_HEAD + "".join(
+        f"{year}-09-09T01:46:{i % 60:02}.{i * 7919 % 1000000:06}Z,{i * 31 % 90}.{i * 7919 % 10**6},{i * 37 % 180}.{i * 104729 % 10**6},10,4.5,mb,x\n" for i in range(n)
+    )
+
+    def load(year, n):
+        put(folder, f"{year}0909014640_seq.csv", noise(year, n))
+        before = bytes_read(spark)
+        stream_ingest(spark, str(folder), sink, mark)
+        return bytes_read(spark) - before
+
+    load(2001, 50)
+    small = load(2002, 50)
+    load(2003, 40_000)
+    size = sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(sink) for f in names)
+    large = load(2004, 50)
+    assert size > 500_000 and large < small + size / 10
+    # the large file again, of which every event is known
+    put(folder, "20050909014640_seq.csv", noise(2003, 40_000))
+    (folder / "again").mkdir()
+    put(folder / "again", "20030909014640_seq.csv", noise(2003, 40_000))
+    stream_ingest(spark, str(folder / "again"), sink, str(tmp_path / "other"))
+    assert spark.read.parquet(sink).filter("eq_id like '2003%'").count() == 40_000
+
+
+def test_stream_forgets_when_asked_to(spark, iso_files, tmp_path):
+    got = stream_ingest(spark, str(iso_files), str(tmp_path / "sink"), str(tmp_path / "mark"), forget_after="1 day")
+    assert got.count() == 3
+
+
 def test_stream_takes_each_file_once(spark, iso_files, tmp_path):
     sink, mark = str(tmp_path / "sink"), str(tmp_path / "mark")
 

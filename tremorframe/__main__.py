@@ -43,7 +43,7 @@ NEEDS = {
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     parser = argparse.ArgumentParser(prog="tremorframe", description=__doc__.splitlines()[0])
     parser.add_argument("job", choices=sorted(NEEDS))
-    for name in ("catalog", "mainshocks", "sequences", "features", "events", "malformed"):
+    for name in ("catalog", "mainshocks", "sequences", "features", "events", "malformed", "unusable"):
         parser.add_argument(f"--{name}")
     parser.add_argument("--out", required=True)
     parser.add_argument("--folds", default="5", help="number of folds, or loo")
@@ -76,6 +76,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         flows.load_sequences(
             read_catalog(spark, args.catalog), flows.stored_events(spark, args.events), args.out, top,
             malformed=spark.read.parquet(args.malformed) if args.malformed else None,
+            unusable=spark.read.parquet(args.unusable) if args.unusable else None,
         ).show()
     elif args.job == "ingest":
         layout = "iso" if args.sequences.endswith("_seq.csv") else "date_time"

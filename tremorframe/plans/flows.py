@@ -25,8 +25,8 @@ from tremorframe.sources.catalog import (
     top_mainshocks,
     unique_mainshocks,
 )
-from tremorframe.sources.incremental import ingest_status, ingest_summary, new_only
-from tremorframe.sources.sequences import load_counts, malformed_counts, read_sequences
+from tremorframe.sources.incremental import UNFINISHED, ingest_status, ingest_summary, new_only
+from tremorframe.sources.sequences import bad_files, load_counts, malformed_counts, read_with_report
 from tremorframe.streaming.ingest import stream_ingest
 
 # Columns of a store's events written as CSV.
@@ -130,14 +130,16 @@ def load_sequences(
     n: int | None = None,
     limit: int | None = None,
     malformed: DataFrame | None = None,
+    unusable: DataFrame | None = None,
 ) -> DataFrame:
     """Associate events with all mainshocks not loaded yet, or with the n largest.
 
     Events go to ``store/events``, the status of each mainshock to
     ``store/manifest``. A load owns one ``load=`` folder in both and writes the
     manifest last, so a load that failed half way is simply written again.
-    ``malformed`` (``eq_id, n_malformed``) tells parse errors from empty sequences.
-    Returns the summary of the load.
+    ``malformed`` (``eq_id, n_malformed``) tells parse errors from empty sequences, ``unusable``
+    (``eq_id, file_status``) names those whose file could not be used. Sequences that failed or
+    were not parsed are taken again by the next load. Returns the summary of the load.
     """
     spark = raw_catalog.sparkSession
     cat = unique_mainshocks(mainshocks_from_catalog(clean_catalog(raw_catalog, ordered=False)))
@@ -146,12 +148,13 @@ def load_sequences(
     cached, fresh, load = None, cat, 0
     if done is not None:
         load = done.agg(F.max("load")).first()[0] + 1
+        done = done.filter(~F.col("status").isin(*UNFINISHED))
         cached = done.groupBy("eq_id").agg(F.max("n_events").alias("n_events"))
         fresh = new_only(cat, done)
     pairs = associate(fresh, ev, limit=limit)
     write_table(pairs, f"{store}/events/load={load}")
     found = spark.read.schema(pairs.schema).parquet(f"{store}/events/load={load}")
-    status = ingest_status(cat, associated_counts(found, limit), limit, cached, malformed)
+    status = ingest_status(cat, associated_counts(found, limit), limit, cached, malformed, unusable)
     status = stage_table(status, "status")
     write_table(status.filter("status <> 'cached'"), f"{store}/manifest/load={load}")
     return settled(ingest_summary(status))
@@ -185,14 +188,15 @@ def ingest(
 ) -> DataFrame:
     """Stream the sequence files not read yet into ``out/stream``, and lay all events out for loads.
 
-    Writes the damaged lines by sequence to ``out/malformed`` and the table
-    ``out/events`` in ranges of sequence and time, which ``load`` takes. Returns
-    the number of rows and sequences.
+    Writes the damaged lines by sequence to ``out/malformed``, the sequences of files that could
+    not be used to ``out/unusable``, and the table ``out/events`` in ranges of sequence and
+    time, which ``load`` takes. Returns the number of rows and sequences.
     """
     tune(spark)
     loaded = stream_ingest(spark, sequences, f"{out}/stream", f"{out}/checkpoint", layout, max_files)
     write_event_table(loaded, f"{out}/events")
-    everything = read_sequences(spark, sequences, layout, keep_malformed=True)
+    everything, report = read_with_report(spark, sequences, layout)
+    write_table(bad_files(report), f"{out}/unusable")
     write_table(malformed_counts(everything).filter("n_malformed + n_unreadable > 0"), f"{out}/malformed")
     return load_counts(spark.read.parquet(f"{out}/events"))
 

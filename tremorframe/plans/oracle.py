@@ -309,6 +309,16 @@ def _with(*ctes: str) -> str:
     return "with " + ",\n".join(ctes) + "\n"
 
 
+UNUSABLE = f"""files as (
+  select {STAMP} as stamp, bool_or(eq_id = f) as lost, bool_or(eq_id <> f and eq_id % 7 not in (1, 2)) as headed,
+    bool_or(eq_id <> f and eq_id % 7 = 1) as bare,
+    coalesce(sum(n) filter (where eq_id <> f and eq_id % 7 <> 2), 0) as n
+  from cat join (select eq_id, count(*) as n from ev group by eq_id) using (eq_id), (select min(eq_id) as f from cat) group by 1),
+status as (
+  select stamp as eq_id, mainshock_mag as mag, round(mainshock_lat, 6) as lat, round(mainshock_lon, 6) as lon,
+    cast(case when headed then n else 0 end as bigint) as n_events,
+    case when lost then 'failed' when headed then 'ok' when bare then 'parse_error' else 'empty' end as status
+  from cat join files on stamp = {STAMP})"""
 MALFORMED = f"""malformed as (
   select {STAMP} as eq_id, count(*) filter (where depth is null and mag <= 5) as n_malformed,
     count(*) filter (where mag > 5) as n_unreadable from joined group by 1)
@@ -551,6 +561,14 @@ select {STAMP} as eq_id, mainshock_mag as mag, round(mainshock_lat, 6) as lat, r
   coalesce(n, 0) as n_events, case when n is null and n_malformed > 0 then 'parse_error'
     when n is null then 'empty' else 'ok' end as status
 from cat left join loaded on loaded.eq_id = {STAMP} left join malformed on malformed.eq_id = {STAMP}""",
+        "catalog_line_breaks": _with(EV)
+        + """select t_us, mag, 'near' || chr(10) || '"place ' || eq_id || '", north' as place from ev""",
+        "load_status_unusable_files": _with(*base, UNUSABLE) + "select * from status",
+        "load_summary_unusable_files": _with(*base, UNUSABLE)
+        + """select count(*) filter (where status = 'ok') as n_success, count(*) filter (where status = 'failed') as n_failed,
+  count(*) filter (where status = 'empty') as n_empty, cast(sum(n_events) filter (where status = 'ok') as bigint) as events_total,
+  round(avg(n_events) filter (where status = 'ok'), 6) as events_mean, max(n_events) filter (where status = 'ok') as events_max,
+  min(n_events) filter (where status = 'ok') as events_min from status""",
         "sequences_date_time": _with(*base) + iso_events + " where depth is not null",
         "sequence_load_counts": "select count(*) as n_rows, count(distinct user_id) as n_sequences from events",
         "associate_space_time": _with(EV, CAT, PAIRS)

@@ -32,7 +32,7 @@ from tremorframe.operators.windows import each_window, window_max
 from tremorframe.plans.fixture import mainshocks, quakes
 from tremorframe.session import scratch_path, stage_table, tune
 from tremorframe.sinks.submission import coverage, submission_lines, write_submission
-from tremorframe.sinks.tables import write_table
+from tremorframe.sinks.tables import put_file, write_table
 from tremorframe.sources.catalog import (
     clean_catalog,
     mainshocks_from_catalog,
@@ -42,7 +42,14 @@ from tremorframe.sources.catalog import (
     unique_mainshocks,
 )
 from tremorframe.sources.incremental import ingest_status, ingest_summary, new_only
-from tremorframe.sources.sequences import load_counts, malformed_counts, read_sequences, well_formed
+from tremorframe.sources.sequences import (
+    bad_files,
+    load_counts,
+    malformed_counts,
+    read_sequences,
+    read_with_report,
+    well_formed,
+)
 from tremorframe.streaming.ingest import stream_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -507,6 +514,48 @@ def load_status_parse_error(t: Tables) -> DataFrame:
     return ingest_status(cat, counts, malformed=malformed_counts(read))
 
 
+@query
+def catalog_line_breaks(t: Tables) -> DataFrame:
+    """Places with a line break, a comma and quotes."""
+    path = scratch_path(t.spark, "catalog")
+    place = F.concat(F.lit('near\n"'), F.col("place"), F.lit('", north'))
+    write_table(t.iso_rows().withColumn("place", place).drop("stamp"), path, "csv")
+    return clean_catalog(read_catalog(t.spark, path), ordered=False).select("t_us", "mag", "place")
+
+
+def _unusable(t: Tables) -> DataFrame:
+    """Status of sequences of which the first one's file is no archive, some have no header, and some are blank."""
+    kind = F.col("eq_id") % 7
+    rows = t.joined.select(
+        "eq_id",
+        eq_stamp(F.col("t0_us")).alias("stamp"),
+        F.when(kind == 2, "").otherwise(
+            F.concat_ws(",", format_utc(F.col("t_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), "lat", "lon", F.col("mag").cast("string"))
+        ).alias("value"),
+    )
+    first = t.main.orderBy("eq_id").select("eq_id", eq_stamp(F.col("t0_us")).alias("stamp")).first()
+    rows = rows.filter(F.col("eq_id") != first["eq_id"])
+    heads = rows.filter(~kind.isin(1, 2)).select("stamp").distinct().withColumn("value", F.lit("time,latitude,longitude,mag"))
+    path = scratch_path(t.spark, "unusable")
+    files = rows.drop("eq_id").unionByName(heads).withColumn("file", F.concat("stamp", F.lit("_seq.csv"))).drop("stamp")
+    files.repartition("file").write.partitionBy("file").text(path)
+    put_file(t.spark, f"{path}/file={first['stamp']}_seq.csv/part-0.csv.gz", b"no archive")
+    ev, report = read_with_report(t.spark, f"{path}/file=*_seq.csv")
+    counts = well_formed(ev).groupBy("eq_id").agg(F.count("*").alias("n_events"))
+    cat = t.main.withColumn("eq_id", eq_stamp(F.col("t0_us")))
+    return ingest_status(cat, counts, malformed=malformed_counts(ev), bad_files=bad_files(report))
+
+
+@query
+def load_status_unusable_files(t: Tables) -> DataFrame:
+    return _unusable(t)
+
+
+@query
+def load_summary_unusable_files(t: Tables) -> DataFrame:
+    return ingest_summary(_unusable(t))
+
+
 @query
 def sequences_date_time(t: Tables) -> DataFrame:
     rows = t.joined.select(

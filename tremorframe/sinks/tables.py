@@ -42,6 +42,15 @@ def write_table(
     return path
 
 
+def put_file(spark, path: str, content: bytes) -> str:
+    """One small file, in any store that Spark can write to."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    out.write(content)
+    out.close()
+    return path
+
+
 def write_event_table(df: DataFrame, path: str) -> str:
     """Write events as Parquet in ranges of (sequence, time).
 

@@ -12,7 +12,7 @@ from tremorframe.functions.clock import (
     parse_iso_micros,
     utc_timestamp,
 )
-from tremorframe.sources.lines import by_header, number, read_lines
+from tremorframe.sources.lines import number, read_csv
 from tremorframe.sources.schemas import CORRUPT, ISO_EVENTS, NEEDED, OPTIONAL
 
 
@@ -21,7 +21,7 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
 
     Damaged lines are dropped; a number that cannot be read is null.
     """
-    raw = by_header(read_lines(spark, path), NEEDED["iso"], OPTIONAL["iso"]).filter(F.col(CORRUPT).isNull())
+    raw = read_csv(spark, path, NEEDED["iso"], OPTIONAL["iso"]).filter(F.col(CORRUPT).isNull())
     numbers = {f.name for f in ISO_EVENTS.fields if f.dataType.simpleString() == "double"}
     return raw.select(*[number(c).alias(c) if c in numbers else F.col(c) for c in ISO_EVENTS.names])
 
@@ -71,7 +71,7 @@ def read_mainshocks(spark: SparkSession, path: str) -> DataFrame:
     The second may have a fraction. A damaged line, and a mainshock without a
     readable time, are errors: every later result hangs on it.
     """
-    raw = by_header(read_lines(spark, path), NEEDED["mainshocks"], OPTIONAL["mainshocks"])
+    raw = read_csv(spark, path, NEEDED["mainshocks"], OPTIONAL["mainshocks"])
     whole = [number(c, "int") for c in ("Year", "Month", "Day", "Hour", "Minute")]
     t0 = F.try_make_timestamp_ntz(*whole, number("Second", "decimal(8,6)"))
     wrong = F.raise_error(F.concat(F.lit("mainshock without a time, or a damaged line, in "), F.col("source_file")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 LOADED = ("ok", "cached", "truncated")
+# A later load takes these again.
+UNFINISHED = ("failed", "parse_error")
 
 
 def new_only(cat: DataFrame, manifest: DataFrame, key: str = "eq_id") -> DataFrame:
@@ -18,13 +20,16 @@ def ingest_status(
     limit: int | None = None,
     cached: DataFrame | None = None,
     malformed: DataFrame | None = None,
+    bad_files: DataFrame | None = None,
 ) -> DataFrame:
     """``eq_id, n_events, status`` per mainshock.
 
     ``counts`` is ``eq_id, n_events`` of this load, ``cached`` the same for
     earlier loads, ``malformed`` is ``eq_id, n_malformed``. Where a limit was asked
     for, counts within 100 of it are taken as cut off. A sequence of which only malformed rows
-    arrived is a parse error.
+    arrived is a parse error. ``bad_files`` is ``eq_id, file_status``: a file that could not be
+    read makes its sequence ``failed``, whatever else arrived of it, so that a later load takes
+    it again; a file without a header makes it a parse error where nothing arrived.
     """
     rows = cat.select("eq_id", "mainshock_mag", "mainshock_lat", "mainshock_lon").join(
         counts.select("eq_id", F.col("n_events").alias("n_new")), "eq_id", "left"
@@ -36,6 +41,10 @@ def ingest_status(
     if malformed is not None:
         rows = rows.join(malformed.select("eq_id", "n_malformed"), "eq_id", "left")
         n_bad = F.col("n_malformed")
+    file_status = F.lit(None).cast("string")
+    if bad_files is not None:
+        rows = rows.join(bad_files.select("eq_id", "file_status"), "eq_id", "left")
+        file_status = F.col("file_status")
     n_new = F.coalesce("n_new", F.lit(0).cast("bigint"))
     return rows.select(
         "eq_id",
@@ -44,7 +53,8 @@ def ingest_status(
         F.col("mainshock_lon").alias("lon"),
         F.coalesce(n_old, n_new).alias("n_events"),
         F.when(n_old.isNotNull(), "cached")
-        .when((n_new == 0) & (n_bad > 0), "parse_error")
+        .when(file_status == "failed", "failed")
+        .when((n_new == 0) & ((n_bad > 0) | file_status.isNotNull()), "parse_error")
         .when(n_new == 0, "empty")
         .when(F.lit(False) if limit is None else n_new >= limit - 100, "truncated")
         .otherwise("ok")

@@ -1,71 +1,179 @@
 """CSV files whose columns are found by the header of each file.
 
 A declared schema assigns columns by position, and a header read once is wrong
-for the other files of a set. Here every file's own header line says where its
-columns are: lines and headers meet by the file's path, in Spark.
+for the other files of a set. So the lines are looked through first, without
+splitting them: for each file this gives its header line, and whether fields
+span lines. Files that agree in both form a group, which Spark's CSV reader
+then scans with the columns declared in their order. There are as many scans as
+different headers, usually one.
+
+A file that cannot be read, or has data but no header, does not stop the others:
+the survey has a row for it. Readers raise on such a file only where asked to.
+The survey holds a row per file on the driver, as Spark's own list of files does.
 """
 
 from __future__ import annotations
 
+import csv
+import re
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
+from urllib.parse import unquote
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tremorframe.sources.schemas import CORRUPT
 
-# A comma followed by an even number of quotes.
-COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+OK, EMPTY, UNREADABLE_FILE, NO_HEADER = "ok", "empty", "unreadable", "no header"
+# How Spark names the file that a task could not read.
+READ_ERROR = re.compile(r"Encountered error while reading file (\S.*?)\.\s")
 
 
-def read_lines(spark: SparkSession, path: str, stream: bool = False, max_files: int | None = None) -> DataFrame:
-    """``value, source_file`` of every line."""
-    reader = spark.readStream if stream else spark.read
-    if stream and max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.text(path).withColumn("source_file", F.col("_metadata.file_path"))
+@dataclass(frozen=True)
+class CsvFile:
+    """A file and how it is to be read: its column names, whether fields span lines, and how quotes are escaped."""
 
+    path: str
+    status: str
+    names: tuple[str, ...] = ()
+    spans: bool = False
+    backslash: bool = False
 
-def _unquoted(field: Column) -> Column:
-    bare = F.regexp_extract(field, r'^\s*"(.*)"\s*$', 1)
-    bare = F.replace(F.replace(bare, F.lit('""'), F.lit('"')), F.lit('\\"'), F.lit('"'))
-    value = F.when(field.rlike(r'^\s*".*"\s*$'), bare).otherwise(field)
-    return F.when(value != "", value)
+    @property
+    def group(self) -> tuple:
+        return self.names, self.spans, self.backslash
 
 
-def fields_of(line: Column) -> Column:
-    """The fields of a line; an empty one is null."""
-    return F.transform(F.split(line, COMMA, -1), _unquoted)
+def literal_path(path: str) -> str:
+    """A path as a pattern that matches itself alone."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
-def by_header(lines: DataFrame, required: Sequence[str], optional: Sequence[str]) -> DataFrame:
-    """The wanted columns as text, with ``source_file`` and ``_corrupt_record``.
+def plain_path(url: str) -> str:
+    """The path behind an encoded one, which Spark spells in two ways for local files."""
+    return re.sub("^file:///", "file:/", unquote(url))
 
-    A header is a line that holds all ``required`` names. A file with data but
-    without one is an error that names it; an optional column it lacks is null.
-    ``_corrupt_record`` holds lines whose number of fields is not the header's.
-    """
-    names = F.transform(fields_of(F.col("value")), lambda x: F.trim(F.regexp_replace(x, "^﻿", "")))
-    # the words are looked for first: few lines are then split as a header
+
+def _names(line: str) -> tuple[str, ...]:
+    return tuple(name.strip() for name in next(csv.reader([line.removeprefix("﻿")]), ()))
+
+
+def _looked_through(spark: SparkSession, paths: str | list[str], required: Sequence[str]) -> list:
+    """Per file and possible header line: lines that are not blank, and what their quotes look like."""
+    value = F.col("value")
     maybe = F.lit(True)
     for name in required:
-        maybe = maybe & F.col("value").contains(name)
-    is_header = maybe & F.forall(F.array(*map(F.lit, required)), lambda c: F.array_contains(names, c))
-    headers = lines.filter(is_header).groupBy("source_file").agg(F.max(names).alias("_names"))
-    missing = F.raise_error(
-        F.concat(F.lit(f"no header with {', '.join(required)} in "), F.col("source_file"))
-    ).cast("array<string>")
-    rows = (
-        lines.filter(~F.coalesce(is_header, F.lit(False)) & (F.trim("value") != ""))
-        .join(headers, "source_file", "left")
-        .select("value", "source_file", fields_of(F.col("value")).alias("_fields"), F.coalesce("_names", missing).alias("_names"))
+        maybe = maybe & value.contains(name)
+    odd = (F.length(value) - F.length(F.replace(value, F.lit('"')))) % 2 == 1
+    lines = spark.read.text(paths)
+    return (
+        lines.filter(F.trim(value) != "")
+        .groupBy(F.col("_metadata.file_path").alias("path"), F.when(maybe, value).alias("head"))
+        .agg(
+            F.max(F.when(value.contains('"'), odd).otherwise(False)).alias("spans"),
+            F.max(value.contains('\\"')).alias("backslash"),
+        )
+        .collect()
+    )
+
+
+def survey(spark: SparkSession, path: str | list[str], required: Sequence[str]) -> list[CsvFile]:
+    """Every file of ``path``, a path, a pattern or a list of paths.
+
+    A header is a line that holds all ``required`` names; a file with two
+    different ones has none that holds for all its lines. Files are looked
+    through once, and once more for each that breaks off a reading task.
+    """
+    every = [plain_path(p) for p in spark.read.format("binaryFile").load(path).inputFiles()]
+    lost: set[str] = set()
+    rows: list | None = None
+    while rows is None and len(lost) < len(every):
+        left = path if not lost else [literal_path(p) for p in every if p not in lost]
+        try:
+            rows = _looked_through(spark, left, required)
+        except (PySparkException, Py4JJavaError) as error:
+            named = READ_ERROR.search(str(error))
+            damaged = plain_path(named[1]) if named else None
+            if damaged not in every or damaged in lost:
+                raise
+            lost.add(damaged)
+    found: dict[str, list] = {}
+    for row in rows or []:
+        found.setdefault(plain_path(row["path"]), []).append(row)
+
+    def file(p: str) -> CsvFile:
+        if p in lost:
+            return CsvFile(p, UNREADABLE_FILE)
+        if p not in found:
+            return CsvFile(p, EMPTY)
+        heads = {_names(r["head"]) for r in found[p] if r["head"] is not None}
+        heads = {names for names in heads if set(required) <= set(names)}
+        if len(heads) != 1:
+            return CsvFile(p, NO_HEADER)
+        return CsvFile(p, OK, heads.pop(), any(r["spans"] for r in found[p]), any(r["backslash"] for r in found[p]))
+
+    return [file(p) for p in sorted(every)]
+
+
+def _scan(spark: SparkSession, paths: str | list[str], like: CsvFile, required: Sequence[str], optional: Sequence[str]) -> DataFrame:
+    """One scan of files with the same header; the header lines are left out wherever they stand."""
+    fields = [f"_f{i}" for i in range(len(like.names))]
+    raw = (
+        spark.read.schema(", ".join(f"{f} string" for f in (*fields, CORRUPT)))
+        .option("columnNameOfCorruptRecord", CORRUPT)
+        .option("multiLine", like.spans)
+        .option("escape", "\\" if like.backslash else '"')
+        # a line is damaged if it has another number of fields, also of those not asked for
+        .option("columnPruning", False)
+        .csv(paths)
     )
+    place = {name: f for name, f in reversed(list(zip(like.names, fields)))}
+    is_head = reduce(lambda a, b: a & b, [F.trim(place[n]).eqNullSafe(n) for n in required if place[n] != "_f0"])
 
     def pick(name: str) -> Column:
-        place = F.array_position("_names", F.lit(name)).cast("int")
-        return F.when(place > 0, F.get("_fields", place - 1)).alias(name)
+        value = F.nullif(F.col(place[name]), F.lit("")) if name in place else F.lit(None).cast("string")
+        return value.alias(name)
+
+    blank = F.coalesce(F.trim(CORRUPT) == "", F.lit(False))
+    return raw.filter(~is_head & ~blank).select(
+        *map(pick, [*required, *optional]), F.col("_metadata.file_path").alias("source_file"), CORRUPT
+    )
 
-    damaged = F.when(F.size("_fields") != F.size("_names"), F.col("value")).alias(CORRUPT)
-    return rows.select(*map(pick, [*required, *optional]), "source_file", damaged)
+
+def read_files(
+    spark: SparkSession, path: str | list[str], files: Sequence[CsvFile], required: Sequence[str], optional: Sequence[str]
+) -> DataFrame:
+    """The wanted columns of the files with a header as text, with ``source_file`` and ``_corrupt_record``.
+
+    An optional column that a file lacks is null. ``_corrupt_record`` holds
+    records whose number of fields is not the header's.
+    """
+    groups: dict[tuple, list[CsvFile]] = {}
+    for file in files:
+        if file.status == OK:
+            groups.setdefault(file.group, []).append(file)
+    if not groups:
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in (*required, *optional, "source_file", CORRUPT)))
+    whole = len(groups) == 1 and all(f.status in (OK, EMPTY) for f in files)
+    scans = [
+        _scan(spark, path if whole else [literal_path(f.path) for f in group], group[0], required, optional)
+        for group in groups.values()
+    ]
+    return reduce(DataFrame.unionByName, scans)
+
+
+def read_csv(spark: SparkSession, path: str | list[str], required: Sequence[str], optional: Sequence[str]) -> DataFrame:
+    """As ``read_files``; a file that cannot be read, or has data and no header, is an error that names it."""
+    files = survey(spark, path, required)
+    for file in files:
+        if file.status == UNREADABLE_FILE:
+            raise ValueError(f"cannot read {file.path}")
+        if file.status == NO_HEADER:
+            raise ValueError(f"no header with {', '.join(required)} in {file.path}")
+    return read_files(spark, path, files, required, optional)
 
 
 def number(name: str, kind: str = "double") -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from tremorframe.functions.clock import parse_date_time_micros, parse_iso_micros
 from tremorframe.functions.scalar import digits14
-from tremorframe.sources.lines import by_header, number, read_lines, unreadable
+from tremorframe.sources.lines import EMPTY, NO_HEADER, OK, UNREADABLE_FILE, number, read_csv, read_files, survey, unreadable
 from tremorframe.sources.schemas import CORRUPT, DATE_TIME_EVENTS, ISO_EVENTS, NEEDED, OPTIONAL
 
 # File name endings in front of which the 14-digit id stands.
@@ -20,17 +20,16 @@ def _schema(layout: str) -> T.StructType:
     return ISO_EVENTS if layout == "iso" else DATE_TIME_EVENTS
 
 
-def to_events(lines: DataFrame, layout: str) -> DataFrame:
-    """Lines of sequence files (``value, source_file``) as events.
+def to_events(raw: DataFrame, layout: str) -> DataFrame:
+    """Records of sequence files, as ``read_csv`` gives them, as events.
 
     ``event_id`` is a hash of sequence id and row content, so it does not depend
     on how the files were split, on the order of their columns, on a retry or on
-    the folder of the file. ``_corrupt_record`` is set for lines with a wrong
+    the folder of the file. ``_corrupt_record`` is set for records with a wrong
     number of fields; a number that cannot be read is null, the row stays, and
     ``_unreadable`` says so.
     """
     schema = _schema(layout)
-    raw = by_header(lines, NEEDED[layout], OPTIONAL[layout])
     if layout == "iso":
         t_us = parse_iso_micros(F.trim("time"))
         lat, lon, depth, mag, mag_type = "latitude", "longitude", "depth", "mag", "magType"
@@ -68,13 +67,35 @@ def read_sequences(
 
     Damaged lines are dropped unless ``keep_malformed``, which returns every
     line, so that drops can be counted. ``strict`` also drops rows without a
-    time or magnitude.
+    time or magnitude. A file that cannot be read, or has data and no header, is
+    an error; ``read_with_report`` goes on without it.
     """
     _schema(layout)
-    ev = to_events(read_lines(spark, glob), layout)
+    ev = to_events(read_csv(spark, glob, NEEDED[layout], OPTIONAL[layout]), layout)
     return ev if keep_malformed else well_formed(ev, strict)
 
 
+def read_with_report(spark: SparkSession, path: str | list[str], layout: str = "iso") -> tuple[DataFrame, DataFrame]:
+    """All records of the files that can be read, and ``eq_id, source_file, status`` of every file.
+
+    A file is ``ok``, ``empty`` (no line but blank ones), ``failed`` (it cannot be
+    read to its end) or ``parse_error`` (it has data and no header). Blank files
+    are normal: a search without results writes them.
+    """
+    _schema(layout)
+    files = survey(spark, path, NEEDED[layout])
+    status = {OK: "ok", EMPTY: "empty", UNREADABLE_FILE: "failed", NO_HEADER: "parse_error"}
+    rows = spark.createDataFrame([(f.path, status[f.status]) for f in files], "source_file string, status string")
+    report = rows.select(digits14(F.col("source_file"), SUFFIX[layout]).alias("eq_id"), "source_file", "status")
+    return to_events(read_files(spark, path, files, NEEDED[layout], OPTIONAL[layout]), layout), report
+
+
+def bad_files(report: DataFrame) -> DataFrame:
+    """``eq_id, file_status``: the worst of the files of each sequence that could not be used."""
+    bad = report.filter(F.col("status").isin("failed", "parse_error") & F.col("eq_id").isNotNull())
+    return bad.groupBy("eq_id").agg(F.min("status").alias("file_status"))
+
+
 def load_counts(ev: DataFrame) -> DataFrame:
     """Rows and distinct sequences, in one pass."""
     return ev.agg(
