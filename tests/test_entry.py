@@ -14,7 +14,11 @@ import __spark_entry__ as contract
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables not present")
 
-ROWS_ONLY: set[str] = set()
+# Their values are compared in test_models.py: SQL cannot fit these models.
+ROWS_ONLY = {
+    "cross_lasso", "cross_forest", "cross_boosting", "model_metrics", "model_best", "tree_importances",
+    "forest_importances", "model_saved",
+}
 
 
 @pytest.fixture(scope="module")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,10 +11,11 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tremorframe.functions.scalar import count_from_log10, fill_numeric, log10_count
-from tremorframe.session import stage_table
+from tremorframe.operators.ranks import numbered
+from tremorframe.session import scratch_path, stage_table
 
 # The columns the models are defined on.
 REGRESSION_COLUMNS = [
@@ -58,7 +58,8 @@ def estimator(model: str, n: int, label_std: float):
     The linear models use the normal equations: one pass over the data however
     many rows. MLlib scales features by population deviation there, and divides
     the L2 weight by the label deviation, which ``regParam`` undoes. All numbers
-    here are fixed values of the models.
+    here are fixed values of the models. The trees take neither ``n`` nor the
+    deviation.
     """
     if model == "Ridge":
         return LinearRegression(
@@ -86,7 +87,7 @@ def with_folds(rows: DataFrame, folds: int) -> DataFrame:
     return rows.withColumn("fold", F.pmod(share, F.lit(folds)).cast("int"))
 
 
-def _fit(train: DataFrame, model: str, cols: list[str], n: int, label_std: float) -> PipelineModel:
+def _fit(train: DataFrame, model: str, cols: list[str], n: int = 0, label_std: float = 0.0) -> PipelineModel:
     vector = VectorAssembler(inputCols=list(cols), outputCol="features")
     return Pipeline(stages=[vector, estimator(model, n, label_std)]).fit(train)
 
@@ -108,7 +109,9 @@ def solve(sums: np.ndarray, model: str, start: np.ndarray | None = None) -> tupl
         w = np.linalg.solve(inner + RIDGE_ALPHA / n * np.eye(k), toward)
         good = bool(np.abs(inner @ w + RIDGE_ALPHA / n * w - toward).max(initial=0) < 1e-6)
     else:
-        w = np.zeros(k) if start is None else np.where(np.isfinite(scale), start[:k] * scale, 0.0)
+        w, varies = np.zeros(k), np.isfinite(scale)
+        if start is not None:
+            w[varies] = start[:k][varies] * scale[varies]
         size = np.diag(inner)
         for _ in range(20_000):
             before = w.copy()
@@ -198,8 +201,10 @@ def cross_predict(
 ) -> DataFrame:
     """``eq_id, model, y, y_hat``: each row predicted by a model that has not seen its fold.
 
-    ``folds='loo'`` leaves one row out; the trees then fit a model per row. The
-    rows are written out once: every fit reads them from there.
+    ``folds='loo'`` leaves one row out. The linear models then take two passes;
+    the trees fit a model per row, which is what leaving one out means for them. The
+    rows are written out once: every fit reads them from there, and appends its
+    predictions to one table. A linear fit that did not converge is an error.
     """
     rows = training_rows(features, cols)
     if folds != "loo":
@@ -207,34 +212,37 @@ def cross_predict(
     elif model in LINEAR:
         rows = stage_table(rows, "folds")
     else:
-        numbers = rows.select("eq_id").distinct().withColumn(
-            "fold", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("eq_id")) - 1
-        )
-        rows = stage_table(rows.join(numbers, "eq_id"), "folds")
+        rows = stage_table(rows, "rows")
+        rows = stage_table(rows.join(numbered(rows, "eq_id", "fold"), "eq_id"), "folds")
     if model in LINEAR:
-        return cross_predict_linear(rows, model, folds, cols).drop("optimal")
-    per_fold = (
-        rows.groupBy("fold")
-        .agg(F.count("*").alias("n"), F.sum("label").alias("s"), F.sum(F.col("label") ** 2).alias("ss"))
-        .collect()  # one row per fold
-    )
-    if len(per_fold) < 2:
+        stopped = F.raise_error(F.concat(F.lit(f"{model} without an optimum for "), F.col("eq_id").cast("string")))
+        fitted = cross_predict_linear(rows, model, folds, cols)
+        sure = F.when(F.col("optimal"), F.col("y_hat")).otherwise(stopped.cast("double"))
+        return fitted.withColumn("y_hat", sure).drop("optimal")
+    return cross_predict_trees(rows, model, cols, parallelism)
+
+
+def cross_predict_trees(rows: DataFrame, model: str, cols: list[str], parallelism: int = 4) -> DataFrame:
+    """A fit per ``fold`` of the rows; each writes its predictions to a folder of one table."""
+    first, last, n = rows.agg(F.min("fold"), F.max("fold"), F.countDistinct("fold")).first()
+    if n < 2:
         raise ValueError("too few complete rows for more than one fold")
-    n, s, ss = (sum(r[c] for r in per_fold) for c in ("n", "s", "ss"))
-
-    def held_out(r) -> DataFrame:
-        n_fit = n - r["n"]
-        mean = (s - r["s"]) / n_fit
-        label_std = max((ss - r["ss"]) / n_fit - mean**2, 0.0) ** 0.5
-        fitted = _fit(rows.filter(F.col("fold") != r["fold"]), model, cols, n_fit, label_std)
-        return fitted.transform(rows.filter(F.col("fold") == r["fold"])).select(
-            "eq_id", F.lit(model).alias("model"), F.col("label").alias("y"),
-            F.col("prediction").alias("y_hat"),
+    spark = rows.sparkSession
+    path = scratch_path(spark, "predictions")
+
+    def held_out(fold: int) -> None:
+        fitted = _fit(rows.filter(F.col("fold") != fold), model, cols)
+        predicted = fitted.transform(rows.filter(F.col("fold") == fold)).select(
+            "eq_id", F.lit(model).alias("model"), F.col("label").alias("y"), F.col("prediction").alias("y_hat")
         )
+        predicted.write.mode("overwrite").parquet(f"{path}/fold={fold}")
 
     with ThreadPoolExecutor(parallelism) as pool:
-        parts = list(pool.map(inheritable_thread_target(rows.sparkSession)(held_out), per_fold))
-    return reduce(DataFrame.unionByName, parts)
+        for _ in pool.map(inheritable_thread_target(spark)(held_out), range(first, last + 1)):
+            pass
+    kind = rows.schema["eq_id"].dataType.simpleString()
+    table = spark.read.schema(f"eq_id {kind}, model string, y double, y_hat double, fold bigint").parquet(path)
+    return table.drop("fold")
 
 
 def regression_metrics(pred: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from tremorframe.operators.models import MODELS, REGRESSION_COLUMNS, VECTOR_COLUMNS
+from tremorframe.operators.models import REGRESSION_COLUMNS, VECTOR_COLUMNS
 from tremorframe.plans.queries import CV_FOLDS, DIGITS, LOADED_BEFORE_US, OMORI_MIN_MAG
 
 D01 = "cast('0.1' as double)"
@@ -439,6 +439,9 @@ from features group by 1 order by 1 desc""",
   round(b_value, 3) as b_value, cast(rank_by_count as integer) as rank_by_count from (
   select *, rank() over (order by aftershock_count desc) as rank_by_count from features)
 order by aftershock_count desc, eq_id limit 10""",
+        "sequence_ranks": exact
+        + """select eq_id, coalesce(aftershock_count, 0) as aftershock_count,
+  rank() over (order by coalesce(aftershock_count, 0) desc) as rank_by_count from features""",
         "feature_corr": sample
         + """select round(corr(mainshock_mag, aftershock_count), 4) as corr_mag_count,
   round(corr(mainshock_mag, mag_max), 4) as corr_mag_maxaft,
@@ -603,19 +606,6 @@ from features group by year""",
         "cross_ridge": (trained + ", " + RIDGE).replace("with ", "with recursive ", 1)
         + f"""select r.eq_id, 'Ridge' as model, round(r.y, 6) as y, round(g + l.m + ym, 6) as y_hat
 from rows_ r join fitted using (eq_id) join left_out l on l.eq_id = r.eq_id and l.j = {len(REGRESSION_COLUMNS) + 1}, label""",
-        "cross_lasso": trained + "select eq_id, round(y, 6) as y, true as optimal, true as finite from rows_",
-        "cross_forest": trained + "select eq_id, cast(fold as integer) as fold, round(y, 6) as y, true as in_range from rows_",
-        "cross_boosting": trained + "select eq_id, cast(fold as integer) as fold, round(y, 6) as y, true as finite from rows_",
-        "model_metrics": " union all ".join(
-            f"select '{m}' as model, true as errors_positive, true as squares_larger, true as r2_at_most_1" for m in MODELS
-        ),
-        "model_best": f"select {len(MODELS)}::bigint as n_models, true as found",
-        "tree_importances": " union all ".join(
-            f"select '{m}' as model, {len(REGRESSION_COLUMNS)}::bigint as n_features, true as none_negative, 1.0::double as total"
-            for m in ("RandomForest", "GradientBoosting")
-        ),
-        "forest_importances": "select 15::bigint as n_listed, true as none_negative",
-        "model_saved": trained + "select eq_id, true as same from rows_",
         "feature_vectors": exact
         + "select eq_id, "
         + ", ".join(

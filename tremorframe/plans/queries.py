@@ -28,6 +28,7 @@ from tremorframe.operators.associate import associate, associated_counts, candid
 from tremorframe.operators.enrich import enrich, seq_stats
 from tremorframe.operators.features import seq_features
 from tremorframe.operators.profile import event_profile, merge_profiles, profile_max
+from tremorframe.operators.ranks import with_rank
 from tremorframe.operators.windows import each_window, window_max
 from tremorframe.plans.fixture import mainshocks, quakes
 from tremorframe.session import scratch_path, stage_table, tune
@@ -217,6 +218,13 @@ def top_sequences(t: Tables) -> DataFrame:
     return summaries.top_sequences(t.features(flavor="spark"), 10)
 
 
+@query
+def sequence_ranks(t: Tables) -> DataFrame:
+    """The rank of every sequence by its number of aftershocks."""
+    features = stage_table(t.features().select("eq_id", "aftershock_count"), "features")
+    return with_rank(features, "aftershock_count", "rank_by_count")
+
+
 @query
 def feature_corr(t: Tables) -> DataFrame:
     return summaries.feature_corr(t.features(flavor="spark"))
@@ -689,7 +697,7 @@ def cross_lasso(t: Tables) -> DataFrame:
     """Leave one out; the weights meet the conditions of an optimum."""
     rows = stage_table(models.training_rows(t.features()), "rows")
     fitted = models.cross_predict_linear(rows, "Lasso", "loo", models.REGRESSION_COLUMNS)
-    return fitted.select("eq_id", "y", "optimal", (~F.isnan("y_hat")).alias("finite"))
+    return fitted.select("eq_id", "model", "y", "y_hat", "optimal")
 
 
 def _cross_tree(t: Tables, model: str) -> DataFrame:
@@ -710,13 +718,12 @@ def cross_forest(t: Tables) -> DataFrame:
         .agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
     )
     inside = F.col("y_hat").between(F.col("lo") - 1e-9, F.col("hi") + 1e-9)
-    return pred.join(others, "fold").select("eq_id", "fold", "y", inside.alias("in_range"))
+    return pred.join(others, "fold").select("eq_id", "fold", "y", "y_hat", inside.alias("in_range"))
 
 
 @query
 def cross_boosting(t: Tables) -> DataFrame:
-    pred = _cross_tree(t, "GradientBoosting")
-    return pred.select("eq_id", "fold", "y", (~F.isnan("y_hat")).alias("finite"))
+    return _cross_tree(t, "GradientBoosting").select("eq_id", "fold", "y", "y_hat")
 
 
 def _metrics(t: Tables) -> DataFrame:
@@ -728,9 +735,9 @@ def _metrics(t: Tables) -> DataFrame:
 
 @query
 def model_metrics(t: Tables) -> DataFrame:
-    """The four models, and what holds for any metrics."""
+    """The errors of the four models, and what holds for any metrics."""
     return _metrics(t).select(
-        "model",
+        "*",
         ((F.col("MAE") >= 0) & (F.col("logMAE") >= 0)).alias("errors_positive"),
         ((F.col("RMSE") >= F.col("MAE") - 0.1) & (F.col("logRMSE") >= F.col("logMAE") - 1e-4)).alias("squares_larger"),
         ((F.col("R2") <= 1) & (F.col("logR2") <= 1)).alias("r2_at_most_1"),
@@ -739,12 +746,8 @@ def model_metrics(t: Tables) -> DataFrame:
 
 @query
 def model_best(t: Tables) -> DataFrame:
-    """Nothing is better than the best model."""
-    metrics = _metrics(t)
-    best = models.pick_best(metrics).select(F.col("logMAE").alias("best"))
-    return metrics.join(F.broadcast(best), F.col("logMAE") >= F.col("best")).agg(
-        F.count("*").alias("n_models"), F.count_if(F.col("logMAE") == F.col("best")).cast("boolean").alias("found")
-    )
+    """The model with the smallest error, and its errors."""
+    return models.pick_best(_metrics(t))
 
 
 def _trees(t: Tables) -> dict[str, DataFrame]:
@@ -756,23 +759,14 @@ def _trees(t: Tables) -> dict[str, DataFrame]:
 
 @query
 def tree_importances(t: Tables) -> DataFrame:
-    """Importances of both tree models: one per column, none negative, adding up to 1."""
-    parts = [
-        top.agg(
-            F.lit(m).alias("model"),
-            F.count("*").alias("n_features"),
-            (F.min("importance") >= 0).alias("none_negative"),
-            F.round(F.sum("importance"), 6).alias("total"),
-        )
-        for m, top in _trees(t).items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """Importances of all columns in both tree models."""
+    return reduce(DataFrame.unionByName, [top.withColumn("model", F.lit(m)) for m, top in _trees(t).items()])
 
 
 @query
 def forest_importances(t: Tables) -> DataFrame:
-    top = models.importances(models.fit_full(t.features(), "RandomForest"))
-    return top.agg(F.count("*").alias("n_listed"), (F.min("importance") >= 0).alias("none_negative"))
+    """The most important columns of the forest, in order."""
+    return models.importances(models.fit_full(t.features(), "RandomForest"))
 
 
 @query
@@ -782,7 +776,7 @@ def model_saved(t: Tables) -> DataFrame:
     fitted = models.fit_full(rows, models.pick_best(_metrics(t)).first()["model"])
     again = models.load_model(models.save_model(fitted, scratch_path(t.spark, "model")))
     one, two = (m.transform(rows).select("eq_id", F.col("prediction").alias(c)) for m, c in ((fitted, "p"), (again, "q")))
-    return one.join(two, "eq_id").select("eq_id", (F.col("p") == F.col("q")).alias("same"))
+    return one.join(two, "eq_id").select("eq_id", F.col("p").alias("y_hat"), (F.col("p") == F.col("q")).alias("same"))
 
 
 def all_queries() -> dict[str, Query]:
