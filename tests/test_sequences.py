@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 import numpy as np
 import pytest
 from conftest import HOUR, T0, rows_of
 from hypothesis import HealthCheck, given, settings, strategies as st
 
-from tremorframe.operators import completeness as gr
+from tremorframe.operators import completeness as gr, quantiles
 from tremorframe.operators.enrich import enrich, seq_stats, valid_events
 from tremorframe.operators.features import FEATURE_COLUMNS, seq_features
-from tremorframe.operators import quantiles
 from tremorframe.operators.quantiles import fixed_width, group_quantiles
 from tremorframe.operators.windows import window_label, window_max
+from tremorframe.plans.queries import all_queries
 
 US = 1 / HOUR  # one microsecond in hours
 
@@ -148,7 +151,7 @@ def magnitude_events(make_events):
 
 def test_completeness_and_b_match_numpy(magnitude_events):
     seqs, ev = magnitude_events
-    got = {r["eq_id"]: r for r in gr.b_value(gr.with_mc(gr.magnitude_counts(ev))).collect()}
+    got = {r["eq_id"]: r for r in gr.gutenberg_richter(gr.magnitude_counts(ev)).collect()}
     assert set(got) == set(seqs)
     for key, mags in seqs.items():
         mc = brute_mc(mags)
@@ -164,11 +167,61 @@ def test_completeness_options(magnitude_events):
     grid = {r["eq_id"]: r["mc"] for r in gr.completeness_mag(counts, "grid").collect()}
     assert few["n9"] is None and few["n10"] is not None
     assert grid["tie"] == 3.3 and grid["eq1"] == 3.3
-    least = {r["eq_id"]: r for r in gr.b_value(gr.with_min_mag(counts)).collect()}
+    least = {r["eq_id"]: r for r in gr.b_above_min(counts).collect()}
     assert least["n4"]["b_value"] is None
     assert least["r0"]["b_value"] == pytest.approx(brute_b(seqs["r0"], seqs["r0"].min()))
     with pytest.raises(ValueError):
-        gr.with_mc(counts, "other")
+        gr.gutenberg_richter(counts, mc_mode="other")
+    every = {r["eq_id"]: r for r in gr.gutenberg_richter(counts, above="min").collect()}
+    assert {k: r["b_value"] for k, r in every.items()} == {k: pytest.approx(r["b_value"]) if r["b_value"] else None for k, r in least.items()}
+    null = {r["eq_id"]: r for r in gr.gutenberg_richter(counts, small="null").collect()}
+    assert null["n9"]["mc"] is None and null["n9"]["b_value"] is None
+
+
+@pytest.mark.parametrize("low", [2.0, 2.05, 3.3, 4.4, -0.7])
+def test_completeness_of_magnitudes_with_all_their_digits(spark, low):
+    rng = np.random.default_rng(17)
+    seqs = {f"s{i}": low + rng.exponential(0.4, rng.integers(10, 400)) for i in range(12)}
+    # the float neighbours of the edges as well
+    edges = np.arange(np.floor(low * 10) / 10, low + 3, 0.1)
+    seqs["edges"] = np.concatenate([edges, np.round(edges, 1), np.nextafter(edges, 9), np.nextafter(edges, -9), edges[3:5].repeat(4)])
+    counts = spark.createDataFrame([(k, float(m), 1) for k, v in seqs.items() for m in v], "eq_id string, mag double, n int")
+    got = {r["eq_id"]: r for r in gr.gutenberg_richter(counts.groupBy("eq_id", "mag").count().withColumnRenamed("count", "n")).collect()}
+    for key, mags in seqs.items():
+        mc = brute_mc(mags)
+        assert got[key]["mc"] == mc, key
+        assert got[key]["b_value"] == pytest.approx(brute_b(mags, mc)), key
+
+
+def test_a_sequence_of_many_different_magnitudes_meets_as_few_rows(spark):
+    """A million magnitudes, all different, in one sequence: the largest shuffled partition stays small."""
+    n = 1_000_000
+    mags = spark.range(n, numPartitions=8).selectExpr("'hot' as eq_id", "2 + 3 * pow(id / 1000000D, 2) as mag")
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        found = gr.gutenberg_richter(gr.magnitude_counts(mags))
+        plan = found._jdf.queryExecution().executedPlan()
+        row = found.first()
+        _, mc, b = row
+        # windows and the last aggregation are over bins alone
+        text = plan.toString()
+        assert "_bin" in text and "windowspecdefinition(eq_id, mag" not in text
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    values = 2 + 3 * (np.arange(n) / n) ** 2
+    assert mc == brute_mc(values) and b == pytest.approx(brute_b(values, mc))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="test tables not present")
+def test_features_read_their_input_few_times_and_shuffle_little(spark):
+    frame = all_queries()["sequence_features"](spark, "/root/testdata/sf0.001")
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 5
+    assert len(re.findall(r"(?<!Broadcast)Exchange ", plan)) <= 10
 
 
 def sample_sequences():

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tremorframe.operators import completeness as gr
-from tremorframe.operators.quantiles import fixed_width, group_quantiles
+from tremorframe.operators.quantiles import group_quantiles
+from tremorframe.session import stage_table
 
 # Names and order of the feature table.
 FEATURE_COLUMNS = [
@@ -23,123 +24,60 @@ _COUNTS = (
     "n_mag_ge_4", "n_mag_ge_5", "n_mag_ge_6",
 )
 # Wide first, so that most events of a task share a bin; a thousandth of it next.
-_DIST_BIN_KM = 20.0
-
-
-def _sequence() -> WindowSpec:
-    return Window.partitionBy("eq_id")
+_BIN_WIDTH = {"mag": 0.1, "dist_km": 20.0}
 
 
 def _within(hours: int) -> Column:
     return F.count_if((F.col("hours") > 0) & (F.col("hours") <= hours))
 
 
-def magnitude_profile(seen: DataFrame) -> DataFrame:
-    """Events collapsed to one row per sequence and magnitude.
-
-    Every statistic of a sequence can be merged from these rows. Map tasks
-    combine them before the one large shuffle, and a hot sequence is spread
-    over its magnitudes.
-    """
+def _moments(seen: DataFrame) -> DataFrame:
+    """What map tasks can combine to one row per sequence."""
     later = F.when(F.col("hours") > 0, F.col("hours"))
-    parts = [F.count("*").alias("n")]
-    for source, name in (("depth", "depth"), ("dist_km", "dist")):
-        parts += [
-            F.count(source).alias(f"{name}_n"),
-            F.avg(source).alias(f"{name}_avg"),
-            F.var_pop(source).alias(f"{name}_var"),
+    columns = [F.count("*").alias("aftershock_count"), F.count("mag").alias("mag_n"), F.min("mag").alias("mag_min")]
+    for source, name in (("mag", "mag"), ("depth", "depth"), ("dist_km", "dist")):
+        columns += [
+            F.avg(source).alias(f"{name}_mean"),
+            F.stddev_pop(source).alias(f"{name}_std"),
             F.max(source).alias(f"{name}_max"),
         ]
-    parts += [
-        F.count(later).alias("hours_n"),
-        F.sum(later).alias("hours_sum"),
-        F.max(later).alias("hours_max"),
-        _within(24).alias("count_24h"),
-        _within(72).alias("count_72h"),
-        _within(168).alias("count_168h"),
+    columns += [
+        F.max(later).alias("time_span_hours"),
+        F.avg(later).alias("time_mean_hours"),
+        *[_within(h).alias(f"count_{h}h") for h in (24, 72, 168)],
+        *[F.count_if(F.col("mag") >= m).alias(f"n_mag_ge_{m}") for m in (4, 5, 6)],
     ]
-    return seen.groupBy("eq_id", "mag").agg(*parts)
-
-
-def _with_means(profile: DataFrame) -> DataFrame:
-    """Magnitude rows with their last rank and the means of their sequence.
-
-    The ordered window comes first: its sort serves the windows after it.
-    """
-    mag = F.col("mag")
-    n_mag = F.when(mag.isNotNull(), F.col("n"))
-    below = F.sum(n_mag).over(_sequence().orderBy("mag").rowsBetween(Window.unboundedPreceding, 0))
-    means = {
-        f"{c}_mean": F.sum(F.col(f"{c}_n") * F.col(f"{c}_avg")).over(_sequence())
-        / F.nullif(F.sum(f"{c}_n").over(_sequence()), F.lit(0))
-        for c in ("depth", "dist")
-    }
-    return profile.withColumn("last_rank", below - 1).withColumns(
-        {
-            "mag_n": F.sum(n_mag).over(_sequence()),
-            "mag_mean": F.sum(F.col("n") * mag).over(_sequence()) / F.sum(n_mag).over(_sequence()),
-            **means,
-        }
+    return seen.groupBy("eq_id").agg(*columns)
+
+
+def _quantiles(seen: DataFrame) -> DataFrame:
+    """``eq_id, mag_median, dist_median, spatial_spread``, both columns in the same passes."""
+    names = list(_BIN_WIDTH)
+    cells = F.array(*[F.struct(F.lit(i).alias("of"), F.col(c).alias("v")) for i, c in enumerate(names)])
+    width = F.lit(0.0)
+    for i, c in enumerate(names):
+        width = F.when(F.col("of") == i, F.lit(_BIN_WIDTH[c])).otherwise(width)
+    found = group_quantiles(
+        seen.select("eq_id", F.inline(cells)), ["eq_id", "of"], "v", {"q50": 0.5, "q90": 0.9},
+        lambda v: F.floor(v / width), lambda v: F.floor(v / width * 1000),
     )
 
+    def of(column: str, quantile: str) -> Column:
+        return F.max(F.when(F.col("of") == names.index(column), F.col(quantile)))
 
-def _merged_stats(rows: DataFrame) -> DataFrame:
-    """Statistics per sequence from its magnitude rows with means and ``mc``.
-
-    The spread of the whole is the spread inside the parts plus that of their
-    means around the overall mean.
-    """
-    mag = F.col("mag")
-    middle = (F.col("mag_n") - 1) / 2.0
-
-    def at(rank: Column) -> Column:
-        first = F.col("last_rank") - F.col("n") + 1
-        return F.max(F.when(mag.isNotNull() & (rank >= first) & (rank <= F.col("last_rank")), mag))
-
-    def std(name: str) -> Column:
-        off = F.col(f"{name}_avg") - F.col(f"{name}_mean")
-        inside = F.sum(F.col(f"{name}_n") * (F.col(f"{name}_var") + off * off))
-        return F.sqrt(inside / F.nullif(F.sum(f"{name}_n"), F.lit(0)))
-
-    def at_least(threshold: float) -> Column:
-        return F.sum(F.when(mag >= threshold, F.col("n")).otherwise(0))
-
-    mag_off = mag - F.col("mag_mean")
-    columns = [
-        F.sum("n").alias("aftershock_count"),
-        F.max("mag_mean").alias("mag_mean"),
-        F.sqrt(F.sum(F.col("n") * mag_off * mag_off) / F.max("mag_n")).alias("mag_std"),
-        F.max("mag").alias("mag_max"),
-        F.min("mag").alias("mag_min"),
-        ((at(F.floor(middle)) + at(F.ceil(middle))) / 2.0).alias("mag_median"),
-    ]
-    for name in ("depth", "dist"):
-        columns += [
-            F.max(f"{name}_mean").alias(f"{name}_mean"),
-            std(name).alias(f"{name}_std"),
-            F.max(f"{name}_max").alias(f"{name}_max"),
-        ]
-    columns += [
-        F.max("hours_max").alias("time_span_hours"),
-        (F.sum("hours_sum") / F.nullif(F.sum("hours_n"), F.lit(0))).alias("time_mean_hours"),
-        *[F.sum(c).alias(c) for c in ("count_24h", "count_72h", "count_168h")],
-        at_least(4).alias("n_mag_ge_4"),
-        at_least(5).alias("n_mag_ge_5"),
-        at_least(6).alias("n_mag_ge_6"),
-        F.max("mc").alias("mc"),
-        gr.b_aggregate(F.col("mc")).alias("b_value"),
-    ]
-    return rows.groupBy("eq_id").agg(*columns)
+    return found.groupBy("eq_id").agg(
+        of("mag", "q50").alias("mag_median"),
+        of("dist_km", "q50").alias("dist_median"),
+        of("dist_km", "q90").alias("spatial_spread"),
+    )
 
 
 def _exact_stats(seen: DataFrame, mc_mode: str) -> DataFrame:
-    by_mag = _merged_stats(gr.with_mc(_with_means(magnitude_profile(seen)), mc_mode))
-    by_dist = group_quantiles(
-        seen, ["eq_id"], "dist_km",
-        {"dist_median": 0.5, "spatial_spread": 0.9}, fixed_width(_DIST_BIN_KM),
-        fixed_width(_DIST_BIN_KM / 1000),
-    )
-    return by_mag.join(by_dist, "eq_id", "left")
+    """Statistics per sequence; the quantiles, which take three steps, are written out."""
+    moments = _moments(seen)
+    mc_b = gr.gutenberg_richter(gr.magnitude_counts(seen), moments, mc_mode)
+    quantiles = stage_table(_quantiles(seen), "quantiles")
+    return moments.join(mc_b, "eq_id", "left").join(quantiles, "eq_id", "left")
 
 
 def _sketched_stats(seen: DataFrame, mc_mode: str) -> DataFrame:
@@ -160,14 +98,7 @@ def _sketched_stats(seen: DataFrame, mc_mode: str) -> DataFrame:
         *[_within(h).alias(f"count_{h}h") for h in (24, 72, 168)],
         *[F.count_if(F.col("mag") >= m).alias(f"n_mag_ge_{m}") for m in (4, 5, 6)],
     ]
-    counts = gr.magnitude_counts(seen)
-    smallest = F.min("mag").over(_sequence())
-    b = (
-        gr.with_mc(counts, mc_mode, small="null")
-        .withColumn("smallest", smallest)
-        .groupBy("eq_id")
-        .agg(F.max("mc").alias("mc"), gr.b_aggregate(F.col("smallest")).alias("b_value"))
-    )
+    b = gr.gutenberg_richter(gr.magnitude_counts(seen), None, mc_mode, small="null", above="min")
     return (
         seen.groupBy("eq_id").agg(*columns)
         .withColumns({"dist_median": F.col("dist_q")[0], "spatial_spread": F.col("dist_q")[1]})
@@ -188,7 +119,8 @@ def seq_features(
     without aftershocks kept with zero counts. ``spark``: sample deviation,
     sketched quantiles, b above the smallest magnitude, mc only from ten events,
     only mainshocks with aftershocks, and ``count_168h`` in addition.
-    ``as_of_hours`` uses only what was known that long after the mainshock.
+    ``as_of_hours`` uses only what was known that long after the mainshock. The
+    events are read five times, so ``enriched`` is best a table.
     """
     if flavor not in ("exact", "spark"):
         raise ValueError("flavor is exact or spark")

@@ -82,7 +82,8 @@ def group_quantiles(
     wanted rank. Those are narrowed once more by ``fine_of`` bins (default: the
     value itself), so that a bin with a large share of the values is not ordered
     in one task either. Both bins must follow the order of the values. A group
-    without values gives no row.
+    without values gives no row. The bins wanted and the values in them are written out, so
+    ``df`` is planned for each of the two passes and no more.
     """
     group = list(keys) or [_KEY]
     rows = (df if keys else df.withColumn(_KEY, F.lit(0))).select(*group, F.col(value).alias("_v"))
@@ -103,9 +104,9 @@ def group_quantiles(
             out = out | ((high >= F.col("_before")) & (low < F.col("_before") + F.col(size)))
         return out
 
-    targets = bins.withColumns(positions).filter(hit(_N)).drop(_N, "_total")
+    targets = stage_table(bins.withColumns(positions).filter(hit(_N)).drop(_N, "_total"), "bins")
     inside = rows.join(targets.select(*group, _BIN), [*group, _BIN], "left_semi")
-    counts = inside.groupBy(*group, _BIN, "_v").agg(F.count("*").alias(_N)).withColumn("_fine", fine)
+    counts = stage_table(inside.groupBy(*group, _BIN, "_v").agg(F.count("*").alias(_N)).withColumn("_fine", fine), "inside")
     in_bin = Window.partitionBy(*group, _BIN).orderBy("_fine").rowsBetween(Window.unboundedPreceding, 0)
     narrow = (
         counts.groupBy(*group, _BIN, "_fine")

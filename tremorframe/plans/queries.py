@@ -95,13 +95,18 @@ class Tables:
         return enrich(self.ev, self.cat, rule="all")
 
     def features(self, **options) -> DataFrame:
-        return seq_features(self.after, self.cat, **options)
+        return seq_features(self.seen, self.cat, **options)
 
     @cached_property
     def main(self) -> DataFrame:
         """The mainshocks, written out."""
         return stage_table(self.cat, "mainshocks")
 
+    @cached_property
+    def seen(self) -> DataFrame:
+        """What features need of the aftershocks, written out."""
+        return stage_table(self.after.select("eq_id", "mag", "depth", "hours", "dist_km"), "aftershocks")
+
     def profile(self, **options) -> DataFrame:
         """The event profile, written out."""
         return stage_table(event_profile(enrich(self.ev, self.main, rule="all"), **options), "profile")
@@ -190,14 +195,12 @@ def completeness_grid(t: Tables) -> DataFrame:
 
 @query
 def b_value_above_mc(t: Tables) -> DataFrame:
-    counts = completeness.magnitude_counts(t.after)
-    return completeness.b_value(completeness.with_mc(counts))
+    return completeness.gutenberg_richter(completeness.magnitude_counts(t.after))
 
 
 @query
 def b_value_above_min(t: Tables) -> DataFrame:
-    counts = completeness.magnitude_counts(t.after)
-    return completeness.b_value(completeness.with_min_mag(counts))
+    return completeness.b_above_min(completeness.magnitude_counts(t.after))
 
 
 # ---- reports ------------------------------------------------------------------
