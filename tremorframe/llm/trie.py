@@ -160,21 +160,26 @@ def _subtree_sums(part: pd.DataFrame) -> pd.DataFrame:
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """SHA-256 of the lists of a node, which follow one another."""
+    current, hashed = None, None
+    done: list[tuple[bytes, str]] = []
 
-    def flush(node: bytes, hashed) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([node], pa.binary()), pa.array([hashed.hexdigest()])], names=["node", "ends_sha256"])
+    def rows() -> pa.RecordBatch:
+        nodes, digests = zip(*done) if done else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(digests, pa.string())], names=["node", "ends_sha256"])
 
-    current, hashed = None, None
     for batch in batches:
         for node, ends in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if node != current:
-                if hashed is not None:
-                    yield flush(current, hashed)
-                current, hashed = node, hashlib.sha256(ends.encode())
-            else:
+            if node == current:
                 hashed.update(b"," + ends.encode())
+                continue
+            if hashed is not None:
+                done.append((current, hashed.hexdigest()))
+            current, hashed = node, hashlib.sha256(ends.encode())
+        yield rows()
+        done = []
     if hashed is not None:
-        yield flush(current, hashed)
+        done.append((current, hashed.hexdigest()))
+        yield rows()
 
 
 def prefix_trie(turns: DataFrame, shard: int = SHARD) -> DataFrame:
