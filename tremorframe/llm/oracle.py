@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+import re
 
-from tremorframe.llm.licenses import BLOCK_WORDS, PHRASES, TEMPLATES, THRESHOLD
+from tremorframe.llm.licenses import BLOCK_WORDS, EVIDENCE, FULL_TEXTS, PHRASES, TEMPLATES, THRESHOLD
 
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
@@ -186,17 +187,39 @@ from whole w join sums on w.path = sums.path
   left join nodes p on w.i > 0 and p.path = substr(w.path, 1, 64 * (w.i - 1))"""
 
 
+def _told(label: str) -> str:
+    """Whether a block has what tells a label, as ``EVIDENCE`` does; without looking behind, which DuckDB cannot."""
+    tests = []
+    for pattern in EVIDENCE.get(label, []):
+        text = "block_text"
+        if pattern.startswith("(?<!"):
+            ahead, pattern = re.match(r"\(\?<!(.*?\))\)(.*)", pattern).groups()
+            text = f"regexp_replace(block_text, '{ahead}{pattern.rstrip()}', ' x', 'g')"
+        tests.append(f"regexp_matches({text}, '{pattern}')")
+    return " and ".join(tests) or "true"
+
+
 def licenses_sql() -> str:
-    """Phrase places and containment in overlapping blocks, by definition."""
+    """Phrase places, and containment in overlapping blocks with the words that tell a label, by definition."""
     phrases = "\n  union all ".join(
         f"select r, '{label}' as label, i from words_at where words[i + 1 : i + {len(p.split())}] = {p.split()}"
         for label, p in PHRASES.items()
     )
+
+    def length(words: int) -> int:
+        """Words of the blocks for a template: at least twice its own."""
+        size = BLOCK_WORDS
+        while size < 2 * words:
+            size *= 2
+        return size
+
+    every = TEMPLATES + FULL_TEXTS
     templates = ", ".join(
-        f"('{label}', {sorted(set(t.split()))}, {math.ceil(THRESHOLD * len(set(t.split())) - 1e-9)})"
-        for label, t in TEMPLATES
+        f"('{label}', {sorted(set(t.split()))}, {math.ceil(THRESHOLD * len(set(t.split())) - 1e-9)}, {length(len(t.split()))})"
+        for label, t in every
     )
-    half = BLOCK_WORDS // 2
+    lengths = sorted({length(len(t.split())) for _, t in every})
+    told = " ".join(f"when '{label}' then {_told(label)}" for label in dict(every))
     return rf"""with base as (
   select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
@@ -207,15 +230,19 @@ words_at as (
 places as ({phrases}),
 based as (
   select r, count(*) as n, min(i) as f, max(i) as l, list(distinct label) as labels from places group by r),
-templates(label, tokens, need) as (values {templates}),
+templates(label, tokens, need, length) as (values {templates}),
 blocks as (
-  select r, words[i + 1 : i + {BLOCK_WORDS}] as block from (
-    select r, words, unnest(range(0, greatest(len(words) - {half}, 1), {half})) as i from base)),
+  select r, length, words[i + 1 : i + length] as block,
+    ' ' || array_to_string(words[greatest(i, 1) : i + length], ' ') || ' ' as block_text
+  from (select r, words, length, unnest(range(0, greatest(len(words) - length // 2, 1), length // 2)) as i
+    from base, (select unnest({lengths}) as length)
+    where list_has_any(words, ['license', 'licensed', 'cc', 'redistribution', 'permitted', 'permission', 'copy']))),
 shares as (
-  select r, label, need, len(list_intersect(tokens, block)) as share, len(tokens) as size
-  from blocks, templates where list_has_any(block, ['license', 'licensed', 'cc', 'redistribution', 'permitted'])),
+  select r, label, need, len(list_intersect(tokens, block)) as share, len(tokens) as size, block_text
+  from blocks join templates using (length)),
 found as (
-  select r, list(distinct label) as labels, max(share / size) as best from shares where share >= need group by r)
+  select r, list(distinct label) as labels, max(share / size) as best from shares
+  where share >= need and case label {told} else true end group by r)
 select doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(n, 0) as bigint) as n_base,
   cast(f as bigint) as first_word, cast(l as bigint) as last_word,
   array_to_string(list_sort(coalesce(b.labels, [])), ',') as base_labels,
