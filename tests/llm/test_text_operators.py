@@ -259,6 +259,8 @@ def test_mix_meets_targets(spark, names):
     rows = [(i, "w " * rng.randint(0, 50), rng.choice(names + names[:1] * 5)) for i in range(400)]
     rows += [(7, "same row", names[0])] * 3 + [(None, "x y z", names[-1]), (900, None, names[0]), (901, "v " * 4000, names[-1])]
     docs = docs_of(spark, rows)
+    # names that the operator uses itself
+    docs = docs.select("*", *[F.lit(c).alias(c) for c in ("doc", "size", "_size", "_source", "bucket", "key", "taken", "words", "cut")])
     got = mixing.mix_sources(docs).collect()
     sizes = defaultdict(int)
     for _, text, source in rows:
@@ -266,12 +268,12 @@ def test_mix_meets_targets(spark, names):
     want = brute_targets(dict(sizes))
     taken = defaultdict(int)
     for r in got:
-        assert r._size == len(words(r.text)) and r._source_size == sizes[r.source]
-        assert r._target == pytest.approx(want[r.source])
-        assert 0 <= r._taken <= 3 * r._size
-        taken[r.source] += r._taken
+        assert r.size == len(words(r.doc.text)) and r.source_size == sizes[r.doc.source]
+        assert r.target == pytest.approx(want[r.doc.source])
+        assert 0 <= r.taken <= 3 * r.size
+        taken[r.doc.source] += r.taken
     assert all(abs(taken[s] - want[s]) < 1.001 for s in sizes)
-    key = lambda rs: Counter((r.doc_id, r.text, r.source, r._taken) for r in rs)
+    key = lambda rs: Counter((r.doc.doc_id, r.doc.text, r.doc.source, r.taken) for r in rs)
     assert key(got) == key(mixing.mix_sources(docs.repartition(7)).collect())
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns

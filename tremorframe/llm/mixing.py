@@ -2,16 +2,16 @@
 
 Every document gets a hash-random key. Within its source the documents lie in
 key order, cut into equal ranges of the key (buckets). Sums of words by (source,
-bucket) and their running totals give each bucket's offset, a window inside the
-bucket gives each document's own, so the prefix sum of a source that holds a
-third of all rows is made by many tasks. A source is taken whole as often as its
-target holds its size, and one more pass is cut at the exact word.
+bucket) and their running totals give each bucket's offset, so the prefix sum of a
+source that holds a third of all rows is made by many tasks. A source is taken
+whole as often as its target holds its size, and one more pass is cut at the exact
+word: inside one bucket, the only one whose documents a window orders.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a
 source of its own and comes last; a null id is ordered first among equal keys;
 repeated rows are separate documents, and which of two identical rows stands
-first is immaterial; an empty table gives an empty result; other columns are
-kept only by ``mixed_documents``.
+first is immaterial; an empty table gives an empty result; other columns may have any
+name and are kept.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tremorframe.llm.common import SPACE, whole
+from tremorframe.session import stage_table
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
@@ -79,49 +80,61 @@ def mix_sources(
     max_repeat: int = MAX_REPEAT,
     seed: int = 9,
 ) -> DataFrame:
-    """``docs`` with ``_size``, ``_source_size``, ``_target`` and ``_taken`` added.
+    """``doc`` (the row as a struct), ``size``, ``source_size``, ``target`` and ``taken``.
 
-    ``_taken`` counts words: whole passes times the size, plus the part of the
-    document inside the cut of the last pass.
+    ``taken`` counts words: whole passes times the size, plus the part of the
+    document inside the cut of the last pass. The documents of the buckets below a source's cut
+    are in the last pass, those above are not; only the rows of the one bucket that is cut
+    are brought into an order, so no other row leaves its task.
     """
     rows = docs.count()
     bits = min(20, max(8, (rows // ROWS_PER_BUCKET).bit_length()))
-    named = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))
+    doc_id, text = F.col("doc.doc_id"), F.col("doc.text")
+    named = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}"))
     key = F.conv(F.substring(F.md5(named), 1, 15), 16, 10).cast("long")
-    keyed = docs.withColumns(
-        {"_size": word_count(whole()), "_key": key, "_bucket": F.shiftright(key, 60 - bits)}
+    # the row as one column, so that none of its names can clash
+    keyed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc")).select(
+        "doc",
+        F.col("doc.source").alias("source"),
+        word_count(whole(text)).alias("size"),
+        key.alias("key"),
+        F.shiftright(key, 60 - bits).alias("bucket"),
     )
-    sums = keyed.groupBy(F.col("source"), "_bucket").agg(F.sum("_size").alias("_sum"))
-    up_to = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("_offset", F.coalesce(F.sum("_sum").over(up_to), F.lit(0)))
-    sizes = sums.groupBy("source").agg(F.sum("_sum").alias("source_size"))
-    targets = source_targets(sizes, weights, share, max_repeat)
-    known = (
-        offsets.alias("o")
-        .join(targets.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source")))
-        .select(
-            F.col("o.source").alias("_source"),
-            F.col("o._bucket").alias("_of"),
-            "_offset",
-            F.col("source_size").alias("_source_size"),
-            F.col("target").alias("_target"),
-        )
+    sums = stage_table(keyed.groupBy("source", "bucket").agg(F.sum("size").alias("sum")), "mix-sums")
+    targets = source_targets(sums.groupBy("source").agg(F.sum("sum").alias("source_size")), weights, share, max_repeat)
+    budget = F.floor("target").cast("long")
+    passes = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
+    plan = targets.withColumn("passes", passes).withColumn("rest", budget - F.col("passes") * F.col("source_size"))
+    up_to = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.withColumn("offset", F.coalesce(F.sum("sum").over(up_to), F.lit(0)))
+    # the first bucket that the rest does not reach the end of
+    cut_here = offsets.alias("o").join(plan.alias("p"), F.col("o.source").eqNullSafe(F.col("p.source")))
+    cut_here = cut_here.filter(F.col("offset") + F.col("sum") > F.col("rest"))
+    cuts = cut_here.groupBy("p.source").agg(F.min("bucket").alias("cut"), F.min("offset").alias("cut_offset"))
+    # a row per source; its size is known, so Catalyst broadcasts it where it is small
+    known = stage_table(
+        plan.alias("p").join(cuts.alias("c"), F.col("p.source").eqNullSafe(F.col("c.source")), "left").select(
+            F.col("p.source").alias("of"), "source_size", "target", "passes", "rest", "cut", "cut_offset"
+        ),
+        "mix-sources",
     )
-    placed = keyed.join(
-        known, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_of"))
+    placed = keyed.join(known, F.col("source").eqNullSafe(F.col("of")))
+    at_cut = F.coalesce(F.col("bucket") == F.col("cut"), F.lit(False))
+    below = F.coalesce(F.col("bucket") < F.col("cut"), F.lit(False))
+    whole_passes = F.col("passes") * F.col("size")
+    result = ("doc", "size", "source_size", "target")
+    clear = placed.filter(~at_cut).select(
+        *result, (whole_passes + F.when(below, F.col("size")).otherwise(0)).cast("long").alias("taken")
     )
     inside = (
-        Window.partitionBy("source", "_bucket")
-        .orderBy("_key", "doc_id", "_size")
+        Window.partitionBy("source", "bucket")
+        .orderBy("key", "_id", "size")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    budget = F.floor(F.col("_target")).cast("long")
-    passes = F.when(F.col("_source_size") > 0, F.floor(budget / F.col("_source_size"))).otherwise(0).cast("long")
-    rest = budget - passes * F.col("_source_size")
-    start = F.col("_offset") + F.coalesce(F.sum("_size").over(inside), F.lit(0))
-    cut = F.least(F.col("_size"), F.greatest(F.lit(0), rest - start))
-    taken = (passes * F.col("_size") + cut).cast("long")
-    return placed.withColumn("_taken", taken).select(*docs.columns, "_size", "_source_size", "_target", "_taken")
+    start = F.col("cut_offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))
+    part = F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - start))
+    ordered = placed.filter(at_cut).withColumn("_id", doc_id)
+    return clear.unionByName(ordered.select(*result, (whole_passes + part).cast("long").alias("taken")))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -131,15 +144,15 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     of words, where the last pass ends inside or behind it.
     """
     taken = mix_sources(docs, **options)
-    whole_passes = F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size"))).otherwise(0)
-    rest = F.col("_taken") - whole_passes * F.col("_size")
+    whole_passes = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0)
+    rest = F.col("taken") - whole_passes * F.col("size")
     pieces = F.concat(
-        F.array_repeat(F.col("_size"), whole_passes.cast("int")),
+        F.array_repeat(F.col("size"), whole_passes.cast("int")),
         F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")),
     )
-    copies = taken.withColumn("_words", F.explode(pieces))
+    copies = taken.withColumn("words", F.explode(pieces))
     # each word with the space before it, so that a part keeps its lines
-    spaced = F.regexp_extract_all(whole(), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    part = F.array_join(F.slice(spaced, 1, F.col("_words").cast("int")), "")
-    text = F.when(F.col("_words") < F.col("_size"), part).otherwise(F.col("text"))
-    return copies.withColumn("text", text).select(*docs.columns)
+    spaced = F.regexp_extract_all(whole(F.col("doc.text")), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    part = F.array_join(F.slice(spaced, 1, F.col("words").cast("int")), "")
+    text = F.when(F.col("words") < F.col("size"), part).otherwise(F.col("doc.text"))
+    return copies.select(*[text.alias(c) if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns])

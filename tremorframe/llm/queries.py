@@ -86,13 +86,7 @@ def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix_sources(docs).select(
-        "doc_id",
-        F.col("_size").alias("size"),
-        F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"),
-        F.col("_taken").alias("taken"),
-    )
+    return mixing.mix_sources(docs).select(F.col("doc.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
