@@ -287,7 +287,10 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     told = stage_table(near_duplicates(docs, **options), "dedup-told")
     gone = told.filter("not kept").select("doc_id").distinct()
     several = told.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
+    several = stage_table(several, "dedup-several")
     kept = docs.join(gone, "doc_id", "left_anti")
+    if several.isEmpty():
+        return kept.select(*docs.columns)  # the texts meet the decision once
     others = [c for c in docs.columns if c != "doc_id"]
     merged = (
         kept.join(several, "doc_id", "left_semi")
