@@ -73,6 +73,35 @@ def test_omori_fit_is_the_least_squares_point_of_its_grid(spark, make_cat):
     assert row["sse"] <= best + 1e-9
 
 
+def test_converged_omori_fits(spark, make_cat):
+    rng = np.random.default_rng(3)
+    mid = (np.arange(60) + 0.5) * 0.5
+    rows, y = [], {}
+    for i in range(60):
+        k, c, p = 10 ** rng.uniform(0, 4), 10 ** rng.uniform(-3, 0.5), rng.uniform(0.4, 2.4)
+        y[f"s{i}"] = rng.poisson(k / (mid + c) ** p * 0.5)
+    y["flat"], y["last"], y["one"] = np.full(60, 3), np.eye(60, dtype=int)[59] * 40, np.eye(60, dtype=int)[0] * 40
+    y = {name: n for name, n in y.items() if n.sum() >= 10}
+    rows = [(name, i, int(v)) for name, n in y.items() for i, v in enumerate(n) if v]
+    bins, cat = spark.createDataFrame(rows, "eq_id string, bin int, n bigint"), make_cat([(name,) for name in y])
+    grid = {r["eq_id"]: r["sse"] for r in calibrate.omori_fit(bins, cat).collect()}
+    lower = 0
+    for r in calibrate.omori_fit(bins, cat, converge=True).collect():
+        n, k, c, p = y[r["eq_id"]], r["k"], r["c"], r["p"]
+        model = 0.5 * k / (mid + c) ** p
+        assert r["sse"] <= grid[r["eq_id"]] and r["sse"] == pytest.approx(((n - model) ** 2).sum(), rel=1e-6, abs=1e-6)
+        lower += r["sse"] < grid[r["eq_id"]] * (1 - 1e-9)
+        # no way down inside the bounds
+        slopes = {"k": model, "c": -p * c / (mid + c) * model, "p": -np.log(mid + c) * model}
+        bounds = {"k": (1e-3, 1e6), "c": (1e-5, 5.0), "p": (0.3, 2.5)}
+        for name, slope in slopes.items():
+            toward = (slope * (n - model)).sum() / max(np.linalg.norm(slope) * np.linalg.norm(n - model), 1e-300)
+            low, high = bounds[name]
+            at_low, at_high = r[name] <= low * (1 + 1e-9), r[name] >= high * (1 - 1e-9)
+            assert abs(toward) < 1e-5 or (at_low and toward < 0) or (at_high and toward > 0), (r, name, toward)
+    assert lower > 40
+
+
 def test_omori_medians_and_first_hour(spark):
     fits = spark.createDataFrame(
         [("a", 10.0, 0.01, 1.0), ("b", 50.0, 0.05, 1.1), ("c", 90.0, 0.02, 1.3)], "eq_id string, k double, c double, p double"

@@ -10,7 +10,7 @@ import pytest
 from conftest import HOUR, T0, rows_of
 from hypothesis import HealthCheck, given, settings, strategies as st
 
-from tremorframe.operators import completeness as gr, quantiles
+from tremorframe.operators import completeness as gr, quantiles, sketches
 from tremorframe.operators.enrich import enrich, seq_stats, valid_events
 from tremorframe.operators.features import FEATURE_COLUMNS, seq_features
 from tremorframe.operators.quantiles import fixed_width, group_quantiles
@@ -224,6 +224,38 @@ def test_features_read_their_input_few_times_and_shuffle_little(spark):
     assert len(re.findall(r"(?<!Broadcast)Exchange ", plan)) <= 10
 
 
+def test_merged_loads_give_the_features_of_all_events(spark, make_events, make_cat):
+    rng = np.random.default_rng(21)
+    rows = [(k, float(rng.exponential(90)) if rng.random() > 0.02 else -1.0, None if rng.random() < 0.03 else round(float(rng.uniform(2, 7)), 1),
+             float(rng.uniform(-2, 2)), float(rng.uniform(-2, 2)), None if rng.random() < 0.1 else float(rng.uniform(1, 90)), "mb")
+            for k, n in (("one", 1), ("four", 4), ("ten", 10), ("many", 700)) for _ in range(n)]
+    cat = make_cat([(k, 7.5) for k in ("one", "four", "ten", "many", "none")])
+    seen = enrich(make_events(rows), cat)
+    want = {r["eq_id"]: r.asDict() for r in seq_features(seen, cat, flavor="spark", mc_mode="grid").collect()}
+    loads = [sketches.load_summary_rows(seen.filter(f"event_id % 4 = {i}")) for i in range(4)]
+    stored = loads[0].unionByName(loads[1]).unionByName(loads[2]).unionByName(loads[3])
+    got = {r["eq_id"]: r.asDict() for r in sketches.merged_features(stored, cat).collect()}
+    assert set(got) == set(want)
+    for key, row in want.items():
+        for name, value in row.items():
+            same = value if value is None or isinstance(value, str) else pytest.approx(value, rel=1e-9, abs=1e-9)
+            assert got[key][name] == same, (key, name)
+
+
+def test_rank_error_of_merged_sketches(spark, make_cat):
+    n, k = 200_000, 200
+    seen = spark.range(n).selectExpr("'a' as eq_id", "cast(id % 50 as double) / 10 as mag", "1.0D as depth", "1.0D as hours", "cast(pow(id, 1.5) as double) as dist_km")
+    parts = [sketches.load_summary_rows(seen.filter(f"pmod(hash(dist_km), 20) = {i}"), k) for i in range(20)]
+    stored = parts[0]
+    for part in parts[1:]:
+        stored = stored.unionByName(part)
+    row = sketches.merged_features(stored, make_cat([("a",)])).first()
+    for name, q in (("dist_median", 0.5), ("spatial_spread", 0.9)):
+        rank = row[name] ** (1 / 1.5) / n
+        assert abs(rank - q) < 4 / k
+    assert row["aftershock_count"] == n
+
+
 def sample_sequences():
     rng = np.random.default_rng(11)
     rows = []

@@ -120,19 +120,64 @@ def omori_grid(n_c: int = 60, n_p: int = 45) -> tuple[np.ndarray, np.ndarray]:
     return c, p
 
 
+def converged(y: np.ndarray, mid: np.ndarray, start: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """``k, c, p, sse`` at a local least squares point, all sequences at once.
+
+    Damped Gauss-Newton in log k, log c and p. A step that would raise the error
+    is not taken, so no error is above the one of ``start``; a parameter at its bound
+    that wants to leave it is held. Ends when no sequence moves any more.
+    """
+    bounds = np.array([np.log(OMORI_K_BOUNDS), np.log(OMORI_C_BOUNDS), OMORI_P_BOUNDS])
+    low, high = bounds[:, 0], bounds[:, 1]
+    at = np.clip(np.stack([np.log(start[0]), np.log(start[1]), start[2]], axis=1), low, high)
+
+    def model(x: np.ndarray) -> np.ndarray:
+        return BIN_DAYS * np.exp(x[:, :1]) / (mid + np.exp(x[:, 1:2])) ** x[:, 2:]
+
+    expected = model(at)
+    sse, damping, moving = ((y - expected) ** 2).sum(axis=1), np.full(len(y), 1e-3), np.ones(len(y), bool)
+    for _ in range(rounds):
+        i = np.flatnonzero(moving)
+        if not len(i):
+            break
+        x, f = at[i], expected[i]
+        c = np.exp(x[:, 1:2])
+        slope = np.stack([f, -x[:, 2:] * c / (mid + c) * f, -np.log(mid + c) * f], axis=2)
+        toward = np.einsum("nbi,nb->ni", slope, y[i] - f)
+        held = ((x <= low) & (toward < 0)) | ((x >= high) & (toward > 0))
+        slope = np.where(held[:, None, :], 0.0, slope)
+        normal = np.einsum("nbi,nbj->nij", slope, slope)
+        scale = np.maximum(np.einsum("nii->ni", normal), 1e-300)
+        normal += (np.where(held, 1.0, damping[i, None] * scale))[:, :, None] * np.eye(3)
+        step = np.linalg.solve(normal, np.where(held, 0.0, toward)[:, :, None])[:, :, 0]
+        new = np.clip(x + step, low, high)
+        tried = model(new)
+        error = ((y[i] - tried) ** 2).sum(axis=1)
+        better = error <= sse[i]
+        small = np.abs(new - x).max(axis=1) < 1e-12
+        moving[i] = ~((better & small) | (~better & (damping[i] > 1e12)))
+        j = i[better]
+        at[j], expected[j], sse[j] = new[better], tried[better], error[better]
+        damping[i] = np.where(better, np.maximum(damping[i] / 5, 1e-12), damping[i] * 4)
+    found = np.stack([np.exp(at[:, 0]), np.exp(at[:, 1]), at[:, 2], sse])
+    return np.where(sse <= start[3], found, start)
+
+
 def omori_fit(
     bins: DataFrame,
     cat: DataFrame,
     max_days: float = 30.0,
     min_events: int = 10,
     grid: tuple[np.ndarray, np.ndarray] | None = None,
+    converge: bool = False,
 ) -> DataFrame:
     """``eq_id, k, c, p, sse`` least squares fit of the Omori law to the bin counts.
 
     For given c and p the best K has a closed form, so each sequence is a search
     over the (c, p) grid, one matrix product per Arrow batch, and a second one
-    in quarter steps around the best point. Sequences below ``min_events``
-    events get the fallback parameters.
+    in quarter steps around the best point. With ``converge`` the search goes on from
+    there, see ``converged``. Sequences below ``min_events`` events get the
+    fallback parameters.
     """
     n_bins = int(round(max_days / BIN_DAYS))
     mid = (np.arange(n_bins) + 0.5) * BIN_DAYS
@@ -163,7 +208,8 @@ def omori_fit(
             _, c, p, _ = smallest(y, c_all, p_all, coarse)
             c = np.clip(c[:, None] * c_near, *OMORI_C_BOUNDS)
             p = np.clip(p[:, None] + p_near, *OMORI_P_BOUNDS)
-            parts.append(np.stack(smallest(y, c, p, decay(c, p))))
+            best = np.stack(smallest(y, c, p, decay(c, p)))
+            parts.append(converged(y, mid, best) if converge else best)
         return pd.DataFrame(np.concatenate(parts, axis=1).T, columns=["k", "c", "p", "sse"])
 
     # at most one entry per bin and sequence
@@ -199,10 +245,11 @@ def calibrated(
     min_mag: float = 4.0,
     omori_min_mag: float = 4.0,
     windows: tuple[Window3, ...] = WINDOWS,
+    converge: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """``a`` and ``window, first_hour``, as tables, from an event profile that has been written out."""
     a = median_a(rj_a_per_sequence_of(profile, cat, min_mag=min_mag))
-    fits = omori_fit(profile_bins(profile, omori_min_mag), cat)
+    fits = omori_fit(profile_bins(profile, omori_min_mag), cat, converge=converge)
     first_hour = omori_first_hour(omori_medians(fits), windows)
     return stage_table(a, "rj_a"), stage_table(first_hour, "first_hour")
 

@@ -172,7 +172,7 @@ def forecast_all(
     cat = stage_table(cat, "mainshocks")
     joined = enrich(valid_events(ev), cat, "all")
     seen = stage_table(profile.event_profile(joined, issue_time_h=issue_time_h), "profile")
-    a, first_hour = calibrate.calibrated(seen.filter("known"), cat)
+    a, first_hour = calibrate.calibrated(seen.filter("known"), cat, converge=True)
     pred = forecast.predict(cat, joined, a, first_hour, issue_time_h=issue_time_h, profile=seen)
     pred = stage_table(pred, "pred")
     write_table(pred.orderBy("eq_id", "window"), f"{out}/predictions", "csv")

@@ -414,6 +414,20 @@ from cat left join (select eq_id, count(*) as n from ev group by eq_id) using (e
             *base, "early as (select * from aft where hours <= 72)", _features("exact", "early")
         )
         + _REPLACED,
+        "associated_features": _with(
+            *base, PAIRS,
+            """near as (
+  select cat.eq_id, e.mag, e.depth, (e.t_us - t0_us)/3.6e9::double as hours,
+         6371.0::double * radians(arc_deg) as dist_km
+  from pairs join (select * exclude (eq_id) from ev) e using (event_id) join cat on cat.eq_id = pairs.eq_id
+  where e.t_us > t0_us)""",
+            _features("spark", "near"),
+        )
+        + _REPLACED,
+        "sequence_features_merged": sample + _REPLACED.replace("select *", "select * exclude (mc)").replace("round(mc, 6) as mc, ", ""),
+        "single_file_round_trip": _with(EV, CAT)
+        + """select eq_id, mainshock_mag, round(mainshock_lat, 6) as mainshock_lat, round(mainshock_lon, 6) as mainshock_lon,
+  year, 1 as n_files from cat""",
         "completeness_edge": mc + "select eq_id, mc from mc",
         "completeness_grid": _with(*base)
         + """select eq_id, case when total < 10 then null else bin/10::double end as mc from (

@@ -27,8 +27,9 @@ from tremorframe.operators import calibrate, completeness, etas, forecast, model
 from tremorframe.operators.associate import associate, associated_counts, candidate_pairs
 from tremorframe.operators.enrich import enrich, seq_stats
 from tremorframe.operators.features import seq_features
-from tremorframe.operators.profile import event_profile, merge_profiles, profile_max
+from tremorframe.operators.profile import event_profile, merge_profiles, profile_bins, profile_max
 from tremorframe.operators.ranks import with_rank
+from tremorframe.operators.sketches import load_summary_rows, merged_features
 from tremorframe.operators.windows import each_window, window_max
 from tremorframe.plans.fixture import mainshocks, quakes
 from tremorframe.session import scratch_path, stage_table, tune
@@ -181,6 +182,23 @@ def sequence_features_as_of_72h(t: Tables) -> DataFrame:
     return t.features(as_of_hours=72.0)
 
 
+@query
+def sequence_features_merged(t: Tables) -> DataFrame:
+    """Features from the stored rows of three loads; mc by whole tenths is left out."""
+    path = scratch_path(t.spark, "summaries")
+    seen = t.joined.filter("hours > 0").withColumn("load", F.pmod("event_id", F.lit(3)).cast("int"))
+    for load in range(3):
+        write_table(load_summary_rows(seen.filter(F.col("load") == load)), f"{path}/load={load}")
+    return merged_features(t.spark.read.parquet(path), t.main).drop("mc")
+
+
+@query
+def associated_features(t: Tables) -> DataFrame:
+    """The global branch: events by place and time, enriched, and one feature row per mainshock."""
+    near = associate(t.main, t.ev)
+    return seq_features(enrich(stage_table(near.drop("arc_deg"), "near"), t.main), t.main, flavor="spark")
+
+
 @query
 def completeness_edge(t: Tables) -> DataFrame:
     return completeness.completeness_mag(completeness.magnitude_counts(t.after))
@@ -316,6 +334,15 @@ def omori_fit(t: Tables) -> DataFrame:
     return t.omori_fits()
 
 
+@query
+def omori_fit_converged(t: Tables) -> DataFrame:
+    """The fits carried on to convergence; no error grows."""
+    bins = stage_table(profile_bins(t.profile(), OMORI_MIN_MAG), "bins")
+    grid = calibrate.omori_fit(bins, t.main).select("eq_id", F.col("sse").alias("grid_sse"))
+    fits = calibrate.omori_fit(bins, t.main, converge=True)
+    return fits.join(grid, "eq_id").withColumn("no_worse", F.col("sse") <= F.col("grid_sse")).drop("grid_sse")
+
+
 @query
 def omori_medians(t: Tables) -> DataFrame:
     return calibrate.omori_medians(t.omori_fits())
@@ -672,6 +699,16 @@ def feature_table_round_trip(t: Tables) -> DataFrame:
     )
 
 
+@query
+def single_file_round_trip(t: Tables) -> DataFrame:
+    """The catalog report written as one CSV file, and read back from it."""
+    rows = t.main.select("eq_id", "mainshock_mag", "mainshock_lat", "mainshock_lon", "year").repartition(5)
+    path = write_table(rows, scratch_path(t.spark, "report"), "csv", single_file=True)
+    back = t.spark.read.csv(path, header=True, schema="eq_id long, mainshock_mag double, mainshock_lat double, mainshock_lon double, year int")
+    files = back.select(F.col("_metadata.file_path").alias("f"), "*")
+    return files.withColumn("n_files", F.lit(files.select("f").distinct().count())).drop("f")
+
+
 # ---- models -------------------------------------------------------------------
 
 
