@@ -6,6 +6,7 @@ import random
 import pytest
 from conftest import CAT_SCHEMA, EVENT_SCHEMA, HOUR, T0, rows_of
 
+from tremorframe.operators import associate as associate_module
 from tremorframe.operators.associate import associate, associated_counts, candidate_pairs
 from tremorframe.sources.incremental import ingest_status, ingest_summary, new_only
 
@@ -56,6 +57,40 @@ def test_cells_find_exactly_the_naive_pairs(world, radius, hours, salt):
     assert len(got) == len(set(got)) and set(got) == want and want
 
 
+@pytest.mark.parametrize("rows", [1, 40])
+@pytest.mark.parametrize("radius, hours", [(3.0, 168), (7.0, 24), (0.7, 300), (50.0, 10)])
+def test_cut_cells_find_exactly_the_naive_pairs(world, radius, hours, rows):
+    mains, events, cat, ev = world
+    got = [(r["eq_id"], r["event_id"]) for r in candidate_pairs(cat, ev, radius, hours, rows_per_cell=rows).collect()]
+    assert len(got) == len(set(got)) and set(got) == naive(mains, events, radius, hours)
+
+
+def test_no_cell_stays_crowded(spark, make_cat):
+    """A spread-out crowd is quartered, events on one spot are dealt, and both find the mainshock's events."""
+    rng = random.Random(9)
+    places = [(30.0 + rng.uniform(0, 2.9), 30.0 + rng.uniform(0, 2.9)) for _ in range(20_000)] + [(31.0, 31.0)] * 20_000
+    ev = spark.createDataFrame([("x", i, T0 + i, *p, None, 3.0, "mb") for i, p in enumerate(places)], EVENT_SCHEMA)
+    seen = {}
+    whole = associate_module._by_density
+
+    def kept(events, main, rows):
+        seen["events"], seen["main"] = whole(events, main, rows)
+        return seen["events"], seen["main"]
+
+    associate_module._by_density = kept
+    try:
+        pairs = candidate_pairs(make_cat([("a", 7.0, 31.0, 31.0), ("far", 7.0, 32.95, 32.95)]), ev, radius_deg=1.0, rows_per_cell=500)
+        n = {r["eq_id"]: r["count"] for r in pairs.groupBy("eq_id").count().collect()}
+    finally:
+        associate_module._by_density = whole
+    assert n["a"] == sum(arc((31.0, 31.0), p) <= 1.0 + 1e-9 for p in places)
+    keys = [*associate_module.QUARTER, "part"]
+    assert seen["events"].groupBy(*keys).count().agg({"count": "max"}).first()[0] < 1500
+    # a mainshock visits few of the quarters
+    held = seen["events"].select(*keys).distinct()
+    assert seen["main"].filter("eq_id = 'far'").join(held, keys).count() < held.count() / 2
+
+
 def test_join_is_an_equi_join(world):
     _, _, cat, ev = world
     plan = candidate_pairs(cat, ev)._jdf.queryExecution().executedPlan().toString()

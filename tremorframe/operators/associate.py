@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tremorframe.functions.clock import HOUR_US, SECOND_US
 from tremorframe.functions.geo import arc_degrees
+from tremorframe.session import stage_table
 
 ARC_TOLERANCE = 1e-9  # degrees, a tenth of a millimetre: keeps the edge stable
+CELL = ["tb", "latb", "lonb"]
+QUARTER = [*CELL, "sy", "sx"]
+# Cells are counted on this share of the events, chosen by hash.
+SAMPLE = 16
+MOST_HALVINGS = 6
 
 
 def _cells(radius_deg: float) -> tuple[int, float]:
@@ -18,6 +24,53 @@ def _cells(radius_deg: float) -> tuple[int, float]:
     return n, 360.0 / n
 
 
+def _by_density(events: DataFrame, main: DataFrame, rows_per_cell: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the quarter of their cell (``sy``, ``sx``) and its ``part``.
+
+    A cell with more events than asked for is cut into quarters, halving both
+    sides as often as its number wants; a mainshock then visits only the quarters its circle
+    can touch. A quarter that is still too full, where events lie on one spot, is dealt
+    into parts by event, and mainshocks visit all of them. Both are decided on
+    a share of the events. Cells that are not dense cost nothing more.
+    ``y`` and ``x`` are places within a cell, in cells.
+    """
+    counted = events.filter(F.pmod(F.xxhash64("event_id"), F.lit(SAMPLE)) == 0)
+
+    def dense(rows: DataFrame, keys: list[str]) -> DataFrame:
+        n = rows.groupBy(*keys).agg((F.count("*") * SAMPLE).alias("n"))
+        return n.filter(F.col("n") > rows_per_cell)
+
+    halvings = F.least(F.ceil(F.log2(F.col("n") / rows_per_cell) / 2), F.lit(MOST_HALVINGS)).cast("int")
+    full = stage_table(dense(counted, CELL).select(*CELL, F.pow(F.lit(2.0), halvings).alias("cuts")), "dense-cells")
+
+    def with_cuts(rows: DataFrame) -> DataFrame:
+        return rows.join(full, CELL, "left").withColumn("cuts", F.coalesce("cuts", F.lit(1.0)))
+
+    def slot(at: str) -> Column:
+        return F.least(F.greatest(F.floor(F.col(at) * F.col("cuts")), F.lit(0)), F.col("cuts").cast("bigint") - 1)
+
+    def quartered(rows: DataFrame) -> DataFrame:
+        return with_cuts(rows).withColumns({"sy": slot("y"), "sx": slot("x")})
+
+    crowded = quartered(counted).filter("cuts > 1")
+    spots = stage_table(
+        dense(crowded, QUARTER).select(*QUARTER, F.ceil(F.col("n") / rows_per_cell).cast("int").alias("parts")), "dense-spots"
+    )
+
+    def slots(at: str, reach: str) -> Column:
+        last = F.col("cuts").cast("bigint") - 1
+        low = F.floor((F.col(at) - F.col(reach)) * F.col("cuts") - 1e-6)
+        high = F.floor((F.col(at) + F.col(reach)) * F.col("cuts") + 1e-6)
+        low, high = F.least(F.greatest(low, F.lit(0)), last), F.least(F.greatest(high, F.lit(0)), last)
+        return F.explode(F.sequence(low, high))
+
+    parts = F.coalesce("parts", F.lit(1))
+    events = quartered(events).join(spots, QUARTER, "left").withColumn("part", F.pmod(F.xxhash64("event_id", "t_us"), parts).cast("int"))
+    main = with_cuts(main).withColumn("sy", slots("y", "y_reach")).withColumn("sx", slots("x", "x_reach"))
+    main = main.join(spots, QUARTER, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return events.drop("y", "x", "cuts", "parts"), main.drop("y", "x", "y_reach", "x_reach", "cuts", "parts")
+
+
 def candidate_pairs(
     cat: DataFrame,
     ev: DataFrame,
@@ -25,6 +78,7 @@ def candidate_pairs(
     hours: float = 168.0,
     min_mag: float = 2.0,
     salt: int = 1,
+    rows_per_cell: int | None = None,
 ) -> DataFrame:
     """All (mainshock, event) pairs in range, unlimited and unordered.
 
@@ -34,7 +88,9 @@ def candidate_pairs(
     pole the circle spans all longitudes and the mainshock visits every cell.
 
     Hot cells: AQE splits their join partition. ``salt`` above one splits every
-    cell by event up front, repeating the mainshocks that often.
+    cell by event up front, repeating the mainshocks that often. With
+    ``rows_per_cell`` the cells follow the density instead, see ``_by_density``: no
+    cell then holds many more events than that, and the caller needs no salt.
     """
     if radius_deg <= 0 or radius_deg >= 90:
         raise ValueError("radius_deg must be between 0 and 90")
@@ -75,11 +131,26 @@ def candidate_pairs(
         .withColumn("latb", F.explode(bands))
         .withColumn("lonb", F.explode(cells))
     )
-    keys = ["tb", "latb", "lonb"]
-    if salt > 1:
+    keys = CELL
+    if rows_per_cell:
+        events = events.withColumns(
+            {"y": F.col("lat") / radius_deg - F.col("latb"), "x": turned(F.col("lon")) / lon_width - F.col("lonb")}
+        )
+        main = main.withColumns(
+            {
+                "y": lat / radius_deg - F.col("latb"),
+                "y_reach": F.lit(reach / radius_deg),
+                # from the start of the cell, the short way round
+                "x": F.pmod(lon / lon_width - F.col("lonb") + n_lon / 2, F.lit(float(n_lon))) - n_lon / 2,
+                "x_reach": F.when(polar, F.lit(float(n_lon))).otherwise(half / lon_width),
+            }
+        )
+        events, main = _by_density(events, main, rows_per_cell)
+        keys = [*QUARTER, "part"]
+    elif salt > 1:
         events = events.withColumn("salt", F.pmod(F.xxhash64("event_id"), F.lit(salt)).cast("int"))
         main = main.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-        keys.append("salt")
+        keys = [*CELL, "salt"]
     near = arc_degrees(F.col("main_lat"), F.col("main_lon"), F.col("lat"), F.col("lon"))
     since = F.col("t_us") - F.col("start_us")
     return (
@@ -121,9 +192,10 @@ def associate(
     min_mag: float = 2.0,
     limit: int | None = None,
     salt: int = 1,
+    rows_per_cell: int | None = None,
 ) -> DataFrame:
     """All events of each mainshock, or on request the ``limit`` newest ones."""
-    pairs = candidate_pairs(cat, ev, radius_deg, hours, min_mag, salt)
+    pairs = candidate_pairs(cat, ev, radius_deg, hours, min_mag, salt, rows_per_cell)
     return pairs if limit is None else newest(pairs, limit)
 
 

@@ -29,6 +29,8 @@ from tremorframe.sources.incremental import UNFINISHED, ingest_status, ingest_su
 from tremorframe.sources.sequences import bad_files, load_counts, malformed_counts, read_with_report
 from tremorframe.streaming.ingest import stream_ingest
 
+# Events that one cell of the space-time join may hold.
+ROWS_PER_CELL = 2_000_000
 # Columns of a store's events written as CSV.
 STORED = (
     "eq_id string, event_id bigint, t_us bigint, lat double, lon double, depth double, mag double, "
@@ -151,7 +153,7 @@ def load_sequences(
         done = done.filter(~F.col("status").isin(*UNFINISHED))
         cached = done.groupBy("eq_id").agg(F.max("n_events").alias("n_events"))
         fresh = new_only(cat, done)
-    pairs = associate(fresh, ev, limit=limit)
+    pairs = associate(fresh, ev, limit=limit, rows_per_cell=ROWS_PER_CELL)
     write_table(pairs, f"{store}/events/load={load}")
     found = spark.read.schema(pairs.schema).parquet(f"{store}/events/load={load}")
     status = ingest_status(cat, associated_counts(found, limit), limit, cached, malformed, unusable)

@@ -596,6 +596,7 @@ from cat left join loaded on loaded.eq_id = {STAMP} left join malformed on malfo
 where rn <= 20000""",
         "associate_salted": _with(EV, CAT, PAIRS)
         + "select eq_id, event_id, round(arc_deg, 6) as arc_deg from pairs",
+        "associate_dense": _with(EV, CAT, PAIRS) + "select eq_id, event_id, round(arc_deg, 6) as arc_deg from pairs",
         "associate_newest_5": _with(EV, CAT, PAIRS)
         + """select eq_id, event_id, t_us from (
   select *, row_number() over (partition by eq_id order by t_us desc, event_id desc) as rn from pairs)

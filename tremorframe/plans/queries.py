@@ -630,6 +630,13 @@ def associate_salted(t: Tables) -> DataFrame:
     return pairs.select("eq_id", "event_id", "arc_deg")
 
 
+@query
+def associate_dense(t: Tables) -> DataFrame:
+    """Cells that are cut where many events lie."""
+    pairs = candidate_pairs(t.main, t.ev, rows_per_cell=20)
+    return pairs.select("eq_id", "event_id", "arc_deg")
+
+
 @query
 def associate_newest_5(t: Tables) -> DataFrame:
     return associate(t.cat, t.ev, limit=5).select("eq_id", "event_id", "t_us")
