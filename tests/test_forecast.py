@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from conftest import HOUR, T0, rows_of
 
 from tremorframe.functions.clock import DAY_US
-from tremorframe.functions.seismo import EtasParams
+from tremorframe.functions.seismo import EtasParams, etas_decay_sum
 from tremorframe.operators import calibrate, etas, forecast, profile
 from tremorframe.operators.enrich import enrich
 from tremorframe.operators.windows import WINDOWS, each_window, window_max
@@ -157,6 +157,24 @@ def test_etas_matches_brute_force(make_events, make_cat):
                 assert found[key, name] == pytest.approx(mag)
 
 
+@pytest.mark.parametrize("p", [0.7, 1.0, 1.1, 2.0])
+def test_sums_over_hours_are_exact_to_nine_digits(spark, p):
+    e = EtasParams(p=p)
+    cases = [(lag, n) for lag in (0.0, 1e-6, 0.3, 5.0, 400.0) for n in (1, 15, 16, 17, 24, 96, 5000)]
+    df = spark.createDataFrame(cases, "lag double, n int")
+    got = {(r["lag"], r["n"]): r["s"] for r in df.select("lag", "n", etas_decay_sum(F.col("lag"), F.col("n"), e).alias("s")).collect()}
+    for lag, n in cases:
+        want = math.fsum((lag + i / 24 + e.c_days) ** -p for i in range(n))
+        assert got[lag, n] == pytest.approx(want, rel=1e-11), (lag, n)
+
+
+def test_largest_magnitudes_need_no_row_per_hour(make_events, make_cat):
+    cat = make_cat([("a",)])
+    joined = enrich(make_events([("a", 1.0, 4.0)]), cat, "all")
+    plan = etas.etas_max_mag(joined, each_window(cat.select("eq_id")))._jdf.queryExecution().executedPlan().toString()
+    assert "explode(sequence" not in plan
+
+
 @pytest.fixture
 def predicted(spark, make_events, make_cat):
     cat = make_cat([("a", 7.6, 23.42, 70.23), ("b", 6.5)])

@@ -100,6 +100,42 @@ def etas_decay(lag_days: Column, etas: EtasParams) -> Column:
     return F.pow(lag_days + F.lit(etas.c_days), F.lit(-etas.p))
 
 
+# Terms of the sum over hours that are added one by one, and what follows them: the
+# even Bernoulli numbers over their factorials (fixed values).
+NEAR_HOURS = 16
+EULER_MACLAURIN = (1 / 12, -1 / 720, 1 / 30240, -1 / 1209600)
+
+
+def etas_decay_sum(lag_days: Column, n_hours: Column, etas: EtasParams) -> Column:
+    """``etas_decay`` at ``lag_days`` and each full hour after it, ``n_hours`` values in all, added up.
+
+    The first ``NEAR_HOURS`` are added as they are; the rest is the integral with the
+    corrections of Euler and Maclaurin, so the cost does not depend on the number of
+    hours. The first term left out bounds the error: with these lags below 1e-12 of the term
+    the far part starts with, for any exponent up to 2.
+    """
+    step, p = 1.0 / 24.0, etas.p
+    first = lag_days + F.lit(etas.c_days)
+
+    def at(hours: Column | int) -> Column:
+        return first + F.lit(step) * hours
+
+    near = F.lit(0.0)
+    for i in range(NEAR_HOURS):
+        near = near + F.when(F.lit(i) < n_hours, F.pow(at(i), F.lit(-p))).otherwise(0.0)
+    u, v = at(NEAR_HOURS), at(n_hours)
+    fu, fv = F.pow(u, F.lit(-p)), F.pow(v, F.lit(-p))
+    area = F.log(v / u) if abs(p - 1.0) < 1e-9 else (fv * v - fu * u) / F.lit(1.0 - p)
+    far = area / F.lit(step) + (fu - fv) / 2.0
+    rising = 1.0
+    for k, share in enumerate(EULER_MACLAURIN):
+        order = 2 * k + 1
+        rising *= p if k == 0 else (p + order - 2) * (p + order - 1)
+        scale = share * step**order * rising
+        far = far + F.lit(scale) * (fu / F.pow(u, F.lit(order)) - fv / F.pow(v, F.lit(order)))
+    return near + F.when(n_hours > NEAR_HOURS, far).otherwise(0.0)
+
+
 def etas_max_from_total(total: Column, etas: EtasParams) -> Column:
     """Largest magnitude expected from a summed rate."""
     grown = F.lit(etas.m_min) + F.log(total) / F.lit(etas.b * math.log(10.0))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tremorframe.functions.clock import HOUR_US
-from tremorframe.functions.seismo import EtasParams, etas_decay, etas_max_from_total, etas_weight
+from tremorframe.functions.seismo import EtasParams, etas_decay, etas_decay_sum, etas_max_from_total, etas_weight
 from tremorframe.operators.windows import WINDOWS, Window3, each_window
 
 
@@ -78,7 +78,8 @@ def etas_max_mag(
     """``eq_id, window, etas_mag`` for the wanted ``(eq_id, window)`` rows.
 
     ``hours`` sums the hourly values of the daily rate as they are; ``days``
-    scales the sum to events.
+    scales the sum to events. What an event adds over all hours of a window is one
+    expression, so an event costs the same in a window of any length.
     """
     if etas_units not in ("hours", "days"):
         raise ValueError("etas_units is hours or days")
@@ -88,15 +89,10 @@ def etas_max_mag(
     history = _history(joined.join(wanted, "eq_id"), windows, "wanted").filter(
         F.array_contains("wanted", F.col("window"))
     )
-    # the exploded hours live only between two operators of one stage; a fold over
-    # an array is no code-generated expression and takes several times as long
-    added = (
-        history.select(
-            "eq_id", "window", etas_weight(F.col("mag"), etas).alias("weight"), "hours", _window_hours()
-        )
-        .groupBy("eq_id", "window")
-        .agg(F.sum(_trigger(etas)).alias("added"))
-    )
+    start = F.floor("t1_h")
+    lag_days = (start - F.col("hours")) / 24.0
+    own = etas_weight(F.col("mag"), etas) * etas_decay_sum(lag_days, F.ceil("t2_h") - start, etas)
+    added = history.groupBy("eq_id", "window").agg(F.sum(own).alias("added"))
     n_hours = F.create_map(
         *[F.lit(v) for name, t1, t2 in windows for v in (name, float(-(-(t2 - t1) // 1)))]
     )
