@@ -9,8 +9,8 @@
     python -m tremorframe reports  --catalog C --events STORE/events --out O
     python -m tremorframe reports  --catalog C --sequences 'S/*_seq.csv' --out O
 
-``--events`` is a Parquet table in engine columns (or a ``.csv`` of them), ``--malformed`` a Parquet table that
-``ingest`` wrote, all other inputs are CSV.
+``--events`` is a Parquet table in engine columns (or a ``.csv`` of them), ``--malformed`` and ``--unusable`` are Parquet
+tables that ``ingest`` wrote (the second names sequences whose file could not be used), all other inputs are CSV.
 """
 
 from __future__ import annotations
