@@ -308,6 +308,25 @@ def test_near_duplicates_equal_brute_force(spark, size, percent, k):
     assert Counter(map(tuple, got)) == brute_near(rows, size, percent)
 
 
+def test_parities_rule_out_no_similar_sets(spark):
+    rng = np.random.default_rng(3)
+    rows, shared = [], []
+    for n in (1, 3, 40, 90, 700, 5000):
+        base = rng.integers(1, 1 << 63, n, np.uint64)
+        for change in (0, 0.05, 0.1, 0.2, 0.6):
+            other = np.concatenate([base[round(change * n) :], rng.integers(1, 1 << 63, round(change * n), np.uint64)])
+            both = len(np.intersect1d(base, other))
+            shared.append(both / (2 * n - both))
+            rows.append((len(rows), *((n, near_dedup.parities(np.unique(v)).tolist()) for v in (base, other))))
+    words = ", ".join(f"p{i}: long" for i in range(near_dedup.PARITY_BITS // 64))
+    side = f"struct<n: long, parity: struct<{words}>>"
+    flat = [(i, (x[0], tuple(x[1])), (y[0], tuple(y[1]))) for i, x, y in rows]
+    df = spark.createDataFrame(flat, f"i int, x {side}, y {side}")
+    told = [r[0] for r in df.orderBy("i").select(near_dedup.may_be_similar("x", "y", 80)).collect()]
+    assert all(told[i] for i, s in enumerate(shared) if s >= 0.8)
+    assert not any(told[i] for i, s in enumerate(shared) if s < 0.5 and rows[i][1][0] in (40, 90))
+
+
 def test_near_duplicates_leave_one(spark):
     rows = near_rows()
     docs = docs_of(spark, rows)

@@ -19,7 +19,10 @@ the links found are joined into components. What is left are lists with more
 than one component. Their classes go through an exact prefix and positional
 filter on the full sets, rarest shingles first: a copy with many shingles of its
 own can be linked with none of the others and drops out before any pair is made.
-Only members outside a list's main component are paired, with those of others.
+Only members outside a list's main component are paired, with those of others,
+and only where parities of their sets leave the similarity possible: every set
+has ``PARITY_BITS`` bits, each the parity of the shingles hashed to it, and two
+sets differ in at least as many shingles as their parities differ in bits.
 
 Defined cases: a text without words, or null, has an empty set and is linked
 with nothing; fewer words than a shingle make one shingle of all of them; a row
@@ -47,6 +50,7 @@ SHINGLE = 5
 SIMILARITY = 80  # percent
 SKETCH = 64
 SLACK = 0.37
+PARITY_BITS = 512
 
 
 def shingle_set(text: bytes, size: int) -> np.ndarray:
@@ -67,8 +71,14 @@ def lists_of(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """``PARITY_BITS`` bits in longs: whether an odd number of hashes falls on each."""
+    odd = np.bincount((hashes % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def hashed_sets(docs: DataFrame, size: int, keep: int | None) -> DataFrame:
-    """``doc_id, n_shingles, digest, hashes``: the ``keep`` smallest hashes, or all of them."""
+    """``doc_id, n_shingles, digest, hashes, parity``: the ``keep`` smallest hashes, or all of them."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,11 +94,12 @@ def hashed_sets(docs: DataFrame, size: int, keep: int | None) -> DataFrame:
                             [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()
                         ),
                         "hashes": lists_of([s[:keep] for s in sets]),
+                        "parity": pa.array([parities(s) for s in sets], pa.list_(pa.int64())),
                     }
                 )
 
     return docs.select("doc_id", whole().cast("binary").alias("text")).mapInArrow(
-        sketch, f"doc_id {id_type}, n_shingles long, digest binary, hashes array<long>"
+        sketch, f"doc_id {id_type}, n_shingles long, digest binary, hashes array<long>, parity array<long>"
     )
 
 
@@ -124,6 +135,14 @@ def fits(a: Column, b: Column, similarity: int) -> Column:
     return 100 * F.least(a, b) >= similarity * F.greatest(a, b)
 
 
+def may_be_similar(a: str, b: str, similarity: int) -> Column:
+    """Whether sizes ``n`` and parities of two sets allow the similarity."""
+    words = range(PARITY_BITS // 64)
+    differ = sum((F.bit_count(F.col(f"{a}.parity.p{i}").bitwiseXOR(F.col(f"{b}.parity.p{i}"))) for i in words), F.lit(0))
+    # d different ones of n + m leave (n + m - d) / 2 shared of (n + m + d) / 2
+    return differ * (100 + similarity) <= (100 - similarity) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+
 def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, similarity: int, k: int) -> DataFrame:
     """Of the pairs ``a, b`` of classes those whose full sets are similar enough."""
 
@@ -169,13 +188,16 @@ def pairs_between(rest: DataFrame, sets: DataFrame, similarity: int) -> DataFram
         .filter("several > 1")
     )
     main = stage_table(main.select("value", "main"), "dedup-main")
-    minor = entries.join(main, "value").filter("c <> main").drop("main").alias("x")
-    among = entries.join(main, "value").withColumn("is_main", F.col("c") == F.col("main")).drop("main").alias("y")
+    words = (F.get("parity", F.lit(i)).alias(f"p{i}") for i in range(PARITY_BITS // 64))
+    parity = rest.join(sets, "cid").select("cid", F.struct(*words).alias("parity"))
+    several = stage_table(entries.join(main, "value").join(parity, "cid"), "dedup-several")
+    minor = several.filter("c <> main").alias("x")
+    among = several.withColumn("is_main", F.col("c") == F.col("main")).alias("y")
     enough = F.least("x.left", "y.left") * (100 + similarity) >= similarity * (F.col("x.n") + F.col("y.n"))
     return (
         minor.join(among, "value")
         .filter("x.c <> y.c and (y.is_main or x.cid < y.cid)")
-        .filter(enough & fits(F.col("x.n"), F.col("y.n"), similarity))
+        .filter(enough & fits(F.col("x.n"), F.col("y.n"), similarity) & may_be_similar("x", "y", similarity))
         .select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))
         .distinct()
     )
@@ -185,7 +207,7 @@ def near_duplicates(
     docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY, k: int = SKETCH
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``, a row per row of ``docs``."""
-    sketches = stage_table(hashed_sets(docs, size, k), "dedup-sketches")
+    sketches = stage_table(hashed_sets(docs, size, k).drop("parity"), "dedup-sketches")
     classes = stage_table(
         sketches.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("digest")
@@ -273,7 +295,7 @@ def full_sets(docs: DataFrame, classes: DataFrame, lists: DataFrame, size: int)
     return stage_table(
         hashed_sets(texts, size, None)
         .join(wanted.select("cid", "digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"])
-        .select("cid", F.col("hashes").alias("all"))
+        .select("cid", F.col("hashes").alias("all"), "parity")
         .dropDuplicates(["cid"]),
         "dedup-sets",
     )
