@@ -63,6 +63,7 @@ def test_packing_gives_every_id_once(spark):
     assert want == Counter((r.start, r.length, r.ids_crc32, r.doc_tokens, tuple(r.ids)) for r in got)
     assert len({r.sequence_id for r in got}) == len(got)
     assert all(r.offset == 0 and bin(r.length).count("1") == 1 and r.length <= 4096 for r in got)
+    assert all(r.length == 1 << r.bucket and r.sequence_id >> packing.BUCKET_IDS == r.bucket for r in got)
 
 
 def test_packing_empty_table_and_buckets(spark, tmp_path):

@@ -3,8 +3,10 @@
 The ids of a document are cut into pieces of ``sequence_length`` and then into
 the powers of two of what is left, longest first. A piece is a sequence of its
 own: its length is a power of two, so it needs no padding and no sequence
-crosses documents. Pieces of equal length form a bucket; ``write_buckets`` lays
-them out that way. Every row is handled alone, so nothing is shuffled.
+crosses documents. Pieces of equal length form a bucket, named by the power; the
+sequences of a bucket have a range of ids of their own, so a range of ids holds
+equal lengths alone, and ``write_buckets`` lays files out that way. Every row is
+handled alone, so nothing is shuffled.
 
 Defined cases: a null or empty text is the end id alone, one piece of length 1;
 null ids and repeated rows are packed like any other row; an empty table gives
@@ -28,6 +30,7 @@ from tremorframe.llm.tokens import WordEndIds
 SEQUENCE_LENGTH = 4096
 END_ID = 2
 DOCS_AT_ONCE = 64
+BUCKET_IDS = 58  # bits of the ids of a bucket: 2 ** 25 tasks of 2 ** 33 sequences each
 
 
 @lru_cache(maxsize=2)
@@ -49,9 +52,9 @@ def pack(
     end_id: int = END_ID,
     with_ids: bool = False,
 ) -> DataFrame:
-    """One row per piece; ``with_ids`` adds its ids. ``sequence_length`` is a power of two."""
-    if sequence_length & (sequence_length - 1):
-        raise ValueError("sequence_length must be a power of two")
+    """One row per piece; ``with_ids`` adds its ids. ``sequence_length`` is a power of two below 2 ** 32."""
+    if sequence_length & (sequence_length - 1) or not 0 < sequence_length < 1 << 32:
+        raise ValueError("sequence_length must be a power of two below 2 ** 32")
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +93,10 @@ def pack(
     cut = docs.select("doc_id", whole().alias("text")).mapInArrow(
         pieces, schema + (", ids array<int>" if with_ids else "")
     )
-    return cut.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    numbered = cut.withColumn("sequence_id", F.monotonically_increasing_id())
+    bucket = F.bit_count(F.col("length") - 1)  # of a power of two its exponent
+    sequence_id = F.shiftleft(bucket.cast("long"), BUCKET_IDS) + F.col("sequence_id")
+    return numbered.withColumns({"sequence_id": sequence_id, "offset": F.lit(0).cast("long"), "bucket": bucket})
 
 
 def write_buckets(sequences: DataFrame, path: str) -> None:
