@@ -48,3 +48,25 @@ def test_stages_one_after_another(spark, tmp_path):
     assert sum(r.length for r in after) == sum(len(r.ids) for r in after)
     assert sum(r.start == 0 for r in after) == len(before)
     assert all(r.length & (r.length - 1) == 0 and r.length <= 4096 for r in after)
+
+
+def test_stages_on_odd_rows_and_clashing_names(spark, tmp_path):
+    names = ["_bytes", "_score", "_toxic", "_text", "_words", "_failed", "_source", "_size", "words", "kept", "count", "doc"]
+    prose = "the people of the town said that they would meet near the old bridge and have a long talk about it with friends {}"
+    texts = [(1, prose), (1, prose), (2, prose + " again"), (None, prose.format("none") * 2), (3, None), (4, "")]
+    rows = [(i, t, "en", None if i == 2 else "s", *(f"{n}{at}" for n in names)) for at, (i, t) in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names)
+    for given in (rows, []):
+        docs = spark.createDataFrame(given, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            path = str(tmp_path / f"{len(given)}-{name}")
+            stage(spark, docs, SF_DIR).write.parquet(path)
+            before, docs = docs, spark.read.parquet(path)
+            if name in ("toxicity", "quality", "near-dedup"):
+                assert docs.schema == before.schema
+                assert set(docs.collect()) <= set(before.collect())
+            elif name == "mixing":
+                assert docs.schema == before.schema
+                others = [c for c in docs.columns if c != "text"]
+                assert set(docs.select(others).collect()) <= set(before.select(others).collect())
+        assert bool(given) == bool(docs.count())

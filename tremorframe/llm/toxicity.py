@@ -308,8 +308,9 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, settings: Settings
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``_score``. Only the text is read for it; the model has a fixed size."""
+    """``docs`` with ``_score``, in place of a column of that name. Only the text is read for it; the model has a fixed size."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop("_score")
     columns = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
@@ -325,7 +326,8 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
                 names=[*columns, "_score"],
             )
 
-    return docs.withColumn("_bytes", whole().cast("binary")).mapInArrow(scored, f"{schema}, _score double")
+    # a second column of one name does no harm, since the batches are read by position
+    return docs.select("*", whole().cast("binary").alias("_bytes")).mapInArrow(scored, f"{schema}, _score double")
 
 
 def score_with_verdict(docs: DataFrame, model: Model) -> DataFrame:
