@@ -84,7 +84,7 @@ class Model:
 class Scorer:
     """Scores texts; keeps the vectors of recent words in one matrix of bounded size."""
 
-    LIMIT = 300_000
+    LIMIT = 100_000
 
     def __init__(self, model: Model) -> None:
         self.model, s = model, model.settings
@@ -317,9 +317,9 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            texts = batch.column(len(columns)).to_pylist()
+            texts = batch.column(len(columns))
             values = np.concatenate(
-                [scorer.scores(texts[i : i + 64]) for i in range(0, len(texts), 64)] or [np.zeros(0)]
+                [scorer.scores(texts.slice(i, 64).to_pylist()) for i in range(0, len(texts), 64)] or [np.zeros(0)]
             )
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in range(len(columns))] + [pa.array(values, pa.float64())],
