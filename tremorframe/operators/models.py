@@ -14,6 +14,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tremorframe.functions.scalar import count_from_log10, fill_numeric, log10_count
+from tremorframe.operators.forest import ForestModel, fit_forest, load_forest
 from tremorframe.operators.ranks import numbered
 from tremorframe.session import scratch_path, stage_table
 
@@ -87,7 +88,11 @@ def with_folds(rows: DataFrame, folds: int) -> DataFrame:
     return rows.withColumn("fold", F.pmod(share, F.lit(folds)).cast("int"))
 
 
-def _fit(train: DataFrame, model: str, cols: list[str], n: int = 0, label_std: float = 0.0) -> PipelineModel:
+def _fit(
+    train: DataFrame, model: str, cols: list[str], n: int = 0, label_std: float = 0.0
+) -> PipelineModel | ForestModel:
+    if model == "RandomForest":
+        return fit_forest(train, list(cols), estimator(model, n, label_std))
     vector = VectorAssembler(inputCols=list(cols), outputCol="features")
     return Pipeline(stages=[vector, estimator(model, n, label_std)]).fit(train)
 
@@ -273,27 +278,33 @@ def pick_best(metrics: DataFrame) -> DataFrame:
     return metrics.orderBy("logMAE", "model").limit(1)
 
 
-def fit_full(features: DataFrame, model: str, cols: list[str] = REGRESSION_COLUMNS) -> PipelineModel:
-    """Fit on all complete rows; the pipeline carries the feature list."""
+def fit_full(features: DataFrame, model: str, cols: list[str] = REGRESSION_COLUMNS) -> PipelineModel | ForestModel:
+    """Fit on all complete rows; the model carries the feature list."""
     rows = stage_table(training_rows(features, cols), "training")
     size = rows.agg(F.count("*").alias("n"), F.stddev_pop("label").alias("sd")).first()
     return _fit(rows, model, cols, size["n"], size["sd"])
 
 
-def save_model(model: PipelineModel, path: str) -> str:
-    model.write().overwrite().save(path)
+def save_model(model: PipelineModel | ForestModel, path: str) -> str:
+    if isinstance(model, ForestModel):
+        model.save(path)
+    else:
+        model.write().overwrite().save(path)
     return path
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str) -> PipelineModel | ForestModel:
+    return load_forest(SparkSession.active(), path) or PipelineModel.load(path)
 
 
-def importances(model: PipelineModel, top: int = 15) -> DataFrame:
+def importances(model: PipelineModel | ForestModel, top: int = 15) -> DataFrame:
     """``feature, importance`` of a tree model, most important first."""
-    vector, fitted = model.stages
-    weights = fitted.featureImportances.toArray()
-    pairs = [(name, float(w)) for name, w in zip(vector.getInputCols(), weights)]
+    if isinstance(model, ForestModel):
+        names, weights = model.cols, model.importances()
+    else:
+        vector, fitted = model.stages
+        names, weights = vector.getInputCols(), fitted.featureImportances.toArray()
+    pairs = [(name, float(w)) for name, w in zip(names, weights)]
     return (
         SparkSession.active()
         .createDataFrame(pairs, "feature string, importance double")
