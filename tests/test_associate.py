@@ -5,6 +5,7 @@ import random
 
 import pytest
 from conftest import CAT_SCHEMA, EVENT_SCHEMA, HOUR, T0, rows_of
+from pyspark.sql import functions as F
 
 from tremorframe.operators import associate as associate_module
 from tremorframe.operators.associate import associate, associated_counts, candidate_pairs
@@ -143,3 +144,28 @@ def test_status_of_a_load(spark, make_cat):
 def test_new_only(spark, make_cat):
     done = spark.createDataFrame([("a",), ("a",)], "eq_id string")
     assert [r["eq_id"] for r in new_only(make_cat([("a",), ("b",)]), done).collect()] == ["b"]
+
+
+@pytest.mark.parametrize("limit", [3, 40])
+def test_the_newest_are_found_without_ranking_all_pairs(world, monkeypatch, limit):
+    """Of a limit that no mainshock can exceed nothing is ranked; of a low one few pairs are."""
+    cat, ev = world[2:]
+    ranked, rank = [], associate_module.newest
+    monkeypatch.setattr(associate_module, "newest", lambda pairs, n: ranked.append(pairs.count()) or rank(pairs, n))
+    every = candidate_pairs(cat, ev, 30.0)
+    want = {(r["eq_id"], r["event_id"]) for r in rank(every, limit).collect()}
+    got = [(r["eq_id"], r["event_id"]) for r in associate(cat, ev, 30.0, limit=limit).collect()]
+    assert len(got) == len(want) and set(got) == want
+    n = every.groupBy("eq_id").count().agg(F.max("count")).first()[0]
+    ranked.clear()
+    assert associate(cat, ev, 30.0, limit=40 * n).count() == every.count() and sum(ranked) == 0
+
+
+def test_a_limit_below_all_pairs_ranks_a_part_of_them(spark, make_cat, make_events, monkeypatch):
+    ev = make_events([("a", 0.02 * i, 3.0) for i in range(8401)])
+    cat = make_cat([("a", 7.0, 0.0, 0.0, T0)])
+    ranked, rank = [], associate_module.newest
+    monkeypatch.setattr(associate_module, "newest", lambda pairs, n: ranked.append(pairs.count()) or rank(pairs, n))
+    want = {r["event_id"] for r in rank(candidate_pairs(cat, ev), 5).collect()}
+    assert {r["event_id"] for r in associate(cat, ev, limit=5).collect()} == want
+    assert 0 < sum(ranked) < 200

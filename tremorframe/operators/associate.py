@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -16,10 +17,14 @@ QUARTER = [*CELL, "sy", "sx"]
 # Cells are counted on this share of the events, chosen by hash.
 SAMPLE = 16
 MOST_HALVINGS = 6
+# Parts of the time, its end, in which the newest events are looked for first.
+PARTS = (1 / 4096, 1 / 512, 1 / 64, 1 / 8)
 
 
 def _cells(radius_deg: float) -> tuple[int, float]:
     """Number and width of longitude cells: at least a radius wide, closing the circle."""
+    if radius_deg <= 0 or radius_deg >= 90:
+        raise ValueError("radius_deg must be between 0 and 90")
     n = max(1, int(360.0 // radius_deg))
     return n, 360.0 / n
 
@@ -71,34 +76,17 @@ def _by_density(events: DataFrame, main: DataFrame, rows_per_cell: int) -> tuple
     return events.drop("y", "x", "cuts", "parts"), main.drop("y", "x", "y_reach", "x_reach", "cuts", "parts")
 
 
-def candidate_pairs(
-    cat: DataFrame,
-    ev: DataFrame,
-    radius_deg: float = 3.0,
-    hours: float = 168.0,
-    min_mag: float = 2.0,
-    salt: int = 1,
-    rows_per_cell: int | None = None,
-) -> DataFrame:
-    """All (mainshock, event) pairs in range, unlimited and unordered.
+def _turned(lon: Column) -> Column:
+    return F.pmod(lon + 180.0, F.lit(360.0))
 
-    An equi join on (time bucket, latitude band, longitude cell): an event lies
-    in one cell, a mainshock is repeated for every cell its circle can touch,
-    so each true pair meets exactly once and the exact test follows. Close to a
-    pole the circle spans all longitudes and the mainshock visits every cell.
 
-    Hot cells: AQE splits their join partition. ``salt`` above one splits every
-    cell by event up front, repeating the mainshocks that often. With
-    ``rows_per_cell`` the cells follow the density instead, see ``_by_density``: no
-    cell then holds many more events than that, and the caller needs no salt.
-    """
-    if radius_deg <= 0 or radius_deg >= 90:
-        raise ValueError("radius_deg must be between 0 and 90")
-    span_us = int(hours * HOUR_US)
+def _in_cells(
+    cat: DataFrame, ev: DataFrame, radius_deg: float, span_us: int, from_us: int, min_mag: float
+) -> tuple[DataFrame, DataFrame, dict[str, Column]]:
+    """Events with their cell, mainshocks once for every cell they can reach, and places of the latter."""
     n_lon, lon_width = _cells(radius_deg)
     reach = radius_deg + ARC_TOLERANCE * 10
 
-    turned = lambda lon: F.pmod(lon + 180.0, F.lit(360.0))
     events = ev.filter(
         (F.col("mag") >= min_mag) & F.col("t_us").isNotNull()
     ).select(
@@ -106,14 +94,14 @@ def candidate_pairs(
         "t_us", "lat", "lon", "depth", "mag", "mag_type",
         F.floor(F.col("t_us") / span_us).alias("tb"),
         F.floor(F.col("lat") / radius_deg).alias("latb"),
-        F.least(F.floor(turned(F.col("lon")) / lon_width), F.lit(n_lon - 1)).alias("lonb"),
+        F.least(F.floor(_turned(F.col("lon")) / lon_width), F.lit(n_lon - 1)).alias("lonb"),
     )
     # the circle starts at the second the id is made of
-    start = (F.floor(F.col("t0_us") / float(SECOND_US)) * SECOND_US).alias("start_us")
+    start = (F.floor(F.col("t0_us") / float(SECOND_US)) * SECOND_US + from_us).alias("start_us")
     main = cat.select(
         "eq_id", F.col("mainshock_lat").alias("main_lat"), F.col("mainshock_lon").alias("main_lon"), start
     )
-    lat, lon = F.col("main_lat"), turned(F.col("main_lon"))
+    lat, lon = F.col("main_lat"), _turned(F.col("main_lon"))
     # half width in longitude of a circle that stays clear of the poles
     half = F.degrees(
         F.asin(F.least(F.lit(math.sin(math.radians(reach))) / F.cos(F.radians(lat)), F.lit(1.0)))
@@ -131,20 +119,48 @@ def candidate_pairs(
         .withColumn("latb", F.explode(bands))
         .withColumn("lonb", F.explode(cells))
     )
+    places = {
+        "y": lat / radius_deg - F.col("latb"),
+        "y_reach": F.lit(reach / radius_deg),
+        # from the start of the cell, the short way round
+        "x": F.pmod(lon / lon_width - F.col("lonb") + n_lon / 2, F.lit(float(n_lon))) - n_lon / 2,
+        "x_reach": F.when(polar, F.lit(float(n_lon))).otherwise(half / lon_width),
+    }
+    return events, main, places
+
+
+def candidate_pairs(
+    cat: DataFrame,
+    ev: DataFrame,
+    radius_deg: float = 3.0,
+    hours: float = 168.0,
+    min_mag: float = 2.0,
+    salt: int = 1,
+    rows_per_cell: int | None = None,
+    from_hours: float = 0.0,
+) -> DataFrame:
+    """All (mainshock, event) pairs in range, unlimited and unordered; ``from_hours``: none earlier than that.
+
+    An equi join on (time bucket, latitude band, longitude cell): an event lies
+    in one cell, a mainshock is repeated for every cell its circle can touch,
+    so each true pair meets exactly once and the exact test follows. Close to a
+    pole the circle spans all longitudes and the mainshock visits every cell.
+
+    Hot cells: AQE splits their join partition. ``salt`` above one splits every
+    cell by event up front, repeating the mainshocks that often. With
+    ``rows_per_cell`` the cells follow the density instead, see ``_by_density``: no
+    cell then holds many more events than that, and the caller needs no salt.
+    """
+    from_us = int(from_hours * HOUR_US)
+    span_us = int(hours * HOUR_US) - from_us
+    n_lon, lon_width = _cells(radius_deg)
+    events, main, places = _in_cells(cat, ev, radius_deg, span_us, from_us, min_mag)
     keys = CELL
     if rows_per_cell:
         events = events.withColumns(
-            {"y": F.col("lat") / radius_deg - F.col("latb"), "x": turned(F.col("lon")) / lon_width - F.col("lonb")}
-        )
-        main = main.withColumns(
-            {
-                "y": lat / radius_deg - F.col("latb"),
-                "y_reach": F.lit(reach / radius_deg),
-                # from the start of the cell, the short way round
-                "x": F.pmod(lon / lon_width - F.col("lonb") + n_lon / 2, F.lit(float(n_lon))) - n_lon / 2,
-                "x_reach": F.when(polar, F.lit(float(n_lon))).otherwise(half / lon_width),
-            }
+            {"y": F.col("lat") / radius_deg - F.col("latb"), "x": _turned(F.col("lon")) / lon_width - F.col("lonb")}
         )
+        main = main.withColumns(places)
         events, main = _by_density(events, main, rows_per_cell)
         keys = [*QUARTER, "part"]
     elif salt > 1:
@@ -184,6 +200,42 @@ def newest(pairs: DataFrame, limit: int, parts: int = 64) -> DataFrame:
     )
 
 
+def newest_pairs(
+    cat: DataFrame, ev: DataFrame, limit: int, radius_deg: float = 3.0, hours: float = 168.0, min_mag: float = 2.0, **cells
+) -> DataFrame:
+    """The ``limit`` newest events of each mainshock, without ranking all pairs.
+
+    The events in the cells a mainshock reaches are no fewer than its pairs: where
+    they do not exceed the limit nothing is ranked. The others look at the end of
+    their time first, as short a part as should hold enough; where that has
+    ``limit`` events, those are the newest. Only who is left over then looks at all
+    of it, and only those who turn out to have more pairs than the limit are ranked.
+    """
+    where = dict(radius_deg=radius_deg, hours=hours, min_mag=min_mag, **cells)
+    events, main, _ = _in_cells(cat, ev, radius_deg, int(hours * HOUR_US), 0, min_mag)
+    per_cell = events.groupBy(*CELL).agg(F.count("*").alias("n"))
+    most = main.select("eq_id", *CELL).join(per_cell, CELL).groupBy("eq_id").agg(F.sum("n").alias("most"))
+    left = stage_table(cat.join(most, "eq_id"), "reached")
+    highest = left.agg(F.max("most")).first()[0] or 0
+    parts = [candidate_pairs(left.filter(F.col("most") <= limit), ev, **where)]
+    left = left.filter(F.col("most") > limit)
+    for share in PARTS:
+        if highest * share < 2 * limit:
+            continue
+        hopeful = left.filter(F.col("most") * share >= 2 * limit)
+        pairs = candidate_pairs(hopeful, ev, from_hours=hours * (1 - share), **where)
+        found = stage_table(newest(pairs, limit), "newest")
+        full = stage_table(found.groupBy("eq_id").count().filter(F.col("count") >= limit).select("eq_id"), "full")
+        parts.append(found.join(full, "eq_id", "left_semi"))
+        left = stage_table(left.join(full, "eq_id", "left_anti"), "left")
+    if highest > limit:
+        more = candidate_pairs(left, ev, **where).groupBy("eq_id").count().filter(F.col("count") > limit)
+        more = stage_table(more.select("eq_id"), "more")
+        parts.append(candidate_pairs(left.join(more, "eq_id", "left_anti"), ev, **where))
+        parts.append(newest(candidate_pairs(left.join(more, "eq_id", "left_semi"), ev, **where), limit))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def associate(
     cat: DataFrame,
     ev: DataFrame,
@@ -195,8 +247,9 @@ def associate(
     rows_per_cell: int | None = None,
 ) -> DataFrame:
     """All events of each mainshock, or on request the ``limit`` newest ones."""
-    pairs = candidate_pairs(cat, ev, radius_deg, hours, min_mag, salt, rows_per_cell)
-    return pairs if limit is None else newest(pairs, limit)
+    if limit is None:
+        return candidate_pairs(cat, ev, radius_deg, hours, min_mag, salt, rows_per_cell)
+    return newest_pairs(cat, ev, limit, radius_deg, hours, min_mag, salt=salt, rows_per_cell=rows_per_cell)
 
 
 def associated_counts(pairs: DataFrame, limit: int | None = None) -> DataFrame:
