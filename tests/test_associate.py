@@ -169,3 +169,9 @@ def test_a_limit_below_all_pairs_ranks_a_part_of_them(spark, make_cat, make_even
     want = {r["event_id"] for r in rank(candidate_pairs(cat, ev), 5).collect()}
     assert {r["event_id"] for r in associate(cat, ev, limit=5).collect()} == want
     assert 0 < sum(ranked) < 200
+
+
+def test_a_mainshock_without_an_id_has_its_newest_too(make_cat, make_events):
+    ev = make_events([("a", float(i), 3.0) for i in range(60)])
+    cat = make_cat([("a", 7.0, 0.0, 0.0, T0)]).withColumn("eq_id", F.lit(None).cast("string"))
+    assert sorted(r["event_id"] for r in associate(cat, ev, limit=5).collect()) == [55, 56, 57, 58, 59]

@@ -200,6 +200,12 @@ def newest(pairs: DataFrame, limit: int, parts: int = 64) -> DataFrame:
     )
 
 
+def _with_ids(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """A join on the sequence id, where no id equals no id."""
+    ids = ids.withColumnRenamed("eq_id", "_id")
+    return rows.join(ids, F.col("eq_id").eqNullSafe(F.col("_id")), how).drop("_id")
+
+
 def newest_pairs(
     cat: DataFrame, ev: DataFrame, limit: int, radius_deg: float = 3.0, hours: float = 168.0, min_mag: float = 2.0, **cells
 ) -> DataFrame:
@@ -215,7 +221,7 @@ def newest_pairs(
     events, main, _ = _in_cells(cat, ev, radius_deg, int(hours * HOUR_US), 0, min_mag)
     per_cell = events.groupBy(*CELL).agg(F.count("*").alias("n"))
     most = main.select("eq_id", *CELL).join(per_cell, CELL).groupBy("eq_id").agg(F.sum("n").alias("most"))
-    left = stage_table(cat.join(most, "eq_id"), "reached")
+    left = stage_table(_with_ids(cat, most, "inner"), "reached")
     highest = left.agg(F.max("most")).first()[0] or 0
     parts = [candidate_pairs(left.filter(F.col("most") <= limit), ev, **where)]
     left = left.filter(F.col("most") > limit)
@@ -226,13 +232,13 @@ def newest_pairs(
         pairs = candidate_pairs(hopeful, ev, from_hours=hours * (1 - share), **where)
         found = stage_table(newest(pairs, limit), "newest")
         full = stage_table(found.groupBy("eq_id").count().filter(F.col("count") >= limit).select("eq_id"), "full")
-        parts.append(found.join(full, "eq_id", "left_semi"))
-        left = stage_table(left.join(full, "eq_id", "left_anti"), "left")
+        parts.append(_with_ids(found, full, "left_semi"))
+        left = stage_table(_with_ids(left, full, "left_anti"), "left")
     if highest > limit:
         more = candidate_pairs(left, ev, **where).groupBy("eq_id").count().filter(F.col("count") > limit)
         more = stage_table(more.select("eq_id"), "more")
-        parts.append(candidate_pairs(left.join(more, "eq_id", "left_anti"), ev, **where))
-        parts.append(newest(candidate_pairs(left.join(more, "eq_id", "left_semi"), ev, **where), limit))
+        parts.append(candidate_pairs(_with_ids(left, more, "left_anti"), ev, **where))
+        parts.append(newest(candidate_pairs(_with_ids(left, more, "left_semi"), ev, **where), limit))
     return reduce(DataFrame.unionByName, parts)
 
 
