@@ -9,8 +9,10 @@ from conftest import T0, rows_of
 from pyspark.sql import functions as F
 
 from tremorframe import session
-from tremorframe.sinks.tables import read_back_count, write_event_table, write_table
+from tremorframe.sinks.tables import read_back_count, write_event_table, write_files, write_table
 from tremorframe.sources import catalog, sequences
+from tremorframe.sources.lines import read_csv
+from tremorframe.sources.schemas import NEEDED, OPTIONAL
 from tremorframe.streaming.ingest import stream_ingest
 
 ISO_HEAD = "time,latitude,longitude,depth,mag,magType,place\n"
@@ -327,3 +329,36 @@ def test_a_repeated_stream_batch_replaces_itself(spark, iso_files, tmp_path):
     for mark in ("one", "two"):  # a lost checkpoint runs batch 0 again
         got = stream_ingest(spark, str(iso_files), sink, str(tmp_path / mark))
     assert got.count() == 3
+
+
+def test_many_files_take_a_folder_per_task_and_one_scan(spark, tmp_path, monkeypatch):
+    rows = spark.range(600).selectExpr(
+        "concat(20010909014640 + id % 300, '_seq.csv') AS file",
+        "IF(id % 300 < 200, 'time,latitude,longitude,mag', IF(id % 300 < 299, 'mag,net,time,longitude,latitude', NULL)) AS head",
+        "IF(id % 300 < 200, '2001-09-09T01:46:41Z,1,2,4.5', '4.5,us,2001-09-09T01:46:41Z,2,1') AS value",
+    )
+    folders = write_files(rows.unionByName(spark.sql("SELECT CAST(NULL AS STRING) AS file, 'x' AS head, 'y' AS value")), f"{tmp_path}/s")
+    assert len(list((tmp_path / "s").iterdir())) < 20
+    ev, report = sequences.read_with_report(spark, folders)
+    assert {r["status"]: r["count"] for r in report.dropDuplicates(["eq_id"]).groupBy("status").count().collect()} == {"ok": 299, "parse_error": 1}
+    plan = ev._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    found = sequences.well_formed(ev).groupBy("lat", "lon", "mag").agg(F.count("*"), F.countDistinct("eq_id")).collect()
+    assert [tuple(r) for r in found] == [(1.0, 2.0, 4.5, 598, 299)]
+    monkeypatch.setattr("tremorframe.sources.lines.MANY_FILES", 10)
+    alike = write_files(rows.filter("head LIKE 'time%'"), f"{tmp_path}/t")
+    ev = sequences.read_sequences(spark, alike)
+    assert "FileScan csv" not in ev._jdf.queryExecution().executedPlan().toString()
+    assert ev.count() == 400 and ev.select("eq_id").distinct().count() == 200
+
+
+@pytest.mark.parametrize("many", [0, 1_000])
+def test_lines_are_split_as_the_csv_reader_does(spark, tmp_path, monkeypatch, many):
+    monkeypatch.setattr("tremorframe.sources.lines.MANY_FILES", many)
+    time = "2001-09-09T01:46:41Z"
+    lines = [f'{time},1,2,10,4.5,mb,"a ""b"", c"', f"{time},1,2,10,4.5,mb", f"{time},1,2,x,4.5,,", f"{time},1,2,10,4.5,mb,x,y", "   ", f'{time}, 1 ,2,"",4.5,mb,']
+    put(tmp_path / "s", "20010909014640_seq.csv", ISO_HEAD + "\n".join(lines) + "\n" + ISO_HEAD)
+    raw = read_csv(spark, f"{tmp_path}/s", NEEDED["iso"], OPTIONAL["iso"]).drop("source_file")
+    assert sorted(raw.select("depth", "magType", "place", "_corrupt_record").collect(), key=str) == sorted(
+        [("10", "mb", 'a "b", c', None), ("10", "mb", None, lines[1]), ("x", None, None, None), ("10", "mb", "x", lines[3]), (None, "mb", None, None)], key=str
+    )

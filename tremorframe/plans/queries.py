@@ -34,7 +34,7 @@ from tremorframe.operators.windows import each_window, window_max
 from tremorframe.plans.fixture import mainshocks, quakes
 from tremorframe.session import scratch_path, stage_table, tune
 from tremorframe.sinks.submission import coverage, submission_lines, write_submission
-from tremorframe.sinks.tables import put_file, write_table
+from tremorframe.sinks.tables import put_file, write_files, write_table
 from tremorframe.sources.catalog import (
     clean_catalog,
     mainshocks_from_catalog,
@@ -136,11 +136,13 @@ class Tables:
         )
 
     def write_sequences(self, rows: DataFrame, suffix: str, path: str | None = None) -> str:
-        """One folder per mainshock, named as its sequence file would be."""
-        path = path or scratch_path(self.spark, "sequences")
-        named = rows.withColumn("file", F.concat("stamp", F.lit(suffix))).drop("stamp")
-        write_table(named, path, "csv", partition_by=["file"])
-        return f"{path}/file=*{suffix}"
+        """The sequence files of the mainshocks."""
+        columns = [c for c in rows.columns if c != "stamp"]
+        lines = rows.select(
+            F.concat("stamp", F.lit(suffix)).alias("file"),
+            F.lit(",".join(columns)).alias("head"), F.to_csv(F.struct(*columns)).alias("value"),
+        )
+        return write_files(lines, path or scratch_path(self.spark, "sequences"))
 
 
 # ---- events, windows, features ----------------------------------------------
@@ -503,7 +505,7 @@ def sequences_reordered(t: Tables) -> DataFrame:
     other = ["magType", "longitude", "net", "mag", "latitude", "place", "time", "depth"]
     t.write_sequences(rows.filter(even), "_seq.csv", f"{root}/a")
     t.write_sequences(rows.filter(~even).withColumn("net", F.lit("us")).select("stamp", *other), "_seq.csv", f"{root}/b")
-    return read_sequences(t.spark, f"{root}/*/file=*_seq.csv", "iso").drop("event_id")
+    return read_sequences(t.spark, f"{root}/*/part-*", "iso").drop("event_id")
 
 
 @query
@@ -532,10 +534,9 @@ def _damaged(t: Tables) -> DataFrame:
         ).alias("value"),
     )
     path = scratch_path(t.spark, "damaged")
-    head = rows.select("stamp").distinct().withColumn("value", F.lit("time,latitude,longitude,depth,mag,magType,place"))
-    files = rows.unionByName(head).withColumn("file", F.concat("stamp", F.lit("_seq.csv"))).drop("stamp")
-    files.repartition("file").write.partitionBy("file").text(path)
-    return read_sequences(t.spark, f"{path}/file=*_seq.csv", "iso", keep_malformed=True)
+    head = F.lit("time,latitude,longitude,depth,mag,magType,place").alias("head")
+    files = rows.select(F.concat("stamp", F.lit("_seq.csv")).alias("file"), head, "value")
+    return read_sequences(t.spark, write_files(files, path), "iso", keep_malformed=True)
 
 
 @query
@@ -573,12 +574,13 @@ def _unusable(t: Tables) -> DataFrame:
     )
     first = t.main.orderBy("eq_id").select("eq_id", eq_stamp(F.col("t0_us")).alias("stamp")).first()
     rows = rows.filter(F.col("eq_id") != first["eq_id"])
-    heads = rows.filter(~kind.isin(1, 2)).select("stamp").distinct().withColumn("value", F.lit("time,latitude,longitude,mag"))
+    # mainshocks of one second share a file, with a header if one of them has one
+    heads = rows.filter(~kind.isin(1, 2)).select("stamp").distinct().withColumn("head", F.lit("time,latitude,longitude,mag"))
     path = scratch_path(t.spark, "unusable")
-    files = rows.drop("eq_id").unionByName(heads).withColumn("file", F.concat("stamp", F.lit("_seq.csv"))).drop("stamp")
-    files.repartition("file").write.partitionBy("file").text(path)
-    put_file(t.spark, f"{path}/file={first['stamp']}_seq.csv/part-0.csv.gz", b"no archive")
-    ev, report = read_with_report(t.spark, f"{path}/file=*_seq.csv")
+    files = rows.join(heads, "stamp", "left").withColumn("file", F.concat("stamp", F.lit("_seq.csv")))
+    folders = write_files(files, path)
+    put_file(t.spark, f"{path}/part-x/{first['stamp']}_seq.csv.gz", b"no archive")
+    ev, report = read_with_report(t.spark, folders)
     counts = well_formed(ev).groupBy("eq_id").agg(F.count("*").alias("n_events"))
     cat = t.main.withColumn("eq_id", eq_stamp(F.col("t0_us")))
     return ingest_status(cat, counts, malformed=malformed_counts(ev), bad_files=bad_files(report))
@@ -680,7 +682,7 @@ def _stream_twice(t: Tables, max_files: int) -> DataFrame:
     for copy in "ab":
         t.write_sequences(rows, "_seq.csv", f"{root}/in/{copy}")
     loaded = stream_ingest(
-        t.spark, f"{root}/in/*/file=*_seq.csv", f"{root}/table", f"{root}/checkpoint", max_files=max_files
+        t.spark, f"{root}/in/*/part-*", f"{root}/table", f"{root}/checkpoint", max_files=max_files
     )
     return loaded.drop("event_id")
 

@@ -18,6 +18,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # folders of many small files are listed in tasks; by default up to 10,000 of them, of a few milliseconds
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "256",
 }
 
 

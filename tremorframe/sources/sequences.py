@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tremorframe.functions.clock import parse_date_time_micros, parse_iso_micros
@@ -12,6 +13,7 @@ from tremorframe.sources.schemas import CORRUPT, DATE_TIME_EVENTS, ISO_EVENTS, N
 # File name endings in front of which the 14-digit id stands.
 SUFFIX = {"iso": r"_seq\.csv", "date_time": r"_eq\.csv"}
 UNREADABLE = "_unreadable"
+FILE_STATUS = pa.schema([("source_file", pa.string()), ("status", pa.string())])
 
 
 def _schema(layout: str) -> T.StructType:
@@ -83,11 +85,13 @@ def read_with_report(spark: SparkSession, path: str | list[str], layout: str = "
     are normal: a search without results writes them.
     """
     _schema(layout)
-    files = survey(spark, path, NEEDED[layout])
+    lines = spark.read.text(path)
+    files = survey(lines, NEEDED[layout])
     status = {OK: "ok", EMPTY: "empty", UNREADABLE_FILE: "failed", NO_HEADER: "parse_error"}
-    rows = spark.createDataFrame([(f.path, status[f.status]) for f in files], "source_file string, status string")
+    table = pa.table({"source_file": [f.path for f in files], "status": [status[f.status] for f in files]}, FILE_STATUS)
+    rows = spark.createDataFrame(table)
     report = rows.select(digits14(F.col("source_file"), SUFFIX[layout]).alias("eq_id"), "source_file", "status")
-    return to_events(read_files(spark, path, files, NEEDED[layout], OPTIONAL[layout]), layout), report
+    return to_events(read_files(spark, path, lines, files, NEEDED[layout], OPTIONAL[layout]), layout), report
 
 
 def bad_files(report: DataFrame) -> DataFrame:
