@@ -49,6 +49,18 @@ def test_remembered_ids_are_the_librarys(kind, name, limit):
             assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
+def test_a_word_is_encoded_once_whatever_marks_follow_it():
+    path = tokenizer_path("word_bpe_49k.json")
+    encoder = WordEndIds(path)
+    texts = ["Großhaus, étés. don't. 3, a.b; <|endoftext|>!", "Großhaus; étés?! ... Großhaus. x<|endoftext|>,", "ΑΣ, é. ×. µ:"]
+    expected = [encoder.encoded(text) for text in texts]
+    assert encoder.ids(texts[:1]) == expected[:1]
+    assert {"Großhaus", "étés", ","} <= set(encoder.known)  # the word without its mark
+    assert encoder.ids(texts) == expected
+    small = WordEndIds(path, limit=2)  # words come back from the older memory
+    assert [small.ids([text])[0] for text in texts * 2] == expected * 2
+
+
 def test_packing_gives_every_id_once(spark):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(None, "null id"), (1, "same id"), (1, "same id"), (50, None), (51, "word " * 9000)]
     got = packing.pack(docs_of(spark, rows), tokenizer_path("word_bpe_49k.json"), with_ids=True).collect()

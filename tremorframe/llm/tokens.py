@@ -17,6 +17,8 @@ from tokenizers import Tokenizer
 RUN = 500
 # Chunks of these characters are the same after NFC and have one lower case everywhere.
 PLAIN = re.compile("[!-~À-ÿ]+")
+# Signs behind a word that vocabularies of whole words cut off, in no token with letters.
+MARKS = ".,;:!?"
 # White space beyond the single space and line break, or at either end.
 ODD = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]|[ \n]{2}|^[ \n]|[ \n]$")
 
@@ -118,14 +120,31 @@ class WordEndIds(ChunkIds):
         return PLAIN.fullmatch(chunk) is not None and not self.special(chunk)
 
     def learn(self, chunks: set[str]) -> None:
-        # letters only: one word each, so word ends tell the chunks apart
-        ordered = [c for c in chunks if c.isalpha() and c not in self.old and PLAIN.fullmatch(c)]
-        super().learn(chunks.difference(ordered))
+        # letters only: one word each, so word ends tell the words apart; the marks behind one have ids of their own
+        words = {c: c.rstrip(MARKS) for c in chunks if c not in self.old}
+        words = {c: word for c, word in words.items() if word.isalpha()}
+        if not PLAIN.fullmatch("".join(words.values())):
+            words = {c: word for c, word in words.items() if PLAIN.fullmatch(word)}
+        super().learn(chunks.difference(words))
+        ordered = []
+        for word in set(words.values()):
+            if word not in self.known:
+                if (ids := self.old.get(word)) is None:
+                    ordered.append(word)
+                else:
+                    self.known[word] = ids
         for start in range(0, len(ordered), RUN):
             run = ordered[start : start + RUN]
-            raw = np.array(self.bare.encode(" ".join(run).lower(), add_special_tokens=False).ids, np.uint32)
+            (found,) = self.bare.encode_batch_fast([" ".join(run).lower()], add_special_tokens=False)
+            raw = np.array(found.ids, np.uint32)
             pieces = self.cut_at(raw, np.flatnonzero(self.is_end[raw]) + 1, 0)
             self.known.update(zip(run, pieces) if len(pieces) == len(run) else ((c, self.encoded(c)) for c in run))
+        for chunk, word in words.items():
+            if len(chunk) > len(word):
+                marks = chunk[len(word) :]
+                if marks not in self.known:
+                    self.known[marks] = self.encoded(marks)
+                self.known[chunk] = self.known[word] + self.known[marks]
 
     def split_run(self, run: list[str]) -> list[bytes] | None:
         between = f" {self.SEPARATOR} "
