@@ -11,6 +11,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -327,6 +328,20 @@ def test_parities_rule_out_no_similar_sets(spark):
     assert not any(told[i] for i, s in enumerate(shared) if s < 0.5 and rows[i][1][0] in (40, 90))
 
 
+def test_workers_forget_the_words_of_near_duplicates(spark):
+    """They go on to the next stage of the pipeline, whose memory they share."""
+
+    def remembered(batches):
+        from tremorframe.llm.common import _WORD_HASHES
+
+        yield from (pa.RecordBatch.from_pydict({"n": [len(_WORD_HASHES) + len(_WORD_HASHES.old)]}) for _ in batches)
+
+    docs = docs_of(spark, [(i, f"word{i} and word{i + 1} and more") for i in range(40)])
+    near_dedup.hashed_sets(docs, 3, None).write.format("noop").mode("overwrite").save()
+    told = spark.range(0, 32, 1, 32).mapInArrow(remembered, "n long").collect()
+    assert len(told) == 32 and {r.n for r in told} == {0}
+
+
 def test_near_duplicates_leave_one(spark):
     rows = near_rows()
     docs = docs_of(spark, rows)

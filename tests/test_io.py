@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import time
 
 import pytest
 from conftest import T0, rows_of
@@ -362,3 +363,26 @@ def test_lines_are_split_as_the_csv_reader_does(spark, tmp_path, monkeypatch, ma
     assert sorted(raw.select("depth", "magType", "place", "_corrupt_record").collect(), key=str) == sorted(
         [("10", "mb", 'a "b", c', None), ("10", "mb", None, lines[1]), ("x", None, None, None), ("10", "mb", "x", lines[3]), (None, "mb", None, None)], key=str
     )
+
+
+def test_a_staged_table_leaves_no_shuffle_files(spark):
+    """They would stay until the driver collects its garbage, and take the place of the next tables."""
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled() -> set[str]:
+        files = manager.getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before = shuffled()
+    grouped = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    kept = session.stage_table(grouped, "grouped")
+    deadline = time.monotonic() + 30
+    while shuffled() - before and time.monotonic() < deadline:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert kept.count() == 7 and grouped.count() == 7
+    assert spark.conf.get(session.FREE_SHUFFLES) == "false"
+    with session.freed_shuffles(spark):
+        with session.freed_shuffles(spark):
+            pass
+        assert spark.conf.get(session.FREE_SHUFFLES) == "true"

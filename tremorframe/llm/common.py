@@ -52,6 +52,11 @@ class Memo(dict):
         self[key] = value
         return value
 
+    def forget(self) -> None:
+        """Give the memory back: a worker lives on with the next stage."""
+        self.clear()
+        self.old = {}
+
 
 _WORD_HASHES = Memo(xxhash.xxh3_64_intdigest)
 
@@ -61,6 +66,11 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_WORD_HASHES.__getitem__, words), np.uint64, len(words))
 
 
+def forget_words() -> None:
+    """What ``word_hashes`` remembers is of no use to the next stage."""
+    _WORD_HASHES.forget()
+
+
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """An order-sensitive 64-bit hash of two hash arrays, element by element."""
     x = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b + np.uint64(0xD1B54A32D192ED03))

@@ -42,7 +42,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tremorframe.llm.common import mix, whole, word_hashes
+from tremorframe.llm.common import forget_words, mix, whole, word_hashes
 from tremorframe.llm.components import components
 from tremorframe.session import stage_table
 
@@ -97,6 +97,7 @@ def hashed_sets(docs: DataFrame, size: int, keep: int | None) -> DataFrame:
                         "parity": pa.array([parities(s) for s in sets], pa.list_(pa.int64())),
                     }
                 )
+        forget_words()
 
     return docs.select("doc_id", whole().cast("binary").alias("text")).mapInArrow(
         sketch, f"doc_id {id_type}, n_shingles long, digest binary, hashes array<long>, parity array<long>"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -102,13 +103,39 @@ def settled(report: DataFrame) -> DataFrame:
     return report.sparkSession.createDataFrame(report.collect(), report.schema)
 
 
+# Shuffle files otherwise stay until the driver's garbage collector finds that nothing names them.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_FREEING: list[str] = []
+_FREEING_LOCK = threading.Lock()
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Remove the shuffle files of a write as soon as it ends; also of writes in other threads.
+
+    Not for a result that is run again: it would have to shuffle again.
+    """
+    with _FREEING_LOCK:
+        _FREEING.append(FREE_SHUFFLES)
+        spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        with _FREEING_LOCK:
+            _FREEING.pop()
+            if not _FREEING:
+                spark.conf.unset(FREE_SHUFFLES)
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the scratch folder and read it back.
 
     For results used by several later jobs: the work is done once, the lineage
-    is cut, and a lost executor costs only a re-read of the files.
+    is cut, and a lost executor costs only a re-read of the files. What the write
+    shuffled is not needed any more then, and is removed.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    with freed_shuffles(spark):
+        df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
