@@ -25,6 +25,8 @@ from tremorframe.session import stage_table, tune
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 READ = ("doc_id", "text", "lang", "source")
+# Workers and JVM are those of the stages before packing, whose memory they keep.
+PACKED_WORDS = 200_000
 
 
 def own_names(stage: Stage) -> Stage:
@@ -67,7 +69,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of the ids of all documents."""
-    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), with_ids=True)
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), with_ids=True, words=PACKED_WORDS)
 
 
 STAGES: list[tuple[str, Stage]] = [

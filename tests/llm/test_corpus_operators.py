@@ -6,6 +6,7 @@ import base64
 import hashlib
 import json
 import math
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -15,7 +16,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tremorframe import session
 from tremorframe.llm import lm, near_dedup, topk, toxicity, warc
+from tremorframe.llm.common import TEXT_BATCH, in_small_batches
 from tremorframe.llm.components import components
 
 
@@ -342,6 +345,28 @@ def test_workers_forget_the_words_of_near_duplicates(spark):
     assert len(told) == 32 and {r.n for r in told} == {0}
 
 
+def test_tables_of_near_duplicates_are_gone_before_the_texts_are_shuffled(spark):
+    root = session.scratch_root(spark)
+    before = set(os.listdir(root))
+    got = near_dedup.deduplicated(docs_of(spark, near_rows()))
+    names = {name.rsplit("-", 1)[0] for name in set(os.listdir(root)) - before}
+    assert names == {"dedup-told", "dedup-several"}
+    assert got.count()
+    before = set(os.listdir(root))
+    near_dedup.near_duplicates(docs_of(spark, near_rows()))
+    assert not any(name.startswith("dedup-sketches") for name in set(os.listdir(root)) - before)
+
+
+def test_long_texts_go_to_python_in_small_batches(spark):
+    def batches(parts):
+        yield from (pa.RecordBatch.from_pydict({"bytes": [part.nbytes]}) for part in parts)
+
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 2000).alias("text"))
+    told = in_small_batches(docs).mapInArrow(batches, "bytes long").collect()
+    assert sum(r.bytes for r in told) > 7 * TEXT_BATCH
+    assert max(r.bytes for r in told) < 1.1 * TEXT_BATCH
+
+
 def test_near_duplicates_leave_one(spark):
     rows = near_rows()
     docs = docs_of(spark, rows)

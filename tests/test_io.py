@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from conftest import T0, rows_of
@@ -165,6 +166,28 @@ def test_stage_table_keeps_rows_and_types(spark):
     assert staged.dtypes == df.dtypes and staged.count() == 5
 
 
+def test_staged_tables_that_only_pass_are_removed(spark):
+    root = session.scratch_root(spark)
+
+    def left(name):
+        return sum(x.startswith(name) for x in os.listdir(root))
+
+    def made():
+        with session.passing_table(spark.range(5), "passing") as some:
+            assert left("passing") == 1
+            kept = session.stage_table(some, "between")
+        assert left("passing") == 0
+        inner = session.stage_apart(spark, lambda: session.stage_table(kept, "inside"), "inner")
+        assert left("inside") == 0 and left("inner") == left("between") == 1
+        return inner
+
+    with ThreadPoolExecutor(1) as pool:
+        other = []
+        got = session.stage_apart(spark, lambda: other.append(pool.submit(session.stage_table, spark.range(3), "other").result()) or made(), "apart")
+    assert got.count() == 5 and left("between") == left("inner") == 0
+    assert other[0].count() == 3
+
+
 def test_files_of_one_set_order_their_columns_differently(spark, tmp_path):
     put(tmp_path, "20010909014640_eq.csv", "Date,Time,Lat,Lon,Mag\n2001/9/9,01:46:41,10,100,4.5\n")
     put(

@@ -80,6 +80,19 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
+# By default a batch holds 10,000 texts of any length, in Python and, off the heap, in the JVM.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+TEXT_BATCH = 4 << 20
+
+
+def in_small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, whose texts go to Python in batches of about ``TEXT_BATCH`` bytes from now on."""
+    conf = docs.sparkSession.conf
+    if conf.get(BATCH_BYTES) != str(TEXT_BATCH):
+        conf.set(BATCH_BYTES, str(TEXT_BATCH))
+    return docs
+
+
 def bytes_of(df: DataFrame, column: str) -> int:
     """UTF-8 bytes of a text column over all rows."""
     return df.agg(F.sum(F.octet_length(F.col(column)).cast("long"))).first()[0] or 0

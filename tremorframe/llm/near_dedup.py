@@ -42,9 +42,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tremorframe.llm.common import forget_words, mix, whole, word_hashes
+from tremorframe.llm.common import forget_words, in_small_batches, mix, whole, word_hashes
 from tremorframe.llm.components import components
-from tremorframe.session import stage_table
+from tremorframe.session import passing_table, stage_apart, stage_table
 
 SHINGLE = 5
 SIMILARITY = 80  # percent
@@ -99,7 +99,7 @@ def hashed_sets(docs: DataFrame, size: int, keep: int | None) -> DataFrame:
                 )
         forget_words()
 
-    return docs.select("doc_id", whole().cast("binary").alias("text")).mapInArrow(
+    return in_small_batches(docs).select("doc_id", whole().cast("binary").alias("text")).mapInArrow(
         sketch, f"doc_id {id_type}, n_shingles long, digest binary, hashes array<long>, parity array<long>"
     )
 
@@ -208,14 +208,18 @@ def near_duplicates(
     docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY, k: int = SKETCH
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``, a row per row of ``docs``."""
-    sketches = stage_table(hashed_sets(docs, size, k).drop("parity"), "dedup-sketches")
-    classes = stage_table(
-        sketches.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-        .groupBy("digest")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("hashes").alias("hashes"))
-        .withColumn("cid", F.monotonically_increasing_id()),
-        "dedup-classes",
-    )
+    with passing_table(hashed_sets(docs, size, k).drop("parity"), "dedup-sketches") as sketches:
+        classes = stage_table(
+            sketches.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
+            .groupBy("digest")
+            .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("hashes").alias("hashes"))
+            .withColumn("cid", F.monotonically_increasing_id()),
+            "dedup-classes",
+        )
+        placed = stage_table(
+            sketches.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest", "left"),
+            "dedup-placed",
+        )
     lists = value_lists(classes, similarity, k)
     lists = stage_table(lists, "dedup-lists")
     ends = stage_table(
@@ -263,10 +267,6 @@ def near_duplicates(
         .join(reps.select(F.col("cid").alias("b"), F.col("rep").alias("v")), "b")
         .select("u", "v")
     )
-    placed = stage_table(
-        sketches.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest", "left"),
-        "dedup-placed",
-    )
     # an id with several texts holds their classes together
     several = placed.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).filter("u <> v")
     same_id = (
@@ -307,7 +307,8 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
 
     Rows without id, and rows without words, all stay.
     """
-    told = stage_table(near_duplicates(docs, **options), "dedup-told")
+    # the texts are shuffled last, when no other table is left
+    told = stage_apart(docs.sparkSession, lambda: near_duplicates(docs, **options), "dedup-told")
     gone = told.filter("not kept").select("doc_id").distinct()
     several = told.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
     several = stage_table(several, "dedup-several")

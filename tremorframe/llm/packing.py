@@ -24,19 +24,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tremorframe.llm.common import whole
+from tremorframe.llm.common import in_small_batches, whole
 from tremorframe.llm.tokens import WordEndIds
 
 SEQUENCE_LENGTH = 4096
 END_ID = 2
+WORDS = 500_000
 DOCS_AT_ONCE = 64
 BUCKET_IDS = 58  # bits of the ids of a bucket: 2 ** 25 tasks of 2 ** 33 sequences each
 
 
 @lru_cache(maxsize=2)
-def word_end_ids(path: str) -> WordEndIds:
+def word_end_ids(path: str, words: int) -> WordEndIds:
     """One memory of words per Python worker."""
-    return WordEndIds(path)
+    return WordEndIds(path, words)
 
 
 def binary_lengths(tokens: int, longest: int) -> list[int]:
@@ -51,14 +52,18 @@ def pack(
     sequence_length: int = SEQUENCE_LENGTH,
     end_id: int = END_ID,
     with_ids: bool = False,
+    words: int = WORDS,
 ) -> DataFrame:
-    """One row per piece; ``with_ids`` adds its ids. ``sequence_length`` is a power of two below 2 ** 32."""
+    """One row per piece; ``with_ids`` adds its ids. ``sequence_length`` is a power of two below 2 ** 32.
+
+    A Python worker remembers up to twice ``words`` words, of about 240 bytes each. Fewer take more time.
+    """
     if sequence_length & (sequence_length - 1) or not 0 < sequence_length < 1 << 32:
         raise ValueError("sequence_length must be a power of two below 2 ** 32")
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_end_ids(tokenizer_path)
+        encoder = word_end_ids(tokenizer_path, words)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, DOCS_AT_ONCE):
@@ -90,7 +95,7 @@ def pack(
                 yield pa.RecordBatch.from_pydict(columns)
 
     schema = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long"
-    cut = docs.select("doc_id", whole().alias("text")).mapInArrow(
+    cut = in_small_batches(docs).select("doc_id", whole().alias("text")).mapInArrow(
         pieces, schema + (", ids array<int>" if with_ids else "")
     )
     numbered = cut.withColumn("sequence_id", F.monotonically_increasing_id())

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tremorframe.llm.common import whole
+from tremorframe.llm.common import in_small_batches, whole
 
 POINT = 0.7
 EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -310,7 +310,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, settings: Settings
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``_score``, in place of a column of that name. Only the text is read for it; the model has a fixed size."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("_score")
+    docs = in_small_batches(docs.drop("_score"))
     columns = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,12 +73,21 @@ def scratch_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the scratch root."""
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    if _OPEN_JOBS:
-        _OPEN_JOBS[-1].append(path)
+    made = getattr(_APART, "made", None)
+    if made is None and _OPEN_JOBS:
+        made = _OPEN_JOBS[-1]
+    if made is not None:
+        made.append(path)
     return path
 
 
 _OPEN_JOBS: list[list[str]] = []
+_APART = threading.local()  # tables of one thread, so that none of another is removed with them
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 @contextmanager
@@ -94,8 +103,7 @@ def job_scratch(spark: SparkSession) -> Iterator[None]:
     finally:
         _OPEN_JOBS.remove(made)
         for path in made:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            _remove(spark, path)
 
 
 def settled(report: DataFrame) -> DataFrame:
@@ -134,8 +142,34 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     is cut, and a lost executor costs only a re-read of the files. What the write
     shuffled is not needed any more then, and is removed.
     """
+    return _written(df, scratch_path(df.sparkSession, name))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
-    path = scratch_path(spark, name)
     with freed_shuffles(spark):
         df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def passing_table(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """A staged table that only the writes inside read; it is removed when they have ended."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    try:
+        yield _written(df, path)
+    finally:
+        _remove(spark, path)
+
+
+def stage_apart(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``make()`` staged, and the tables this thread staged on the way to it removed."""
+    path = scratch_path(spark, name)
+    outer, _APART.made = getattr(_APART, "made", None), []
+    try:
+        return _written(make(), path)
+    finally:
+        made, _APART.made = _APART.made, outer
+        for each in made:
+            _remove(spark, each)
