@@ -98,6 +98,26 @@ def test_join_is_an_equi_join(world):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def cell_joins(plan):
+    """The join operators of a plan that have the cell among their keys."""
+    return {line.split("[")[0].split()[-1] for line in plan.splitlines() if "Join [" in line and "latb#" in line}
+
+
+def test_the_newest_are_found_without_broadcasting_the_cells(spark, world, tmp_path, monkeypatch):
+    _, _, cat, ev = world
+    cat.write.parquet(f"{tmp_path}/cat")
+    stored = spark.read.parquet(f"{tmp_path}/cat")
+    plans, stage = [], associate_module.stage_table
+    monkeypatch.setattr(associate_module, "stage_table", lambda df, name: plans.append(plan_of(df)) or stage(df, name))
+    plans.append(plan_of(associate(stored, ev, limit=7)))
+    assert [cell_joins(p) for p in plans if "latb#" in p] and all(cell_joins(p) <= {"SortMergeJoin"} for p in plans)
+    assert cell_joins(plans[0]) and cell_joins(plans[-1])  # where cells are counted, and the pairs
+
+
 def test_limit_keeps_the_newest(world):
     mains, events, cat, ev = world
     when = {i: t for i, t, _, _ in events}

@@ -146,6 +146,10 @@ def candidate_pairs(
     so each true pair meets exactly once and the exact test follows. Close to a
     pole the circle spans all longitudes and the mainshock visits every cell.
 
+    A mainshock in its cells is many rows, which Catalyst's estimate does not see: it
+    would send all of them through the driver where the catalog itself is small
+    on disk. So both sides are always dealt by cell and merged.
+
     Hot cells: AQE splits their join partition. ``salt`` above one splits every
     cell by event up front, repeating the mainshocks that often. With
     ``rows_per_cell`` the cells follow the density instead, see ``_by_density``: no
@@ -170,7 +174,7 @@ def candidate_pairs(
     near = arc_degrees(F.col("main_lat"), F.col("main_lon"), F.col("lat"), F.col("lon"))
     since = F.col("t_us") - F.col("start_us")
     return (
-        events.join(main, keys)
+        events.join(main.hint("merge"), keys)
         .filter((since >= 0) & (since <= span_us) & (near <= radius_deg + ARC_TOLERANCE))
         .select(
             "eq_id", "event_id", "t_us", "lat", "lon", "depth", "mag", "mag_type",
@@ -220,7 +224,7 @@ def newest_pairs(
     where = dict(radius_deg=radius_deg, hours=hours, min_mag=min_mag, **cells)
     events, main, _ = _in_cells(cat, ev, radius_deg, int(hours * HOUR_US), 0, min_mag)
     per_cell = events.groupBy(*CELL).agg(F.count("*").alias("n"))
-    most = main.select("eq_id", *CELL).join(per_cell, CELL).groupBy("eq_id").agg(F.sum("n").alias("most"))
+    most = main.select("eq_id", *CELL).hint("merge").join(per_cell, CELL).groupBy("eq_id").agg(F.sum("n").alias("most"))
     left = stage_table(_with_ids(cat, most, "inner"), "reached")
     highest = left.agg(F.max("most")).first()[0] or 0
     parts = [candidate_pairs(left.filter(F.col("most") <= limit), ev, **where)]
