@@ -107,6 +107,15 @@ def cell_joins(plan):
     return {line.split("[")[0].split()[-1] for line in plan.splitlines() if "Join [" in line and "latb#" in line}
 
 
+@pytest.mark.parametrize("salt", [1, 3])
+def test_a_small_table_of_mainshocks_is_not_broadcast_in_its_cells(spark, world, tmp_path, salt):
+    """Each mainshock is many rows there, however small its table is on disk."""
+    _, _, cat, ev = world
+    cat.write.parquet(f"{tmp_path}/cat")
+    stored = spark.read.parquet(f"{tmp_path}/cat")
+    assert cell_joins(plan_of(candidate_pairs(stored, ev, salt=salt))) == {"SortMergeJoin"}
+
+
 def test_the_newest_are_found_without_broadcasting_the_cells(spark, world, tmp_path, monkeypatch):
     _, _, cat, ev = world
     cat.write.parquet(f"{tmp_path}/cat")

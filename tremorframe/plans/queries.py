@@ -197,8 +197,9 @@ def sequence_features_merged(t: Tables) -> DataFrame:
 @query
 def associated_features(t: Tables) -> DataFrame:
     """The global branch: events by place and time, enriched, and one feature row per mainshock."""
-    near = associate(t.main, t.ev)
-    return seq_features(enrich(stage_table(near.drop("arc_deg"), "near"), t.main), t.main, flavor="spark")
+    # columns of the events, which repeat from pair to pair and so take little space; hours and distances do not
+    near = stage_table(associate(t.main, t.ev).select("eq_id", "t_us", "lat", "lon", "depth", "mag"), "near")
+    return seq_features(enrich(near, t.main), t.main, flavor="spark")
 
 
 @query
