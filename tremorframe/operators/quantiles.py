@@ -106,7 +106,7 @@ def group_quantiles(
 
     targets = stage_table(bins.withColumns(positions).filter(hit(_N)).drop(_N, "_total"), "bins")
     inside = rows.join(targets.select(*group, _BIN), [*group, _BIN], "left_semi")
-    counts = stage_table(inside.groupBy(*group, _BIN, "_v").agg(F.count("*").alias(_N)).withColumn("_fine", fine), "inside")
+    counts = stage_table(inside.groupBy(*group, _BIN, "_v").agg(F.count("*").alias(_N)).withColumn("_fine", fine), "in-bins")
     in_bin = Window.partitionBy(*group, _BIN).orderBy("_fine").rowsBetween(Window.unboundedPreceding, 0)
     narrow = (
         counts.groupBy(*group, _BIN, "_fine")
